@@ -72,7 +72,7 @@ class _Tokens(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.words: dict[bytes, int] = {}
+        self.words: dict[int, int] = {}
         self.pool, self.sizes, self.starts = array("I"), array("q"), array("q")
         self._keep([END_ID])
 
@@ -87,11 +87,11 @@ class _Tokens(dict):
         self[part] = at = self._keep([t.id for t in self.tokenizer.model.tokenize(spelled)])
         return at
 
-    def word(self, word: bytes) -> int:
-        """The place of a word's ids."""
+    def word(self, key: int, word: bytes) -> int:
+        """The place of a word's ids, kept under the 64-bit hash of the word."""
         places = [self[p] for p in self.parts(unicodedata.normalize("NFC", word.decode()).lower())]
         at = places[0] if len(places) == 1 else self._keep([x for p in places for x in self.pool[self.starts[p] : self.starts[p] + self.sizes[p]]])
-        self.words[word] = at
+        self.words[key] = at
         return at
 
     def ids(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +100,9 @@ class _Tokens(dict):
             self.forget()
         plain = [bool(self.plain(d)) and not any(s in d for s in self.special) for d in docs]
         words = Words([d.encode() if ok else b"" for d, ok in zip(docs, plain)])
-        index, found = words.ids(with_words=True)
-        get = self.words.get
-        place = np.fromiter((self.word(w) if (at := get(w)) is None else at for w in found), np.int64, len(found))
+        keys, first, index = np.unique(words.hashes() + (words.ends - words.starts).astype(np.uint64), return_index=True, return_inverse=True)
+        get, raw = self.words.get, words.raw
+        place = np.fromiter((self.word(k, raw[a:b]) if (at := get(k)) is None else at for k, a, b in zip(keys.tolist(), words.starts[first].tolist(), words.ends[first].tolist())), np.int64, len(keys))
         close = np.array([0 if ok else self._keep([*self.tokenizer.encode(d, add_special_tokens=False).ids, END_ID]) for d, ok in zip(docs, plain)], np.int64)
         seq = np.insert(place[index], words.offsets[1:], close)
         pool, size, start = np.array(self.pool, "<u4"), np.array(self.sizes), np.array(self.starts)

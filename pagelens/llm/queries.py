@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op10_jaccard_join
 from .packing import op2_packing
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {}

@@ -99,15 +99,13 @@ class Words:
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.starts, self.ends)
 
-    def ids(self, with_words: bool = False) -> np.ndarray | tuple[np.ndarray, list[bytes]]:
-        """Exact small integers, equal where the words are equal; on demand the word of each, too."""
+    def ids(self) -> np.ndarray:
+        """Exact small integers, equal where the words are equal."""
         kept = self.buf[self.buf != 32]
         off = np.zeros(len(self) + 1, np.int64)
         np.cumsum(self.ends - self.starts, out=off[1:])
         arr = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(off), pa.py_buffer(kept)])
-        coded = arr.dictionary_encode()
-        ids = coded.indices.to_numpy(zero_copy_only=False)
-        return (ids, coded.dictionary.to_pylist()) if with_words else ids
+        return arr.dictionary_encode().indices.to_numpy(zero_copy_only=False)
 
     def window_starts(self, k: int) -> np.ndarray:
         """First word of each window of k words that lies within one text."""
