@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
+from .chat_format import op8_chat_format
 from .jaccard_join import op10_jaccard_join
+from .language_id import op3_language_id
+from .lm_scoring import op7_lm_scoring
+from .media import op9_media_columns
+from .mixing import op6_mixing
 from .packing import op2_packing
 from .substring_dedup import op1_substring_dedup
+from .topk import OP5_SQL, op5_topk_search
+from .url_filters import op4_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op10_jaccard_join)}
+_ALL = (
+    op1_substring_dedup,
+    op2_packing,
+    op3_language_id,
+    op4_url_filters,
+    op5_topk_search,
+    op6_mixing,
+    op7_lm_scoring,
+    op8_chat_format,
+    op9_media_columns,
+    op10_jaccard_join,
+)
+QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_topk_search": OP5_SQL}
