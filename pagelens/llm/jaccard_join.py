@@ -33,7 +33,7 @@ from .words import Words, as_bytes, combine, mix, row_slices
 
 WORDS, PERCENT = 5, 80
 LONG_LIST = 16
-_PIECE = 4 << 20
+_PIECE = 1_900_000
 _ROWS = np.dtype([("doc", "<i8"), ("n", "<u4"), ("whole", "<u8")])
 _POSTS = np.dtype([("token", "<u8"), ("row", "<u4"), ("at", "<u4")])
 _FOUND = "kind int, a bigint, b bigint, token bigint, n bigint, at bigint"

@@ -27,7 +27,7 @@ from .common import buckets_for
 from .words import Words, as_bytes, combine, row_slices, sliding_min
 
 K = 13
-_PIECE = 4 << 20
+_PIECE = 1_900_000
 _HEAD = np.dtype([("row", "<u4"), ("word", "<u4"), ("count", "<u4")])
 _ROW = np.dtype([("doc", "<i8"), ("tag", "<u4")])
 _SPAN = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4")])
@@ -184,7 +184,7 @@ def _count(k: int):
 
 def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """Word spans [_pl_start, _pl_end) of each text that windows also starting under a smaller doc_id cover."""
-    buckets = buckets_for(docs.select("doc_id", "text"))
+    buckets = buckets_for(docs.select("doc_id", "text"), 3 << 20)
     dealt = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_deal(k, buckets), "bucket int, slices binary")
     return dealt.groupBy("bucket").applyInArrow(_count(k), "_pl_doc bigint, _pl_tag bigint, _pl_start array<int>, _pl_end array<int>")
 
