@@ -6,8 +6,9 @@
    block of partners that a set's size allows is found by search and the rest of the list is skipped whole; within a block,
    an entry's position skips pairs whose rest can't reach the overlap.
 3. Equal sets have one entry. A long list doesn't compare all its members: each is compared with the leader of its block.
-   Members that the leader's answers have put into one component need no answers of their own among each other; only
-   lists that still hold several components are taken up again, across components. No link that joins two is lost.
+   Members that the leader's answers have put into one component need no answers of their own among each other. Sets of
+   lists that still hold several components are joined across components by parts of their shingles: linked sets differ
+   in so few that one of the parts is the same in both. No link that joins two components is lost.
 4. Candidates are confirmed on the texts.
 
 Sets are of 64-bit hashes of word windows. Defined cases: A-Z are lower-cased; a text with fewer than k words has its whole
@@ -27,12 +28,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, input_bytes, materialize
+from .common import buckets_for, input_bytes, materialize, small_or_plain
 from .components import components
 from .words import Words, as_bytes, combine, mix, row_slices
 
 WORDS, PERCENT = 5, 80
 LONG_LIST = 16
+FINE = 64
+#: So many rows of two integers may be broadcast.
+NARROW_ROWS = 200_000
 _PIECE = 1_900_000
 _ROWS = np.dtype([("doc", "<i8"), ("n", "<u4"), ("whole", "<u8")])
 _POSTS = np.dtype([("token", "<u8"), ("row", "<u4"), ("at", "<u4")])
@@ -255,6 +259,52 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _parts(k: int, percent: int):
+    """Keys that any two linked sets share: all shingles are dealt to more parts than two linked sets can differ in, so
+    at least one part has the same shingles of both. The number of parts goes by classes of size; a set has keys for its
+    own class and the next, where larger partners are. fine: FINE parts of each set, of which linked sets differ in few."""
+
+    def classes(n: int) -> Iterator[tuple[int, int]]:
+        c, most = 0, 1
+        while most < n:
+            c, most = c + 1, 100 * most // percent + 1
+        for c in (c, c + 1):
+            yield c, 2 * most * (100 - percent) // (100 + percent) + 1
+            most = 100 * most // percent + 1
+
+    def summed(key: np.ndarray, part: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n, np.uint64)
+        np.add.at(out, part, mix(key))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in row_slices(batch.column(2), _PIECE):
+                row, key = shingles(as_bytes(batch.column(2).slice(lo, hi - lo)), k)
+                order = np.lexsort((key, row))
+                row, key = row[order], key[order]
+                new = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))[: len(row)]
+                row, key = row[new], key[new]
+                cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                keys, owner, n, fine = [], [], [], []
+                for d in range(hi - lo):
+                    own = key[cut[d] : cut[d + 1]]
+                    if not len(own):
+                        continue
+                    spot = mix(own)
+                    few = summed(own, (spot >> np.uint64(58)).astype(np.int64), FINE).astype(np.uint32).view(np.int32).tolist()
+                    for c, m in classes(len(own)):
+                        sums = summed(own, (spot % np.uint64(m)).astype(np.int64), m)
+                        keys.append(mix(sums + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c << 48)).view(np.int64))
+                        owner += [lo + d] * m
+                        n += [len(own)] * m
+                        fine += [few] * m
+                at = pa.array(owner, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n, pa.int64()), pa.array(fine, pa.list_(pa.int32()))], ["key", "a", "c", "n", "fine"])
+
+    return run
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose texts link. A document with many partners is split by AQE's skew join."""
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
@@ -275,18 +325,22 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, lon
     pairs = found.where("kind = 3").select("a", "b").distinct()
     links = materialize(confirmed(pairs, docs, k, percent).union(equal.distinct()), "links")
     groups = components(links)
-    spread = found.where("kind = 4").select("a", "token", "n", "at")
+    spread = found.where("kind = 4").select("a", "token")
     if not spread.isEmpty():
         groups = materialize(groups, "groups")
-        placed = spread.join(groups, spread["a"] == groups["node"], "left").select("a", "token", "n", "at", F.coalesce("component", "a").alias("c"))
-        placed = materialize(placed, "spread")
+        placed = materialize(spread.join(groups, spread["a"] == groups["node"], "left").select("a", "token", F.coalesce("component", "a").alias("c")), "spread")
         mixed = placed.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("token")
-        left = placed.join(mixed, "token")
-        right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("a", "n", "at", "c")))
-        need = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
-        across = left.join(right, "token").where((F.col("c") != F.col("c2")) & (F.col("a") < F.col("a2")))
-        across = across.where((percent * F.greatest("n", "n2") <= 100 * F.least("n", "n2")) & (F.least("at", "at2") + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= need))
-        across = materialize(across.select("a", F.col("a2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "across")
+        rest = materialize(placed.join(mixed, "token").select("a", "c").distinct(), "rest")
+        texts = docs.where("doc_id is not null and text is not null").join(small_or_plain(rest, NARROW_ROWS), docs["doc_id"] == rest["a"]).select("a", "c", "text")
+        parts = materialize(texts.mapInArrow(_parts(k, percent), "key bigint, a bigint, c bigint, n bigint, fine array<int>"), "parts")
+        shared = parts.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("key")
+        left = parts.join(shared, "key")
+        right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("a", "c", "n", "fine")))
+        near = (F.col("c") != F.col("c2")) & (F.col("a") < F.col("a2")) & (percent * F.greatest("n", "n2") <= 100 * F.least("n", "n2"))
+        differ = F.size(F.filter(F.arrays_zip("fine", "fine2"), lambda x: x["fine"] != x["fine2"]))
+        near &= differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
+        across = left.join(right, "key").where(near).select("a", F.col("a2").alias("b")).distinct()
+        across = materialize(across.join(pairs, ["a", "b"], "left_anti"), "across")
         if not across.isEmpty():
             more = materialize(confirmed(across, docs, k, percent), "more")
             if not more.isEmpty():
