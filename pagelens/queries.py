@@ -1,4 +1,531 @@
 """All queries of the library by name, and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import urls
+from .operators import heuristics as H
+from .operators import landed as N
+from .operators import posture as P
+from .operators import tech as T
+from .plans import history as D
+from .plans import risk as R
+from .sources import fixed_values as V
+from .sources.captures import BUCKETS, captures, captures_sql, quoted, values
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+_CAP = captures_sql()
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def on_captures(sql: str | None = None):
+    """A query over captures; {CAP} stands before the SQL's own tables."""
+
+    def add(f):
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(captures(spark, sf_dir))
+
+        return query(f"{_CAP} {sql}" if sql else None, f.__name__)(run)
+
+    return add
+
+
+def re2(text: str) -> str:
+    """A pattern for SQL's engine, which has no look-ahead: the one there is only repeats what must follow anyway."""
+    return text.replace("p(?=\\d)", "p")
+
+
+# ---- urls
+
+_REG = f"""CASE WHEN regexp_matches(replace(host, '.', ''), '^[0-9]+$') THEN host
+  WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({", ".join(map(quoted, V.TWO_LABEL_SUFFIXES))}) THEN array_to_string(string_split(host, '.')[-3:], '.')
+  ELSE array_to_string(string_split(host, '.')[-2:], '.') END"""
+
+
+@on_captures(f"""SELECT scan_id, host, path, {_REG} AS registrable, CASE WHEN contains(host, '.') THEN '.' || string_split(host, '.')[-1] ELSE '' END AS tld,
+  regexp_matches(host, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$') AS is_ip, left(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'), 120) AS slug,
+  regexp_extract(url, '^[a-z]+://') || authority || '/' AS origin FROM cap""")
+def url_parts(caps):
+    host = urls.host_of(F.col("url"))
+    url = F.col("url")
+    return caps.select("scan_id", host.alias("host"), urls.path_of(url).alias("path"), urls.registrable(host).alias("registrable"), urls.tld(host).alias("tld"), urls.is_ipv4(host).alias("is_ip"), urls.slug(url, 120, "target").alias("slug"), urls.origin(url).alias("origin"))
+
+
+# ---- fraud signals
+
+_LEX = values((r, f"scam_{c}", p, s, w) for r, c, p, s, w in V.LEXICON) + " l(rule_id, category, phrase, severity, weight)"
+_LEX_SQL = f"SELECT scan_id, rule_id, category, phrase AS evidence, severity, CAST(weight AS INTEGER) AS weight FROM cap JOIN {_LEX} ON contains(lower(html), phrase)"
+_SHOWN = ("scan_id", "rule_id", "category", "evidence", "severity", "weight")
+
+
+@on_captures(_LEX_SQL)
+def lexicon_hits(caps):
+    return H.lexicon(caps).select(*_SHOWN)
+
+
+@on_captures(f"SELECT category, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT scan_id) AS BIGINT) AS pages FROM ({_LEX_SQL}) GROUP BY category")
+def lexicon_category_counts(caps):
+    return H.lexicon(caps).groupBy("category").agg(F.count("*").alias("hits"), F.countDistinct("scan_id").alias("pages"))
+
+
+_CUR = " OR ".join(f"contains(lower(html), {quoted(m)})" for m in V.CURRENCY_MARKERS)
+
+
+@on_captures(f"SELECT scan_id, CAST(2 AS INTEGER) AS weight FROM cap WHERE {_CUR}")
+def currency_context(caps):
+    return H.currency(caps).select("scan_id", "weight")
+
+
+_RX = " UNION ALL ".join(f"SELECT DISTINCT scan_id, {quoted(r)} AS rule_id, {quoted(c)} AS category, left(t, 200) AS evidence, {quoted(s)} AS severity, CAST({w} AS INTEGER) AS weight FROM (SELECT scan_id, unnest(regexp_extract_all(html, {quoted(('(?i)' if fold else '') + re2(p))})) AS t FROM cap)" for r, c, _, s, w, fold, p in V.REGEX_DETECTORS)
+
+
+@on_captures(_RX)
+def regex_detector_hits(caps):
+    return H.regex_tokens(caps).select(*_SHOWN)
+
+
+_MOBILE = next(r for r in V.REGEX_DETECTORS if r[1] == "ph_mobile")
+
+
+@query(f"SELECT DISTINCT doc_id, t AS token FROM (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(_MOBILE[-1])})) AS t FROM documents)")
+def documents_ph_mobile(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(H.pattern(_MOBILE[-1], False)), 0))).alias("token"))
+
+
+_OBF = " UNION ALL ".join(f"SELECT scan_id, {quoted(r)} AS rule_id, {quoted(lb)} AS evidence FROM cap WHERE regexp_matches(html, {quoted(('(?i)' if fold else '') + p)})" for r, lb, fold, p in V.OBFUSCATION)
+
+
+@on_captures(_OBF)
+def obfuscation_hits(caps):
+    return H.obfuscation(caps).select("scan_id", "rule_id", "evidence")
+
+
+_ATTRS = ("type", "name", "id", "placeholder", "aria-label")
+_BLOB = " || ' ' || ".join(f"coalesce(nullif(regexp_extract(tag, {quoted(f'(?i) {a}=[' + chr(34) + chr(39) + ']([^' + chr(34) + chr(39) + ']*)')}, 1), ''), '')" for a in _ATTRS)
+_HINTS = values([(-1, "password-type")] + list(enumerate(V.CREDENTIAL_HINTS))) + " k(pos, hint)"
+_HIGH = ", ".join(map(quoted, V.HIGH_SEVERITY_CREDENTIAL_HINTS))
+_CRED = f"""i AS (SELECT scan_id, generate_subscripts(regexp_extract_all(html, '(?i)<input[^>]*>'), 1) AS n, unnest(regexp_extract_all(html, '(?i)<input[^>]*>')) AS tag FROM cap),
+b AS (SELECT scan_id, n, lower({_BLOB}) AS blob, lower(regexp_extract(tag, '(?i) type=[\x22\x27\x27]([^\x22\x27\x27]*)', 1)) = 'password' AS secret FROM i),
+c AS (SELECT scan_id, CASE WHEN pos = -1 THEN 'password' ELSE hint END AS hint, pos, n FROM b JOIN {_HINTS} ON CASE WHEN pos = -1 THEN secret ELSE contains(blob, hint) END),
+d AS (SELECT *, row_number() OVER (PARTITION BY scan_id, hint ORDER BY n, pos) AS r FROM c),
+cred AS (SELECT scan_id, hint AS evidence, CASE WHEN pos = -1 OR hint IN ({_HIGH}) THEN 'high' ELSE 'medium' END AS severity,
+  CAST(CASE WHEN pos = -1 THEN 12 WHEN hint IN ({_HIGH}) THEN 14 ELSE 8 END AS INTEGER) AS weight FROM d WHERE r = 1)"""
+
+
+@on_captures(f", {_CRED} SELECT * FROM cred")
+def credential_fields(caps):
+    return H.credentials(H.parsed_tags(caps)).select("scan_id", "evidence", "severity", "weight")
+
+
+_OFFICIAL = " OR ".join(f"host = {quoted(d)} OR ends_with(host, {quoted('.' + d)})" for d in V.BRAND_OFFICIAL_DOMAINS)
+_NAMED = "list_sort(list_distinct([x for x in [" + ", ".join(f"CASE WHEN regexp_matches(lower(html), {quoted(chr(92) + 'b' + H._literal(b) + chr(92) + 'b')}) THEN {quoted(b)} END" for b in V.PH_BRANDS) + "] if x IS NOT NULL]))"
+_BRAND = f""", {_CRED}, n AS (SELECT scan_id, host, {_NAMED} AS named, scan_id IN (SELECT scan_id FROM cred) AS form FROM cap WHERE host <> '' AND NOT ({_OFFICIAL})),
+brand AS (SELECT scan_id, array_to_string(named, ', ') || ' @ ' || host AS evidence, CAST(CASE WHEN form THEN 16 ELSE 9 END AS INTEGER) AS weight FROM n WHERE len(named) > 0)"""
+
+
+@on_captures(f"{_BRAND} SELECT * FROM brand")
+def brand_impersonation(caps):
+    forms = H.credentials(H.parsed_tags(caps)).select("scan_id").distinct()
+    return H.brand(caps, forms).select("scan_id", "evidence", "weight")
+
+
+_TLDS = ", ".join(map(quoted, V.SUSPICIOUS_TLDS))
+_DOM = f"""SELECT scan_id, CASE WHEN regexp_matches(host, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$') THEN 'ref.raw-ip-host' ELSE 'ref.suspicious-tld' END AS rule_id, host AS evidence,
+  CAST(CASE WHEN regexp_matches(host, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$') THEN 4 ELSE 5 END AS INTEGER) AS weight FROM cap
+  WHERE regexp_matches(host, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$') OR (contains(host, '.') AND '.' || string_split(host, '.')[-1] IN ({_TLDS}))"""
+
+
+@on_captures(_DOM)
+def domain_reputation(caps):
+    return H.domain(caps).select("scan_id", "rule_id", "evidence", "weight")
+
+
+_WORDS = "[" + ", ".join(map(quoted, sorted(V.PHISHY_PATH_WORDS))) + "]"
+_ANOM = f"""SELECT scan_id, 'ref.punycode-host' AS rule_id, host AS evidence, CAST(8 AS INTEGER) AS weight FROM cap WHERE starts_with(host, 'xn--') OR contains(host, '.xn--')
+UNION ALL SELECT scan_id, 'ref.at-in-url', left(authority, 80), 10 FROM cap WHERE contains(authority, '@')
+UNION ALL SELECT scan_id, 'ref.subdomain-depth', host, 4 FROM cap WHERE len(string_split(host, '.')) >= 5
+UNION ALL SELECT scan_id, 'ref.hyphen-stuffing', host, 3 FROM cap WHERE len(host) - len(replace(host, '-', '')) >= 4
+UNION ALL SELECT scan_id, 'ref.phishy-path', left(lower(path), 120), 4 FROM cap WHERE len([w for w in {_WORDS} if contains(lower(path), w)]) > 0"""
+
+
+@on_captures(_ANOM)
+def url_anomalies(caps):
+    return H.anomalies(caps).select("scan_id", "rule_id", "evidence", "weight")
+
+
+_QR = [(1, "QRCODE", "https://T.me/pay"), (2, "QRCODE", "gcash:0917?amount=5"), (3, "EAN13", "4006381333931"), (4, "QRCODE", "bc1qxyz"), (5, "QRCODE", "whatsapp gcash")]
+_HAS = lambda marks: "(" + " OR ".join(f"contains(lower(payload), {quoted(m)})" for m in marks) + ")"
+
+
+@query(f"SELECT CAST(scan_id AS BIGINT) AS scan_id, payload AS evidence, CAST(CASE WHEN {_HAS(V.QR_CHAT_MARKS)} THEN 14 WHEN {_HAS(V.QR_PAY_MARKS)} THEN 12 ELSE 8 END AS INTEGER) AS weight FROM {values(_QR)} q(scan_id, code_type, payload)")
+def qr_payload_scoring(spark, sf_dir):
+    return H.qr_payloads(spark.createDataFrame(_QR, "scan_id bigint, code_type string, payload string")).select("scan_id", "evidence", "weight")
+
+
+_ALL_HITS = f"""hits AS (
+  SELECT scan_id, rule_id, evidence, weight FROM ({_LEX_SQL}) UNION ALL SELECT scan_id, 'ref.ph-currency', '₱/PHP/GCash/Maya marker', 2 FROM cap WHERE {_CUR}
+  UNION ALL SELECT scan_id, rule_id, evidence, weight FROM ({_RX}) UNION ALL SELECT scan_id, rule_id, evidence, 7 FROM ({_OBF})
+  UNION ALL SELECT scan_id, CASE severity WHEN 'high' THEN 'ref.credential-hint-high' ELSE 'ref.credential-hint' END, evidence, weight FROM cred
+  UNION ALL SELECT scan_id, 'ref.brand-impersonation', evidence, weight FROM brand UNION ALL {_DOM} UNION ALL {_ANOM})"""
+
+
+@on_captures(f"{_BRAND}, {_ALL_HITS} SELECT * FROM hits")
+def heuristics_all(caps):
+    return H.all_heuristics(caps).select("scan_id", "rule_id", "evidence", "weight")
+
+
+@on_captures(f"{_BRAND}, {_ALL_HITS} SELECT rule_id, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT scan_id) AS BIGINT) AS pages FROM hits GROUP BY rule_id")
+def rule_effectiveness(caps):
+    return H.all_heuristics(caps).groupBy("rule_id").agg(F.count("*").alias("hits"), F.countDistinct("scan_id").alias("pages"))
+
+
+# ---- software
+
+_PAIR = "([A-Za-z][A-Za-z0-9_-]+)[/ ]v?([0-9]+(?:[.][0-9]+){0,3})"
+
+
+@on_captures()
+def tech_stack(caps):
+    return T.fingerprints(caps, H.parsed_tags(caps)).select("scan_id", "product", "version", "source", "rule_id")
+
+
+@on_captures(f"SELECT DISTINCT scan_id, name AS header, unnest(regexp_extract_all(value, '{_PAIR}', 1)) AS product, unnest(regexp_extract_all(value, '{_PAIR}', 2)) AS version FROM hdr WHERE name IN ({', '.join(quoted(h) for _, h in V.REVEALING_HEADERS)})")
+def tech_headers(caps):
+    prints = T.fingerprints(caps, H.parsed_tags(caps)).where("startswith(source, 'header:') and version is not null")
+    return prints.select("scan_id", F.substring_index("source", ":", -1).alias("header"), "product", "version")
+
+
+_COOK = values(V.COOKIE_SIGNATURES) + " c(rule_id, part, product)"
+
+
+@on_captures(f"SELECT DISTINCT scan_id, product FROM hdr JOIN {_COOK} ON hdr.name = 'set-cookie' AND contains(lower(hdr.value), lower(part))")
+def tech_cookies(caps):
+    return T.fingerprints(caps, H.parsed_tags(caps)).where("startswith(source, 'cookie:')").select("scan_id", "product")
+
+
+_KB = values((i, p, v, c, k, s, float(x)) for i, (p, vs, c, k, s, x) in enumerate(V.KNOWN_VULNERABILITIES) for v in vs) + " kb(pos, part, prefix, cve_id, kind, severity, score)"
+_HP = f"hp AS (SELECT scan_id, unnest(regexp_extract_all(value, '{_PAIR}', 1)) AS product, unnest(regexp_extract_all(value, '{_PAIR}', 2)) AS version FROM hdr WHERE name IN ({', '.join(quoted(h) for _, h in V.REVEALING_HEADERS)}))"
+
+
+@on_captures(f", {_HP} SELECT DISTINCT scan_id, cve_id, kind, severity, CAST(score AS DOUBLE) AS score FROM hp JOIN {_KB} ON contains(lower(product), part) AND starts_with(version, prefix)")
+def cve_of_headers(caps):
+    prints = T.fingerprints(caps, H.parsed_tags(caps)).where("startswith(source, 'header:')")
+    return T.known_vulnerabilities(prints).select("scan_id", "cve_id", "kind", "severity", "score")
+
+
+@on_captures()
+def cve_offline(caps):
+    return T.known_vulnerabilities(T.fingerprints(caps, H.parsed_tags(caps)))
+
+
+# ---- posture
+
+_POST = ("scan_id", "category", "evidence", "severity")
+
+
+@on_captures("SELECT scan_id, left(url, 160) AS evidence FROM cap WHERE starts_with(lower(url), 'http://')")
+def posture_transport(caps):
+    return P.transport(caps).select("scan_id", "evidence")
+
+
+_MISSING = f"SELECT scan_id, e.name AS evidence, e.severity FROM cap CROSS JOIN {values((h, s) for _, h, s in V.EXPECTED_HEADERS)} e(name, severity) WHERE NOT EXISTS (SELECT 1 FROM hdr WHERE hdr.scan_id = cap.scan_id AND hdr.name = e.name AND trim(hdr.value) <> '')"
+
+
+@on_captures(_MISSING)
+def posture_headers(caps):
+    return P.missing_headers(caps).select("scan_id", "evidence", "severity")
+
+
+_CSP = """SELECT scan_id, e AS evidence, s AS severity FROM hdr CROSS JOIN (VALUES ('unsafe-inline', 'low', 'unsafe-inline'), ('unsafe-eval', 'low', 'unsafe-eval'), ('* source', 'medium', '(?:default|script)-src[^;]*[*]')) w(e, s, p)
+WHERE name = 'content-security-policy' AND regexp_matches(lower(value), p)"""
+
+
+@on_captures(_CSP)
+def posture_csp(caps):
+    return P.csp(caps).select("scan_id", "evidence", "severity")
+
+
+_CORS = """SELECT a.scan_id, CASE WHEN lower(trim(c.value)) = 'true' THEN 'ACAO:* + ACAC:true' ELSE 'ACAO:*' END AS evidence, CASE WHEN lower(trim(c.value)) = 'true' THEN 'high' ELSE 'low' END AS severity
+FROM hdr a LEFT JOIN hdr c ON c.scan_id = a.scan_id AND c.name = 'access-control-allow-credentials' WHERE a.name = 'access-control-allow-origin' AND trim(a.value) = '*'"""
+
+
+@on_captures(_CORS)
+def posture_cors(caps):
+    return P.cors(caps).select("scan_id", "evidence", "severity")
+
+
+_VERS = f"SELECT scan_id, left(name || ': ' || value, 160) AS evidence FROM hdr WHERE name IN ({', '.join(map(quoted, V.VERSIONED_HEADERS))}) AND regexp_matches(value, '[0-9]')"
+
+
+@on_captures(_VERS)
+def posture_versions(caps):
+    return P.versions(caps).select("scan_id", "evidence")
+
+
+_SESS = " OR ".join(f"contains(lower(value), {quoted(h)})" for h in V.SESSION_COOKIE_HINTS)
+_COOKIES = f"""SELECT scan_id, left(trim(split_part(value, '=', 1)), 40) AS evidence, CASE WHEN flag = 'samesite' THEN 'info' WHEN {_SESS} THEN 'medium' ELSE 'low' END AS severity
+FROM hdr CROSS JOIN (VALUES ('httponly'), ('secure'), ('samesite')) f(flag) WHERE name = 'set-cookie' AND NOT contains(lower(value), flag)"""
+
+
+@on_captures(_COOKIES)
+def posture_cookies(caps):
+    return P.cookies(caps).select("scan_id", "evidence", "severity")
+
+
+_ASSET = "(?i)(?:src|href|action)\\s*=\\s*[\x22\x27](http://[^\x22\x27]+)"
+_MIXED = f"SELECT scan_id, unnest(list_sort(list_distinct(regexp_extract_all(html, '{_ASSET}', 1)))[:5]) AS evidence FROM cap WHERE starts_with(lower(url), 'https://')".replace("[\x22\x27]", "[\x22\x27\x27]").replace("[^\x22\x27]", "[^\x22\x27\x27]")
+
+
+@on_captures(_MIXED)
+def posture_mixed(caps):
+    return P.mixed_content(caps).select("scan_id", "evidence")
+
+
+@on_captures()
+def posture_forms(caps):
+    return P.forms(H.parsed_tags(caps))
+
+
+_SECRET = " UNION ALL ".join(
+    f"SELECT scan_id, {quoted(lb)} AS label, {quoted(s)} AS severity, " + ("CASE WHEN len(trim(t)) <= 12 THEN left(trim(t), 4) || '…' ELSE left(trim(t), 8) || '…' || right(trim(t), 4) || ' (len ' || len(trim(t)) || ')' END" if hide else quoted(lb)) + f" AS evidence FROM (SELECT scan_id, unnest(list_distinct(regexp_extract_all(html, {quoted(p)}))) AS t FROM cap)"
+    for lb, s, p, hide in V.SECRET_PATTERNS
+)
+
+
+@on_captures(_SECRET)
+def posture_secrets(caps):
+    return P.secrets(caps).select("scan_id", "label", "severity", "evidence")
+
+
+# ---- landed responses
+
+_PATHS = values((i, p, c, s) for i, (_, p, c, s) in enumerate(V.MISCONFIG_TARGETS)) + " t(i, path, category, severity)"
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic probe responses of each page: two baselines and all targets, by arithmetic on the ids."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("scan_id"))
+    paths = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(p).alias("path")) for i, (_, p, _, _) in enumerate(V.MISCONFIG_TARGETS)))
+    x = (F.col("scan_id") * 7 + F.col("t.ord") * 13) % 11
+    targets = pages.select("scan_id", F.explode(paths).alias("t")).select("scan_id", "t.path", F.lit("target").alias("kind"), "t.ord", F.when(x < 3, 200).when(x == 3, 405).otherwise(404).alias("head_status"), F.when(x == 3, 200).otherwise(404).alias("get_status"), F.when(x != 2, (100 + x * 24).cast("string")).alias("content_length"), F.lit(None).cast("int").alias("body_len"))
+    base = pages.select("scan_id", F.lit("/none").alias("path"), F.lit("baseline").alias("kind"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"), F.lit(0).alias("head_status"), F.when(F.col("scan_id") % 2 == 0, 200).otherwise(404).alias("get_status"), F.lit(None).cast("string").alias("content_length"), (F.lit(100) + F.col("ord")).cast("int").alias("body_len"))
+    return targets.union(base)
+
+
+@query(f"""WITH p AS (SELECT page_id AS scan_id, path, category, severity, (page_id * 7 + i * 13) % 11 AS x FROM pages CROSS JOIN {_PATHS}),
+q AS (SELECT *, (x < 3 OR x = 3) AND NOT (scan_id % 2 = 0 AND (x = 2 OR abs(100 + x * 24 - 100) <= 24)) AS exposed FROM p)
+SELECT scan_id, path, CAST(CASE WHEN x <= 3 THEN 200 ELSE 404 END AS INTEGER) AS status, exposed, category, CASE WHEN exposed THEN severity ELSE 'info' END AS severity FROM q""")
+def misconfig_exposed(spark, sf_dir):
+    return N.misconfigurations(probes(spark, sf_dir))
+
+
+_NVD = [("nginx", '{"vulnerabilities":[{"cve":{"id":"CVE-1","descriptions":[{"lang":"es","value":"x"},{"lang":"en","value":"one"}],"metrics":{"cvssMetricV31":[{"cvssData":{"baseScore":7.5,"baseSeverity":"HIGH"}}]}}},{"cve":{"id":"CVE-2","descriptions":[{"lang":"en","value":"two"}],"metrics":{"cvssMetricV2":[{"baseSeverity":"LOW","cvssData":{"baseScore":2.1}}]}}},{"cve":{"id":""}}]}'), ("php", "not json")]
+
+
+@query()
+def cve_nvd_parse(spark, sf_dir):
+    return N.advisories(spark.createDataFrame(_NVD, "product string, body string"))
+
+
+_RDAP = [
+    ("scam.test", '{"events":[{"eventAction":"Registration","eventDate":"2026-06-16T00:00:00Z"}],"entities":[{"roles":["registrar"],"vcardArray":["vcard",[["version",{},"text","4.0"],["fn",{},"text","Reg Inc"]]],"entities":[{"roles":["abuse"],"vcardArray":["vcard",[["email",{},"text","abuse@reg.test"]]]}]}],"nameservers":[{"ldhName":"NS1.X.TEST"},{"ldhName":"ns2.x.test"}]}'),
+    ("old.test", '{"events":[{"eventAction":"expiration","eventDate":"2027-01-01"}]}'),
+    ("bad.test", "oops"),
+]
+
+
+@query()
+def rdap_domain(spark, sf_dir):
+    return N.domain_registrations(spark.createDataFrame(_RDAP, "key string, body string"))
+
+
+@query()
+def rdap_ip(spark, sf_dir):
+    raw = [("10.0.0.1", '{"name":"HOSTCO","originAutnums":["64500"],"entities":[{"roles":["abuse"],"vcardArray":["vcard",[["email",{},"text","a@h.test"]]]}]}')]
+    return N.address_registrations(spark.createDataFrame(raw, "key string, body string"))
+
+
+_AGES = [("a", "2026-06-16T00:00:00Z"), ("b", "2026-06-26"), ("c", "2024-01-01T12:00:00Z"), ("d", None), ("e", "2030-01-01"), ("f", "bad")]
+
+
+@query(f"SELECT domain, CAST(greatest(0, datesub('day', try_cast(left(created, 19) AS TIMESTAMP), TIMESTAMP '2026-06-26 00:00:00')) AS INTEGER) AS age_days FROM {values(_AGES)} t(domain, created) WHERE try_cast(left(created, 19) AS TIMESTAMP) IS NOT NULL UNION ALL SELECT domain, NULL FROM {values(_AGES)} t(domain, created) WHERE try_cast(left(created, 19) AS TIMESTAMP) IS NULL")
+def domain_age(spark, sf_dir):
+    df = spark.createDataFrame(_AGES, "domain string, created string")
+    at = F.try_to_timestamp(F.substring("created", 1, 10), F.lit("yyyy-MM-dd"))
+    return df.select("domain", F.when(at.isNotNull(), N.age_days("created", F.lit("2026-06-26 00:00:00").cast("timestamp"))).alias("age_days"))
+
+
+_CT = [("scam.test", '[{"name_value":"*.scam.test\\nother.test"},{"name_value":"Other.test\\nthird.test"}]')]
+
+
+@query("SELECT 'scam.test' AS domain, CAST(o AS INTEGER) AS ord, n AS name FROM (VALUES (0, 'other.test'), (1, 'third.test')) t(o, n)")
+def ct_siblings(spark, sf_dir):
+    return N.certificate_siblings(spark.createDataFrame(_CT, "key string, body string"))
+
+
+@query("SELECT page_id AS scan_id, left(sha256(html), 32) AS favicon_hash FROM pages")
+def favicon_hash(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("scan_id"), F.substring(F.sha2("html", 256), 1, 32).alias("favicon_hash"))
+
+
+_FEED = [("evil.test", '{"query_status":"ok","url_count":"3","urls":["a"]}'), ("ok.test", '{"query_status":"no_results"}'), ("none.test", '{"query_status":"ok","urls":[]}')]
+
+
+@query("SELECT 'evil.test' AS host, CAST(3 AS INTEGER) AS urls")
+def feed_hits(spark, sf_dir):
+    return N.feed_hits(spark.createDataFrame(_FEED, "key string, body string"))
+
+
+_SB = [("evil.test", '{"matches":[{"threatType":"SOCIAL"},{"threatType":"MALWARE"},{"threatType":"SOCIAL"},{}]}'), ("ok.test", "{}")]
+
+
+@query("SELECT 'evil.test' AS host, '?, MALWARE, SOCIAL' AS threats")
+def safe_browsing_summary(spark, sf_dir):
+    return N.safe_browsing(spark.createDataFrame(_SB, "key string, body string"))
+
+
+def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.floor(F.get(F.col("embedding"), i % 64).cast("double") * 1000))
+    return emb.select(F.col("vec_id").alias("id"), pixels.alias("pixels")).select("id", N.difference_hash("pixels").alias("hash"))
+
+
+_BITS = " || ".join(f"CASE WHEN p[{i // 8 * 9 + i % 8 + 1}] > p[{i // 8 * 9 + i % 8 + 2}] THEN '1' ELSE '0' END" for i in range(64))
+_SHOT_SQL = f"""WITH px AS (SELECT vec_id AS id, [floor(CAST(embedding[(i % 64) + 1] AS DOUBLE) * 1000) for i in range(72)] AS p FROM embeddings), h AS (SELECT id, {_BITS} AS bits FROM px)"""
+
+
+@query(f"{_SHOT_SQL} SELECT id, bits FROM h")
+def dhash_bits(spark, sf_dir):
+    return _shots(spark, sf_dir).select("id", F.lpad(F.bin("hash"), 64, "0").alias("bits"))
+
+
+@query(f"{_SHOT_SQL} SELECT a.id, 'brand' || b.id AS brand, CAST(hamming(a.bits, b.bits) AS INTEGER) AS distance FROM h a JOIN h b ON b.id % 100 = 0 AND hamming(a.bits, b.bits) <= 12")
+def visual_matches(spark, sf_dir):
+    shots = _shots(spark, sf_dir)
+    brands = shots.where("id % 100 = 0").select(F.concat(F.lit("brand"), "id").alias("brand"), "hash")
+    return N.visual_matches(shots, brands).select("id", "brand", "distance")
+
+
+# ---- risk
+
+_PTS = "CASE lower(severity) " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in V.SEVERITY_POINTS.items()) + " ELSE 1 END"
+
+
+def weights_of(caps: DataFrame) -> DataFrame:
+    tags = H.parsed_tags(caps)
+    hits = H.all_heuristics(caps).select("scan_id", F.lit("scam").alias("bucket"), "weight")
+    cves = T.known_vulnerabilities(T.fingerprints(caps, tags)).select("scan_id", F.lit("cve").alias("bucket"), R.points("severity").alias("weight"))
+    weak = P.all_findings(caps, tags).select("scan_id", F.when(F.col("category") == "sensitive_exposure", "exposure").otherwise("posture").alias("bucket"), R.points("severity").alias("weight"))
+    return hits.union(cves).union(weak)
+
+
+def verdicts_of(caps: DataFrame) -> DataFrame:
+    return R.verdicts(caps, R.bucket_scores(weights_of(caps)))
+
+
+_FORMS = f"""SELECT scan_id, 'high' AS severity FROM cap WHERE bucket = 6 UNION ALL SELECT scan_id, 'low' FROM cap WHERE bucket = 6"""
+_WEIGHTS = f"""{_BRAND}, {_ALL_HITS}, w AS (
+  SELECT scan_id, 'scam' AS bucket, weight AS w FROM hits UNION ALL
+  SELECT scan_id, 'posture', {_PTS} FROM (SELECT scan_id, 'medium' AS severity FROM cap WHERE starts_with(lower(url), 'http://') UNION ALL SELECT scan_id, severity FROM ({_MISSING}) UNION ALL SELECT scan_id, severity FROM ({_CSP})
+    UNION ALL SELECT scan_id, severity FROM ({_CORS}) UNION ALL SELECT scan_id, 'low' FROM ({_VERS}) UNION ALL SELECT scan_id, severity FROM ({_COOKIES}) UNION ALL SELECT scan_id, 'low' FROM ({_MIXED}) UNION ALL {_FORMS}) UNION ALL
+  SELECT scan_id, 'exposure', {_PTS} FROM ({_SECRET})
+), rk AS (SELECT scan_id, bucket, w * pow(0.6, row_number() OVER (PARTITION BY scan_id, bucket ORDER BY w DESC) - 1) AS part FROM w),
+sc AS (SELECT scan_id, bucket, CAST(count(*) AS BIGINT) AS findings, CAST(least(round_even(round(sum(part), 9), 0), CASE bucket WHEN 'scam' THEN 55 WHEN 'posture' THEN 25 ELSE 40 END) AS INTEGER) AS score FROM rk GROUP BY scan_id, bucket)"""
+
+
+@on_captures(f"{_WEIGHTS} SELECT * FROM sc")
+def risk_buckets(caps):
+    return R.bucket_scores(weights_of(caps).where("bucket != 'cve'"))
+
+
+@on_captures(f"{_WEIGHTS}, tot AS (SELECT cap.scan_id, CAST(least(100, coalesce(sum(score), 0)) AS INTEGER) AS score FROM cap LEFT JOIN sc ON sc.scan_id = cap.scan_id GROUP BY cap.scan_id) SELECT scan_id, score, CASE WHEN score >= 80 THEN 'Critical' WHEN score >= 55 THEN 'High' WHEN score >= 30 THEN 'Medium' WHEN score >= 10 THEN 'Low' ELSE 'Clean' END AS level FROM tot")
+def risk_verdict_pages(caps):
+    return R.verdicts(caps, R.bucket_scores(weights_of(caps).where("bucket != 'cve'"))).select("scan_id", "score", "level")
+
+
+@on_captures()
+def risk_verdict(caps):
+    return verdicts_of(caps)
+
+
+# ---- history and reports
+
+
+def scans_of(caps: DataFrame) -> DataFrame:
+    """A row of the case store for each capture; four ids in turn count as scans of one target."""
+    hits = H.lexicon(caps).unionByName(H.regex_tokens(caps)).unionByName(H.obfuscation(caps))
+    cats = hits.groupBy("scan_id").agg(F.array_sort(F.collect_set("category")).alias("cats"), F.sum("weight").cast("int").alias("points"))
+    leaks = P.secrets(caps).groupBy("scan_id").agg(F.array_sort(F.collect_set("label")).alias("leaks"))
+    none = F.array().cast("array<string>")
+    out = caps.select("scan_id", F.sha2("html", 256).alias("dom_sha256")).join(cats, "scan_id", "left").join(leaks, "scan_id", "left")
+    score = F.least(F.lit(100), F.coalesce("points", F.lit(0)))
+    return out.select(F.col("scan_id").alias("id"), F.concat(F.lit("target "), F.floor(F.col("scan_id") / 4)).alias("target_url"), R.band(score).alias("risk_level"), score.alias("risk_score"), none.alias("exposed"), none.alias("cves"), F.coalesce("cats", none).alias("scam_categories"), F.coalesce("leaks", none).alias("secrets"), "dom_sha256")
+
+
+_SCANS = f"""hh AS (SELECT scan_id, category, weight FROM ({_LEX_SQL}) UNION ALL SELECT scan_id, category, weight FROM ({_RX}) UNION ALL SELECT scan_id, 'obfuscation', 7 FROM ({_OBF})),
+ca AS (SELECT scan_id, list_sort(list_distinct(list(category))) AS cats, sum(weight) AS points FROM hh GROUP BY scan_id), le AS (SELECT scan_id, list_sort(list_distinct(list(label))) AS leaks FROM ({_SECRET}) GROUP BY scan_id),
+sn AS (SELECT cap.scan_id AS id, 'target ' || (cap.scan_id // 4) AS target_url, CAST(least(100, coalesce(points, 0)) AS INTEGER) AS score, coalesce(cats, CAST([] AS VARCHAR[])) AS cats, coalesce(leaks, CAST([] AS VARCHAR[])) AS leaks, sha256(html) AS dom FROM cap LEFT JOIN ca ON ca.scan_id = cap.scan_id LEFT JOIN le ON le.scan_id = cap.scan_id),
+sl AS (SELECT *, CASE WHEN score >= 80 THEN 'Critical' WHEN score >= 55 THEN 'High' WHEN score >= 30 THEN 'Medium' WHEN score >= 10 THEN 'Low' ELSE 'Clean' END AS level FROM sn)"""
+
+
+@on_captures(f", {_SCANS} SELECT id, target_url, level AS risk_level, score AS risk_score, array_to_string(cats, ',') AS scam_categories, array_to_string(leaks, ',') AS secrets, dom AS dom_sha256 FROM sl")
+def scan_fingerprint(caps):
+    return scans_of(caps).select("id", "target_url", "risk_level", "risk_score", F.concat_ws(",", "scam_categories").alias("scam_categories"), F.concat_ws(",", "secrets").alias("secrets"), "dom_sha256")
+
+
+_LINE = lambda verb, label, a, b: f"CASE WHEN len([x for x in {a} if NOT list_contains({b}, x)]) > 0 THEN '{verb} {label}(s): ' || left(array_to_string([x for x in {a} if NOT list_contains({b}, x)], ', '), 200) || '.' END"
+
+
+@on_captures(
+    f""", {_SCANS}, lg AS (SELECT *, lag(level) OVER o AS l0, lag(score) OVER o AS s0, lag(cats) OVER o AS c0, lag(leaks) OVER o AS k0, lag(dom) OVER o AS d0 FROM sl WINDOW o AS (PARTITION BY target_url ORDER BY id)),
+ln AS (SELECT id, target_url, l0, concat_ws(chr(10), CASE WHEN l0 <> level THEN 'Risk changed: ' || l0 || ' -> ' || level || ' (score ' || s0 || ' -> ' || score || ').' END, {_LINE("New", "scam signal", "cats", "c0")}, {_LINE("Resolved", "scam signal", "c0", "cats")}, {_LINE("New", "leaked secret", "leaks", "k0")}, {_LINE("Resolved", "leaked secret", "k0", "leaks")}, CASE WHEN d0 <> dom THEN 'Page content changed since the previous scan.' END) AS c FROM lg)
+SELECT id, target_url, CASE WHEN l0 IS NULL THEN 'First recorded scan of this target — no baseline to compare.' WHEN c = '' THEN 'No material change since the previous scan.' ELSE c END AS changes FROM ln"""
+)
+def scan_diff(caps):
+    return D.diffs(scans_of(caps))
+
+
+@on_captures(f", {_SCANS} SELECT target_url, max(id) AS id, arg_max(level, id) AS risk_level FROM sl GROUP BY target_url")
+def latest_scan(caps):
+    return D.latest(scans_of(caps))
+
+
+@on_captures(f", {_SCANS} SELECT id, level AS risk_level, score AS risk_score FROM sl WHERE target_url = 'target 3'")
+def scan_history(caps):
+    return D.history(scans_of(caps), "target 3")
+
+
+@on_captures()
+def report_json(caps):
+    """One JSON document for each scan."""
+    v = verdicts_of(caps)
+    hits = H.all_heuristics(caps).groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("rank"), "emit_ord", "rule_id", "category", "evidence", "severity", "weight"))).alias("h"))
+    df = caps.select("scan_id", "url").join(v, "scan_id").join(hits, "scan_id", "left")
+    said = F.transform("h", lambda x: x.dropFields("rank", "emit_ord"))
+    return df.select("scan_id", F.to_json(F.struct(F.col("url").alias("target_url"), F.lit(V.KNOWLEDGE_VERSION).alias("knowledge_version"), F.struct("score", "level", "contributions").alias("risk"), said.alias("heuristics"))).alias("report"))
+
+
+@on_captures("SELECT scan_id, 'Abuse report for ' || url || chr(10) || 'Host: ' || host AS abuse_text FROM cap")
+def abuse_text(caps):
+    return caps.select("scan_id", F.concat_ws("\n", F.concat(F.lit("Abuse report for "), "url"), F.concat(F.lit("Host: "), urls.host_of(F.col("url")))).alias("abuse_text"))
+
+
+@query("SELECT page_id || '.html' AS name, sha256(html) AS sha256 FROM pages")
+def evidence_manifest(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat("page_id", F.lit(".html")).alias("name"), F.sha2("html", 256).alias("sha256")).orderBy("name")
