@@ -41,7 +41,7 @@ CELLS = 4096
 ROUNDS = 2
 RATE = 0.3
 _BATCH = 8192
-_PIECE = 6 << 20
+_PIECE, _SLICE = 6 << 20, 1_900_000
 _BLOCKS = 16
 
 
@@ -76,13 +76,18 @@ def _encode(buckets: int):
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo, hi in row_slices(batch.column(1), _PIECE):
-                docs = Words([d.lower() for d in as_bytes(batch.column(1).slice(lo, hi - lo))])
+                text = batch.column(1).slice(lo, hi - lo)
+                hashed, sizes = [], []
+                for a, b in row_slices(text, _SLICE):  # hashing takes many bytes a byte of text
+                    docs = Words([d.lower() for d in as_bytes(text.slice(a, b - a))])
+                    hashed.append(np.insert(docs.hashes() if len(docs) else np.empty(0, np.uint64), docs.offsets[1:], END))
+                    sizes.append(np.diff(docs.offsets) + 1)
+                    del docs
+                tokens, n = np.concatenate(hashed), np.concatenate(sizes)
                 raw = batch.column(0).slice(lo, hi - lo)
                 ids = raw.to_pylist()
                 cluster = np.array([zlib.crc32((x or "").encode()) % CLUSTERS for x in batch.column(2).slice(lo, hi - lo).to_pylist()])
                 held = np.array([held_out(i) for i in ids])
-                tokens = np.insert(docs.hashes() if len(docs) else np.empty(0, np.uint64), docs.offsets[1:], END)
-                n = np.diff(docs.offsets) + 1
                 words, place = np.unique(tokens, return_inverse=True)
                 used = ~np.repeat(held, n)
                 count = np.bincount(place[used], minlength=len(words)).astype(np.uint32)
