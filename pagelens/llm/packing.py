@@ -32,8 +32,8 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_DOCS = 2048
 SEED = 17
-_KEPT_IDS = 3_000_000
-_PIECE = 6 << 20
+_KEPT_IDS = 2_000_000
+_PIECE = 1_900_000
 
 
 def vocabulary_path() -> str:
