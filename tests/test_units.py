@@ -1,0 +1,93 @@
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from pagelens.functions import urls
+from pagelens.operators import heuristics as H
+from pagelens.operators import landed as N
+from pagelens.plans import history, risk
+from pagelens.sources.rules import validated
+
+
+def one(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+@pytest.mark.parametrize(
+    "url,host",
+    [("https://bank.com@evil.test/login", "evil.test"), ("HTTP://A_b.Example.com:80/x", "a_b.example.com"), ("bare.test", "bare.test"), ("", ""), (None, ""), ("http://[::1]:8/x", "::1"), ("https://x.test#f", "x.test")],
+)
+def test_host(spark, url, host):
+    assert one(spark, urls.host_of(F.lit(url).cast("string"))) == host
+
+
+@pytest.mark.parametrize("host,want", [("www.shop.scam.com.ph", "scam.com.ph"), ("a.b.example.com", "example.com"), ("10.0.0.1", "10.0.0.1"), ("x", "x")])
+def test_registrable(spark, host, want):
+    assert one(spark, urls.registrable(F.lit(host))) == want
+
+
+def test_scores(spark):
+    """Decayed sums, half to even, capped; a band at its threshold; many weak findings stay low."""
+    rows = [(1, "scam", w) for w in (16, 14, 14, 14)] + [(1, "misconfig", 35)] + [(2, "scam", 4)] * 30 + [(3, "scam", 4)]
+    scores = risk.bucket_scores(spark.createDataFrame(rows, "scan_id bigint, bucket string, weight int"))
+    got = {r.scan_id: (r.score, r.level) for r in risk.verdicts(spark.range(1, 5).withColumnRenamed("id", "scan_id"), scores).collect()}
+    assert got == {1: (67, "High"), 2: (10, "Low"), 3: (4, "Clean"), 4: (0, "Clean")}
+
+
+def test_forms_and_inputs(spark):
+    html = "<form action='http://evil.test/c.php'><INPUT type=Password name=mpin><p><input name='otp'></form>"
+    caps = spark.createDataFrame([(1, "https://x.test/", html), (2, "https://x.test/", None)], "scan_id bigint, url string, html string")
+    got = {r.evidence: r.weight for r in H.credentials(H.parsed_tags(caps)).collect()}
+    assert got == {"password": 12, "mpin": 14, "otp": 14}
+
+
+def test_brand_needs_word_boundary(spark):
+    caps = spark.createDataFrame([(1, "https://b.example/", "the mayabird flew"), (2, "https://promo.example/", "send to Maya now")], "scan_id bigint, url string, html string")
+    assert [r.scan_id for r in H.brand(caps, spark.range(0).select(F.col("id").alias("scan_id"))).collect()] == [2]
+
+
+def test_history(spark):
+    rows = [(1, "t", "Low", 10, ["/a"], [], ["x"], [], "d"), (2, "t", "Low", 10, ["/a", "/.git/config"], [], ["x"], [], "d"), (3, "t", "Low", 10, ["/a", "/.git/config"], [], ["x"], [], "d")]
+    df = spark.createDataFrame(rows, "id bigint, target_url string, risk_level string, risk_score int, exposed array<string>, cves array<string>, scam_categories array<string>, secrets array<string>, dom_sha256 string")
+    got = [r.changes for r in history.diffs(df).orderBy("id").collect()]
+    assert got[0].startswith("First recorded") and got[1] == "New exposed path(s): /.git/config." and got[2].startswith("No material change")
+
+
+def test_registration_json(spark):
+    rows = __import__("pagelens.queries", fromlist=["_RDAP"])._RDAP
+    got = {r.domain: r for r in N.domain_registrations(spark.createDataFrame(rows, "key string, body string")).collect()}
+    assert (got["scam.test"].registrar, got["scam.test"].abuse_email, got["scam.test"].nameservers) == ("Reg Inc", "abuse@reg.test", "ns1.x.test,ns2.x.test")
+    assert got["bad.test"].registrar is None
+
+
+def test_hash_distance(spark):
+    df = spark.createDataFrame([(1, list(range(72))), (2, list(range(72, 0, -1)))], "id int, pixels array<int>")
+    a, b = [r[0] for r in df.select(N.difference_hash("pixels")).collect()]
+    assert bin((a ^ b) & (1 << 64) - 1).count("1") == 64
+
+
+@pytest.mark.parametrize("entry,says", [({"id": "a", "odd": 1}, "unknown field"), ({"id": " "}, "blank id"), ({"id": "a", "confidence": 2.0}, "confidence"), ({"id": "a", "severity": "dire"}, "severity")])
+def test_rules_are_validated(entry, says):
+    with pytest.raises(ValueError, match=says):
+        validated("f.json", [entry], {"severity": str})
+
+
+def test_rules_disabled_and_repeated():
+    assert [r["id"] for r in validated("f.json", [{"id": "on"}, {"id": "off", "enabled": False}], {})] == ["on"]
+    with pytest.raises(ValueError, match="duplicate"):
+        validated("f.json", [{"id": "a"}, {"id": "a"}], {})
+
+
+def test_stream(spark, sf_dir, tmp_path):
+    from pagelens.sources.captures import captures
+    from pagelens.streaming.detect import score_stream
+
+    caps = captures(spark, sf_dir).where("scan_id < 5")
+    caps.write.parquet(str(tmp_path / "in"))
+    query = score_stream(spark, spark.readStream.schema(caps.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_entry():
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
