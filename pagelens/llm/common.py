@@ -21,11 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/pagelens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
+
+    batch_rows: at most so many rows in an Arrow batch meanwhile, for rows that hold texts."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path = f"{shared_dir(spark)}/pagelens-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(key)
+    try:
+        if batch_rows:
+            spark.conf.set(key, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def input_bytes(df: DataFrame) -> int:

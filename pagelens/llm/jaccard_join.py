@@ -34,12 +34,15 @@ from .words import Words, as_bytes, combine, mix, row_slices
 
 WORDS, PERCENT = 5, 80
 LONG_LIST = 16
-FINE = 64
 #: So many rows of two integers may be broadcast.
 NARROW_ROWS = 200_000
 _PIECE = 1_900_000
 _ROWS = np.dtype([("doc", "<i8"), ("n", "<u4"), ("whole", "<u8")])
 _POSTS = np.dtype([("token", "<u8"), ("row", "<u4"), ("at", "<u4")])
+_BITS = ("f0", "f1", "f2", "f3")
+_PARTS = "key bigint, a bigint, c bigint, n bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
+#: Rows with texts in an Arrow batch.
+TEXT_ROWS = 1000
 _FOUND = "kind int, a bigint, b bigint, token bigint, n bigint, at bigint"
 
 
@@ -238,8 +241,8 @@ def _lists(percent: int, long_list: int):
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
+            for lo, hi in row_slices(batch.column(2), _PIECE // 3):  # the other text is about as long
+                part = batch.slice(lo, hi - lo)
                 # a text that many pairs share is laid out once
                 place: dict[bytes, int] = {}
                 sides = [[place.setdefault(t, len(place)) for t in as_bytes(part.column(c))] for c in (2, 3)]
@@ -262,7 +265,8 @@ def _confirm(k: int, percent: int):
 def _parts(k: int, percent: int):
     """Keys that any two linked sets share: all shingles are dealt to more parts than two linked sets can differ in, so
     at least one part has the same shingles of both. The number of parts goes by classes of size; a set has keys for its
-    own class and the next, where larger partners are. fine: FINE parts of each set, of which linked sets differ in few."""
+    own class and the next, where larger partners are. f0 to f3: whether
+    each of 256 finer parts has an odd number of shingles, which differs in no more places than the sets do."""
 
     def classes(n: int) -> Iterator[tuple[int, int]]:
         c, most = 0, 1
@@ -292,15 +296,15 @@ def _parts(k: int, percent: int):
                     if not len(own):
                         continue
                     spot = mix(own)
-                    few = summed(own, (spot >> np.uint64(58)).astype(np.int64), FINE).astype(np.uint32).view(np.int32).tolist()
+                    odd = np.packbits(np.bincount((spot >> np.uint64(56)).astype(np.int64), minlength=256) & 1 == 1).view(np.int64)
                     for c, m in classes(len(own)):
                         sums = summed(own, (spot % np.uint64(m)).astype(np.int64), m)
                         keys.append(mix(sums + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c << 48)).view(np.int64))
                         owner += [lo + d] * m
                         n += [len(own)] * m
-                        fine += [few] * m
-                at = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n, pa.int64()), pa.array(fine, pa.list_(pa.int32()))], ["key", "a", "c", "n", "fine"])
+                        fine.append(np.repeat(odd[None, :], m, axis=0))
+                at, bits = pa.array(owner, pa.int64()), np.concatenate(fine) if fine else np.empty((0, 4), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n, pa.int64()), *(pa.array(bits[:, i]) for i in range(4))], ["key", "a", "c", "n", *_BITS])
 
     return run
 
@@ -319,11 +323,11 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, lon
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(shingle_levels(docs, k))
     buckets = buckets_for(docs)
-    index = materialize(docs.mapInArrow(_index(k, percent, buckets, levels), "kind int, a bigint, n bigint, bucket int, entries binary"), "index")
+    index = materialize(docs.mapInArrow(_index(k, percent, buckets, levels), "kind int, a bigint, n bigint, bucket int, entries binary"), "index", TEXT_ROWS)
     found = materialize(index.where("kind = 2").select("bucket", "entries").groupBy("bucket").applyInArrow(_lists(percent, long_list), _FOUND), "lists")
     equal = index.where("kind = 1").select("a", F.col("n").alias("b")).union(found.where("kind = 1").select("a", "b"))
     pairs = found.where("kind = 3").select("a", "b").distinct()
-    links = materialize(confirmed(pairs, docs, k, percent).union(equal.distinct()), "links")
+    links = materialize(confirmed(pairs, docs, k, percent).union(equal.distinct()), "links", TEXT_ROWS)
     groups = components(links)
     spread = found.where("kind = 4").select("a", "token")
     if not spread.isEmpty():
@@ -332,17 +336,17 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, lon
         mixed = placed.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("token")
         rest = materialize(placed.join(mixed, "token").select("a", "c").distinct(), "rest")
         texts = docs.where("doc_id is not null and text is not null").join(small_or_plain(rest, NARROW_ROWS), docs["doc_id"] == rest["a"]).select("a", "c", "text")
-        parts = materialize(texts.mapInArrow(_parts(k, percent), "key bigint, a bigint, c bigint, n bigint, fine array<int>"), "parts")
+        parts = materialize(texts.mapInArrow(_parts(k, percent), _PARTS), "parts", TEXT_ROWS)
         shared = parts.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("key")
         left = parts.join(shared, "key")
-        right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("a", "c", "n", "fine")))
+        right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("a", "c", "n", *_BITS)))
         near = (F.col("c") != F.col("c2")) & (F.col("a") < F.col("a2")) & (percent * F.greatest("n", "n2") <= 100 * F.least("n", "n2"))
-        differ = F.size(F.filter(F.arrays_zip("fine", "fine2"), lambda x: x["fine"] != x["fine2"]))
+        differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in _BITS[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("f02"))))
         near &= differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
         across = left.join(right, "key").where(near).select("a", F.col("a2").alias("b")).distinct()
         across = materialize(across.join(pairs, ["a", "b"], "left_anti"), "across")
         if not across.isEmpty():
-            more = materialize(confirmed(across, docs, k, percent), "more")
+            more = materialize(confirmed(across, docs, k, percent), "more", TEXT_ROWS)
             if not more.isEmpty():
                 groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     out = index.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
