@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -53,3 +54,9 @@ def buckets_for(df: DataFrame, each: int = 4 << 20, least: int = 64) -> int:
 def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcasting if it has few rows (checked by counting), else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def give_back() -> None:
+    """Returns this Python worker's freed memory to the system, since the worker waits for tasks of any stage. Needs glibc."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .words import Words, row_slices
 
 CAPACITY = 4096
@@ -137,6 +138,8 @@ def _pieces(path: str, capacity: int):
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist())]
                 doc = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([doc, *(pa.array(x, pa.int64()) for x in (start, length, crc, total[row]))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        tokens.forget()
+        give_back()
 
     return run
 
