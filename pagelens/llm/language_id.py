@@ -35,7 +35,7 @@ DECLARED_RIGHT = 0.95
 PULL = 20.0
 LEAST = 0.5
 _BITS = 14
-_PIECE = 2 << 20
+_PIECE = 1 << 19
 _MARKUP = re.compile(rb"""<(?:html|body|meta)\b[^>]{0,300}?\b(?:xml:)?(?:lang|content-language)["']?\s*(?:=|content=)\s*["']?([a-zA-Z]{2,3})\b""", re.I)
 _LETTER = np.array([chr(c).isalpha() if c < 128 else True for c in range(256)])
 
