@@ -27,7 +27,7 @@ def _powers(n: int) -> list[np.ndarray]:
             while len(out) < size:
                 out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
             made.append(out)
-        if size > 1 << 23:  # a very long text: not kept
+        if size > 1 << 21:  # a very long text: not kept
             return made
         _tables = made
     return _tables
