@@ -309,6 +309,52 @@ def _parts(k: int, percent: int):
     return run
 
 
+def _sketches(k: int):
+    """Of each set, whether each of its parts has an odd number of shingles; a power of two of them, at least as many as
+    shingles. Sketches differ in no more places than the sets do, also when the longer one's halves are laid together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in row_slices(batch.column(1), _PIECE):
+                row, key = shingles(as_bytes(batch.column(1).slice(lo, hi - lo)), k)
+                order = np.lexsort((key, row))
+                row, key = row[order], key[order]
+                new = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))[: len(row)]
+                cut = np.searchsorted(row[new], np.arange(hi - lo + 1))
+                spot, n, made = mix(key[new]), np.diff(cut), []
+                for i, j in zip(cut[:-1], cut[1:]):
+                    places = 1 << max(6, int(j - i - 1).bit_length())
+                    odd = np.bincount((spot[i:j] & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+                    made.append(np.packbits(odd == 1).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(made, pa.binary())], ["id", "n", "sketch"])
+
+    return run
+
+
+def _near_sketches(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for n1, n2, s1, s2 in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5))):
+                x, y = np.frombuffer(s1, np.uint8), np.frombuffer(s2, np.uint8)
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                ok.append(int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (n1 + n2) * (100 - percent))
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def possible(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """pairs (a, b) without those whose sketches show that they can't link, so that few pairs need their texts."""
+    made = materialize(docs.mapInArrow(_sketches(k), "id bigint, n bigint, sketch binary"), "sketches", TEXT_ROWS)
+    one, two = (made.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    both = pairs.join(two, "b").join(one, "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    return materialize(both.mapInArrow(_near_sketches(percent), "a bigint, b bigint").distinct(), "possible", TEXT_ROWS)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose texts link. A document with many partners is split by AQE's skew join."""
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
@@ -346,6 +392,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, lon
         across = left.join(right, "key").where(near).select("a", F.col("a2").alias("b")).distinct()
         across = materialize(across.join(pairs, ["a", "b"], "left_anti"), "across")
         if not across.isEmpty():
+            across = possible(across, texts.select("a", "text"), k, percent)
             more = materialize(confirmed(across, docs, k, percent), "more", TEXT_ROWS)
             if not more.isEmpty():
                 groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
