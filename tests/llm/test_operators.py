@@ -309,3 +309,21 @@ def test_pipeline(spark, sf_dir):
         assert at.columns == docs.columns and at.count() > 0
     packed = corpus_pipeline.STAGES[-1][1](spark, at, sf_dir)
     assert packed.agg(F.sum("length")).first()[0] > at.agg(F.sum(mixing.word_count("text"))).first()[0]
+
+
+def test_sketches_keep_links():
+    rng = np.random.default_rng(5)
+    for size in (3, 70, 700):
+        words = [f"w{i}" for i in range(size)]
+        other = [f"x{i}" if rng.random() < 0.1 else w for i, w in enumerate(words)] + ["y"] * 40
+        far = [f"z{i}" for i in range(size)]
+        texts = [" ".join(w) for w in (words, other, far, words)]
+        made = next(iter(jaccard_join._sketches(1)([pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], ["a", "text"])]))).to_pydict()
+        pairs = [(a, b) for a in range(4) for b in range(a)]
+        cols = [[made[c][p[s]] for p in pairs] for c in ("n", "sketch") for s in (0, 1)]
+        batch = pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]), *map(pa.array, cols)], ["a", "b", "n_a", "n_b", "sketch_a", "sketch_b"])
+        kept = next(iter(jaccard_join._near_sketches(80)([batch]))).to_pydict()
+        kept = set(zip(kept["a"], kept["b"]))
+        sets = [set(t.split()) for t in texts]
+        assert {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])} <= kept
+        assert size < 10 or (2, 0) not in kept
