@@ -2,8 +2,9 @@
 
 posterior(l) ~ text(l) * declared(l) * prior(l | host)
 
-text: hashed byte-trigram likelihood, trained on a bounded sample of labelled rows (SAMPLE_ROWS), its weight limited to
-EVIDENCE trigrams, since neighbouring trigrams repeat each other. declared: the language that markup in the text
+text: hashed byte-trigram likelihood, trained on a sample of about SAMPLE_ROWS labelled rows in equal shares for each
+language, LEAST_ROWS of it or all it has at least, its weight limited to EVIDENCE trigrams, since neighbouring trigrams
+repeat each other. declared: the language that markup in the text
 declares, right with probability DECLARED_RIGHT. prior: shares of languages among a host's documents, smoothed towards
 those of its address suffix, and these towards all documents'; the counts are sums of posteriors without a prior over all
 documents, by grouped aggregation. documents have a source for a host; without a dot it has no suffix.
@@ -15,6 +16,7 @@ documents with letters are kept with language null; repeated rows are judged ali
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,6 +31,7 @@ from .common import materialize, small_or_plain
 from .words import as_bytes, row_slices
 
 SAMPLE_ROWS = 20_000
+LEAST_ROWS = 64
 MOST_LANGUAGES = 256
 EVIDENCE = 50
 DECLARED_RIGHT = 0.95
@@ -66,12 +69,31 @@ def _sum(table: pa.Table) -> pa.Table:
     return pa.table({"lang": table.column("lang")[:1], "cells": pa.array([total.tobytes()], pa.binary()), "n": pa.array([int(total.sum())])})
 
 
+def _quota(counts: list[int], rows: int) -> float:
+    """Rows of each language so that all together are rows, those that have fewer giving what they have."""
+    left = float(rows)
+    for i, n in enumerate(sorted(counts)):
+        if n * (len(counts) - i) > left:
+            return max(left / (len(counts) - i), LEAST_ROWS)
+        left -= n
+    return math.inf
+
+
+def sampled(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(lang, text) of about that many of labelled (doc_id, text, lang); the row of least hash of each language is one."""
+    known = labelled.where("lang is not null and text is not null").select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).alias("spot"))
+    per = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("spot").alias("least")).collect()
+    quota = _quota([r["n"] for r in per], rows)
+    if quota == math.inf:
+        return known.select("lang", "text")
+    cuts = [(r["lang"], max(r["least"], int(min(1.0, quota / r["n"]) * (1 << 53)))) for r in per]
+    cuts = small_or_plain(labelled.sparkSession.createDataFrame(cuts, "lang string, cut bigint"))
+    return known.join(cuts, "lang").where("spot <= cut").select("lang", "text")
+
+
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood table) from a sample of about that many of labelled (doc_id, text, lang)."""
-    known = labelled.where("lang is not null and text is not null").select("lang", "text", "doc_id")
-    share = min(1.0, rows / max(1, labelled.count()))
-    sample = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) < int(share * (1 << 53))) if share < 1 else known
-    counted = sample.select("lang", "text").mapInArrow(_count, "lang string, cells binary").groupBy("lang").applyInArrow(_sum, "lang string, cells binary, n bigint")
+    counted = sampled(labelled, rows).mapInArrow(_count, "lang string, cells binary").groupBy("lang").applyInArrow(_sum, "lang string, cells binary, n bigint")
     got = sorted(counted.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect(), key=lambda r: r["lang"])
     table = np.zeros((1 << _BITS, len(got)))
     for i, r in enumerate(got):

@@ -168,6 +168,17 @@ def test_language(spark, sf_dir, docs, empty):
     assert language_id.accepted(unlabelled).count() == kept.count()
 
 
+def test_language_sample(spark):
+    """The sample doesn't depend on how many rows have no label, and rare labels and rows without an id are in it by right."""
+    schema = "doc_id bigint, text string, lang string"
+    rows = [(i, f"text {i} of it", "en" if i % 2 else "de") for i in range(40)] + [(i, f"other {i}", None) for i in range(40, 6000)]
+    few = spark.createDataFrame(rows, schema)
+    assert language_id.train(few, 50)[0] == ["de", "en"] and language_id.sampled(few, 50).count() == 40
+    rows = [(i, f"text {i}", "en") for i in range(5000)] + [(7, "rare text", "zz")] + [(None, f"no id {i}", "fr") for i in range(5000)] + [(8, "the same", "xx")] * 500
+    n = {r["lang"]: r["count"] for r in language_id.sampled(spark.createDataFrame(rows, schema), 500).groupBy("lang").count().collect()}
+    assert n["zz"] == 1 and n["xx"] in (1, 500) and 80 < n["en"] < 260 and 80 < n["fr"] < 260
+
+
 def test_url_filters(spark):
     html = '<a href="//bad.net/x">1</a><a href=https://a.org/>2</a>'
     urls = [(1, "http://A.com/x?q", html), (2, "https://www.example.com/en/1", ""), (3, "https://m.example.com/en/1", None), (4, "https://bad.net/es/1", ""), (5, "https://bad.net/fr/#", ""), (6, "https://bad.net/de/1", ""), (7, "https://linker.org/", '<a href="http://bad.net/">x</a>'), (8, None, html), (9, "no scheme", html), (10, "http://notcom/", ""), (10, "http://x.com", "")]
