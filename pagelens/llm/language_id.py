@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_or_plain
+from .common import BROADCAST_ROWS, materialize, small_or_plain
 from .words import as_bytes, row_slices
 
 SAMPLE_ROWS = 20_000
 LEAST_ROWS = 64
-MOST_LANGUAGES = 256
 EVIDENCE = 50
 DECLARED_RIGHT = 0.95
 PULL = 20.0
 LEAST = 0.5
 _BITS = 14
 _PIECE = 1 << 19
-_MARKUP = re.compile(rb"""<(?:html|body|meta)\b[^>]{0,300}?\b(?:xml:)?(?:lang|content-language)["']?\s*(?:=|content=)\s*["']?([a-zA-Z]{2,3})\b""", re.I)
+#: Cells of the score matrix of a piece, and languages that a task counts before it sends them on.
+_SCORES = 1 << 21
+_HELD = 256
+_TAG = re.compile(rb"<(?:html|body|meta)\b[^>]*", re.I)
+_MARKUP = re.compile(rb"""\b(?:xml:)?(?:lang|content-language)["']?\s*(?:=|content=)\s*["']?([a-zA-Z]{2,3})\b""", re.I)
 _LETTER = np.array([chr(c).isalpha() if c < 128 else True for c in range(256)])
 
 
@@ -54,19 +58,34 @@ def _grams(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ((code * np.uint32(2654435761)) >> np.uint32(32 - _BITS)).astype(np.int32), bounds, letters[bounds[1:]] - letters[bounds[:-1]]
 
 
+def _slices(texts: pa.Array, n: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose scores by n languages are few enough to be held."""
+    step = max(1, _SCORES // max(n, 1))
+    for lo, hi in row_slices(texts, _PIECE):
+        yield from ((i, min(i + step, hi)) for i in range(lo, hi, step))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells: dict[str, np.ndarray] = {}
+
+    def sent() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(cells), pa.string()), pa.array([c.astype("<i8").tobytes() for c in cells.values()], pa.binary())], ["lang", "cells"])
+        cells.clear()
+        return out
+
     for batch in batches:
         for lo, hi in row_slices(batch.column(1), _PIECE):
             gram, bounds, _ = _grams(as_bytes(batch.column(1).slice(lo, hi - lo)))
             for i, lang in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
                 cells[lang] = cells.get(lang, 0) + np.bincount(gram[bounds[i] : bounds[i + 1] - 2], minlength=1 << _BITS)
-    yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.string()), pa.array([c.astype("<i8").tobytes() for c in cells.values()], pa.binary())], ["lang", "cells"])
+                if len(cells) >= _HELD:
+                    yield sent()
+    yield sent()
 
 
 def _sum(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(b, "<i8") for b in table.column("cells").to_pylist())
-    return pa.table({"lang": table.column("lang")[:1], "cells": pa.array([total.tobytes()], pa.binary()), "n": pa.array([int(total.sum())])})
+    return pa.table({"lang": table.column("lang")[:1], "cells": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def _quota(counts: list[int], rows: int) -> float:
@@ -93,19 +112,21 @@ def sampled(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood table) from a sample of about that many of labelled (doc_id, text, lang)."""
-    counted = sampled(labelled, rows).mapInArrow(_count, "lang string, cells binary").groupBy("lang").applyInArrow(_sum, "lang string, cells binary, n bigint")
-    got = sorted(counted.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect(), key=lambda r: r["lang"])
+    counted = sampled(labelled, rows).mapInArrow(_count, "lang string, cells binary").groupBy("lang").applyInArrow(_sum, "lang string, cells binary")
+    got = sorted(counted.collect(), key=lambda r: r["lang"])
     table = np.zeros((1 << _BITS, len(got)))
     for i, r in enumerate(got):
-        c = np.frombuffer(r["cells"], "<i8") + 0.5
+        c = np.frombuffer(zlib.decompress(r["cells"]), "<i8") + 0.5
         table[:, i] = np.log(c / c.sum())
     return [r["lang"] for r in got], table
 
 
 def _declared(doc: bytes, place: dict[str, int]) -> int:
-    if b"<" not in doc or not (found := _MARKUP.search(doc)):
-        return -1
-    return place.get(found[1].decode().lower(), -1)
+    if b"<" in doc:
+        for tag in _TAG.finditer(doc):
+            if found := _MARKUP.search(doc, *tag.span()):
+                return place.get(found[1].decode().lower(), -1)
+    return -1
 
 
 def _evidence(docs: list[bytes], langs: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +156,7 @@ def _soft_counts(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = model.value
         for batch in batches:
-            for lo, hi in row_slices(batch.column(1), _PIECE):
+            for lo, hi in _slices(batch.column(1), len(langs)):
                 log, _, letters = _evidence(as_bytes(batch.column(1).slice(lo, hi - lo)), langs, table)
                 post = np.where(letters[:, None] > 0, _shares(log), 0.0)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * len(langs)), pa.array(post.ravel()))
@@ -144,14 +165,24 @@ def _soft_counts(model: Broadcast):
     return run
 
 
+def _few(n: int) -> int:
+    """Rows of n numbers that may be broadcast."""
+    return max(1, BROADCAST_ROWS * 256 // max(n, 256))
+
+
+def _summed(df: DataFrame, by: str) -> DataFrame:
+    """(by, post): the arrays post added up, for any number of languages."""
+    each = df.select(by, F.posexplode("post").alias("pos", "p")).groupBy(by, "pos").agg(F.sum("p").alias("s"))
+    return each.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("s")).select(by, F.col("s.s").alias("post"))
+
+
 def host_priors(docs: DataFrame, host: str, model: Broadcast) -> tuple[DataFrame, list[float]]:
     """((host, prior) smoothed over the address suffix and all documents, the prior of all)."""
     n = len(model.value[0])
     soft = docs.where("text is not null").select(F.col(host).alias("host"), "text").mapInArrow(_soft_counts(model), "host string, post array<double>")
-    sums = lambda: [F.sum(F.col("post")[i]).alias(f"p{i}") for i in range(n)]
-    per = materialize(soft.groupBy("host").agg(*sums()).select("host", F.array(*(f"p{i}" for i in range(n))).alias("post")), "hosts")
-    total = per.agg(*sums()).first()
-    every = [(total[i] or 0.0) + 1.0 for i in range(n)]
+    per = materialize(_summed(soft, "host"), "hosts")
+    total = {r["pos"]: r["s"] for r in per.select(F.posexplode("post").alias("pos", "p")).groupBy("pos").agg(F.sum("p").alias("s")).collect()}
+    every = [total.get(i, 0.0) + 1.0 for i in range(n)]
     every = [x / sum(every) for x in every]
 
     def pulled(counts: str, towards) -> F.Column:
@@ -160,9 +191,9 @@ def host_priors(docs: DataFrame, host: str, model: Broadcast) -> tuple[DataFrame
 
     suffix = F.when(F.instr("host", ".") > 0, F.lower(F.element_at(F.split("host", r"\."), -1))).otherwise("")
     per = per.where("host is not null").withColumn("suffix", suffix)
-    by = per.groupBy("suffix").agg(*sums()).select("suffix", F.array(*(f"p{i}" for i in range(n))).alias("of_suffix"))
-    both = per.join(small_or_plain(materialize(by, "suffixes")), "suffix")
-    return materialize(both.select("host", pulled("post", pulled("of_suffix", F.array(*map(F.lit, every)))).alias("prior")), "priors"), every
+    by = _summed(per, "suffix").withColumnRenamed("post", "of_suffix")
+    both = per.join(small_or_plain(materialize(by, "suffixes"), _few(n)), "suffix")
+    return materialize(both.select("host", pulled("post", pulled("of_suffix", F.split(F.lit(",".join(map(repr, every))), ",").cast("array<double>"))).alias("prior")), "priors"), every
 
 
 def _decide(names: list[str], model: Broadcast, every: list[float], least: float):
@@ -170,7 +201,7 @@ def _decide(names: list[str], model: Broadcast, every: list[float], least: float
         langs, table = model.value
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            for lo, hi in row_slices(text, _PIECE):
+            for lo, hi in _slices(text, len(langs)):
                 log, said, letters = _evidence(as_bytes(text.slice(lo, hi - lo)), langs, table)
                 part = batch.slice(lo, hi - lo)
                 lang, sure, ok = [None] * (hi - lo), [0.0] * (hi - lo), letters > 0
@@ -198,7 +229,7 @@ def identified(docs: DataFrame, host: str = "source", least: float = LEAST, keep
     every: list[float] = []
     if langs:
         priors, every = host_priors(docs, host, model)
-        priors = small_or_plain(priors.select(F.col("host").alias("_pl_host"), F.col("prior").alias("_pl_prior")))
+        priors = small_or_plain(priors.select(F.col("host").alias("_pl_host"), F.col("prior").alias("_pl_prior")), _few(len(langs)))
         docs = docs.join(priors, docs[host] == priors["_pl_host"], "left").drop("_pl_host")
     return docs.mapInArrow(_decide(kept, model, every, least), schema)
 

@@ -179,6 +179,18 @@ def test_language_sample(spark):
     assert n["zz"] == 1 and n["xx"] in (1, 500) and 80 < n["en"] < 260 and 80 < n["fr"] < 260
 
 
+def test_language_keeps_all_evidence(spark):
+    """A tag's declaration counts however long the tag is, and every label is a language of its own."""
+    place, long = {"de": 0}, b"x " * 500
+    assert language_id._declared(b'<html class="' + long + b'" lang="DE">', place) == 0
+    assert language_id._declared(b'<meta name="' + long + b'"><body xml:lang=de', place) == 0
+    assert language_id._declared(b"<html> lang=de <p lang=de>", place) == language_id._declared(b"<meta " * 50000, place) == -1
+    rnd = random.Random(6)
+    rows = [(i, "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=80)), f"l{i:03}", f"h{i % 3}.org") for i in range(300)]
+    got = language_id.identified(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert len(got) == 300 and all(r["lang"] == r["_pl_lang"] for r in got)
+
+
 def test_url_filters(spark):
     html = '<a href="//bad.net/x">1</a><a href=https://a.org/>2</a>'
     urls = [(1, "http://A.com/x?q", html), (2, "https://www.example.com/en/1", ""), (3, "https://m.example.com/en/1", None), (4, "https://bad.net/es/1", ""), (5, "https://bad.net/fr/#", ""), (6, "https://bad.net/de/1", ""), (7, "https://linker.org/", '<a href="http://bad.net/">x</a>'), (8, None, html), (9, "no scheme", html), (10, "http://notcom/", ""), (10, "http://x.com", "")]
