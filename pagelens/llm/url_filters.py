@@ -11,6 +11,8 @@ links; links of a host to itself don't count; rows that repeat a page_id are jud
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,6 @@ RULES = (
 )
 DAMPING = 0.85
 THRESHOLD = 0.5
-ROUNDS = 20
 TOLERANCE = 1e-4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>\\]+)"""
@@ -48,8 +49,11 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def propagate(starts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) of starts (host, trust0, distrust0) and distinct edges (src, dst, weight)."""
+def propagate(starts: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """(host, trust, distrust) of starts (host, trust0, distrust0) and distinct edges (src, dst, weight).
+
+    What moves in a round is at most damping times what moved before, all hosts together, so the rounds end: after the
+    logarithm of all starts over TOLERANCE at most."""
     edges = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("out")), "src").join(edges.groupBy("dst").agg(F.sum("weight").alias("in")), "dst")
     edges = materialize(edges.select("src", "dst", (F.col("weight") / F.col("out")).alias("down"), (F.col("weight") / F.col("in")).alias("up")), "edges")
     hosts = starts.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
@@ -58,7 +62,8 @@ def propagate(starts: DataFrame, edges: DataFrame, damping: float = DAMPING, rou
     now = base.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
     if edges.isEmpty():
         return now
-    for _ in range(rounds):
+    moved = math.inf
+    while moved >= TOLERANCE:
         gives = edges.join(now, edges["src"] == now["host"]).select(F.col("dst").alias("host"), (F.col("down") * F.col("trust")).alias("t"), F.lit(0.0).alias("d"))
         back = edges.join(now, edges["dst"] == now["host"]).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("up") * F.col("distrust")).alias("d"))
         came = gives.union(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
@@ -66,8 +71,6 @@ def propagate(starts: DataFrame, edges: DataFrame, damping: float = DAMPING, rou
         step, before = materialize(step, "ranks"), now
         now = step
         moved = step.join(before.toDF("host", "t", "d"), "host").agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("t")), F.abs(F.col("distrust") - F.col("d"))))).first()[0]
-        if (moved or 0.0) < TOLERANCE:
-            break
     return now
 
 

@@ -206,6 +206,18 @@ def test_url_filters(spark):
     assert url_filters.judged(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_url_filters_converge(spark):
+    """Two hosts that link only each other get all that comes round, and what is many links away counts."""
+    starts = spark.createDataFrame([("x", 0.0, 0.0), ("y", 0.0, 0.165)], "host string, trust0 double, distrust0 double")
+    edges = spark.createDataFrame([("x", "y", 1.0), ("y", "x", 1.0)], "src string, dst string, weight double")
+    got = {r.host: r.distrust for r in url_filters.propagate(starts, edges).collect()}
+    assert got["x"] == pytest.approx(0.165 * 0.85 / (1 - 0.85**2), abs=1e-3) and got["x"] > url_filters.THRESHOLD
+    starts = spark.createDataFrame([("h0", 1.0, 0.0)], "host string, trust0 double, distrust0 double")
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(24)], "src string, dst string, weight double")
+    got = {r.host: r.trust for r in url_filters.propagate(starts, edges).collect()}
+    assert all(got[f"h{i}"] == pytest.approx(0.85**i) for i in range(25))
+
+
 def test_topk(spark):
     rnd = random.Random(2)
     rows = [(i, [rnd.choice((-0.5, 0.0, 0.25, 0.75)) for _ in range(4)]) for i in range(230)]
