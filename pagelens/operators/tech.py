@@ -60,3 +60,14 @@ def known_vulnerabilities(prints: DataFrame) -> DataFrame:
     named = prints.where("version is not null and version != ''").select("scan_id", "emit_ord", F.concat_ws(" ", "product", "version").alias("matched_product"), F.explode(hit).alias("r"))
     first = F.row_number().over(Window.partitionBy("scan_id", "r.cve_id").orderBy("emit_ord", "r.at"))
     return named.withColumn("n", first).where("n = 1").select("scan_id", "r.cve_id", "r.kind", "r.severity", "r.score", "matched_product")
+
+
+def with_advisories(known: DataFrame, prints: DataFrame, records: DataFrame) -> DataFrame:
+    """known with the advisory records (product, ord, cve_id, severity, score) of products with versions; product is the
+    term that was looked up, the product's name and version. Of the same cve_id known ones stay, else the first."""
+    named = prints.where("version is not null and version != ''").select("scan_id", "emit_ord", F.concat_ws(" ", "product", "version").alias("matched_product"))
+    records = records.select(F.lower("product").alias("term"), "ord", "cve_id", "severity", "score")
+    found = named.join(records, F.lower("matched_product") == F.col("term"))
+    every = known.select("*", F.lit(-1).cast("bigint").alias("emit_ord"), F.lit(-1).alias("ord")).unionByName(found.select("scan_id", "cve_id", F.lit("cve").alias("kind"), "severity", "score", "matched_product", "emit_ord", "ord"))
+    first = F.row_number().over(Window.partitionBy("scan_id", "cve_id").orderBy("emit_ord", "ord"))
+    return every.withColumn("n", first).where("n = 1").select(*known.columns)

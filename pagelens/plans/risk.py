@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.fixed_values import BUCKET_CAPS, DECAY, RISK_BANDS, SEVERITY_POINTS
+from ..sources.fixed_values import BUCKET_CAPS, DECAY, DOMAIN_AGE_POINTS, RISK_BANDS, SEVERITY_POINTS
 
 BUCKETS = tuple(BUCKET_CAPS)
+#: Categories of findings that the summary counts as phishing and, with those that begin with scam_, as scam signals.
+_PHISHING = ("brand_impersonation", "credential_harvest")
+_SCAM = ("fake_gateway", "payment_qr", "wallet_address", "obfuscation", "url_anomaly", "offsite_contact", "suspicious_link", "malware_download")
+_YOUNG_DAYS = 30
 
 
 def points(severity: str) -> Column:
@@ -17,6 +21,11 @@ def points(severity: str) -> Column:
     return out
 
 
+def age_points(days: str) -> Column:
+    """Points of a domain's age in days; null for an age without points."""
+    return F.coalesce(*(F.when(F.col(days) <= most, n) for most, n in DOMAIN_AGE_POINTS))
+
+
 def bucket_scores(weights: DataFrame) -> DataFrame:
     """(scan_id, bucket, findings, score) of (scan_id, bucket, weight): each next weight counts DECAY times less.
 
@@ -42,3 +51,34 @@ def verdicts(scans: DataFrame, scores: DataFrame) -> DataFrame:
     out = scans.select("scan_id").join(each, "scan_id", "left")
     score = F.least(F.lit(100), F.coalesce("s", F.lit(0))).cast("int")
     return out.select("scan_id", score.alias("score"), band(score).alias("level"), F.concat_ws("; ", *BUCKETS).alias("contributions"))
+
+
+def summaries(evidence: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """verdicts with summary, what drives the level: evidence is (scan_id, bucket, note, value, weight), where note is a
+    finding's category, a vulnerability's kind, feed, visual or age, and value the age in days."""
+    many = lambda fits, name: F.count(F.when(fits, 1)).alias(name)
+    scam = F.col("bucket") == "scam"
+    counts = evidence.groupBy("scan_id").agg(
+        many(scam & F.col("note").isin(*_PHISHING), "phishing"),
+        many(scam & (F.startswith("note", F.lit("scam_")) | F.col("note").isin(*_SCAM)), "signals"),
+        many((F.col("bucket") == "cve") & (F.col("note") == "cve"), "real"),
+        *(many(F.col("bucket") == b, b) for b in ("cve", "misconfig", "exposure", "posture")),
+        many((F.col("bucket") == "intel") & (F.col("note") == "feed"), "feed"),
+        many((F.col("bucket") == "intel") & (F.col("note") == "visual"), "visual"),
+        F.min(F.when(F.col("note") == "age", F.col("value"))).alias("age"),
+    )
+    said = lambda name, text: F.when(F.col(name) > 0, text if isinstance(text, Column) else F.lit(text))
+    drivers = F.concat_ws(
+        "; ",
+        said("phishing", "active phishing / credential harvesting"),
+        said("signals", F.concat("signals", F.lit(" scam signal(s)"))),
+        said("cve", F.concat(F.when(F.col("real") > 0, F.col("real")).otherwise(F.col("cve")), F.lit(" known vuln(s)"))),
+        said("misconfig", F.concat("misconfig", F.lit(" exposed sensitive path(s)"))),
+        said("exposure", F.concat("exposure", F.lit(" leaked secret(s)"))),
+        said("feed", "listed on an external threat feed"),
+        said("visual", "visual brand impersonation"),
+        F.when(F.col("age") <= _YOUNG_DAYS, F.concat(F.lit("domain only "), "age", F.lit(" day(s) old"))),
+    )
+    drivers = F.when(drivers != "", drivers).when(F.col("posture") > 0, "weak security posture").otherwise("no notable findings")
+    out = verdicts.join(counts.select("scan_id", drivers.alias("drivers")), "scan_id", "left")
+    return out.select(*verdicts.columns, F.concat("level", F.lit(" risk - driven by "), F.coalesce("drivers", F.lit("no notable findings")), F.lit(".")).alias("summary"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import urls
@@ -427,16 +428,73 @@ def visual_matches(spark, sf_dir):
 _PTS = "CASE lower(severity) " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in V.SEVERITY_POINTS.items()) + " ELSE 1 END"
 
 
-def weights_of(caps: DataFrame) -> DataFrame:
-    tags = H.parsed_tags(caps)
-    hits = H.all_heuristics(caps).select("scan_id", F.lit("scam").alias("bucket"), "weight")
-    cves = T.known_vulnerabilities(T.fingerprints(caps, tags)).select("scan_id", F.lit("cve").alias("bucket"), R.points("severity").alias("weight"))
-    weak = P.all_findings(caps, tags).select("scan_id", F.when(F.col("category") == "sensitive_exposure", "exposure").otherwise("posture").alias("bucket"), R.points("severity").alias("weight"))
-    return hits.union(cves).union(weak)
+@dataclass(frozen=True)
+class Landed:
+    """What landed responses say, as the operators on them return it; None where nothing landed.
+
+    paths: misconfigurations; registrations: (domain, created), with the time now for their age; feeds: a table with host
+    for each feed; looks: visual matches, (scan_id, brand); records: advisories."""
+
+    paths: DataFrame | None = None
+    registrations: DataFrame | None = None
+    now: Column | None = None
+    feeds: tuple[DataFrame, ...] = ()
+    looks: DataFrame | None = None
+    records: DataFrame | None = None
 
 
-def verdicts_of(caps: DataFrame) -> DataFrame:
-    return R.verdicts(caps, R.bucket_scores(weights_of(caps)))
+def evidence_of(caps: DataFrame, landed: Landed = Landed()) -> DataFrame:
+    """(scan_id, bucket, note, value, weight) of all findings of captures and of what landed for them."""
+    tags = H.parsed_tags(caps)
+    none = F.lit(None).cast("int")
+
+    def rows(df: DataFrame, bucket, note, weight, value=none) -> DataFrame:
+        return df.select("scan_id", bucket.alias("bucket"), note.alias("note"), value.alias("value"), weight.cast("int").alias("weight"))
+
+    hits = rows(H.all_heuristics(caps), F.lit("scam"), F.col("category"), F.col("weight"))
+    prints = T.fingerprints(caps, tags)
+    known = T.known_vulnerabilities(prints)
+    if landed.records is not None:
+        known = T.with_advisories(known, prints, landed.records)
+    cves = rows(known, F.lit("cve"), F.col("kind"), R.points("severity"))
+    weak = rows(P.all_findings(caps, tags), F.when(F.col("category") == "sensitive_exposure", "exposure").otherwise("posture"), F.col("category"), R.points("severity"))
+    out = hits.union(cves).union(weak)
+    host = urls.host_of(F.col("url"))
+    if landed.paths is not None:
+        out = out.union(rows(landed.paths.where("exposed").join(caps.select("scan_id").distinct(), "scan_id", "left_semi"), F.lit("misconfig"), F.col("category"), R.points("severity")))
+    if landed.registrations is not None:
+        made = landed.registrations.groupBy("domain").agg(F.min(N.age_days("created", landed.now)).alias("age"))
+        aged = caps.select("scan_id", urls.registrable(host).alias("domain")).join(made, "domain").withColumn("points", R.age_points("age")).where("points is not null")
+        out = out.union(rows(aged, F.lit("intel"), F.lit("age"), F.col("points"), F.col("age")))
+    for feed in landed.feeds:
+        listed = caps.select("scan_id", host.alias("host")).join(feed.select("host").distinct(), "host")
+        out = out.union(rows(listed, F.lit("intel"), F.lit("feed"), F.lit(V.FEED_POINTS)))
+    if landed.looks is not None:
+        out = out.union(rows(landed.looks.join(caps.select("scan_id").distinct(), "scan_id", "left_semi"), F.lit("intel"), F.lit("visual"), F.lit(V.VISUAL_POINTS)))
+    return out
+
+
+def weights_of(caps: DataFrame, landed: Landed = Landed()) -> DataFrame:
+    return evidence_of(caps, landed).select("scan_id", "bucket", "weight")
+
+
+def verdicts_of(caps: DataFrame, landed: Landed = Landed()) -> DataFrame:
+    """(scan_id, score, level, contributions, summary) over all six buckets."""
+    found = evidence_of(caps, landed)
+    return R.summaries(found, R.verdicts(caps, R.bucket_scores(found.select("scan_id", "bucket", "weight"))))
+
+
+def landed_of(spark: SparkSession, sf_dir: str) -> Landed:
+    """The synthetic responses that the queries above take; the screenshot with a page's id is the page's."""
+    raw = lambda rows, key="key": spark.createDataFrame(rows, f"{key} string, body string")
+    return Landed(
+        paths=N.misconfigurations(probes(spark, sf_dir)),
+        registrations=N.domain_registrations(raw(_RDAP)),
+        now=F.lit("2026-06-26 00:00:00").cast("timestamp"),
+        feeds=(N.feed_hits(raw(_FEED)), N.safe_browsing(raw(_SB))),
+        looks=visual_matches(spark, sf_dir).withColumnRenamed("id", "scan_id"),
+        records=N.advisories(raw(_NVD, "product")),
+    )
 
 
 _FORMS = f"""SELECT scan_id, 'high' AS severity FROM cap WHERE bucket = 6 UNION ALL SELECT scan_id, 'low' FROM cap WHERE bucket = 6"""
@@ -459,9 +517,15 @@ def risk_verdict_pages(caps):
     return R.verdicts(caps, R.bucket_scores(weights_of(caps).where("bucket != 'cve'"))).select("scan_id", "score", "level")
 
 
-@on_captures()
-def risk_verdict(caps):
-    return verdicts_of(caps)
+@query()
+def risk_verdict(spark, sf_dir):
+    return verdicts_of(captures(spark, sf_dir), landed_of(spark, sf_dir))
+
+
+@query()
+def risk_buckets_all(spark, sf_dir):
+    """risk_buckets over all six buckets: with vulnerabilities and what landed."""
+    return R.bucket_scores(weights_of(captures(spark, sf_dir), landed_of(spark, sf_dir)))
 
 
 # ---- history and reports
@@ -511,14 +575,15 @@ def scan_history(caps):
     return D.history(scans_of(caps), "target 3")
 
 
-@on_captures()
-def report_json(caps):
+@query()
+def report_json(spark, sf_dir):
     """One JSON document for each scan."""
-    v = verdicts_of(caps)
+    caps = captures(spark, sf_dir)
+    v = verdicts_of(caps, landed_of(spark, sf_dir))
     hits = H.all_heuristics(caps).groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("rank"), "emit_ord", "rule_id", "category", "evidence", "severity", "weight"))).alias("h"))
     df = caps.select("scan_id", "url").join(v, "scan_id").join(hits, "scan_id", "left")
     said = F.transform("h", lambda x: x.dropFields("rank", "emit_ord"))
-    return df.select("scan_id", F.to_json(F.struct(F.col("url").alias("target_url"), F.lit(V.KNOWLEDGE_VERSION).alias("knowledge_version"), F.struct("score", "level", "contributions").alias("risk"), said.alias("heuristics"))).alias("report"))
+    return df.select("scan_id", F.to_json(F.struct(F.col("url").alias("target_url"), F.lit(V.KNOWLEDGE_VERSION).alias("knowledge_version"), F.struct("score", "level", "contributions", "summary").alias("risk"), said.alias("heuristics"))).alias("report"))
 
 
 @on_captures("SELECT scan_id, 'Abuse report for ' || url || chr(10) || 'Host: ' || host AS abuse_text FROM cap")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..queries import verdicts_of
+from ..queries import Landed, verdicts_of
 
 
-def score_stream(spark: SparkSession, captures: DataFrame, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Scores captures as they land and appends verdicts to out_path. A batch that is run again replaces its own folder."""
+def score_stream(spark: SparkSession, captures: DataFrame, out_path: str, checkpoint: str, landed: Landed = Landed()) -> StreamingQuery:
+    """Scores captures as they land, with the tables of what landed for them, and appends verdicts to out_path. A batch that is run again replaces its own folder."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        verdicts_of(batch).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        verdicts_of(batch, landed).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return captures.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -91,3 +91,27 @@ def test_stream(spark, sf_dir, tmp_path):
 
 def test_entry():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_verdict_of_landed_evidence(spark):
+    """Exposed paths, listed hosts, young domains, look-alikes and advisories each reach the verdict and its summary."""
+    from pagelens.queries import Landed, verdicts_of
+
+    schema = "scan_id bigint, url string, html string, headers map<string,string>, requests array<string>"
+    quiet = {k: "max-age=31536000" for k in ("strict-transport-security", "x-frame-options", "x-content-type-options", "referrer-policy", "permissions-policy")} | {"content-security-policy": "default-src 'self'"}
+    hosts = ["paths.org", "listed.org", "www.young.org", "looks.org", "soft.org", "none.org"]
+    caps = spark.createDataFrame([(i, f"https://{h}/", "<p>x</p>", quiet | ({"server": "Foo/1.2"} if h == "soft.org" else {}), []) for i, h in enumerate(hosts)], schema)
+    before = {r.scan_id: r.score for r in verdicts_of(caps).collect()}
+    landed = Landed(
+        paths=spark.createDataFrame([(0, "/.env", True, "vcs", "critical"), (0, "/.git", False, "vcs", "info"), (99, "/x", True, "vcs", "high")], "scan_id bigint, path string, exposed boolean, category string, severity string"),
+        registrations=spark.createDataFrame([("young.org", "2026-06-20"), ("none.org", "2020-01-01")], "domain string, created string"),
+        now=F.lit("2026-06-26 00:00:00").cast("timestamp"),
+        feeds=(spark.createDataFrame([("listed.org",)], "host string"), spark.createDataFrame([("listed.org",)], "host string")),
+        looks=spark.createDataFrame([(3, "brand")], "scan_id bigint, brand string"),
+        records=spark.createDataFrame([("foo 1.2", 0, "CVE-1", "HIGH", 7.5), ("foo 1.2", 1, "CVE-1", "LOW", 1.0), ("foo", 0, "CVE-2", "HIGH", 7.5)], "product string, ord int, cve_id string, severity string, score double"),
+    )
+    got = {r.scan_id: r for r in verdicts_of(caps, landed).collect()}
+    assert [got[i].score - before[i] for i in range(6)] == [35, 45, 20, 16, 20, 0]
+    says = ["1 exposed sensitive path(s)", "listed on an external threat feed", "domain only 6 day(s) old", "visual brand impersonation", "1 known vuln(s)"]
+    assert all(f"driven by {s}." in got[i].summary for i, s in enumerate(says))
+    assert len(got) == 6 and got[0].level == "Medium"
