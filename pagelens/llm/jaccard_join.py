@@ -5,16 +5,20 @@
 2. Those shingles are index entries, dealt to buckets as packed arrays. A list of the index is sorted by set size, so the
    block of partners that a set's size allows is found by search and the rest of the list is skipped whole; within a block,
    an entry's position skips pairs whose rest can't reach the overlap.
-3. Equal sets have one entry. A long list doesn't compare all its members: each is compared with the leader of its block.
-   Members that the leader's answers have put into one component need no answers of their own among each other. Sets of
-   lists that still hold several components are joined across components by parts of their shingles: linked sets differ
-   in so few that one of the parts is the same in both. No link that joins two components is lost.
-4. Candidates are confirmed on the texts.
+3. Equal sets have one entry. In a long list a block of sizes has a leader, the member with the least hash, so that the lists
+   of a group of copies agree on it. The leader's answers are computed first, and members take theirs from it: those that
+   link with one leader are in one component and need no answers among each other.
+4. What lists leave open, members in different components, is compared in cells of bounded size by sketches, parities of
+   fixed parts of a set, which bound the difference of two sets from below. Of the pairs a cell can't rule out it asks for
+   a spanning forest first, since each answer settles those of all sets that it connects; only where an answer of the
+   forest is no, the other pairs are asked for as well.
+5. Candidates are confirmed on the texts. No link that joins two components is lost; linked_pairs gives all links.
 
 Sets are of 64-bit hashes of word windows. Defined cases: A-Z are lower-cased; a text with fewer than k words has its whole
 sequence as its one shingle; null or no words: an empty set, which links with nothing; rows that share a doc_id are one
 document, linked with what either links to; a null doc_id links with nothing and has component null; an empty table
-gives an empty result.
+gives an empty result; a very long text is a set like others, in a piece of its own; other columns are ignored (kept by
+keep_one_of_each, whatever their names).
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_for, input_bytes, materialize, small_or_plain
-from .components import components
+from .components import components, merged
 from .words import Words, as_bytes, combine, mix, row_slices
 
 WORDS, PERCENT = 5, 80
@@ -39,8 +43,10 @@ NARROW_ROWS = 200_000
 _PIECE = 1_900_000
 _ROWS = np.dtype([("doc", "<i8"), ("n", "<u4"), ("whole", "<u8")])
 _POSTS = np.dtype([("token", "<u8"), ("row", "<u4"), ("at", "<u4")])
-_BITS = ("f0", "f1", "f2", "f3")
-_PARTS = "key bigint, a bigint, c bigint, n bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
+#: Members of a list that one cell takes from each side.
+CELL = 1024
+#: Packed entries of a bucket that one task takes; a bucket with more is split by pieces of input.
+BUCKET_BYTES = 24 << 20
 #: Rows with texts in an Arrow batch.
 TEXT_ROWS = 1000
 _FOUND = "kind int, a bigint, b bigint, token bigint, n bigint, at bigint"
@@ -129,7 +135,20 @@ def _same_sets(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sketches(token: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """Of each set, whether each of its parts has an odd number of shingles; a power of two of them, at least two a shingle.
+    Sketches differ in no more places than the sets do, also when the longer one's halves are laid together."""
+    spot, out = mix(token), []
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        places = 1 << max(6, (2 * (j - i) - 1).bit_length())
+        odd = np.bincount((spot[i:j] & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+        out.append(np.packbits(odd == 1).tobytes())
+    return out
+
+
 def _index(k: int, percent: int, buckets: int, levels: Broadcast):
+    """Rows of kind 0: a text's doc_id, size and sketch; 1: two documents with equal sets; 2: a bucket's packed entries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in row_slices(batch.column(1), _PIECE):
@@ -164,13 +183,14 @@ def _index(k: int, percent: int, buckets: int, levels: Broadcast):
                 kind, a, n = (np.concatenate(out[c]) for c in ("kind", "a", "n"))
                 doc = pa.array(a, mask=np.append(~ids.is_valid().to_numpy(zero_copy_only=False), np.zeros(len(a) - (hi - lo), bool)))
                 none = pa.nulls(len(blobs), pa.int64())
+                made = pa.array(_sketches(token, np.append(0, np.cumsum(rows["n"], dtype=np.int64))), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.concat_arrays([pa.array(kind), pa.array(np.full(len(blobs), 2, np.int32))]),
                         pa.concat_arrays([doc, none]),
                         pa.concat_arrays([pa.array(n), none]),
                         pa.concat_arrays([pa.nulls(len(a), pa.int32()), pa.array(where, pa.int32())]),
-                        pa.concat_arrays([pa.nulls(len(a), pa.binary()), pa.array(blobs, pa.binary())]),
+                        pa.concat_arrays([made, pa.nulls(len(a) - (hi - lo), pa.binary()), pa.array(blobs, pa.binary())]),
                     ],
                     ["kind", "a", "n", "bucket", "entries"],
                 )
@@ -183,7 +203,9 @@ def _may_link(n1: np.ndarray, at1: np.ndarray, n2: np.ndarray, at2: np.ndarray,
     return (percent * np.maximum(n1, n2) <= 100 * np.minimum(n1, n2)) & (np.minimum(at1, at2) + np.minimum(n1 - at1, n2 - at2) >= need)
 
 
-def _lists(percent: int, long_list: int):
+def _lists(percent: int, long_list: int | None):
+    """Rows of kind 1: two documents with equal sets; 3: pairs that may link; 4: entries of lists that pairs leave open."""
+
     def run(table: pa.Table) -> pa.Table:
         rows, posts, base = [], [], 0
         for blob in table.column("entries").to_pylist():
@@ -192,6 +214,7 @@ def _lists(percent: int, long_list: int):
             base += len(r)
             rows.append(r), posts.append(p)
         rows, posts = np.concatenate(rows), np.concatenate(posts)
+        split = table.column("parts")[0].as_py() > 1  # the rest of its lists is in other tasks
         first = _same_sets(rows)
         twin = np.flatnonzero(rows["doc"] != rows["doc"][first])
         links = np.unique(np.stack([rows["doc"][twin], rows["doc"][first[twin]]], 1), axis=0) if len(twin) else np.empty((0, 2), np.int64)
@@ -203,26 +226,28 @@ def _lists(percent: int, long_list: int):
         token, doc, n, at = token[keep], doc[keep], n[keep], at[keep]
         begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))[: len(token)]
         size = np.diff(np.append(begin, len(token)))
+        most = long_list or len(token)
         left, right = [], []
-        members = np.flatnonzero(np.repeat((size > 1) & (size <= long_list), size))
-        for d in range(1, long_list):
+        members, d = np.flatnonzero(np.repeat((size > 1) & (size <= most), size)), 0
+        while len(members) and not split:
+            d += 1
             i = members[members + d < len(token)]
             i = i[(token[i] == token[i + d]) & (percent * n[i + d] <= 100 * n[i])]  # beyond its block a set has no partner
             left.append(i), right.append(i + d)
             members = i
-        spread = []
-        for b, m in zip(begin[size > long_list], size[size > long_list]):
-            spread.append(np.arange(b, b + m))
-            lead = b
-            while lead < b + m:
-                stop = b + int(np.searchsorted(n[b : b + m], 100 * n[lead] // percent, "right"))
-                left.append(np.full(stop - lead - 1, lead)), right.append(np.arange(lead + 1, stop))
-                lead = stop
+        long = np.flatnonzero(np.repeat(size > most, size))
+        if len(long):
+            block = np.floor(np.log(n[long]) / np.log(100 / min(percent, 99))).astype(np.int64)
+            order = np.lexsort((mix(doc[long].view(np.uint64)), block, token[long]))
+            long, block = long[order], block[order]
+            new = np.append(True, (token[long[1:]] != token[long[:-1]]) | (block[1:] != block[:-1]))
+            leader = long[np.maximum.accumulate(np.where(new, np.arange(len(long)), 0))]
+            left.append(leader[~new]), right.append(long[~new])
         i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
         ok = _may_link(n[i], at[i], n[j], at[j], percent) & (doc[i] != doc[j])
         i, j = i[ok], j[ok]
         pairs = np.unique(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], 1), axis=0) if len(i) else np.empty((0, 2), np.int64)
-        rest = np.concatenate(spread) if spread else np.empty(0, np.int64)
+        rest = np.arange(len(token)) if split else np.sort(long)
         none = [pa.nulls(len(links) + len(pairs), pa.int64())]
         return pa.table(
             {
@@ -262,73 +287,10 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _parts(k: int, percent: int):
-    """Keys that any two linked sets share: all shingles are dealt to more parts than two linked sets can differ in, so
-    at least one part has the same shingles of both. The number of parts goes by classes of size; a set has keys for its
-    own class and the next, where larger partners are. f0 to f3: whether
-    each of 256 finer parts has an odd number of shingles, which differs in no more places than the sets do."""
-
-    def classes(n: int) -> Iterator[tuple[int, int]]:
-        c, most = 0, 1
-        while most < n:
-            c, most = c + 1, 100 * most // percent + 1
-        for c in (c, c + 1):
-            yield c, 2 * most * (100 - percent) // (100 + percent) + 1
-            most = 100 * most // percent + 1
-
-    def summed(key: np.ndarray, part: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(n, np.uint64)
-        np.add.at(out, part, mix(key))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in row_slices(batch.column(2), _PIECE):
-                row, key = shingles(as_bytes(batch.column(2).slice(lo, hi - lo)), k)
-                order = np.lexsort((key, row))
-                row, key = row[order], key[order]
-                new = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))[: len(row)]
-                row, key = row[new], key[new]
-                cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                keys, owner, n, fine = [], [], [], []
-                for d in range(hi - lo):
-                    own = key[cut[d] : cut[d + 1]]
-                    if not len(own):
-                        continue
-                    spot = mix(own)
-                    odd = np.packbits(np.bincount((spot >> np.uint64(56)).astype(np.int64), minlength=256) & 1 == 1).view(np.int64)
-                    for c, m in classes(len(own)):
-                        sums = summed(own, (spot % np.uint64(m)).astype(np.int64), m)
-                        keys.append(mix(sums + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c << 48)).view(np.int64))
-                        owner += [lo + d] * m
-                        n += [len(own)] * m
-                        fine.append(np.repeat(odd[None, :], m, axis=0))
-                at, bits = pa.array(owner, pa.int64()), np.concatenate(fine) if fine else np.empty((0, 4), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(n, pa.int64()), *(pa.array(bits[:, i]) for i in range(4))], ["key", "a", "c", "n", *_BITS])
-
-    return run
-
-
-def _sketches(k: int):
-    """Of each set, whether each of its parts has an odd number of shingles; a power of two of them, at least as many as
-    shingles. Sketches differ in no more places than the sets do, also when the longer one's halves are laid together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in row_slices(batch.column(1), _PIECE):
-                row, key = shingles(as_bytes(batch.column(1).slice(lo, hi - lo)), k)
-                order = np.lexsort((key, row))
-                row, key = row[order], key[order]
-                new = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))[: len(row)]
-                cut = np.searchsorted(row[new], np.arange(hi - lo + 1))
-                spot, n, made = mix(key[new]), np.diff(cut), []
-                for i, j in zip(cut[:-1], cut[1:]):
-                    places = 1 << max(6, int(j - i - 1).bit_length())
-                    odd = np.bincount((spot[i:j] & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
-                    made.append(np.packbits(odd == 1).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(made, pa.binary())], ["id", "n", "sketch"])
-
-    return run
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
 
 def _near_sketches(percent: int):
@@ -337,20 +299,16 @@ def _near_sketches(percent: int):
             ok = []
             for n1, n2, s1, s2 in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5))):
                 x, y = np.frombuffer(s1, np.uint8), np.frombuffer(s2, np.uint8)
-                while len(x) > len(y):
-                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                while len(y) > len(x):
-                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                ok.append(int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (n1 + n2) * (100 - percent))
+                size = min(len(x), len(y))
+                ok.append(int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) * (100 + percent) <= (n1 + n2) * (100 - percent))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def possible(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (a, b) without those whose sketches show that they can't link, so that few pairs need their texts."""
-    made = materialize(docs.mapInArrow(_sketches(k), "id bigint, n bigint, sketch binary"), "sketches", TEXT_ROWS)
-    one, two = (made.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) without those whose sketches (id, n, sketch) show that they can't link, so that few pairs need their texts."""
+    one, two = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
     return materialize(both.mapInArrow(_near_sketches(percent), "a bigint, b bigint").distinct(), "possible", TEXT_ROWS)
 
@@ -358,44 +316,148 @@ def possible(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose texts link. A document with many partners is split by AQE's skew join."""
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("used")).distinct()
+    if used.limit(NARROW_ROWS + 1).count() <= NARROW_ROWS:  # few documents: only their texts are shuffled
+        texts = texts.join(F.broadcast(used), texts["doc_id"] == used["used"], "left_semi")
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long_list: int = LONG_LIST) -> DataFrame:
+def _open_pairs(doc: np.ndarray, group: np.ndarray, n: np.ndarray, at: np.ndarray, side: np.ndarray, sketch: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, places of sketches that differ) of a list's members in different groups that sketches don't rule out.
+
+    side: members of one side only meet those of the other, unless all are of one side."""
+    length = np.array([len(x) for x in sketch])
+    order = np.lexsort((n, length))
+    doc, group, n, at, side, length = (x[order] for x in (doc, group, n, at, side, length))
+    two = side.min() != side.max()
+    found: list[tuple[np.ndarray, ...]] = []
+    for size in np.unique(length):
+        lo, hi = np.searchsorted(length, size, "left"), np.searchsorted(length, size, "right")
+        stop = lo + int(np.searchsorted(n[lo:], 100 * n[hi - 1] // percent, "right"))
+        words = np.stack([_folded(np.frombuffer(sketch[order[x]], np.uint8), size) for x in range(lo, stop)]).view(np.uint64)
+        for i in range(lo, hi):
+            last = i + 1 + int(np.searchsorted(n[i + 1 :], 100 * n[i] // percent, "right"))
+            j = np.arange(i + 1, last)
+            j = j[(group[j] != group[i]) & (doc[j] != doc[i]) & ((side[j] != side[i]) if two else True)]
+            j = j[_may_link(n[i], at[i], n[j], at[j], percent)]
+            if len(j):
+                differ = np.bitwise_count(words[j - lo] ^ words[i - lo]).sum(axis=1, dtype=np.int64)
+                ok = differ * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+                found.append((np.full(ok.sum(), order[i]), order[j[ok]], differ[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+
+
+def _forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Places of the pairs of a spanning forest of groups, light ones first: each round every tree takes its lightest pair."""
+    _, tree = np.unique(group, return_inverse=True)
+    rank, taken = np.empty(len(i), np.int64), []
+    rank[np.lexsort((j, i, weight))] = np.arange(len(i))
+    back = np.argsort(rank)
+    while len(left := np.flatnonzero(tree[i] != tree[j])):
+        best = np.full(tree.max() + 1, len(i))
+        np.minimum.at(best, tree[i[left]], rank[left])
+        np.minimum.at(best, tree[j[left]], rank[left])
+        chosen = back[np.unique(best[best < len(i)])]
+        taken.append(chosen)
+        nodes, root = merged(tree[i[chosen]], tree[j[chosen]])
+        tree = np.where(np.isin(tree, nodes), root[np.minimum(np.searchsorted(nodes, tree), len(nodes) - 1)], tree)
+    return np.concatenate(taken) if taken else np.empty(0, np.int64)
+
+
+def _cells(percent: int, forest: bool):
+    def run(table: pa.Table) -> pa.Table:
+        token, lo, hi, part, doc, group, n, at = (table.column(c).to_numpy() for c in ("token", "lo", "hi", "part", "a", "c", "n", "at"))
+        sketch = table.column("sketch").to_pylist()
+        order = np.lexsort((hi, lo, token))
+        new = np.append(True, (np.diff(token[order]) != 0) | (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0))
+        edges = np.append(np.flatnonzero(new), len(order))
+        out = [np.empty((0, 2), np.int64)]
+        for b, e in zip(edges[:-1], edges[1:]):
+            cell = order[b:e]
+            i, j, differ = _open_pairs(doc[cell], group[cell], n[cell], at[cell], part[cell], [sketch[x] for x in cell], percent)
+            if forest:
+                used = _forest(i, j, differ, group[cell])
+                i, j = i[used], j[used]
+            i, j = doc[cell[i]], doc[cell[j]]
+            out.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def open_pairs(entries: DataFrame, groups: DataFrame, sketches: DataFrame, percent: int, forest: bool, cell: int = CELL) -> DataFrame:
+    """Pairs (a, b) across components that entries (a, token, n, at) of long lists leave open. A list is cut into parts of
+    about `cell` members, and each two of its parts meet in a cell."""
+    placed = materialize(entries.join(groups, entries["a"] == groups["node"], "left").select("a", "token", "n", "at", F.coalesce("component", "a").alias("c")), "placed")
+    mixed = placed.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 != c2").select("token", F.ceil(F.col("m") / cell).alias("parts"))
+    mixed = materialize(mixed, "mixed")
+    rows = placed.join(small_or_plain(mixed, NARROW_ROWS), "token").withColumn("part", F.pmod(F.xxhash64("a"), "parts"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("a", "token", "n", "at", "c", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    rows = materialize(rows, "cells")
+    deals = max(1, rows.count() // (4 * cell))
+    known = sketches.select(F.col("id").alias("a"), F.col("n").alias("own"), "sketch")
+    rows = rows.join(known, "a").where("n = own").drop("own")  # of rows that share a doc_id, those the entry can be of
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("token", "lo", "hi"), F.lit(deals)))
+    return materialize(dealt.groupBy("deal").applyInArrow(_cells(percent, forest), "a bigint, b bigint").distinct(), "open")
+
+
+def _indexed(docs: DataFrame, k: int, percent: int, long_list: int | None, bucket_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of _index, rows of _lists, sketches as (id, n, sketch))."""
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, k))
+    index = materialize(docs.mapInArrow(_index(k, percent, buckets_for(docs), levels), "kind int, a bigint, n bigint, bucket int, entries binary"), "index", TEXT_ROWS)
+    entries = index.where("kind = 2").select("bucket", "entries")
+    parts = entries.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("entries")) / bucket_bytes).alias("parts")).where("parts > 1")
+    parts = small_or_plain(materialize(parts, "parts"), NARROW_ROWS)
+    dealt = entries.join(parts, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("entries"), "parts")).otherwise(0))
+    found = materialize(dealt.groupBy("bucket", "part").applyInArrow(_lists(percent, long_list), _FOUND), "lists")
+    return index, found, index.where("kind = 0 and a is not null and n > 0").select(F.col("a").alias("id"), "n", F.col("entries").alias("sketch"))
+
+
+def _equal(index: DataFrame, found: DataFrame) -> DataFrame:
+    return index.where("kind = 1").select("a", F.col("n").alias("b")).union(found.where("kind = 1").select("a", "b"))
+
+
+def linked_pairs(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """((a, b) with a < b: all pairs of linked classes; (doc_id, class_id): the class of each document).
+
+    A class is of documents with equal sets and named by its least doc_id; documents of a class link each other. Documents
+    without words or doc_id have no class."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    index, found, sketches = _indexed(docs, k, percent, None, bucket_bytes)
+    pairs = possible(found.where("kind = 3").select("a", "b").distinct(), sketches, percent)
+    none = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
+    pairs = pairs.union(open_pairs(found.where("kind = 4"), none, sketches, percent, False, cell)).distinct()
+    links = materialize(confirmed(pairs, docs, k, percent), "links", TEXT_ROWS)
+    equal = materialize(components(_equal(index, found)), "classes")
+    known = index.where("kind = 0 and a is not null and n > 0").select(F.col("a").alias("doc_id")).distinct()
+    classes = known.join(equal, known["doc_id"] == equal["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    one, two = (classes.select(F.col("doc_id").alias(x), F.col("class_id").alias(f"of_{x}")) for x in "ab")
+    links = links.join(one, "a").join(two, "b").where("of_a != of_b")
+    return links.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct(), classes
+
+
+def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, long_list: int = LONG_LIST, bucket_bytes: int = BUCKET_BYTES, cell: int = CELL) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs (doc_id bigint, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(shingle_levels(docs, k))
-    buckets = buckets_for(docs)
-    index = materialize(docs.mapInArrow(_index(k, percent, buckets, levels), "kind int, a bigint, n bigint, bucket int, entries binary"), "index", TEXT_ROWS)
-    found = materialize(index.where("kind = 2").select("bucket", "entries").groupBy("bucket").applyInArrow(_lists(percent, long_list), _FOUND), "lists")
-    equal = index.where("kind = 1").select("a", F.col("n").alias("b")).union(found.where("kind = 1").select("a", "b"))
-    pairs = found.where("kind = 3").select("a", "b").distinct()
-    links = materialize(confirmed(pairs, docs, k, percent).union(equal.distinct()), "links", TEXT_ROWS)
-    groups = components(links)
-    spread = found.where("kind = 4").select("a", "token")
-    if not spread.isEmpty():
-        groups = materialize(groups, "groups")
-        placed = materialize(spread.join(groups, spread["a"] == groups["node"], "left").select("a", "token", F.coalesce("component", "a").alias("c")), "spread")
-        mixed = placed.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("token")
-        rest = materialize(placed.join(mixed, "token").select("a", "c").distinct(), "rest")
-        texts = docs.where("doc_id is not null and text is not null").join(small_or_plain(rest, NARROW_ROWS), docs["doc_id"] == rest["a"]).select("a", "c", "text")
-        parts = materialize(texts.mapInArrow(_parts(k, percent), _PARTS), "parts", TEXT_ROWS)
-        shared = parts.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("key")
-        left = parts.join(shared, "key")
-        right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("a", "c", "n", *_BITS)))
-        near = (F.col("c") != F.col("c2")) & (F.col("a") < F.col("a2")) & (percent * F.greatest("n", "n2") <= 100 * F.least("n", "n2"))
-        differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in _BITS[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("f02"))))
-        near &= differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
-        across = left.join(right, "key").where(near).select("a", F.col("a2").alias("b")).distinct()
-        across = materialize(across.join(pairs, ["a", "b"], "left_anti"), "across")
-        if not across.isEmpty():
-            across = possible(across, texts.select("a", "text"), k, percent)
-            more = materialize(confirmed(across, docs, k, percent), "more", TEXT_ROWS)
-            if not more.isEmpty():
-                groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    index, found, sketches = _indexed(docs, k, percent, long_list, bucket_bytes)
+    tried = possible(found.where("kind = 3").select("a", "b").distinct(), sketches, percent)
+    links = materialize(confirmed(tried, docs, k, percent).union(_equal(index, found)), "links", TEXT_ROWS)
+    groups = materialize(components(links), "groups")
+    entries = found.where("kind = 4").select("a", "token", "n", "at")
+    if not entries.isEmpty():
+        for forest in (True, False):
+            asked = open_pairs(entries, groups, sketches, percent, forest, cell)
+            new = materialize(asked.join(tried, ["a", "b"], "left_anti"), "asked")
+            more = materialize(confirmed(new, docs, k, percent), "more", TEXT_ROWS)
+            if n := more.count():
+                groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "groups")
+            if n == asked.count():  # each answer was yes, so what the forest connects is one component
+                break
+            tried = tried.union(new)
     out = index.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
     return out.join(groups, out["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
