@@ -160,7 +160,7 @@ def test_jaccard_group_of_copies(spark):
     base, rows = [f"b{i}" for i in range(120)], []
     for i in range(2000):
         w = list(base)
-        for j in rnd.sample(range(120), rnd.randint(0, 4)):
+        for j in rnd.sample(range(120), rnd.randint(0, 6)):
             w[j] = f"n{rnd.random()}"
         rows.append((i, " ".join(w)))
     sets = [set(zip(t.split(), t.split()[1:], t.split()[2:])) for _, t in rows]
