@@ -1,20 +1,22 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-P(word | history) = P(class | history) * P(word | class). The class softmax has hashed n-gram and skip features: the last
-word, the one before, the last two together, and a bias. Classes: the TOP most frequent words, each its own; all others
-by the cluster they occur in most (a hash of the documents' lang) and by frequency; and one for words never seen in
-training. Within a class a word has the share of its count, so the whole sums to one over the known words and one unseen
-event, as the base score does. In training a word's class is that of its count less its own occurrence, which teaches the
-model how often to expect rare and unseen words.
+P(word | history) = P(class | history) * P(bin | class, history) * P(word | bin). Both softmaxes have hashed n-gram and skip
+features: the last word, the one before, the last two together, and a bias; in that of bins each goes with the class.
+Classes: the TOP most frequent words, each its own; all others by the cluster they occur in most in training (a hash of
+the documents' lang) and by frequency; and one for words never seen in training. A class's words are dealt to BINS bins by
+hash. Within a bin a word has the share of its count. The whole sums to one over the known words and one unseen event, as
+the base score does. In training a word's class is that of its count less its own occurrence, which teaches the model
+how often to expect rare and unseen words. Nothing of a held-out document but its own score depends on it.
 
 Training documents are those with crc32(doc_id as text) % 7 not 2. Counts of all their words are exact: pieces of input
 deal distinct words and counts to buckets of word hashes and get the totals back. Weights are trained in ROUNDS rounds over
 all training tokens: every task makes AdaGrad steps on its pieces from the weights it was sent, and the changes are
-averaged block by block in the executors. Weights have a fixed size. Words are told apart by 64-bit hashes.
+averaged block by block in the executors, in two levels. Weights have a fixed size. Words are told apart by 64-bit hashes.
 
 Defined cases: null text is empty and has the end token alone; a null doc_id is in training; repeated rows count and score each;
-null lang is a cluster like others; without training tokens all words are unseen and score as the base does; an empty
-table gives an empty result.
+null lang is a cluster like others; without training tokens all words are unseen and score as the base does; words of equal
+counts are ordered by hash where only some can be in TOP; a very long text is a piece of its own; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,12 +39,15 @@ CLUSTERS = 8
 BANDS = 3
 CLASSES = TOP + CLUSTERS * BANDS + 2
 UNSEEN, END = CLASSES - 1, np.uint64(0x2545F4914F6CDD1D)
+BINS = 32
 CELLS = 4096
 ROUNDS = 2
 RATE = 0.3
 _BATCH = 8192
 _PIECE, _SLICE = 6 << 20, 1_900_000
 _BLOCKS = 16
+#: Tasks' changes are averaged in so many groups first.
+_LANES = 64
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -91,7 +96,7 @@ def _encode(buckets: int):
                 words, place = np.unique(tokens, return_inverse=True)
                 used = ~np.repeat(held, n)
                 count = np.bincount(place[used], minlength=len(words)).astype(np.uint32)
-                near = np.bincount(place * CLUSTERS + np.repeat(cluster, n), minlength=len(words) * CLUSTERS).reshape(-1, CLUSTERS).argmax(axis=1).astype(np.uint8)
+                near = np.bincount((place * CLUSTERS + np.repeat(cluster, n))[used], minlength=len(words) * CLUSTERS).reshape(-1, CLUSTERS).argmax(axis=1).astype(np.uint8)
                 known = np.array([i is not None for i in ids])
                 body = _pack(np.array([i or 0 for i in ids], "<i8"), known, held, n.astype("<u4"), place.astype("<u4"))
                 out = [(chunk, 0, -1, body)]
@@ -108,8 +113,16 @@ def _band(count: np.ndarray) -> np.ndarray:
     return (count >= 2).astype(np.int64) + (count >= 64)
 
 
+def _bin(cell: np.ndarray) -> np.ndarray:
+    return (cell >> np.uint32(27)).astype(np.int64)
+
+
+def _cell(words: np.ndarray) -> np.ndarray:
+    return (mix(words) & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
 def _totals(table: pa.Table) -> pa.Table:
-    """Of a bucket: kind 1, each piece's totals for its words; kind 2, tokens and words by class; kind 3, frequent words."""
+    """Of a bucket: kind 1, each piece's totals for its words; kind 2, tokens and words by bin; kind 3, frequent words."""
     chunks = table.column("chunk").to_pylist()
     bucket = table.column("bucket")[0].as_py()
     parts = [_unpack(b, "<u8", "<u4", "u1") for b in table.column("body").to_pylist()]
@@ -120,8 +133,9 @@ def _totals(table: pa.Table) -> pa.Table:
     edges = np.cumsum([0] + [len(p[0]) for p in parts])
     out = [(c, 1, bucket, _pack(count[place[i:j]], near[place[i:j]])) for c, i, j in zip(chunks, edges[:-1], edges[1:])]
     seen = np.flatnonzero(count)
-    cls = near[seen].astype(np.int64) * BANDS + _band(count[seen])
-    out.append((0, 2, bucket, _pack(np.bincount(cls, count[seen], CLUSTERS * BANDS).astype(np.int64), np.bincount(cls, minlength=CLUSTERS * BANDS).astype(np.int64))))
+    at = (near[seen].astype(np.int64) * BANDS + _band(count[seen])) * BINS + _bin(_cell(words[seen]))
+    n = CLUSTERS * BANDS * BINS
+    out.append((0, 2, bucket, _pack(np.bincount(at, count[seen], n).astype(np.int64), np.bincount(at, minlength=n).astype(np.int64))))
     top = seen[np.argsort(-count[seen], kind="stable")[: TOP + 1]]
     out += [(int(words[i].view(np.int64)), 3, int(near[i]), int(count[i]).to_bytes(8, "big")) for i in top]
     return pa.Table.from_batches([_rows(out)])
@@ -131,17 +145,22 @@ class Vocabulary:
     """What is known of the counts as a whole; its size is fixed."""
 
     def __init__(self, top: list[tuple[int, int, int]], tokens: np.ndarray, words: np.ndarray):
-        """top: (hash, cluster, count), tokens and words: of each class of the rest, before top is taken out."""
+        """top: (hash, cluster, count), tokens and words: of each bin of the rest, before top is taken out."""
         self.train_tokens, self.known_words = int(tokens.sum()), int(words.sum())
-        rest = tokens.astype(np.float64).copy()
-        for _, cluster, count in top:
-            rest[cluster * BANDS + int(_band(np.array(count)))] -= count
-        self.rest = np.maximum(rest, 1.0)
+        rest = tokens.astype(np.int64).copy()
+        for word, cluster, count in top:
+            rest[(cluster * BANDS + int(_band(np.array(count)))) * BINS + int(_bin(_cell(np.array([word], np.uint64)))[0])] -= count
+        self.rest = np.maximum(rest, 1).astype(np.float64)
         order = sorted(top)
         self.hashes = np.array([h for h, _, _ in order], np.uint64)
+        #: Which bins of each class, and which classes, have words at all.
+        self.bins = np.zeros((CLASSES, BINS), bool)
+        self.bins[TOP + 1 : UNSEEN] = (rest > 0).reshape(-1, BINS)
+        self.open = self.bins.any(axis=1)
+        self.open[: len(order)] = self.open[UNSEEN] = True
 
     def classes(self, words: np.ndarray, count: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class, class of the count less one, log10 share in the class) of words with their totals."""
+        """(class, class of the count less one, log10 share in the bin) of words with their totals."""
         at = np.minimum(np.searchsorted(self.hashes, words), max(len(self.hashes) - 1, 0))
         is_top = self.hashes[at] == words if len(self.hashes) else np.zeros(len(words), bool)
 
@@ -152,7 +171,7 @@ class Vocabulary:
         cls = of(count)
         share = np.zeros(len(words))
         inner = np.flatnonzero(~is_top & (count > 0))
-        share[inner] = np.log10(count[inner] / self.rest[cls[inner] - TOP - 1])
+        share[inner] = np.log10(count[inner] / self.rest[(cls[inner] - TOP - 1) * BINS + _bin(_cell(words[inner]))])
         return cls.astype(np.uint8), of(count - 1).astype(np.uint8), share
 
 
@@ -171,7 +190,7 @@ def _assemble(vocabulary: Broadcast):
         sums = lambda x: np.diff(np.append(0, np.cumsum(x[place])[ends - 1]))
         base, seen = np.add.reduceat(log[place], ends - n), sums((count > 0).astype(np.int64))
         cls, less, share = v.classes(words, count, near)
-        cell = (mix(words) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        cell = _cell(words)
         docs = _pack(ids, known, held, n, seen, base)
         return pa.table({"chunk": table.column("chunk")[:1], "docs": pa.array([docs], pa.binary()), "tokens": pa.array([_pack(place, cell, cls, less, share.astype("<f4"))], pa.binary())})
 
@@ -191,90 +210,154 @@ def _features(cell: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.stack([back[0] % CELLS, CELLS + back[1] % CELLS, 2 * CELLS + both % CELLS], 1).astype(np.int32)
 
 
+def _with_class(f: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Rows of the bins' weights: each feature together with the class, and the class alone."""
+    out = np.empty((len(f), 4), np.int32)
+    for i in range(3):
+        x = (f[:, i].astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1) ^ (cls.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        out[:, i] = i * CELLS + ((x ^ (x >> np.uint32(13))) % np.uint32(CELLS)).astype(np.int32)
+    out[:, 3] = 3 * CELLS + cls
+    return out
+
+
+def _is_inner(cls: np.ndarray) -> np.ndarray:
+    return (cls > TOP) & (cls < UNSEEN)
+
+
 def _logits(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """The last row counts for all where f has no column for it."""
     out = weights[f[:, 0]]
-    out += weights[f[:, 1]]
-    out += weights[f[:, 2]]
-    out += weights[-1]
-    out -= out.max(axis=1, keepdims=True)
+    for i in range(1, f.shape[1]):
+        out += weights[f[:, i]]
+    if f.shape[1] == 3:
+        out += weights[-1]
     return out
 
 
+def _log_softmax(z: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the share of column right of each row. Changes z."""
+    z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(z)), right]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+class Weights:
+    """Of classes, a row for each feature cell and one for the bias; of bins, a row for each cell and one for each class."""
+
+    SHAPES = ((3 * CELLS + 1, CLASSES), (3 * CELLS + CLASSES, BINS))
+
+    def __init__(self, flat: np.ndarray | None = None):
+        n = [a * b for a, b in self.SHAPES]
+        self.flat = np.zeros(sum(n), np.float32) if flat is None else flat
+        self.classes, self.bins = (x.reshape(s) for x, s in zip(np.split(self.flat, [n[0]]), self.SHAPES))
+
+
+def _step(w: np.ndarray, sq: np.ndarray, f: np.ndarray, target: np.ndarray) -> None:
+    """One AdaGrad step on a batch."""
+    p = _logits(w, f)
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(p)), target] -= 1
+    for i in range(f.shape[1]):
+        order = np.argsort(f[:, i].astype(np.int16), kind="stable")
+        used = f[order, i]
+        head = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
+        g, used = np.add.reduceat(p[order], head, axis=0), used[head]
+        sq[used] += g * g
+        w[used] -= RATE * g / np.sqrt(sq[used] + 1.0)
+    if f.shape[1] == 3:
+        g = p.sum(axis=0)
+        sq[-1] += g * g
+        w[-1] -= RATE * g / np.sqrt(sq[-1] + 1.0)
+
+
+_CHANGES = "block int, lane int, seen double, body binary"
+
+
 def _gradient_steps(weights: Broadcast, turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, squares = weights.value
-        w, sq, seen = start.copy(), squares.copy(), 0
+        w, sq, seen = Weights(start.copy()), Weights(squares.copy()), 0
         for batch in batches:
             for docs, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 _, _, held, n, _, _ = _unpack(docs, "<i8", "?", "?", "<u4", "<i8", "<f8")
                 place, cell, _, less, _ = _unpack(tokens, "<u4", "<u4", "u1", "u1", "<f4")
                 ends = np.cumsum(n, dtype=np.int64)
-                f, target = _features(cell[place], ends - n), less[place]
+                cell = cell[place]
+                f, target = _features(cell, ends - n), less[place].astype(np.int64)
                 mine = np.flatnonzero(~np.repeat(held | (np.arange(len(n)) % rounds != turn), n))  # every training document is in one round
                 for i in range(0, len(mine), _BATCH):
                     at = mine[i : i + _BATCH]
-                    fx, p = f[at], _logits(w, f[at])
-                    np.exp(p, out=p)
-                    p /= p.sum(axis=1, keepdims=True)
-                    p[np.arange(len(at)), target[at]] -= 1
-                    for rows in (fx[:, 0], fx[:, 1], fx[:, 2]):
-                        order = np.argsort(rows.astype(np.int16), kind="stable")
-                        used = rows[order]
-                        head = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
-                        g = np.add.reduceat(p[order], head, axis=0)
-                        used = used[head]
-                        sq[used] += g * g
-                        w[used] -= RATE * g / np.sqrt(sq[used] + 1.0)
-                    g = p.sum(axis=0)
-                    sq[-1] += g * g
-                    w[-1] -= RATE * g / np.sqrt(sq[-1] + 1.0)
-                    seen += len(at)
+                    _step(w.classes, sq.classes, f[at], target[at])
+                    if len(at := at[_is_inner(target[at])]):
+                        _step(w.bins, sq.bins, _with_class(f[at], target[at]), _bin(cell[at]))
+                seen += len(mine)
         if seen:
-            parts = [zstandard.ZstdCompressor(level=1).compress(np.stack([a, b]).astype("<f2").tobytes()) for a, b in zip(np.array_split(w - start, _BLOCKS), np.array_split(np.sqrt(sq), _BLOCKS))]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([float(seen)] * _BLOCKS), pa.array(parts, pa.binary())], ["block", "seen", "body"])
+            parts = [_body(a, b) for a, b in zip(np.array_split(w.flat - start, _BLOCKS), np.array_split(np.sqrt(sq.flat), _BLOCKS))]
+            lane = TaskContext.get().partitionId() % _LANES
+            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([lane] * _BLOCKS, pa.int32()), pa.array([float(seen)] * _BLOCKS), pa.array(parts, pa.binary())], ["block", "lane", "seen", "body"])
 
     return run
 
 
+def _body(change: np.ndarray, root: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.stack([change, root]).astype("<f2").tobytes())
+
+
 def _average(table: pa.Table) -> pa.Table:
-    """Changes averaged by the tokens behind them, squares added up."""
+    """Changes and squares averaged by the tokens behind them."""
     seen, change, squares = 0.0, 0, 0
     for n, body in zip(table.column("seen").to_pylist(), table.column("body").to_pylist()):
         d, s = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), "<f2").astype(np.float64).reshape(2, -1)
         seen, change, squares = seen + n, change + n * d, squares + n * s * s
-    return pa.table({"block": table.column("block")[:1], "body": pa.array([np.stack([change / seen, squares / seen]).astype("<f4").tobytes()], pa.binary())})
+    return pa.table({"block": table.column("block")[:1], "lane": table.column("lane")[:1], "seen": pa.array([seen]), "body": pa.array([_body(change / seen, np.sqrt(squares / seen))], pa.binary())})
 
 
 def train(pieces: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights: a row for each feature cell and one for the bias, a column for each class."""
-    shape = (3 * CELLS + 1, CLASSES)
-    w, sq = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
+    """Weights, flat."""
+    w, sq = Weights().flat, Weights().flat
     for turn in range(rounds):
         sent = pieces.sparkSession.sparkContext.broadcast((w, sq))
-        made = pieces.select("docs", "tokens").mapInArrow(_gradient_steps(sent, turn, rounds), "block int, seen double, body binary")
-        parts = {b: np.frombuffer(x, "<f4").reshape(2, -1, CLASSES) for b, x in made.groupBy("block").applyInArrow(_average, "block int, body binary").collect()}
+        made = pieces.select("docs", "tokens").mapInArrow(_gradient_steps(sent, turn, rounds), _CHANGES)
+        made = made.groupBy("block", "lane").applyInArrow(_average, _CHANGES).groupBy("block").applyInArrow(_average, _CHANGES)
+        parts = {r["block"]: np.frombuffer(zstandard.ZstdDecompressor().decompress(r["body"]), "<f2").astype(np.float32).reshape(2, -1) for r in made.collect()}
         if parts:
             both = np.concatenate([parts[b] for b in range(_BLOCKS)], axis=1)
-            w, sq = w + both[0], both[1].copy()
+            w, sq = w + both[0], both[1] * both[1]
     return w
 
 
+def log_probability(weights: Weights, v: Vocabulary, f: np.ndarray, cls: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """log10 of P(class | history) * P(bin | class, history); place: the words' bins. Classes and bins without words are out."""
+    z = _logits(weights.classes, f)
+    z[:, ~v.open] = -np.inf
+    log = _log_softmax(z, cls).astype(np.float64)
+    if len(inner := np.flatnonzero(_is_inner(cls))):
+        z = _logits(weights.bins, _with_class(f[inner], cls[inner]))
+        z[~v.bins[cls[inner]]] = -np.inf
+        log[inner] += _log_softmax(z, place[inner])
+    return log / np.log(10)
+
+
 def _score(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, tokens_seen = model.value
+        flat, v = model.value
+        weights = Weights(flat)
         for batch in batches:
             for docs, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids, known, held, n, seen, base = _unpack(docs, "<i8", "?", "?", "<u4", "<i8", "<f8")
                 place, cell, cls, _, share = _unpack(tokens, "<u4", "<u4", "u1", "u1", "<f4")
                 ends = np.cumsum(n, dtype=np.int64)
-                f, target = _features(cell[place], ends - n), cls[place]
+                cell = cell[place]
+                f, target = _features(cell, ends - n), cls[place].astype(np.int64)
                 log = share[place].astype(np.float64)
-                for i in range(0, len(log), _BATCH):
-                    z = _logits(weights, f[i : i + _BATCH])
-                    right = z[np.arange(len(z)), target[i : i + _BATCH]]
-                    log[i : i + _BATCH] += (right - np.log(np.exp(z, out=z).sum(axis=1))) / np.log(10)
-                score = np.add.reduceat(log, ends - n) if tokens_seen else base
-                cols = [pa.array(ids, mask=~known), pa.array(held), pa.array(n.astype(np.int64)), pa.array(seen), pa.array(np.full(len(n), tokens_seen)), pa.array(base), pa.array(score)]
+                for i in range(0, len(log), _BATCH) if v.train_tokens else ():
+                    to = slice(i, i + _BATCH)
+                    log[to] += log_probability(weights, v, f[to], target[to], _bin(cell[to]))
+                score = np.add.reduceat(log, ends - n) if v.train_tokens else base
+                cols = [pa.array(ids, mask=~known), pa.array(held), pa.array(n.astype(np.int64)), pa.array(seen), pa.array(np.full(len(n), v.train_tokens)), pa.array(base), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -289,14 +372,14 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     totals = materialize(pieces.where("kind = 1").groupBy("bucket").applyInArrow(_totals, _PIECES), "totals")
     top = [(r["chunk"] & (1 << 64) - 1, r["bucket"], int.from_bytes(r["body"], "big")) for r in totals.where("kind = 3").orderBy(F.desc("body"), "chunk").limit(TOP + 1).collect()]
     by_class = totals.where("kind = 2").select("body").mapInArrow(_class_rows, "class int, tokens bigint, words bigint").groupBy("class").agg(F.sum("tokens"), F.sum("words")).collect()
-    tokens, words = np.zeros(CLUSTERS * BANDS, np.int64), np.zeros(CLUSTERS * BANDS, np.int64)
+    tokens, words = np.zeros(CLUSTERS * BANDS * BINS, np.int64), np.zeros(CLUSTERS * BANDS * BINS, np.int64)
     for c, t, n in by_class:
         tokens[c], words[c] = t, n
     vocabulary = Vocabulary(top, tokens, words)
     replies = totals.where("kind = 1").select("chunk", F.lit(5).alias("kind"), "bucket", "body")
     whole = pieces.union(replies).groupBy("chunk").applyInArrow(_assemble(sc.broadcast(vocabulary)), "chunk bigint, docs binary, tokens binary")
     whole = materialize(whole, "tokens")
-    model = sc.broadcast((train(whole, rounds), vocabulary.train_tokens))
+    model = sc.broadcast((train(whole, rounds), vocabulary))
     return whole.select("docs", "tokens").mapInArrow(_score(model), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 

@@ -332,11 +332,29 @@ def test_lm_beats_base_on_held_out(spark, sf_dir):
 
 
 def test_lm_sums_to_one():
-    v = lm_scoring.Vocabulary([(5, 0, 10)], np.array([16, 7, 100] + [0] * 21), np.array([6, 2, 1] + [0] * 21))
-    words = np.arange(1, 10, dtype=np.uint64)
-    count = np.array([1, 1, 1, 3, 10, 1, 1, 1, 4])
-    cls, _, share = v.classes(words, count, np.zeros(9, np.uint8))
-    assert cls[4] == 0 and len(set(cls.tolist())) == 3
+    """Over all known words and the unseen event, after any history and with any weights."""
+    rng = np.random.default_rng(7)
+    words = np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    count, near = rng.integers(1, 200, 300), rng.integers(0, lm_scoring.CLUSTERS, 300).astype(np.uint8)
+    at = (near.astype(np.int64) * lm_scoring.BANDS + lm_scoring._band(count)) * lm_scoring.BINS + lm_scoring._bin(lm_scoring._cell(words))
+    n = lm_scoring.CLUSTERS * lm_scoring.BANDS * lm_scoring.BINS
+    top = [(int(words[i]), int(near[i]), int(count[i])) for i in np.argsort(-count)[:20]]
+    v = lm_scoring.Vocabulary(top, np.bincount(at, count, n).astype(np.int64), np.bincount(at, minlength=n))
+    assert (v.train_tokens, v.known_words) == (count.sum(), 300)
+    cls, _, share = v.classes(np.append(words, np.uint64(0)), np.append(count, 0), np.append(near, 0).astype(np.uint8))
+    weights = lm_scoring.Weights(rng.normal(0, 1, len(lm_scoring.Weights().flat)).astype(np.float32))
+    for _ in range(5):
+        f = np.repeat(np.array([[rng.integers(4096), 4096 + rng.integers(4096), 8192 + rng.integers(4096)]], np.int32), 301, axis=0)
+        log = lm_scoring.log_probability(weights, v, f, cls.astype(np.int64), lm_scoring._bin(lm_scoring._cell(np.append(words, np.uint64(0)))))
+        assert (10 ** (log + share)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_learns_nothing_from_held_out(spark, docs):
+    """With other texts, languages and sizes of held-out documents all other scores stay."""
+    held = F.udf(lm_scoring.held_out, "boolean")("doc_id")
+    other = docs.withColumn("text", F.when(held, F.lit("w1 w2 w3 quite other words")).otherwise(F.col("text"))).withColumn("lang", F.when(held, F.lit("zz")).otherwise(F.col("lang")))
+    one, two = (sorted((str(r.doc_id), r.n_tokens, r.train_tokens, r.base_score, r.score) for r in lm_scoring.scored(x.coalesce(1)).where("not held_out").collect()) for x in (docs, other))
+    assert one == two and len(one) > 20
 
 
 def test_chat(spark):
