@@ -6,7 +6,7 @@ import ctypes
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side with at most this many (narrow) rows may be broadcast; beyond it a shuffled join is used.
@@ -14,20 +14,28 @@ BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. It is only made here where the session names none, as in tests."""
+    """The folder all executors share. It is only made here in local mode where the session names none, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagelens-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pagelens-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
 
-    batch_rows: at most so many rows in an Arrow batch meanwhile, for rows that hold texts."""
+    batch_rows: at most so many rows in an Arrow batch meanwhile, for rows that hold texts; other queries of the session that
+    start meanwhile get smaller batches as well, which changes no result."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path = f"{shared_dir(spark)}/pagelens-{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(key)
     try:
         if batch_rows:
@@ -38,6 +46,17 @@ def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_intermediates(spark: SparkSession) -> None:
+    """Deletes all that materialize has written for this application. For the end of a run: results must be written by then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, which may have dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size of the input, from file sizes, so no job runs; where it knows none, the texts are measured."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -1,36 +1,40 @@
 """Substring deduplication by super-k-mer partitioning.
 
-Windows of k words are compared exactly. Each window's minimiser is its word with the least hash, long words before
-short ones; a run of consecutive windows with one minimiser (a super-k-mer) is one slice of text. Slices go, packed and
-compressed, to the bucket of their minimiser, so all copies of a window meet in one bucket, where sorting the windows finds
-the groups. Before the shuffle each piece of input settles equal slices itself: all but those of its smallest doc_id are
-known to repeat, so a passage that a third of the corpus shares arrives once from each piece, not once from each document.
+Windows of k words are compared exactly. Each window's minimiser is its pair of neighbouring words with the least hash,
+pairs with a long word before others; a run of consecutive windows with one minimiser (a super-k-mer) is one slice of
+text. Slices go, packed and compressed, to the bucket of their minimiser, so all copies of a window meet in one bucket,
+where sorting the windows finds the groups. Equal slices are settled early: all but those of the smallest doc_id are known
+to repeat. Each piece of input does so before the shuffle, so a passage that a third of the corpus shares arrives once from
+each piece, and a bucket does so again while it takes in pieces, so what it holds is bounded by its distinct slices.
 
 Defined cases: null text has no words; texts with fewer than k words lose nothing; a window that repeats within one
 document only stays; rows that repeat a doc_id don't remove each other's windows, and each row is judged on its own text;
-a row with null doc_id is kept whole and removes nothing; an empty table gives an empty result.
+a row with null doc_id is kept whole and removes nothing; a very long text is a piece of its own, cut like others; other
+columns are kept, whatever their names, but for names that begin with _pl_; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for
+from .common import buckets_for, named
 from .words import Words, as_bytes, combine, row_slices, sliding_min
 
 K = 13
 _PIECE = 1_900_000
 _HEAD = np.dtype([("row", "<u4"), ("word", "<u4"), ("count", "<u4")])
-_ROW = np.dtype([("doc", "<i8"), ("tag", "<u4")])
-_SPAN = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4")])
+_ROW = np.dtype([("doc", "<i8"), ("tag", "<i8")])
+_SPAN = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("end", "<u4")])
+#: Bytes of slices that a bucket takes in before it settles equal ones.
+_SETTLE = 32 << 20
 
 
 def _encode(parts: list[np.ndarray | bytes]) -> bytes:
@@ -64,16 +68,34 @@ def _spans(doc: np.ndarray, tag: np.ndarray, first: np.ndarray, last: np.ndarray
     return out
 
 
+def _settled(doc: np.ndarray, words: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of the slices of bytes begin:end, each of a document, are equal to one of a smaller doc_id."""
+    same = words.span_hash(begin, end)
+    order = np.lexsort((doc, same))
+    head = np.ones(len(order), bool)
+    head[1:] = same[order][1:] != same[order][:-1]
+    rep = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    later = doc[order] > doc[rep]
+    view = memoryview(words.raw)
+    for i in np.flatnonzero(later):  # equal hashes are taken for equal slices only if they are
+        a, b = order[i], rep[i]
+        later[i] = view[begin[a] : end[a]] == view[begin[b] : end[b]]
+    out = np.zeros(len(order), bool)
+    out[order[later]] = True
+    return out
+
+
 def _slices(doc: np.ndarray, tag: np.ndarray, words: Words, k: int, buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed slices) of a piece of input."""
     if len(words) < k:
         return
     h = words.hashes()
-    key = (h >> np.uint64(1)) | ((words.ends - words.starts <= 4).astype(np.uint64) << np.uint64(63))
+    short = words.ends - words.starts <= 4
+    key = (combine(h, np.arange(len(h) - 1), 2) >> np.uint64(1)) | ((short[1:] & short[:-1]).astype(np.uint64) << np.uint64(63))
     at = words.window_starts(k)
     if not len(at):
         return
-    least = sliding_min(key, k)[at]
+    least = sliding_min(key, k - 1)[at]
     row = np.repeat(np.arange(len(doc)), np.diff(words.offsets))[at]
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | (row[1:] != row[:-1])
@@ -82,18 +104,7 @@ def _slices(doc: np.ndarray, tag: np.ndarray, words: Words, k: int, buckets: int
     w0, row, least = at[first], row[first], least[first]
     count = n + k - 1
     b0, b1 = words.starts[w0], words.ends[w0 + count - 1]
-    same = words.span_hash(b0, b1)
-    order = np.lexsort((doc[row], same))
-    head = np.ones(len(order), bool)
-    head[1:] = same[order][1:] != same[order][:-1]
-    rep = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    later = doc[row[order]] > doc[row[rep]]
-    view = memoryview(words.raw)
-    for i in np.flatnonzero(later):  # equal hashes are taken for equal slices only if they are
-        a, b = order[i], rep[i]
-        later[i] = view[b0[a] : b1[a]] == view[b0[b] : b1[b]]
-    settled = np.zeros(len(order), bool)
-    settled[order[later]] = True
+    settled, view = _settled(doc[row], words, b0, b1), memoryview(words.raw)
     word = w0 - words.offsets[row]
     bucket = ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
@@ -117,7 +128,7 @@ def _deal(k: int, buckets: int):
             for lo, hi in row_slices(batch.column(1), _PIECE):
                 docs = as_bytes(batch.column(1).slice(lo, hi - lo))
                 ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64)
-                tags = np.array([zlib.crc32(d) for d in docs], np.uint32)
+                tags = np.array([xxhash.xxh64_intdigest(d, seed=42) for d in docs], np.uint64).view(np.int64)
                 out = list(_slices(ids, tags, Words(docs), k, buckets))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "slices"])
 
@@ -138,20 +149,52 @@ def _order_windows(ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray,
     return order, new
 
 
+class _Bucket:
+    """The slices of a bucket, taken in blob by blob."""
+
+    def __init__(self):
+        self.owners, self.heads, self.texts, self.found = [], [], [], []
+        self.rows, self.size, self.limit = 0, 0, _SETTLE
+
+    def add(self, blob: bytes) -> None:
+        r, h, s, t = _decode(blob)
+        h["row"] += np.uint32(self.rows)
+        self.rows += len(r)
+        self.owners.append(r), self.heads.append(h), self.texts.append(t)
+        if len(s):
+            self.found.append(s)
+        self.size += len(t)
+        if self.size > self.limit:
+            self.settle()
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, Words]:
+        owners, heads = np.concatenate(self.owners), np.concatenate(self.heads)
+        return owners, heads, Words.packed(b"".join(self.texts), heads["count"])
+
+    def settle(self) -> None:
+        owners, heads, words = self.whole()
+        begin, end = words.starts[words.offsets[:-1]], words.ends[words.offsets[1:] - 1]
+        gone = _settled(owners["doc"][heads["row"]], words, begin, end)
+        h = heads[gone]
+        self.found = [np.unique(np.concatenate([*self.found, _spans(owners["doc"][h["row"]], owners["tag"][h["row"]], h["word"], h["word"] + h["count"])]))]
+        view = memoryview(words.raw)
+        left = b"".join([view[b:e] for b, e in zip(begin[~gone].tolist(), (end[~gone] + 1).tolist())])
+        used, heads = np.unique(heads["row"][~gone], return_inverse=True), heads[~gone]
+        heads["row"] = used[1]
+        self.owners, self.heads, self.texts, self.rows, self.size = [owners[used[0]]], [heads], [left], len(used[0]), len(left)
+        self.limit = max(_SETTLE, 2 * self.size)
+
+
 def _count(k: int):
-    def run(table: pa.Table) -> pa.Table:
-        owners, heads, spans, texts, base = [], [], [], [], 0
-        for blob in table.column("slices").to_pylist():
-            r, h, s, t = _decode(blob)
-            h["row"] += np.uint32(base)
-            base += len(r)
-            owners.append(r), heads.append(h), spans.append(s), texts.append(t)
-        owners, heads = np.concatenate(owners), np.concatenate(heads)
-        found = [x for x in spans if len(x)]
-        del spans
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = _Bucket()
+        for batch in batches:
+            for blob in batch.column(batch.schema.get_field_index("slices")).to_pylist():
+                bucket.add(blob)
+        owners, heads, words = bucket.whole()
+        found = bucket.found
+        del bucket
         if len(heads):
-            words = Words.packed(b"".join(texts), heads["count"])
-            del texts
             ids, at = words.ids(), words.window_starts(k)
             piece = np.repeat(np.arange(len(heads), dtype=np.int32), heads["count"])[at]
             doc = owners["doc"][heads["row"][piece]]
@@ -177,7 +220,7 @@ def _count(k: int):
         first = np.flatnonzero(new)
         off = pa.array(np.append(first, len(out)), pa.int32())
         lists = [pa.ListArray.from_arrays(off, pa.array(out[f].astype(np.int32))) for f in ("start", "end")]
-        return pa.table({"_pl_doc": out["doc"][first], "_pl_tag": out["tag"][first].astype(np.int64), "_pl_start": lists[0], "_pl_end": lists[1]})
+        yield pa.RecordBatch.from_arrays([pa.array(out["doc"][first]), pa.array(out["tag"][first]), *lists], ["_pl_doc", "_pl_tag", "_pl_start", "_pl_end"])
 
     return run
 
@@ -215,7 +258,7 @@ def _cut(names: list[str]):
 def dedup(docs: DataFrame, k: int = K) -> DataFrame:
     """docs with the columns _pl_kept (kept words joined by one space), _pl_words and _pl_gone (words, words removed)."""
     spans = repeated_spans(docs, k).groupBy("_pl_doc", "_pl_tag").agg(F.collect_list("_pl_start").alias("_pl_starts"), F.collect_list("_pl_end").alias("_pl_ends"))
-    tagged = docs.withColumn("_pl_key", F.crc32(F.col("text").cast("binary")))
+    tagged = docs.withColumn("_pl_key", F.xxhash64("text"))
     both = tagged.join(spans, (F.col("doc_id") == F.col("_pl_doc")) & (F.col("_pl_key") == F.col("_pl_tag")), "left").drop("_pl_doc", "_pl_tag", "_pl_key")
     schema = T.StructType([*docs.schema.fields]).add("_pl_kept", "string").add("_pl_words", "long").add("_pl_gone", "long")
     return both.mapInArrow(_cut(docs.columns), schema)
@@ -226,7 +269,7 @@ def strip_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     out = dedup(docs, k).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_pl_kept")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*named(docs.columns))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

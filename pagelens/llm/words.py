@@ -99,13 +99,17 @@ class Words:
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.starts, self.ends)
 
-    def ids(self) -> np.ndarray:
-        """Exact small integers, equal where the words are equal."""
+    def distinct(self) -> tuple[pa.Array, np.ndarray]:
+        """(distinct words, the place of each word among them). Exact: bytes are compared."""
         kept = self.buf[self.buf != 32]
         off = np.zeros(len(self) + 1, np.int64)
         np.cumsum(self.ends - self.starts, out=off[1:])
-        arr = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(off), pa.py_buffer(kept)])
-        return arr.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        arr = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(off), pa.py_buffer(kept)]).dictionary_encode()
+        return arr.dictionary, arr.indices.to_numpy(zero_copy_only=False)
+
+    def ids(self) -> np.ndarray:
+        """Exact small integers, equal where the words are equal."""
+        return self.distinct()[1]
 
     def window_starts(self, k: int) -> np.ndarray:
         """First word of each window of k words that lies within one text."""
