@@ -3,10 +3,12 @@
 A text is tokenised once. Its ids are cut into pieces of the sequence length and a remainder; a full piece is a sequence of
 its own. Remainders of a randomly drawn group of documents go, longest first, into the first open sequence that has room;
 a tree whose nodes hold the most room below them finds it in logarithmic time. Groups are independent, of about
-GROUP_DOCS documents each whatever the size of the input, and don't depend on source, length or order.
+GROUP_DOCS documents each whatever the size of the input, drawn by the row's place in the input files, so that equal rows
+spread like others; a task that runs again draws the same.
 
 The vocabulary cuts a text into parts (runs of letters, digits, signs) and merges within each part only, so the ids of a text
-are those of its parts in turn, and each distinct part is merged once in a worker. Tests compare this with whole texts.
+are those of its parts in turn, and each distinct part is merged once in a worker, which keeps what it met first from task
+to task, within bounds. Tests compare this with whole texts.
 
 Defined cases: a null text is empty and has the end id alone; rows that repeat are packed as often as they occur; a very
 long text is cut into as many pieces as it needs; an empty table gives an empty result; other columns are ignored.
@@ -23,17 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back
-from .words import Words, row_slices
+from .words import Words, mix, row_slices
 
 CAPACITY = 4096
 END_ID = 2
 GROUP_DOCS = 2048
 SEED = 17
-_KEPT_IDS = 2_000_000
+#: Ids and words that a worker keeps while it works, and of them from task to task.
+_KEPT_IDS, _HELD_WORDS = 2_000_000, 150_000
 _PIECE = 1_900_000
 
 
@@ -73,10 +77,24 @@ class _Tokens(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.words: dict[int, int] = {}
+        self.words: dict[bytes, int] = {}
         self.pool, self.sizes, self.starts = array("I"), array("q"), array("q")
         self._keep([END_ID])
 
+    def trim(self, places: int = _HELD_WORDS) -> bool:
+        """Keeps about that many of the parts and words that came first, which common ones do; whether anything went."""
+        if len(self.sizes) <= places:
+            return False
+        if self.starts[places] > _KEPT_IDS // 2:  # very long parts
+            self.forget()
+            return True
+        kept = [(x, {k: v for k, v in x.items() if v < places}) for x in (self, self.words)]
+        for x, left in kept:
+            x.clear()
+            x.update(left)
+        del self.pool[self.starts[places] :], self.sizes[places:], self.starts[places:]
+        return True
+
     def _keep(self, ids: list[int]) -> int:
         self.starts.append(len(self.pool))
         self.sizes.append(len(ids))
@@ -88,22 +106,22 @@ class _Tokens(dict):
         self[part] = at = self._keep([t.id for t in self.tokenizer.model.tokenize(spelled)])
         return at
 
-    def word(self, key: int, word: bytes) -> int:
-        """The place of a word's ids, kept under the 64-bit hash of the word."""
+    def word(self, word: bytes) -> int:
+        """The place of a word's ids."""
         places = [self[p] for p in self.parts(unicodedata.normalize("NFC", word.decode()).lower())]
         at = places[0] if len(places) == 1 else self._keep([x for p in places for x in self.pool[self.starts[p] : self.starts[p] + self.sizes[p]]])
-        self.words[key] = at
+        self.words[word] = at
         return at
 
     def ids(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all docs with the end id after each, where each begins and the last ends)."""
         if len(self.pool) > _KEPT_IDS:
-            self.forget()
+            self.trim()
         plain = [bool(self.plain(d)) and not any(s in d for s in self.special) for d in docs]
         words = Words([d.encode() if ok else b"" for d, ok in zip(docs, plain)])
-        keys, first, index = np.unique(words.hashes() + (words.ends - words.starts).astype(np.uint64), return_index=True, return_inverse=True)
-        get, raw = self.words.get, words.raw
-        place = np.fromiter((self.word(k, raw[a:b]) if (at := get(k)) is None else at for k, a, b in zip(keys.tolist(), words.starts[first].tolist(), words.ends[first].tolist())), np.int64, len(keys))
+        distinct, index = words.distinct()
+        get = self.words.get
+        place = np.fromiter((self.word(w) if (at := get(w)) is None else at for w in distinct.to_pylist()), np.int64, len(distinct))
         close = np.array([0 if ok else self._keep([*self.tokenizer.encode(d, add_special_tokens=False).ids, END_ID]) for d, ok in zip(docs, plain)], np.int64)
         seq = np.insert(place[index], words.offsets[1:], close)
         pool, size, start = np.array(self.pool, "<u4"), np.array(self.sizes), np.array(self.starts)
@@ -123,9 +141,9 @@ def _tokens(path: str) -> _Tokens:
     return _made[path]
 
 
-def _pieces(path: str, capacity: int):
+def _pieces(path: str, capacity: int, groups: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(path)
+        tokens, row_id = _tokens(path), TaskContext.get().partitionId() << 36
         for batch in batches:
             for lo, hi in row_slices(batch.column(1), _PIECE):
                 ids, bounds = tokens.ids([x or "" for x in batch.column(1).slice(lo, hi - lo).to_pylist()])
@@ -137,9 +155,11 @@ def _pieces(path: str, capacity: int):
                 view, first = memoryview(ids).cast("B"), bounds[row] + start
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist())]
                 doc = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([doc, *(pa.array(x, pa.int64()) for x in (start, length, crc, total[row]))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        tokens.forget()
-        give_back()
+                drawn = mix(mix(np.arange(row_id, row_id + hi - lo, dtype=np.uint64)) + np.uint64(seed)) % np.uint64(groups)
+                row_id += hi - lo
+                yield pa.RecordBatch.from_arrays([doc, *(pa.array(x, pa.int64()) for x in (start, length, crc, total[row])), pa.array(drawn[row].astype(np.int32))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_pl_group"])
+        if tokens.trim():
+            give_back()
 
     return run
 
@@ -184,9 +204,7 @@ def _pack(capacity: int):
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = SEED) -> DataFrame:
     """Pieces of docs (doc_id, text) with the sequence and the offset each one is packed to."""
     groups = max(1, -(-docs.count() // group_docs))
-    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path or vocabulary_path(), capacity), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
-    # the end id's piece tells rows that share a doc_id apart, so that a null or repeated id is no hot group
-    dealt = pieces.withColumn("_pl_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", "ids_crc32"), F.lit(groups)).cast("int"))
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path or vocabulary_path(), capacity, groups, seed), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, _pl_group int")
     return dealt.groupBy("_pl_group").applyInArrow(_pack(capacity), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
