@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, materialize, small_or_plain
+from .common import BROADCAST_ROWS, materialize, named, small_or_plain
 from .words import as_bytes, row_slices
 
 SAMPLE_ROWS = 20_000
@@ -236,7 +236,7 @@ def identified(docs: DataFrame, host: str = "source", least: float = LEAST, keep
 
 def accepted(docs: DataFrame) -> DataFrame:
     """docs without the rejected ones."""
-    return identified(docs).where("_pl_ok").select(*docs.columns)
+    return identified(docs).where("_pl_ok").select(*named(docs.columns))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

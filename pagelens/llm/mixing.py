@@ -7,8 +7,13 @@ of a source changes its total. Documents are folded in random groups of about GR
 is short; it goes to the next level of a tree of that arity, until one document of the source is left.
 
 Draws are hashes of the seed and the pair, so reruns agree. Equal rows are one unit with a count: a row that repeats
-without bound makes no large group. Defined cases: null text has size 0; documents of size 0 take nothing; sources order
-by code point, null last; a null doc_id is a document like others; an empty table gives an empty result.
+without bound makes no large group. Targets are worked out on the table of sources, which is ranked and summed in
+parts, so that a source for each host of a crawl is no more than another table.
+
+Defined cases: null text has size 0; documents of size 0 take nothing; sources order by code point, null last; a null doc_id
+is a document like others; a very long text is a unit like others, its size all that is kept; units of one size are in
+order of their hash; columns may have any names (mixed keeps them, copies ignores them); maps don't tell rows apart; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_or_plain
+from .common import materialize, named, small_or_plain
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -28,21 +33,31 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _ranked(per: DataFrame) -> DataFrame:
+    """per (source, ...) with turn, the place of its source from 0 on: places within sorted ranges, after those before."""
+    ranges = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = F.col("source").asc_nulls_last()
+    placed = materialize(per.repartitionByRange(ranges, by).sortWithinPartitions(by).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("at", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each range
+    sizes = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(sizes), part == F.col("part")).withColumn("turn", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("at", "part", "before")
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, units, target) of sizes (source, size): shares of the whole by weight, none above the cap.
 
-    With sources in order of size over weight, those at their cap come first, so running sums give the level of the rest.
-    """
+    The level of a weight of 1 rises as sources reach their cap, until none above it is left."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("units"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(turn - 1, F.lit(len(WEIGHTS))) + 1).cast("int")))
-    every, by = Window.partitionBy(), Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda c: F.coalesce(F.sum(c).over(by), F.lit(0))
-    cap = MOST_COPIES * F.col("source_size")
-    per = per.withColumn("level", (F.sum("source_size").over(every) - MOST_COPIES * before("source_size")).cast("double") / (F.sum("weight").over(every) - before("weight")))
-    free = F.when(cap > F.col("level") * F.col("weight"), F.col("level"))
-    per = per.withColumn("level", F.first(free, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return per.select("source", "source_size", "units", F.least(cap.cast("double"), F.coalesce(F.col("level") * F.col("weight"), cap.cast("double"))).alias("target"))
+    per = _ranked(per).withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod("turn", F.lit(len(WEIGHTS))) + 1).cast("int")))
+    per = materialize(per, "weights")
+    cap, level, before = MOST_COPIES * F.col("source_size"), 0.0, None
+    while level != before:
+        full = cap <= F.lit(level) * F.col("weight")
+        whole, kept, weight = per.agg(F.sum("source_size"), F.sum(F.when(full, cap).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("weight")))).first()
+        before, level = level, (whole - kept) / weight if weight else level
+    target = F.least(cap.cast("double"), F.lit(level) * F.col("weight"))
+    return per.select("source", "source_size", "units", target.alias("target"))
 
 
 def _draw(seed: int, *cols: Column) -> Column:
@@ -71,11 +86,15 @@ def _fold(units: Column, seed: int) -> Column:
     return F.aggregate(F.slice(units, 2, F.greatest(F.size(units) - 1, F.lit(1))), first, step)
 
 
+def _key(docs: DataFrame) -> Column:
+    return F.xxhash64(*named([c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]))
+
+
 def copies(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """A row for each row of docs (doc_id, text, source): key, doc_id, size, source_size, target, copies.
 
     key is a hash of the whole row; equal rows have equal keys."""
-    sized = docs.select(F.xxhash64(*docs.columns).alias("key"), F.col("doc_id").cast("long"), "source", word_count("text").alias("size"))
+    sized = docs.select(_key(docs).alias("key"), F.col("doc_id").cast("long"), "source", word_count("text").alias("size"))
     units = materialize(sized.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("rows")), "units")
     targets = materialize(source_targets(units.select("source", (F.col("size") * F.col("rows")).alias("size"))), "targets")
     join = lambda left: left.join(small_or_plain(targets), left["source"].eqNullSafe(targets["source"])).drop(targets["source"])
@@ -110,13 +129,12 @@ def copies(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs, each row as often as the mix takes it. Documents without words stay once."""
-    keyed = docs.withColumn("_pl_key", F.xxhash64(*docs.columns))
-    taken = copies(docs, seed).groupBy("key").agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("_pl_copies"), F.count("*").alias("_pl_rows"))
-    taken = taken.where("_pl_copies > 0")
+    keyed = docs.select(_key(docs).alias("key"), F.struct(*named(docs.columns)).alias("row"))
+    taken = copies(docs, seed).groupBy("key").agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("copies"), F.count("*").alias("rows"))
+    rows = keyed.join(taken.where("copies > 0"), "key")
     # equal rows share a key: the mix's copies of them all come from one of them
-    rows = keyed.join(taken, keyed["_pl_key"] == taken["key"])
-    once = rows.where("_pl_rows = 1").unionByName(rows.where("_pl_rows > 1").dropDuplicates(["_pl_key"]))
-    return once.withColumn("_pl_turn", F.explode(F.sequence(F.lit(1), F.col("_pl_copies")))).select(*docs.columns)
+    once = rows.where("rows = 1").unionByName(rows.where("rows > 1").dropDuplicates(["key"]))
+    return once.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
