@@ -31,6 +31,13 @@ def normalized(url: Column) -> Column:
     return F.when(F.lower(bare).rlike(r"^https?://"), bare).otherwise(F.concat(F.lit("https://"), bare))
 
 
+def rejected(url: Column) -> Column:
+    """Why a target can't be scanned: empty, a scheme other than http and https, or no host; null for one that can."""
+    bare = F.trim(F.coalesce(url, F.lit("")))
+    other = bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://") & ~F.lower(bare).rlike(r"^https?://")
+    return F.when(bare == "", "empty").when(other, "unsupported scheme").when(host_of(normalized(bare)) == "", "no host")
+
+
 def origin(url: Column) -> Column:
     return F.concat(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://)", 1), authority(url), F.lit("/"))
 

@@ -1,90 +1,33 @@
 """Fraud and phishing signals of captures.
 
-Each detector gives rows (scan_id, emit_ord, rule_id, category, label, evidence, severity, weight); emit_ord is the order
-in which signals count as found, for the dedupe that keeps the first. Rules are literal arrays in the plan: no join, no
-shuffle, and patterns are compiled once. Html is read by the scan and leaves no stage.
+Each detector is an expression that gives an array of findings (emit_ord, rule_id, category, label, evidence, severity,
+weight) in a page's row; emit_ord is the order in which signals count as found, for the dedupe that keeps the first. The
+expressions read the columns that prepared() adds. Rules are literal arrays in the plan: no join, no shuffle, and patterns
+are compiled once. A function of the detector's name gives its findings as rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import authority, host_of, is_ipv4, path_of, tld
-from ..sources.fixed_values import (
-    BRAND_OFFICIAL_DOMAINS,
-    CREDENTIAL_HINTS,
-    CURRENCY_MARKERS,
-    HIGH_SEVERITY_CREDENTIAL_HINTS,
-    LEXICON,
-    OBFUSCATION,
-    PH_BRANDS,
-    PHISHY_PATH_WORDS,
-    QR_CHAT_MARKS,
-    QR_PAY_MARKS,
-    REGEX_DETECTORS,
-    SUSPICIOUS_TLDS,
-)
+from ..sources.fixed_values import QR_CHAT_MARKS, QR_PAY_MARKS
+from ..sources.rules import RULES, Rules
+from .arrays import any_of, exploded, first_of_each, literal, literal_rows, matching, pattern, sql_of, where_true
 
 FIELDS = ("emit_ord", "rule_id", "category", "label", "evidence", "severity", "weight")
+_KINDS = ("bigint", "string", "string", "string", "string", "string", "int")
+FINDING = "struct<" + ",".join(f"{f}:{k}" for f, k in zip(FIELDS, _KINDS)) + ">"
+_ROW = ", ".join(f"{f} {k}" for f, k in zip(FIELDS, _KINDS))
 
 
 def finding(order, rule, category, label, evidence, severity, weight) -> Column:
-    of = lambda x: x if isinstance(x, Column) else F.lit(x)
-    kinds = ("bigint", "string", "string", "string", "string", "string", "int")
-    return F.struct(*(of(x).cast(k).alias(f) for f, k, x in zip(FIELDS, kinds, (order, rule, category, label, evidence, severity, weight))))
-
-
-def exploded(df: DataFrame, found: Column) -> DataFrame:
-    return df.select("scan_id", F.explode(found).alias("f")).select("scan_id", "f.*")
-
-
-def pattern(text: str, ignore_case: bool) -> str:
-    return ("(?iuU)" if ignore_case else "(?U)") + text
-
-
-def where_true(*tests: tuple[Column, Column]) -> Column:
-    """The findings whose condition holds."""
-    return F.filter(F.array(*(F.when(test, made) for test, made in tests)), lambda x: x.isNotNull())
-
-
-def lexicon(caps: DataFrame) -> DataFrame:
-    rules = F.array(*(finding(i, r, f"scam_{c}", p, p, s, w) for i, (r, c, p, s, w) in enumerate(LEXICON)))
-    low = caps.select("scan_id", F.lower("html").alias("low"))
-    hit = F.filter(rules, lambda r: F.contains(F.col("low"), r["evidence"]))
-    return exploded(low, hit)
-
-
-def currency(caps: DataFrame) -> DataFrame:
-    low = F.lower("html")
-    any_of = F.lit(False)
-    for m in CURRENCY_MARKERS:
-        any_of = any_of | F.contains(low, F.lit(m))
-    return exploded(caps, where_true((any_of, finding(900, "ref.ph-currency", "ph_currency", "currency context", "₱/PHP/GCash/Maya marker", "info", 2))))
-
-
-def _token_finding(order, rule, category, label, severity, weight, token: Column, n: Column) -> Column:
-    return finding(order + n, rule, category, label, token, severity, weight)
-
-
-def regex_tokens(caps: DataFrame, text: str = "html", key: str = "scan_id") -> DataFrame:
-    """Distinct tokens of each rule, the first 200 characters of each, in order of appearance."""
-    per_rule = []
-    for i, (rule, category, label, severity, weight, fold, says) in enumerate(REGEX_DETECTORS):
-        tokens = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern(says, fold)), 0), lambda t: F.substring(t, 1, 200)))
-        made = partial(_token_finding, (i + 1) * 10_000, rule, category, label, severity, weight)
-        per_rule.append(F.transform(tokens, lambda t, n: made(t, n)))
-    return caps.select(F.col(key).alias("scan_id"), F.explode(F.flatten(F.array(*per_rule))).alias("f")).select("scan_id", "f.*")
-
-
-def obfuscation(caps: DataFrame) -> DataFrame:
-    tests = [(F.col("html").rlike(pattern(says, fold)), finding(200_000 + i, rule, "obfuscation", label, label, "medium", 7)) for i, (rule, label, fold, says) in enumerate(OBFUSCATION)]
-    return exploded(caps, where_true(*tests))
+    values = (order, rule, category, label, evidence, severity, weight)
+    return F.struct(*(x.cast(k).alias(f) if isinstance(x, Column) else F.expr(f"CAST({sql_of(x)} AS {k}) AS {f}") for f, k, x in zip(FIELDS, _KINDS, values)))
 
 
 class _Tags(HTMLParser):
@@ -114,97 +57,168 @@ class _Tags(HTMLParser):
 _TAGS = pa.list_(pa.struct([("tag", pa.string()), ("form", pa.int32()), ("attrs", pa.map_(pa.string(), pa.string()))]))
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for html in batch.column(2).to_pylist():
-            parser = _Tags()
-            parser.feed(html or "")
+def _parse(html: pa.Array) -> pa.Array:
+    out = []
+    for text in html.to_pylist():
+        parser = _Tags()
+        try:
+            parser.feed(text or "")
             parser.close()
-            out.append(parser.found)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _TAGS)], ["scan_id", "url", "tags"])
-
-
-def parsed_tags(caps: DataFrame) -> DataFrame:
-    """(scan_id, url, tags) with the input, meta and form tags of each page: no built-in function parses HTML."""
-    return caps.select("scan_id", "url", "html").mapInArrow(_parse, "scan_id bigint, url string, tags array<struct<tag:string,form:int,attrs:map<string,string>>>")
-
-
-def credentials(tags: DataFrame) -> DataFrame:
-    """What inputs ask for. The first input that shows a hint decides; a password type is a hint before the others."""
-    inputs = F.filter("tags", lambda t: t["tag"] == "input")
-    blobs = F.transform(inputs, lambda t: F.struct((F.lower(F.coalesce(t["attrs"]["type"], F.lit(""))) == "password").alias("secret"), F.lower(F.array_join(F.transform(F.array(*map(F.lit, ("type", "name", "id", "placeholder", "aria-label"))), lambda a: F.coalesce(t["attrs"][a], F.lit(""))), " ")).alias("blob")))
-    found = tags.select("scan_id", F.posexplode(blobs).alias("n", "b"))
-    by_type = F.when(F.col("b.secret"), F.struct(F.lit(-1).alias("at"), F.lit("password").alias("hint")))
-    hints = F.array(by_type, *(F.when(F.contains("b.blob", F.lit(h)), F.struct(F.lit(i).alias("at"), F.lit(h).alias("hint"))) for i, h in enumerate(CREDENTIAL_HINTS)))
-    each = found.select("scan_id", "n", F.explode(F.filter(hints, lambda x: x.isNotNull())).alias("h")).select("scan_id", "h.hint", F.struct("n", "h.at").alias("o"))
-    first = each.groupBy("scan_id", "hint").agg(F.min("o").alias("o"))
-    high = F.col("hint").isin(*HIGH_SEVERITY_CREDENTIAL_HINTS)
-    weight = F.when(F.col("o.at") == -1, 12).when(high, 14).otherwise(8)
-    severity = F.when((F.col("o.at") == -1) | high, "high").otherwise("medium")
-    rule = F.when((F.col("o.at") == -1) | high, "ref.credential-hint-high").otherwise("ref.credential-hint")
-    return first.select("scan_id", finding(300_000 + F.col("o.n") * 100 + F.col("o.at") + 1, rule, "credential_harvest", F.col("hint"), F.col("hint"), severity, weight).alias("f")).select("scan_id", "f.*")
-
-
-def brand(caps: DataFrame, with_form: DataFrame) -> DataFrame:
-    """Brands named on hosts that aren't theirs. with_form: distinct scan_id of pages that ask for credentials."""
-    low, host = F.lower("html"), host_of(F.col("url"))
-    official = F.lit(False)
-    for d in BRAND_OFFICIAL_DOMAINS:
-        official = official | (F.col("host") == d) | F.endswith("host", F.lit("." + d))
-    named = F.array_sort(F.filter(F.array(*(F.when(low.rlike(r"(?U)\b" + _literal(b) + r"\b"), b) for b in PH_BRANDS)), lambda x: x.isNotNull()))
-    hits = caps.select("scan_id", host.alias("host"), named.alias("named")).where((F.col("host") != "") & ~official & (F.size("named") > 0))
-    hits = hits.join(with_form.withColumnRenamed("scan_id", "form_id"), F.col("scan_id") == F.col("form_id"), "left")
-    active = F.col("form_id").isNotNull()
-    return exploded(hits, F.array(finding(400_000, "ref.brand-impersonation", "brand_impersonation", F.when(active, "with credential form").otherwise("named"), F.concat(F.array_join(F.array_distinct("named"), ", "), F.lit(" @ "), F.col("host")), F.when(active, "high").otherwise("medium"), F.when(active, 16).otherwise(9))))
+        except AssertionError:  # how the parser rejects broken declarations: what it found so far counts
+            pass
+        out.append(parser.found)
+    return pa.array(out, _TAGS)
+
+
+def tags_of(html: str) -> Column:
+    """The input, meta and form tags of a page: no built-in function parses HTML."""
+    return F.arrow_udf(_parse, "array<struct<tag:string,form:int,attrs:map<string,string>>>")(html)
+
+
+def prepared(caps: DataFrame) -> DataFrame:
+    """Captures with low (html in lower case), host, authority and tags; what isn't used isn't computed."""
+    return caps.withColumn("html", F.coalesce("html", F.lit(""))).withColumns({"low": F.lower("html"), "host": host_of(F.col("url")), "authority": authority(F.col("url")), "tags": tags_of("html")})
+
+
+def lexicon_found(rules: Rules = RULES) -> Column:
+    return F.filter(literal_rows(((i, r, f"scam_{c}", p, p, s, w) for i, (r, c, p, s, w) in enumerate(rules.lexicon)), _ROW), lambda r: F.contains(F.col("low"), r["evidence"]))
+
+
+def currency_found(rules: Rules = RULES) -> Column:
+    return where_true((any_of("low", rules.currency_markers), finding(900, "ref.ph-currency", "ph_currency", "currency context", "₱/PHP/GCash/Maya marker", "info", 2)))
+
+
+def regex_found(rules: Rules = RULES, text: str = "html") -> Column:
+    """Distinct tokens of each rule, the first 200 characters of each, in order of appearance."""
+    per_rule = []
+    for i, (rule, category, label, severity, weight, fold, says) in enumerate(rules.regexes):
+        tokens = f"array_distinct(transform(regexp_extract_all({text}, {sql_of(pattern(says, fold))}, 0), t -> substring(t, 1, 200)))"
+        values = (f"{(i + 1) * 10_000} + n", sql_of(rule), sql_of(category), sql_of(label), "t", sql_of(severity), sql_of(weight))
+        per_rule.append(f"transform({tokens}, (t, n) -> named_struct(" + ", ".join(f"'{f}', CAST({v} AS {k})" for f, k, v in zip(FIELDS, _KINDS, values)) + "))")
+    return F.expr("flatten(array(" + ", ".join(per_rule) + "))") if per_rule else F.array().cast(f"array<{FINDING}>")
+
+
+def obfuscation_found(rules: Rules = RULES) -> Column:
+    return matching(((f"rlike(html, {sql_of(pattern(says, fold))})", literal(_ROW, (200_000 + i, rule, "obfuscation", label, label, "medium", 7))) for i, (rule, label, fold, says) in enumerate(rules.obfuscation)), FINDING)
+
+
+def _asked(rules: Rules) -> Column:
+    """What inputs show hints of, as (n, at, hint): a password type is a hint before the others."""
+    attrs = F.expr("array('type', 'name', 'id', 'placeholder', 'aria-label')")
+    blob = lambda t: F.lower(F.array_join(F.transform(attrs, lambda a: F.coalesce(t["attrs"][a], F.lit(""))), " "))
+    inputs = F.transform(F.filter("tags", lambda t: t["tag"] == "input"), lambda t: F.struct((F.lower(F.coalesce(t["attrs"]["type"], F.lit(""))) == "password").alias("secret"), blob(t).alias("blob")))
+    hints = literal_rows([(-1, "password"), *enumerate(rules.credential_hints)], "at int, hint string")
+    each = lambda b, n: F.transform(F.filter(hints, lambda h: F.when(h["at"] < 0, b["secret"]).otherwise(F.contains(b["blob"], h["hint"]))), lambda h: F.struct(n.alias("n"), h["at"].alias("at"), h["hint"].alias("hint")))
+    return F.flatten(F.transform(inputs, each))
+
+
+def _one_asked(h: Column) -> Column:
+    """The finding of a hint's first place."""
+    high = h["high"] | (h["first"]["at"] == -1)
+    order = F.lit(300_001) + h["first"]["n"] * 100 + h["first"]["at"]
+    return finding(order, F.when(high, "ref.credential-hint-high").otherwise("ref.credential-hint"), "credential_harvest", h["hint"], h["hint"], F.when(high, "high").otherwise("medium"), F.when(h["first"]["at"] == -1, 12).when(high, 14).otherwise(8))
+
+
+def with_credentials(df: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """df with creds: what inputs ask for, of each hint the first input that shows it."""
+    hints = literal_rows(((h, h in rules.high_severity_credential_hints) for h in dict.fromkeys(("password", *rules.credential_hints))), "hint string, high boolean")
+    firsts = F.transform(hints, lambda h: F.struct(h["hint"].alias("hint"), h["high"].alias("high"), F.get(F.filter("asked", lambda x: x["hint"] == h["hint"]), F.lit(0)).alias("first")))
+    found = F.transform(F.filter(firsts, lambda h: h["first"].isNotNull()), _one_asked)
+    return df.withColumn("asked", _asked(rules)).withColumn("creds", F.array_sort(found))
+
+
+def credentials_without_parser(html: str, rules: Rules = RULES) -> Column:
+    """A looser test for engines without the parser: a password input anywhere, and hints anywhere in the page."""
+    low = F.lower(html)
+    tests = [(F.col(html).rlike("""(?i)<input[^>]+type=["']?password"""), finding(300_000, "ref.credential-hint-high", "credential_harvest", "password", "password", "high", 12))]
+    for i, h in enumerate(rules.credential_hints):
+        high = h in rules.high_severity_credential_hints
+        tests.append((F.contains(low, F.lit(h)), finding(300_001 + i, "ref.credential-hint-high" if high else "ref.credential-hint", "credential_harvest", h, h, "high" if high else "medium", 14 if high else 8)))
+    return where_true(*tests)
 
 
 def _literal(text: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in text)
 
 
-def domain(caps: DataFrame) -> DataFrame:
-    df = caps.select("scan_id", host_of(F.col("url")).alias("host"))
-    ip = is_ipv4(F.col("host"))
-    return exploded(
-        df,
-        where_true(
-            (ip, finding(410_000, "ref.raw-ip-host", "domain_reputation", "raw address", F.col("host"), "low", 4)),
-            (~ip & tld(F.col("host")).isin(*SUSPICIOUS_TLDS), finding(410_001, "ref.suspicious-tld", "domain_reputation", tld(F.col("host")), F.col("host"), "low", 5)),
-        ),
-    )
+def brand_found(rules: Rules = RULES) -> Column:
+    """Brands named on hosts that aren't theirs; reads creds, since a page that asks for credentials weighs more."""
+    host = F.col("host")
+    official = F.expr(" OR ".join(f"host = {sql_of(d)} OR endswith(host, {sql_of('.' + d)})" for d in rules.brand_official_domains) or "FALSE")
+    named = F.array_sort(matching(((f"rlike(low, {sql_of(r'(?U)' + chr(92) + 'b' + _literal(b) + chr(92) + 'b')})", sql_of(b)) for b in dict.fromkeys(rules.ph_brands)), "string"))
+    active = F.size("creds") > 0
+    made = F.transform(F.filter(F.array(named), lambda n: F.size(n) > 0), lambda n: finding(400_000, "ref.brand-impersonation", "brand_impersonation", F.when(active, "with credential form").otherwise("named"), F.concat(F.array_join(n, ", "), F.lit(" @ "), host), F.when(active, "high").otherwise("medium"), F.when(active, 16).otherwise(9)))
+    return F.filter(made, lambda _: (host != "") & ~official)
 
 
-def anomalies(caps: DataFrame) -> DataFrame:
-    df = caps.select("scan_id", host_of(F.col("url")).alias("host"), authority(F.col("url")).alias("authority"), F.lower(path_of(F.col("url"))).alias("path"))
-    labels = F.when(F.col("host") == "", 0).otherwise(F.size(F.split("host", r"\.")))
-    words = F.array_sort(F.filter(F.array(*(F.when(F.contains("path", F.lit(w)), w) for w in PHISHY_PATH_WORDS)), lambda x: x.isNotNull()))
+def domain_found(rules: Rules = RULES) -> Column:
     host = F.col("host")
-    return exploded(
-        df,
-        where_true(
-            (F.startswith(host, F.lit("xn--")) | F.contains(host, F.lit(".xn--")), finding(500_000, "ref.punycode-host", "url_anomaly", "punycode", host, "medium", 8)),
-            (F.contains("authority", F.lit("@")), finding(500_001, "ref.at-in-url", "url_anomaly", "user part", F.substring("authority", 1, 80), "high", 10)),
-            (labels >= 5, finding(500_002, "ref.subdomain-depth", "url_anomaly", labels, host, "low", 4)),
-            (F.length(host) - F.length(F.replace(host, F.lit("-"), F.lit(""))) >= 4, finding(500_003, "ref.hyphen-stuffing", "url_anomaly", "hyphens", host, "low", 3)),
-            (F.size(words) > 0, finding(500_004, "ref.phishy-path", "url_anomaly", F.array_join(words, ", "), F.substring("path", 1, 120), "low", 4)),
-        ),
+    ip = is_ipv4(host)
+    return where_true(
+        (ip, finding(410_000, "ref.raw-ip-host", "domain_reputation", "raw address", host, "low", 4)),
+        (~ip & tld(host).isin(*rules.suspicious_tlds), finding(410_001, "ref.suspicious-tld", "domain_reputation", tld(host), host, "low", 5)),
+    )
+
+
+def anomalies_found(rules: Rules = RULES) -> Column:
+    host, path = F.col("host"), F.lower(path_of(F.col("url")))
+    labels = F.when(host == "", 0).otherwise(F.size(F.split(host, r"\.")))
+    words = F.array_sort(F.filter(F.expr(f"CAST({sql_of(rules.phishy_path_words)} AS array<string>)"), lambda w: F.contains(path, w)))
+    return where_true(
+        (F.startswith(host, F.lit("xn--")) | F.contains(host, F.lit(".xn--")), finding(500_000, "ref.punycode-host", "url_anomaly", "punycode", host, "medium", 8)),
+        (F.contains("authority", F.lit("@")), finding(500_001, "ref.at-in-url", "url_anomaly", "user part", F.substring("authority", 1, 80), "high", 10)),
+        (labels >= 5, finding(500_002, "ref.subdomain-depth", "url_anomaly", labels, host, "low", 4)),
+        (F.length(host) - F.length(F.replace(host, F.lit("-"), F.lit(""))) >= 4, finding(500_003, "ref.hyphen-stuffing", "url_anomaly", "hyphens", host, "low", 3)),
+        (F.size(words) > 0, finding(500_004, "ref.phishy-path", "url_anomaly", F.array_join(words, ", "), F.substring(path, 1, 120), "low", 4)),
     )
 
 
+def with_hits(df: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """prepared captures with hits: all findings; of those that agree in category, label and evidence the first."""
+    df = with_credentials(df, rules)
+    parts = (lexicon_found(rules), currency_found(rules), regex_found(rules), obfuscation_found(rules), F.col("creds"), brand_found(rules), domain_found(rules), anomalies_found(rules))
+    df = df.withColumn("found", F.filter(F.flatten(F.array(*parts)), lambda x: x.isNotNull()))
+    return df.withColumn("hits", first_of_each("found", lambda x: F.struct(x["category"], x["label"], x["evidence"]))).drop("found", "creds")
+
+
 def qr_payloads(codes: DataFrame) -> DataFrame:
     """Findings of decoded codes (scan_id, code_type, payload)."""
     low = F.lower("payload")
-    has = lambda marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(low, m))
-    chat, pay = has(QR_CHAT_MARKS), has(QR_PAY_MARKS)
+    chat, pay = any_of(low, QR_CHAT_MARKS), any_of(low, QR_PAY_MARKS)
     return exploded(codes, F.array(finding(-1, "ref.payment-qr", "payment_qr", F.col("code_type"), F.substring("payload", 1, 300), F.when(chat | pay, "high").otherwise("medium"), F.when(chat, 14).when(pay, 12).otherwise(8))))
 
 
-def all_heuristics(caps: DataFrame) -> DataFrame:
-    """All of them; of findings that agree in category, label and evidence the first."""
-    creds = credentials(parsed_tags(caps))
-    every = lexicon(caps)
-    for more in (currency(caps), regex_tokens(caps), obfuscation(caps), creds, brand(caps, creds.select("scan_id").distinct()), domain(caps), anomalies(caps)):
-        every = every.unionByName(more)
-    first = F.row_number().over(Window.partitionBy("scan_id", "category", "label", "evidence").orderBy("emit_ord"))
-    return every.withColumn("n", first).where("n = 1").drop("n")
+def lexicon(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
+    return exploded(prepared(caps).select("scan_id", "low"), lexicon_found(rules))
+
+
+def currency(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
+    return exploded(prepared(caps), currency_found(rules))
+
+
+def regex_tokens(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
+    return exploded(caps, regex_found(rules))
+
+
+def obfuscation(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
+    return exploded(caps, obfuscation_found(rules))
+
+
+def credentials(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
+    return exploded(with_credentials(prepared(caps).select("scan_id", "tags"), rules), F.col("creds"))
+
+
+def brand(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
+    return exploded(with_credentials(prepared(caps), rules), brand_found(rules))
+
+
+def domain(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
+    return exploded(prepared(caps), domain_found(rules))
+
+
+def anomalies(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
+    return exploded(prepared(caps), anomalies_found(rules))
+
+
+def all_heuristics(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
+    return exploded(with_hits(prepared(caps), rules), F.col("hits"))

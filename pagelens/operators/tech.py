@@ -1,73 +1,104 @@
-"""Software fingerprints of captures, and the known vulnerabilities of what they name."""
+"""Software fingerprints of captures, and the known vulnerabilities of what they name; as arrays in a page's row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.fixed_values import COOKIE_SIGNATURES, DOM_SIGNATURES, JS_LIBRARIES, KNOWN_VULNERABILITIES, REVEALING_HEADERS
-from .heuristics import pattern
+from ..sources.fixed_values import KNOWN_VULNERABILITIES
+from ..sources.rules import RULES, Rules
+from .arrays import exploded, first_of_each, listed, literal, literal_rows, matching, of, pattern, sql_of
+from .heuristics import prepared
 
 #: A product with a version; a product alone.
-_VERSIONED = r"([A-Za-z][A-Za-z0-9_\-]+)[/ ]v?(\d+(?:\.\d+){0,3})"
+VERSIONED = r"([A-Za-z][A-Za-z0-9_\-]+)[/ ]v?(\d+(?:\.\d+){0,3})"
 _ALONE = r"(?U)^[A-Za-z][\w\-.]*$"
+PRINT = "struct<emit_ord:bigint,product:string,version:string,source:string,rule_id:string>"
+_ROW = "emit_ord bigint, product string, version string, source string, rule_id string"
+_CVE = ("scan_id", "cve_id", "kind", "severity", "score", "matched_product")
 
 
 def _print(order, product, version, source, rule) -> Column:
-    of = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(of(order).cast("bigint").alias("emit_ord"), of(product).cast("string").alias("product"), of(version).cast("string").alias("version"), of(source).cast("string").alias("source"), of(rule).cast("string").alias("rule_id"))
 
 
-def _tokens(value: Column, order: int, source: Column, rule: Column) -> Column:
+def _tokens(value: Column, order, source: str, rule: str) -> Column:
     """Products with versions in a value; without any, its first token if that looks like a product."""
-    pairs = F.arrays_zip(F.regexp_extract_all(value, F.lit(_VERSIONED), 1).alias("p"), F.regexp_extract_all(value, F.lit(_VERSIONED), 2).alias("v"))
+    pairs = F.arrays_zip(F.regexp_extract_all(value, F.lit(VERSIONED), 1).alias("p"), F.regexp_extract_all(value, F.lit(VERSIONED), 2).alias("v"))
     alone = F.trim(F.substring_index(F.substring_index(value, ";", 1), ",", 1))
     found = F.transform(pairs, lambda x, i: _print(order + i, x["p"], x["v"], source, rule))
-    single = F.when(alone.rlike(_ALONE), F.array(_print(order, alone, None, source, rule)))
-    return F.coalesce(F.when(F.size(pairs) > 0, found).otherwise(single), F.slice(found, 1, 0))
-
-
-def fingerprints(caps: DataFrame, tags: DataFrame) -> DataFrame:
-    """(scan_id, emit_ord, product, version, source, rule_id), the first of each product and version."""
-    cookie = F.lower(F.coalesce(F.col("headers")["set-cookie"], F.lit("")))
-    parts = []
-    for i, (rule, header) in enumerate(REVEALING_HEADERS):
-        parts.append(_tokens(F.coalesce(F.col("headers")[header], F.lit("")), 1000 * i, F.lit(f"header:{header}"), F.lit(rule)))
-    for i, (rule, part, product) in enumerate(COOKIE_SIGNATURES):
-        parts.append(F.filter(F.array(F.when(F.contains(cookie, F.lit(part.lower())), _print(100_000 + i, product, None, f"cookie:{part}", rule))), lambda x: x.isNotNull()))
-    for i, (rule, product, says) in enumerate(DOM_SIGNATURES):
-        parts.append(F.filter(F.array(F.when(F.col("html").rlike(pattern(says, True)), _print(300_000 + i, product, None, "dom:path", rule))), lambda x: x.isNotNull()))
-    rule, names, says = JS_LIBRARIES
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern(says, True)), 1).alias("p"), F.regexp_extract_all("html", F.lit(pattern(says, True)), 2).alias("v"))
-    name = lambda x: F.coalesce(F.filter(F.array(*map(F.lit, names)), lambda n: F.startswith(n, F.lower(x)))[0], F.lower(x))
-    parts.append(F.transform(pairs, lambda x, i: _print(400_000 + i, name(x["p"]), x["v"], "dom:asset", rule)))
-    direct = caps.select("scan_id", F.explode(F.flatten(F.array(*parts))).alias("f"))
-    metas = tags.select("scan_id", F.posexplode(F.filter("tags", lambda t: (t["tag"] == "meta") & F.lower(F.coalesce(t["attrs"]["name"], t["attrs"]["property"], F.lit(""))).isin("generator", "application-name"))).alias("n", "t"))
-    said = F.trim(F.coalesce(F.col("t.attrs")["content"], F.lit("")))
-    found = _tokens(F.col("said"), 200_000, F.lit("meta:generator"), F.lit("tech.meta-generator"))
-    fallback = F.array(_print(200_000, F.substring("said", 1, 60), None, "meta:generator", "tech.meta-generator"))
-    meta = metas.select("scan_id", said.alias("said")).where("said != ''").select("scan_id", F.explode(F.when(F.size(found) > 0, found).otherwise(fallback)).alias("f"))
-    every = direct.union(meta).select("scan_id", "f.*")
-    first = F.row_number().over(Window.partitionBy("scan_id", F.lower("product"), F.coalesce("version", F.lit(""))).orderBy("emit_ord"))
-    return every.withColumn("n", first).where("n = 1").drop("n")
-
-
-def known_vulnerabilities(prints: DataFrame) -> DataFrame:
-    """(scan_id, cve_id, kind, severity, score, matched_product): products by part of the name, versions by prefix of the text."""
-    rules = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(p).alias("part"), F.array(*map(F.lit, vs)).alias("prefixes"), F.lit(c).alias("cve_id"), F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.lit(float(x)).alias("score")) for i, (p, vs, c, k, s, x) in enumerate(KNOWN_VULNERABILITIES)))
-    low = F.lower("product")
-    hit = F.filter(rules, lambda r: F.contains(low, r["part"]) & F.exists(r["prefixes"], lambda p: F.startswith(F.col("version"), p)))
-    named = prints.where("version is not null and version != ''").select("scan_id", "emit_ord", F.concat_ws(" ", "product", "version").alias("matched_product"), F.explode(hit).alias("r"))
-    first = F.row_number().over(Window.partitionBy("scan_id", "r.cve_id").orderBy("emit_ord", "r.at"))
-    return named.withColumn("n", first).where("n = 1").select("scan_id", "r.cve_id", "r.kind", "r.severity", "r.score", "matched_product")
-
-
-def with_advisories(known: DataFrame, prints: DataFrame, records: DataFrame) -> DataFrame:
-    """known with the advisory records (product, ord, cve_id, severity, score) of products with versions; product is the
-    term that was looked up, the product's name and version. Of the same cve_id known ones stay, else the first."""
-    named = prints.where("version is not null and version != ''").select("scan_id", "emit_ord", F.concat_ws(" ", "product", "version").alias("matched_product"))
+    single = F.filter(F.array(_print(order, alone, None, source, rule)), lambda x: x["product"].rlike(_ALONE))
+    return F.when(F.size(pairs) > 0, found).otherwise(single)
+
+
+def _meta(t: Column, n: Column) -> Column:
+    """Of a generator or application name: products with versions, else one token, else its first 60 characters."""
+    said = F.trim(F.coalesce(t["attrs"]["content"], F.lit("")))
+    found = _tokens(said, 200_000 + n * 100, "meta:generator", "tech.meta-generator")
+    whole = F.array(_print(200_000 + n * 100, F.substring(said, 1, 60), None, "meta:generator", "tech.meta-generator"))
+    return F.when(said == "", F.slice(whole, 1, 0)).when(F.size(found) > 0, found).otherwise(whole)
+
+
+def with_prints(df: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """prepared captures with prints: (emit_ord, product, version, source, rule_id), the first of each product and version."""
+    parts = [_tokens(F.coalesce(F.col("headers")[header], F.lit("")), 1000 * i, f"header:{header}", rule) for i, (rule, header) in enumerate(rules.revealing_headers)]
+    parts.append(matching(((f"contains(lower(coalesce(headers['set-cookie'], '')), {sql_of(part.lower())})", literal(_ROW, (100_000 + i, product, None, f"cookie:{part}", rule))) for i, (rule, part, product) in enumerate(rules.cookies)), PRINT))
+    named = lambda t: F.lower(F.coalesce(t["attrs"]["name"], t["attrs"]["property"], F.lit("")))
+    metas = F.filter("tags", lambda t: (t["tag"] == "meta") & named(t).isin("generator", "application-name"))
+    parts.append(F.flatten(F.transform(metas, _meta)))
+    parts.append(matching(((f"rlike(html, {sql_of(pattern(says, fold))})", literal(_ROW, (300_000 + i, product, None, "dom:path", rule))) for i, (rule, product, says, fold) in enumerate(rules.dom)), PRINT))
+    for k, (rule, names, says, fold) in enumerate(rules.js_libraries):
+        pairs = F.arrays_zip(*(F.regexp_extract_all("html", F.lit(pattern(says, fold)), g).alias(a) for g, a in ((1, "p"), (2, "v"))))
+        parts.append(F.transform(pairs, _asset(k, rule, names)))
+    df = df.withColumn("found", F.flatten(listed(parts, f"array<{PRINT}>")))
+    return df.withColumn("prints", first_of_each("found", lambda x: F.struct(F.lower(x["product"]).alias("p"), F.coalesce(x["version"], F.lit("")).alias("v")))).drop("found")
+
+
+def _asset(k: int, rule: str, names: tuple[str, ...]) -> Callable[[Column, Column], Column]:
+    return lambda x, i: _print(400_000 + k * 10_000 + i, _known_name(x["p"], names), x["v"], "dom:asset", rule)
+
+
+def _known_name(said: Column, names: tuple[str, ...]) -> Column:
+    return F.coalesce(F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.startswith(n, F.lower(said))), F.lit(0)), F.lower(said))
+
+
+def with_vulnerabilities(df: DataFrame) -> DataFrame:
+    """df with cves: (at, cve_id, kind, severity, score, matched_product) of prints with versions, by part of the product's name
+    and prefix of the version's text; the first of each cve_id. at: (place of the print, place of the entry)."""
+    entries = literal_rows(((i, p, vs, c, k, s, float(x)) for i, (p, vs, c, k, s, x) in enumerate(KNOWN_VULNERABILITIES)), "i int, part string, prefixes array<string>, cve_id string, kind string, severity string, score double")
+    versioned = F.filter("prints", lambda p: F.coalesce(p["version"], F.lit("")) != "")
+
+    def of_print(p: Column) -> Column:
+        fits = F.filter(entries, lambda r: F.contains(F.lower(p["product"]), r["part"]) & F.exists(r["prefixes"], lambda x: F.startswith(p["version"], x)))
+        return F.transform(fits, lambda r: F.struct(F.struct(p["emit_ord"].alias("p"), r["i"].alias("i")).alias("at"), *(r[c].alias(c) for c in ("cve_id", "kind", "severity", "score")), F.concat_ws(" ", p["product"], p["version"]).alias("matched_product")))
+
+    return df.withColumn("named", F.flatten(F.transform(versioned, of_print))).withColumn("cves", first_of_each("named", lambda x: x["cve_id"])).drop("named")
+
+
+def with_advisories(df: DataFrame, records: DataFrame) -> DataFrame:
+    """df with the advisory records (product, ord, cve_id, severity, score) of products with versions added to cves; product is
+    the term that was looked up, the product's name and version. Of the same cve_id known ones stay, else the first."""
+    terms = df.select("scan_id", F.explode(F.filter("prints", lambda p: F.coalesce(p["version"], F.lit("")) != "")).alias("p"))
+    terms = terms.select("scan_id", F.col("p.emit_ord").alias("emit_ord"), F.concat_ws(" ", "p.product", "p.version").alias("matched_product"))
     records = records.select(F.lower("product").alias("term"), "ord", "cve_id", "severity", "score")
-    found = named.join(records, F.lower("matched_product") == F.col("term"))
-    every = known.select("*", F.lit(-1).cast("bigint").alias("emit_ord"), F.lit(-1).alias("ord")).unionByName(found.select("scan_id", "cve_id", F.lit("cve").alias("kind"), "severity", "score", "matched_product", "emit_ord", "ord"))
-    first = F.row_number().over(Window.partitionBy("scan_id", "cve_id").orderBy("emit_ord", "ord"))
-    return every.withColumn("n", first).where("n = 1").select(*known.columns)
+    found = terms.join(records, F.lower("matched_product") == F.col("term"))
+    one = F.struct(F.struct(F.col("emit_ord").alias("p"), F.col("ord").cast("int").alias("i")).alias("at"), "cve_id", F.lit("cve").alias("kind"), "severity", "score", "matched_product")
+    more = found.groupBy("scan_id").agg(F.array_sort(F.collect_list(one)).alias("more"))
+    both = df.join(more, "scan_id", "left").withColumn("named", F.concat("cves", F.coalesce("more", F.slice("cves", 1, 0))))
+    return both.withColumn("cves", first_of_each("named", lambda x: x["cve_id"])).drop("named", "more")
+
+
+def fingerprints(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
+    return exploded(with_prints(prepared(caps), rules), F.col("prints"))
+
+
+def known_vulnerabilities(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
+    return exploded(with_vulnerabilities(with_prints(prepared(caps), rules)), F.col("cves")).select(*_CVE)
+
+
+def log_line(prints: str) -> Column:
+    """The products found, as one line for a log."""
+    said = F.array_join(F.transform(prints, lambda p: F.concat_ws("/", p["product"], p["version"])), ", ")
+    return F.when(said == "", "none identified").otherwise(said)

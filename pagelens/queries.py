@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +13,12 @@ from .operators import landed as N
 from .operators import posture as P
 from .operators import tech as T
 from .plans import history as D
+from .plans import reports as X
 from .plans import risk as R
+from .plans import scan as S
 from .sources import fixed_values as V
-from .sources.captures import BUCKETS, captures, captures_sql, quoted, values
+from .sources import responses as L
+from .sources.captures import captures, captures_sql, quoted, values
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -41,6 +43,7 @@ def on_captures(sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(captures(spark, sf_dir))
 
+        run.of = f
         return query(f"{_CAP} {sql}" if sql else None, f.__name__)(run)
 
     return add
@@ -103,9 +106,13 @@ def regex_detector_hits(caps):
 _MOBILE = next(r for r in V.REGEX_DETECTORS if r[1] == "ph_mobile")
 
 
-@query(f"SELECT DISTINCT doc_id, t AS token FROM (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(_MOBILE[-1])})) AS t FROM documents)")
+_NUMBER = "text || CASE WHEN doc_id % 40 = 0 THEN ' call +63917' || CAST(1000000 + doc_id AS STRING) || ' or 0917 123 4567' ELSE '' END"
+
+
+@query(f"SELECT DISTINCT doc_id, t AS token FROM (SELECT doc_id, unnest(regexp_extract_all({_NUMBER}, {quoted(_MOBILE[-1])})) AS t FROM documents)")
 def documents_ph_mobile(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Phone numbers in documents, which hold none of their own: each fortieth gets some."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(_NUMBER).alias("text"))
     return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(H.pattern(_MOBILE[-1], False)), 0))).alias("token"))
 
 
@@ -131,7 +138,7 @@ cred AS (SELECT scan_id, hint AS evidence, CASE WHEN pos = -1 OR hint IN ({_HIGH
 
 @on_captures(f", {_CRED} SELECT * FROM cred")
 def credential_fields(caps):
-    return H.credentials(H.parsed_tags(caps)).select("scan_id", "evidence", "severity", "weight")
+    return H.credentials(caps).select("scan_id", "evidence", "severity", "weight")
 
 
 _OFFICIAL = " OR ".join(f"host = {quoted(d)} OR ends_with(host, {quoted('.' + d)})" for d in V.BRAND_OFFICIAL_DOMAINS)
@@ -142,8 +149,7 @@ brand AS (SELECT scan_id, array_to_string(named, ', ') || ' @ ' || host AS evide
 
 @on_captures(f"{_BRAND} SELECT * FROM brand")
 def brand_impersonation(caps):
-    forms = H.credentials(H.parsed_tags(caps)).select("scan_id").distinct()
-    return H.brand(caps, forms).select("scan_id", "evidence", "weight")
+    return H.brand(caps).select("scan_id", "evidence", "weight")
 
 
 _TLDS = ", ".join(map(quoted, V.SUSPICIOUS_TLDS))
@@ -170,13 +176,20 @@ def url_anomalies(caps):
     return H.anomalies(caps).select("scan_id", "rule_id", "evidence", "weight")
 
 
-_QR = [(1, "QRCODE", "https://T.me/pay"), (2, "QRCODE", "gcash:0917?amount=5"), (3, "EAN13", "4006381333931"), (4, "QRCODE", "bc1qxyz"), (5, "QRCODE", "whatsapp gcash")]
+_QR = "CASE CAST(page_id % 6 AS INT) WHEN 0 THEN 'https://T.me/pay' WHEN 1 THEN 'gcash:0917?amount=' || CAST(page_id AS STRING) WHEN 2 THEN '4006381333931' WHEN 3 THEN 'bc1qxyz' WHEN 4 THEN 'whatsapp gcash' ELSE url END"
 _HAS = lambda marks: "(" + " OR ".join(f"contains(lower(payload), {quoted(m)})" for m in marks) + ")"
+_QR_SQL = f"SELECT page_id AS scan_id, left(payload, 300) AS evidence, CAST(CASE WHEN {_HAS(V.QR_CHAT_MARKS)} THEN 14 WHEN {_HAS(V.QR_PAY_MARKS)} THEN 12 ELSE 8 END AS INTEGER) AS weight FROM (SELECT page_id, {_QR} AS payload FROM pages WHERE page_id % 10 < 3)"
+
+
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic decoded codes of some pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 10 < 3")
+    return pages.select(F.col("page_id").alias("scan_id"), F.lit("QRCODE").alias("code_type"), F.expr(_QR).alias("payload"))
 
 
-@query(f"SELECT CAST(scan_id AS BIGINT) AS scan_id, payload AS evidence, CAST(CASE WHEN {_HAS(V.QR_CHAT_MARKS)} THEN 14 WHEN {_HAS(V.QR_PAY_MARKS)} THEN 12 ELSE 8 END AS INTEGER) AS weight FROM {values(_QR)} q(scan_id, code_type, payload)")
+@query(_QR_SQL)
 def qr_payload_scoring(spark, sf_dir):
-    return H.qr_payloads(spark.createDataFrame(_QR, "scan_id bigint, code_type string, payload string")).select("scan_id", "evidence", "weight")
+    return H.qr_payloads(codes(spark, sf_dir)).select("scan_id", "evidence", "weight")
 
 
 _ALL_HITS = f"""hits AS (
@@ -201,38 +214,55 @@ def rule_effectiveness(caps):
 _PAIR = "([A-Za-z][A-Za-z0-9_-]+)[/ ]v?([0-9]+(?:[.][0-9]+){0,3})"
 
 
-@on_captures()
+_REVEALING = values((i, r, h) for i, (r, h) in enumerate(V.REVEALING_HEADERS)) + " rh(i, rule, header)"
+_COOK = values((i, *x) for i, x in enumerate(V.COOKIE_SIGNATURES)) + " c(i, rule_id, part, product)"
+_DOM_SIG = " UNION ALL ".join(f"SELECT scan_id, {300_000 + i} AS o, {quoted(p)} AS product, NULL AS version, 'dom:path' AS source, {quoted(r)} AS rule_id FROM cap WHERE regexp_matches(html, {quoted('(?i)' + says)})" for i, (r, p, says) in enumerate(V.DOM_SIGNATURES))
+_JS = quoted("(?i)" + V.JS_LIBRARIES[2])
+_ATTR = lambda name: f"coalesce(nullif(regexp_extract(tag, {quoted('(?i) ' + name + '=[' + chr(34) + chr(39) + ']([^' + chr(34) + chr(39) + ']*)')}, 1), ''), '')"
+_SINGLE = lambda v: f"trim(split_part(split_part({v}, ';', 1), ',', 1))"
+_IS_TOKEN = r"'^[A-Za-z][\w\-.]*$'"
+#: SQL of all fingerprints, first of each product and version, and of vulnerabilities by the curated list.
+_PRINTS = f"""hv AS (SELECT scan_id, i * 1000 AS o, value, 'header:' || header AS source, rule FROM hdr JOIN {_REVEALING} ON header = name WHERE value <> ''),
+mt AS (SELECT scan_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS tag FROM (SELECT scan_id, regexp_extract_all(html, '(?i)<meta[^>]*>') AS l FROM cap)),
+mv AS (SELECT scan_id, 200000 + n * 100 AS o, trim({_ATTR('content')}) AS value, 'meta:generator' AS source, 'tech.meta-generator' AS rule FROM mt WHERE lower(coalesce(nullif({_ATTR('name')}, ''), {_ATTR('property')})) IN ('generator', 'application-name')),
+vv AS (SELECT * FROM hv UNION ALL SELECT * FROM mv WHERE value <> ''),
+vp AS (SELECT *, regexp_extract_all(value, '{_PAIR}', 1) AS ps, regexp_extract_all(value, '{_PAIR}', 2) AS vs FROM vv),
+pr AS (SELECT scan_id, o + generate_subscripts(ps, 1) - 1 AS o, unnest(ps) AS product, unnest(vs) AS version, source, rule AS rule_id FROM vp
+  UNION ALL SELECT scan_id, o, {_SINGLE('value')}, NULL, source, rule FROM vp WHERE len(ps) = 0 AND regexp_matches({_SINGLE('value')}, {_IS_TOKEN})
+  UNION ALL SELECT scan_id, o, left(value, 60), NULL, source, rule FROM vp WHERE len(ps) = 0 AND source = 'meta:generator' AND NOT regexp_matches({_SINGLE('value')}, {_IS_TOKEN})
+  UNION ALL SELECT scan_id, 100000 + i, product, NULL, 'cookie:' || part, rule_id FROM hdr JOIN {_COOK} ON hdr.name = 'set-cookie' AND contains(lower(hdr.value), lower(part))
+  UNION ALL {_DOM_SIG}
+  UNION ALL SELECT scan_id, 399999 + generate_subscripts(ps, 1), lower(unnest(ps)), unnest(vs), 'dom:asset', {quoted(V.JS_LIBRARIES[0])} FROM (SELECT scan_id, regexp_extract_all(html, {_JS}, 1) AS ps, regexp_extract_all(html, {_JS}, 2) AS vs FROM cap)),
+prints AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY scan_id, lower(product), coalesce(version, '') ORDER BY o) = 1)"""
+_KB = values((i, p, v, c, k, s, float(x)) for i, (p, vs, c, k, s, x) in enumerate(V.KNOWN_VULNERABILITIES) for v in vs) + " kb(pos, part, prefix, cve_id, kind, severity, score)"
+_CVES = f"""cves AS (SELECT scan_id, cve_id, kind, severity, CAST(score AS DOUBLE) AS score, product || ' ' || version AS matched_product FROM prints JOIN {_KB} ON contains(lower(product), part) AND starts_with(version, prefix)
+  QUALIFY row_number() OVER (PARTITION BY scan_id, cve_id ORDER BY o, pos) = 1)"""
+
+
+@on_captures(f", {_PRINTS} SELECT scan_id, product, version, source, rule_id FROM prints")
 def tech_stack(caps):
-    return T.fingerprints(caps, H.parsed_tags(caps)).select("scan_id", "product", "version", "source", "rule_id")
+    return T.fingerprints(caps).select("scan_id", "product", "version", "source", "rule_id")
 
 
-@on_captures(f"SELECT DISTINCT scan_id, name AS header, unnest(regexp_extract_all(value, '{_PAIR}', 1)) AS product, unnest(regexp_extract_all(value, '{_PAIR}', 2)) AS version FROM hdr WHERE name IN ({', '.join(quoted(h) for _, h in V.REVEALING_HEADERS)})")
+@on_captures(f", {_PRINTS} SELECT scan_id, split_part(source, ':', 2) AS header, product, version FROM prints WHERE starts_with(source, 'header:') AND version IS NOT NULL")
 def tech_headers(caps):
-    prints = T.fingerprints(caps, H.parsed_tags(caps)).where("startswith(source, 'header:') and version is not null")
+    prints = T.fingerprints(caps).where("startswith(source, 'header:') and version is not null")
     return prints.select("scan_id", F.substring_index("source", ":", -1).alias("header"), "product", "version")
 
 
-_COOK = values(V.COOKIE_SIGNATURES) + " c(rule_id, part, product)"
-
-
 @on_captures(f"SELECT DISTINCT scan_id, product FROM hdr JOIN {_COOK} ON hdr.name = 'set-cookie' AND contains(lower(hdr.value), lower(part))")
 def tech_cookies(caps):
-    return T.fingerprints(caps, H.parsed_tags(caps)).where("startswith(source, 'cookie:')").select("scan_id", "product")
-
-
-_KB = values((i, p, v, c, k, s, float(x)) for i, (p, vs, c, k, s, x) in enumerate(V.KNOWN_VULNERABILITIES) for v in vs) + " kb(pos, part, prefix, cve_id, kind, severity, score)"
-_HP = f"hp AS (SELECT scan_id, unnest(regexp_extract_all(value, '{_PAIR}', 1)) AS product, unnest(regexp_extract_all(value, '{_PAIR}', 2)) AS version FROM hdr WHERE name IN ({', '.join(quoted(h) for _, h in V.REVEALING_HEADERS)}))"
+    return T.fingerprints(caps).where("startswith(source, 'cookie:')").select("scan_id", "product")
 
 
-@on_captures(f", {_HP} SELECT DISTINCT scan_id, cve_id, kind, severity, CAST(score AS DOUBLE) AS score FROM hp JOIN {_KB} ON contains(lower(product), part) AND starts_with(version, prefix)")
-def cve_of_headers(caps):
-    prints = T.fingerprints(caps, H.parsed_tags(caps)).where("startswith(source, 'header:')")
-    return T.known_vulnerabilities(prints).select("scan_id", "cve_id", "kind", "severity", "score")
+@on_captures(f", {_PRINTS} SELECT scan_id, string_agg(product || CASE WHEN version IS NULL THEN '' ELSE '/' || version END, ', ' ORDER BY o) AS line FROM prints GROUP BY scan_id UNION ALL SELECT scan_id, 'none identified' FROM cap WHERE scan_id NOT IN (SELECT scan_id FROM prints)")
+def tech_log_line(caps):
+    return T.with_prints(H.prepared(caps)).select("scan_id", T.log_line("prints").alias("line"))
 
 
-@on_captures()
+@on_captures(f", {_PRINTS}, {_CVES} SELECT * FROM cves")
 def cve_offline(caps):
-    return T.known_vulnerabilities(T.fingerprints(caps, H.parsed_tags(caps)))
+    return T.known_vulnerabilities(caps)
 
 
 # ---- posture
@@ -298,13 +328,23 @@ def posture_mixed(caps):
     return P.mixed_content(caps).select("scan_id", "evidence")
 
 
-@on_captures()
+_FORM_ATTR = lambda name: f"trim(coalesce(regexp_extract(form, {quoted('(?is)^<form[^>]*? ' + name + '=[' + chr(34) + chr(39) + ']([^' + chr(34) + chr(39) + ']*)')}, 1), ''))"
+_HOST_OF = "lower(regexp_replace(split_part(regexp_extract(action, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)', 1), '@', -1), ':[0-9]*$', ''))"
+_FORMS = f"""SELECT scan_id, left(action, 160) AS evidence, 'high' AS severity FROM asks WHERE starts_with(lower(action), 'http://')
+UNION ALL SELECT scan_id, host || ' -> ' || {_HOST_OF}, 'medium' FROM asks WHERE NOT starts_with(lower(action), 'http://') AND starts_with(lower(action), 'http') AND {_HOST_OF} <> host
+UNION ALL SELECT scan_id, 'no csrf token', 'low' FROM asks WHERE NOT ({" OR ".join(f"contains(names, {quoted(h)})" for h in V.CSRF_FIELD_HINTS)})"""
+_ASKS = f"""fm AS (SELECT scan_id, host, unnest(regexp_extract_all(html, '(?is)<form[^>]*>.*?</form>')) AS form FROM cap),
+fi AS (SELECT scan_id, host, {_FORM_ATTR('action')} AS action, regexp_extract_all(form, '(?is)<input[^>]*>') AS tags FROM fm),
+asks AS (SELECT scan_id, host, action, lower(array_to_string([regexp_extract(t, '(?i) name=.([^"'']*)', 1) for t in tags], ' ')) AS names FROM fi WHERE len([t for t in tags if lower(regexp_extract(t, '(?i) type=.([^"'']*)', 1)) = 'password']) > 0)"""
+
+
+@on_captures(f", {_ASKS} {_FORMS}")
 def posture_forms(caps):
-    return P.forms(H.parsed_tags(caps))
+    return P.forms(caps).select("scan_id", "evidence", "severity")
 
 
 _SECRET = " UNION ALL ".join(
-    f"SELECT scan_id, {quoted(lb)} AS label, {quoted(s)} AS severity, " + ("CASE WHEN len(trim(t)) <= 12 THEN left(trim(t), 4) || '…' ELSE left(trim(t), 8) || '…' || right(trim(t), 4) || ' (len ' || len(trim(t)) || ')' END" if hide else quoted(lb)) + f" AS evidence FROM (SELECT scan_id, unnest(list_distinct(regexp_extract_all(html, {quoted(p)}))) AS t FROM cap)"
+    f"SELECT scan_id, {quoted(lb)} AS label, {quoted(s)} AS severity, " + ("CASE WHEN len(trim(t)) <= 12 THEN left(trim(t), 4) || '…' ELSE left(trim(t), 8) || '…' || right(trim(t), 4) || ' (len ' || len(trim(t)) || ')' END" if hide else quoted(lb)) + f" AS evidence FROM (SELECT scan_id, unnest([x for x, i in regexp_extract_all(html, {quoted(p)}) if list_position(regexp_extract_all(html, {quoted(p)}), x) = i][:3]) AS t FROM cap)"
     for lb, s, p, hide in V.SECRET_PATTERNS
 )
 
@@ -325,80 +365,100 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(p).alias("path")) for i, (_, p, _, _) in enumerate(V.MISCONFIG_TARGETS)))
     x = (F.col("scan_id") * 7 + F.col("t.ord") * 13) % 11
     targets = pages.select("scan_id", F.explode(paths).alias("t")).select("scan_id", "t.path", F.lit("target").alias("kind"), "t.ord", F.when(x < 3, 200).when(x == 3, 405).otherwise(404).alias("head_status"), F.when(x == 3, 200).otherwise(404).alias("get_status"), F.when(x != 2, (100 + x * 24).cast("string")).alias("content_length"), F.lit(None).cast("int").alias("body_len"))
+    targets = targets.where("(scan_id + ord) % 7 != 5")
     base = pages.select("scan_id", F.lit("/none").alias("path"), F.lit("baseline").alias("kind"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"), F.lit(0).alias("head_status"), F.when(F.col("scan_id") % 2 == 0, 200).otherwise(404).alias("get_status"), F.lit(None).cast("string").alias("content_length"), (F.lit(100) + F.col("ord")).cast("int").alias("body_len"))
     return targets.union(base)
 
 
-@query(f"""WITH p AS (SELECT page_id AS scan_id, path, category, severity, (page_id * 7 + i * 13) % 11 AS x FROM pages CROSS JOIN {_PATHS}),
-q AS (SELECT *, (x < 3 OR x = 3) AND NOT (scan_id % 2 = 0 AND (x = 2 OR abs(100 + x * 24 - 100) <= 24)) AS exposed FROM p)
-SELECT scan_id, path, CAST(CASE WHEN x <= 3 THEN 200 ELSE 404 END AS INTEGER) AS status, exposed, category, CASE WHEN exposed THEN severity ELSE 'info' END AS severity FROM q""")
+#: Paths whose number is 5 or 6 modulo 7 have no response at all.
+_MISCONFIG = f"""SELECT scan_id, path, CAST(CASE WHEN silent THEN 0 WHEN x <= 3 THEN 200 ELSE 404 END AS INTEGER) AS status, exposed, category, CASE WHEN exposed THEN severity ELSE 'info' END AS severity
+FROM (SELECT *, NOT silent AND x <= 3 AND NOT (scan_id % 2 = 0 AND (x = 2 OR abs(100 + x * 24 - 100) <= 24)) AS exposed
+FROM (SELECT page_id AS scan_id, path, category, severity, (page_id * 7 + i * 13) % 11 AS x, (page_id + i) % 7 = 5 AS silent FROM pages CROSS JOIN {_PATHS}))"""
+
+
+@query(_MISCONFIG)
 def misconfig_exposed(spark, sf_dir):
     return N.misconfigurations(probes(spark, sf_dir))
 
 
-_NVD = [("nginx", '{"vulnerabilities":[{"cve":{"id":"CVE-1","descriptions":[{"lang":"es","value":"x"},{"lang":"en","value":"one"}],"metrics":{"cvssMetricV31":[{"cvssData":{"baseScore":7.5,"baseSeverity":"HIGH"}}]}}},{"cve":{"id":"CVE-2","descriptions":[{"lang":"en","value":"two"}],"metrics":{"cvssMetricV2":[{"baseSeverity":"LOW","cvssData":{"baseScore":2.1}}]}}},{"cve":{"id":""}}]}'), ("php", "not json")]
+_HOSTS = "SELECT scan_id, host AS key FROM cap"
+_DOMAINS = f"SELECT scan_id, {_REG} AS key FROM cap WHERE host <> '' AND NOT regexp_matches(host, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$')"
+_TERMS = "SELECT scan_id, lower(product || ' ' || version) AS key FROM prints WHERE coalesce(version, '') <> ''"
+_JSON = lambda keys, body: f"(SELECT key, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM ({L.responses_sql(keys, body)}))"
 
 
-@query()
-def cve_nvd_parse(spark, sf_dir):
-    return N.advisories(spark.createDataFrame(_NVD, "product string, body string"))
+_V3, _V2 = "'$.cve.metrics.cvssMetricV31[0].cvssData.", "'$.cve.metrics.cvssMetricV2[0]."
+_NVD = f"""nv AS (SELECT key, generate_subscripts(l, 1) - 1 AS ord, unnest(l) AS v FROM (SELECT key, CAST(j -> '$.vulnerabilities' AS JSON[]) AS l FROM {_JSON(_TERMS, L.ADVISORIES)})),
+records AS (SELECT key AS product, CAST(ord AS INTEGER) AS ord, v ->> '$.cve.id' AS cve_id, upper(coalesce(v ->> {_V3}baseSeverity', v ->> {_V2}baseSeverity', 'UNKNOWN')) AS severity,
+  CAST(coalesce(v ->> {_V3}baseScore', v ->> {_V2}cvssData.baseScore') AS DOUBLE) AS score, left([x ->> '$.value' for x in CAST(v -> '$.cve.descriptions' AS JSON[]) if x ->> '$.lang' = 'en'][1], 400) AS summary
+  FROM nv WHERE coalesce(v ->> '$.cve.id', '') <> '' AND ord < 10)"""
 
 
-_RDAP = [
-    ("scam.test", '{"events":[{"eventAction":"Registration","eventDate":"2026-06-16T00:00:00Z"}],"entities":[{"roles":["registrar"],"vcardArray":["vcard",[["version",{},"text","4.0"],["fn",{},"text","Reg Inc"]]],"entities":[{"roles":["abuse"],"vcardArray":["vcard",[["email",{},"text","abuse@reg.test"]]]}]}],"nameservers":[{"ldhName":"NS1.X.TEST"},{"ldhName":"ns2.x.test"}]}'),
-    ("old.test", '{"events":[{"eventAction":"expiration","eventDate":"2027-01-01"}]}'),
-    ("bad.test", "oops"),
-]
+@on_captures(f", {_PRINTS}, {_NVD} SELECT * FROM records")
+def cve_nvd_parse(caps):
+    prints = T.fingerprints(caps).where("coalesce(version, '') != ''")
+    raw = L.responses(prints.select("scan_id", F.lower(F.concat_ws(" ", "product", "version")).alias("term")), "term", L.ADVISORIES)
+    return N.advisories(raw.withColumnRenamed("key", "product"))
 
 
-@query()
-def rdap_domain(spark, sf_dir):
-    return N.domain_registrations(spark.createDataFrame(_RDAP, "key string, body string"))
+_VCARD = lambda at, field: f"[x ->> '$[3]' for x in coalesce(CAST(j -> '{at}.vcardArray[1]' AS JSON[]), []) if x ->> '$[0]' = '{field}'][1]"
+_WITHIN = lambda depth: f"CASE WHEN j ->> '$.entities[0]{'.entities[0]' * depth}.roles[0]' = 'abuse' THEN {_VCARD('$.entities[0]' + '.entities[0]' * depth, 'email')} END"
+_RDAP = f"""rd AS (SELECT key AS domain, CASE WHEN j ->> '$.entities[0].roles[0]' = 'registrar' THEN {_VCARD('$.entities[0]', 'fn')} END AS registrar, coalesce({", ".join(map(_WITHIN, range(6)))}) AS abuse_email,
+  [x ->> '$.eventDate' for x in coalesce(CAST(j -> '$.events' AS JSON[]), []) if lower(x ->> '$.eventAction') IN ('registration', 'created')][1] AS created,
+  coalesce(array_to_string([lower(x ->> '$.ldhName') for x in coalesce(CAST(j -> '$.nameservers' AS JSON[]), [])][:6], ','), '') AS nameservers FROM {_JSON(_DOMAINS, L.RDAP)})"""
 
 
-@query()
-def rdap_ip(spark, sf_dir):
-    raw = [("10.0.0.1", '{"name":"HOSTCO","originAutnums":["64500"],"entities":[{"roles":["abuse"],"vcardArray":["vcard",[["email",{},"text","a@h.test"]]]}]}')]
-    return N.address_registrations(spark.createDataFrame(raw, "key string, body string"))
+@on_captures(f", {_RDAP} SELECT * FROM rd")
+def rdap_domain(caps):
+    return N.domain_registrations(L.responses(caps.select("scan_id", urls.host_of(F.col("url")).alias("h")).select("scan_id", F.when(~urls.is_ipv4(F.col("h")), urls.registrable(F.col("h"))).alias("domain")), "domain", L.RDAP))
 
 
-_AGES = [("a", "2026-06-16T00:00:00Z"), ("b", "2026-06-26"), ("c", "2024-01-01T12:00:00Z"), ("d", None), ("e", "2030-01-01"), ("f", "bad")]
+_IP_RDAP = f"""ad AS (SELECT key AS address, j ->> '$.name' AS provider, {_WITHIN(0)} AS abuse_email, 'AS' || coalesce(j ->> '$.arin_originas0_originautnumbers[0]', j ->> '$.originAutnums[0]') AS asn FROM {_JSON(_HOSTS, L.ADDRESS)})"""
 
 
-@query(f"SELECT domain, CAST(greatest(0, datesub('day', try_cast(left(created, 19) AS TIMESTAMP), TIMESTAMP '2026-06-26 00:00:00')) AS INTEGER) AS age_days FROM {values(_AGES)} t(domain, created) WHERE try_cast(left(created, 19) AS TIMESTAMP) IS NOT NULL UNION ALL SELECT domain, NULL FROM {values(_AGES)} t(domain, created) WHERE try_cast(left(created, 19) AS TIMESTAMP) IS NULL")
-def domain_age(spark, sf_dir):
-    df = spark.createDataFrame(_AGES, "domain string, created string")
-    at = F.try_to_timestamp(F.substring("created", 1, 10), F.lit("yyyy-MM-dd"))
-    return df.select("domain", F.when(at.isNotNull(), N.age_days("created", F.lit("2026-06-26 00:00:00").cast("timestamp"))).alias("age_days"))
+@on_captures(f", {_IP_RDAP} SELECT * FROM ad")
+def rdap_ip(caps):
+    return N.address_registrations(L.responses(caps.select("scan_id", urls.host_of(F.col("url")).alias("host")), "host", L.ADDRESS))
 
 
-_CT = [("scam.test", '[{"name_value":"*.scam.test\\nother.test"},{"name_value":"Other.test\\nthird.test"}]')]
+_AGE = "CASE WHEN created IS NOT NULL THEN greatest(0, datesub('day', CAST(left(replace(created, 'Z', ''), 19) AS TIMESTAMP), TIMESTAMP '2026-06-26 00:00:00')) END"
 
 
-@query("SELECT 'scam.test' AS domain, CAST(o AS INTEGER) AS ord, n AS name FROM (VALUES (0, 'other.test'), (1, 'third.test')) t(o, n)")
-def ct_siblings(spark, sf_dir):
-    return N.certificate_siblings(spark.createDataFrame(_CT, "key string, body string"))
+@on_captures(f", {_RDAP} SELECT domain, CAST({_AGE} AS INTEGER) AS age_days FROM rd")
+def domain_age(caps):
+    known = rdap_domain.of(caps)
+    return known.select("domain", N.age_days("created", F.lit(L.NOW).cast("timestamp")).alias("age_days"))
 
 
-@query("SELECT page_id AS scan_id, left(sha256(html), 32) AS favicon_hash FROM pages")
-def favicon_hash(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("scan_id"), F.substring(F.sha2("html", 256), 1, 32).alias("favicon_hash"))
+_SIBLINGS = f"""ct AS (SELECT key AS domain, generate_subscripts(l, 1) AS i, unnest(l) ->> '$.name_value' AS names FROM (SELECT key, CAST(j AS JSON[]) AS l FROM {_JSON(_DOMAINS, L.CERTIFICATES)})),
+cn AS (SELECT domain, i, generate_subscripts(string_split(names, chr(10)), 1) AS n, lower(ltrim(unnest(string_split(names, chr(10))), '*.')) AS name FROM ct),
+cs AS (SELECT domain, name, row_number() OVER (PARTITION BY domain ORDER BY i, n) AS r FROM (SELECT domain, name, min(i) AS i, min_by(n, i * 1000 + n) AS n FROM cn WHERE name <> '' AND NOT contains(name, domain) GROUP BY domain, name))"""
+
 
+@on_captures(f", {_SIBLINGS} SELECT domain, CAST(r - 1 AS INTEGER) AS ord, name FROM cs WHERE r <= 25")
+def ct_siblings(caps):
+    keys = caps.select("scan_id", urls.host_of(F.col("url")).alias("h")).select("scan_id", F.when(~urls.is_ipv4(F.col("h")), urls.registrable(F.col("h"))).alias("domain"))
+    return N.certificate_siblings(L.responses(keys, "domain", L.CERTIFICATES))
 
-_FEED = [("evil.test", '{"query_status":"ok","url_count":"3","urls":["a"]}'), ("ok.test", '{"query_status":"no_results"}'), ("none.test", '{"query_status":"ok","urls":[]}')]
+
+@query("SELECT page_id AS scan_id, left(sha256(html), 32) AS favicon_hash FROM pages")
+def favicon_hash(spark, sf_dir):
+    """Of the bytes of a page, in place of an icon's, which the pages have none of."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("scan_id"), N.icon_hash(F.col("html").cast("binary")).alias("favicon_hash"))
 
 
-@query("SELECT 'evil.test' AS host, CAST(3 AS INTEGER) AS urls")
-def feed_hits(spark, sf_dir):
-    return N.feed_hits(spark.createDataFrame(_FEED, "key string, body string"))
+_HAUS = f"haus AS (SELECT key AS host, CAST(coalesce(TRY_CAST(j ->> '$.url_count' AS BIGINT), json_array_length(j, '$.urls')) AS INTEGER) AS urls FROM {_JSON(_HOSTS, L.URLHAUS)} WHERE j ->> '$.query_status' = 'ok' AND (json_array_length(j, '$.urls') > 0 OR coalesce(j ->> '$.url_count', '0') <> '0'))"
+_SB = f"sb AS (SELECT key AS host, array_to_string(list_sort(list_distinct([coalesce(x ->> '$.threatType', '?') for x in CAST(j -> '$.matches' AS JSON[])])), ', ') AS threats FROM {_JSON(_HOSTS, L.SAFE_BROWSING)} WHERE json_array_length(j, '$.matches') > 0)"
 
 
-_SB = [("evil.test", '{"matches":[{"threatType":"SOCIAL"},{"threatType":"MALWARE"},{"threatType":"SOCIAL"},{}]}'), ("ok.test", "{}")]
+@on_captures(f", {_HAUS} SELECT * FROM haus")
+def feed_hits(caps):
+    return N.feed_hits(L.responses(caps.select("scan_id", urls.host_of(F.col("url")).alias("host")), "host", L.URLHAUS))
 
 
-@query("SELECT 'evil.test' AS host, '?, MALWARE, SOCIAL' AS threats")
-def safe_browsing_summary(spark, sf_dir):
-    return N.safe_browsing(spark.createDataFrame(_SB, "key string, body string"))
+@on_captures(f", {_SB} SELECT * FROM sb")
+def safe_browsing_summary(caps):
+    return N.safe_browsing(L.responses(caps.select("scan_id", urls.host_of(F.col("url")).alias("host")), "host", L.SAFE_BROWSING))
 
 
 def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +468,8 @@ def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BITS = " || ".join(f"CASE WHEN p[{i // 8 * 9 + i % 8 + 1}] > p[{i // 8 * 9 + i % 8 + 2}] THEN '1' ELSE '0' END" for i in range(64))
-_SHOT_SQL = f"""WITH px AS (SELECT vec_id AS id, [floor(CAST(embedding[(i % 64) + 1] AS DOUBLE) * 1000) for i in range(72)] AS p FROM embeddings), h AS (SELECT id, {_BITS} AS bits FROM px)"""
+_SHOT_CTES = f"""px AS (SELECT vec_id AS id, [floor(CAST(embedding[(i % 64) + 1] AS DOUBLE) * 1000) for i in range(72)] AS p FROM embeddings), h AS (SELECT id, {_BITS} AS bits FROM px)"""
+_SHOT_SQL = f"WITH {_SHOT_CTES}"
 
 
 @query(f"{_SHOT_SQL} SELECT id, bits FROM h")
@@ -428,169 +489,142 @@ def visual_matches(spark, sf_dir):
 _PTS = "CASE lower(severity) " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in V.SEVERITY_POINTS.items()) + " ELSE 1 END"
 
 
-@dataclass(frozen=True)
-class Landed:
-    """What landed responses say, as the operators on them return it; None where nothing landed.
-
-    paths: misconfigurations; registrations: (domain, created), with the time now for their age; feeds: a table with host
-    for each feed; looks: visual matches, (scan_id, brand); records: advisories."""
-
-    paths: DataFrame | None = None
-    registrations: DataFrame | None = None
-    now: Column | None = None
-    feeds: tuple[DataFrame, ...] = ()
-    looks: DataFrame | None = None
-    records: DataFrame | None = None
-
-
-def evidence_of(caps: DataFrame, landed: Landed = Landed()) -> DataFrame:
-    """(scan_id, bucket, note, value, weight) of all findings of captures and of what landed for them."""
-    tags = H.parsed_tags(caps)
-    none = F.lit(None).cast("int")
-
-    def rows(df: DataFrame, bucket, note, weight, value=none) -> DataFrame:
-        return df.select("scan_id", bucket.alias("bucket"), note.alias("note"), value.alias("value"), weight.cast("int").alias("weight"))
-
-    hits = rows(H.all_heuristics(caps), F.lit("scam"), F.col("category"), F.col("weight"))
-    prints = T.fingerprints(caps, tags)
-    known = T.known_vulnerabilities(prints)
-    if landed.records is not None:
-        known = T.with_advisories(known, prints, landed.records)
-    cves = rows(known, F.lit("cve"), F.col("kind"), R.points("severity"))
-    weak = rows(P.all_findings(caps, tags), F.when(F.col("category") == "sensitive_exposure", "exposure").otherwise("posture"), F.col("category"), R.points("severity"))
-    out = hits.union(cves).union(weak)
-    host = urls.host_of(F.col("url"))
-    if landed.paths is not None:
-        out = out.union(rows(landed.paths.where("exposed").join(caps.select("scan_id").distinct(), "scan_id", "left_semi"), F.lit("misconfig"), F.col("category"), R.points("severity")))
-    if landed.registrations is not None:
-        made = landed.registrations.groupBy("domain").agg(F.min(N.age_days("created", landed.now)).alias("age"))
-        aged = caps.select("scan_id", urls.registrable(host).alias("domain")).join(made, "domain").withColumn("points", R.age_points("age")).where("points is not null")
-        out = out.union(rows(aged, F.lit("intel"), F.lit("age"), F.col("points"), F.col("age")))
-    for feed in landed.feeds:
-        listed = caps.select("scan_id", host.alias("host")).join(feed.select("host").distinct(), "host")
-        out = out.union(rows(listed, F.lit("intel"), F.lit("feed"), F.lit(V.FEED_POINTS)))
-    if landed.looks is not None:
-        out = out.union(rows(landed.looks.join(caps.select("scan_id").distinct(), "scan_id", "left_semi"), F.lit("intel"), F.lit("visual"), F.lit(V.VISUAL_POINTS)))
-    return out
-
-
-def weights_of(caps: DataFrame, landed: Landed = Landed()) -> DataFrame:
-    return evidence_of(caps, landed).select("scan_id", "bucket", "weight")
-
-
-def verdicts_of(caps: DataFrame, landed: Landed = Landed()) -> DataFrame:
-    """(scan_id, score, level, contributions, summary) over all six buckets."""
-    found = evidence_of(caps, landed)
-    return R.summaries(found, R.verdicts(caps, R.bucket_scores(found.select("scan_id", "bucket", "weight"))))
-
-
-def landed_of(spark: SparkSession, sf_dir: str) -> Landed:
+def landed_of(spark: SparkSession, sf_dir: str) -> S.Landed:
     """The synthetic responses that the queries above take; the screenshot with a page's id is the page's."""
-    raw = lambda rows, key="key": spark.createDataFrame(rows, f"{key} string, body string")
-    return Landed(
-        paths=N.misconfigurations(probes(spark, sf_dir)),
-        registrations=N.domain_registrations(raw(_RDAP)),
-        now=F.lit("2026-06-26 00:00:00").cast("timestamp"),
-        feeds=(N.feed_hits(raw(_FEED)), N.safe_browsing(raw(_SB))),
-        looks=visual_matches(spark, sf_dir).withColumnRenamed("id", "scan_id"),
-        records=N.advisories(raw(_NVD, "product")),
+    get = lambda name: QUERIES[name](spark, sf_dir)
+    return S.Landed(
+        paths=get("misconfig_exposed"),
+        registrations=get("rdap_domain"),
+        now=F.lit(L.NOW).cast("timestamp"),
+        hosting=get("rdap_ip").withColumnRenamed("address", "host"),
+        feeds=(get("feed_hits"), get("safe_browsing_summary")),
+        looks=get("visual_matches").withColumnRenamed("id", "scan_id"),
+        siblings=get("ct_siblings"),
+        records=get("cve_nvd_parse"),
+        codes=codes(spark, sf_dir),
     )
 
 
-_FORMS = f"""SELECT scan_id, 'high' AS severity FROM cap WHERE bucket = 6 UNION ALL SELECT scan_id, 'low' FROM cap WHERE bucket = 6"""
-_WEIGHTS = f"""{_BRAND}, {_ALL_HITS}, w AS (
-  SELECT scan_id, 'scam' AS bucket, weight AS w FROM hits UNION ALL
-  SELECT scan_id, 'posture', {_PTS} FROM (SELECT scan_id, 'medium' AS severity FROM cap WHERE starts_with(lower(url), 'http://') UNION ALL SELECT scan_id, severity FROM ({_MISSING}) UNION ALL SELECT scan_id, severity FROM ({_CSP})
-    UNION ALL SELECT scan_id, severity FROM ({_CORS}) UNION ALL SELECT scan_id, 'low' FROM ({_VERS}) UNION ALL SELECT scan_id, severity FROM ({_COOKIES}) UNION ALL SELECT scan_id, 'low' FROM ({_MIXED}) UNION ALL {_FORMS}) UNION ALL
-  SELECT scan_id, 'exposure', {_PTS} FROM ({_SECRET})
-), rk AS (SELECT scan_id, bucket, w * pow(0.6, row_number() OVER (PARTITION BY scan_id, bucket ORDER BY w DESC) - 1) AS part FROM w),
-sc AS (SELECT scan_id, bucket, CAST(count(*) AS BIGINT) AS findings, CAST(least(round_even(round(sum(part), 9), 0), CASE bucket WHEN 'scam' THEN 55 WHEN 'posture' THEN 25 ELSE 40 END) AS INTEGER) AS score FROM rk GROUP BY scan_id, bucket)"""
-
-
-@on_captures(f"{_WEIGHTS} SELECT * FROM sc")
+_WEAK = f"""weak AS (SELECT scan_id, 'medium' AS severity FROM cap WHERE starts_with(lower(url), 'http://') UNION ALL SELECT scan_id, severity FROM ({_MISSING}) UNION ALL SELECT scan_id, severity FROM ({_CSP})
+  UNION ALL SELECT scan_id, severity FROM ({_CORS}) UNION ALL SELECT scan_id, 'low' FROM ({_VERS}) UNION ALL SELECT scan_id, severity FROM ({_COOKIES}) UNION ALL SELECT scan_id, 'low' FROM ({_MIXED}) UNION ALL SELECT scan_id, severity FROM ({_FORMS})),
+leaks AS ({_SECRET})"""
+#: Of pages alone: (scan_id, bucket, w).
+_PAGE_WEIGHTS = f"""{_BRAND}, {_ALL_HITS}, {_PRINTS}, {_CVES}, {_ASKS}, {_WEAK}"""
+_OF_PAGES = f"""SELECT scan_id, 'scam' AS bucket, weight AS w FROM hits UNION ALL SELECT scan_id, 'cve', {_PTS} FROM cves UNION ALL SELECT scan_id, 'posture', {_PTS} FROM weak UNION ALL SELECT scan_id, 'exposure', {_PTS} FROM leaks"""
+_SCORES = lambda w: f"""w AS ({w}), rk AS (SELECT scan_id, bucket, w * pow(0.6, row_number() OVER (PARTITION BY scan_id, bucket ORDER BY w DESC) - 1) AS part FROM w),
+sc AS (SELECT scan_id, bucket, CAST(count(*) AS BIGINT) AS findings, CAST(least(round_even(round(sum(part), 9), 0), CASE bucket {" ".join(f"WHEN '{b}' THEN {c}" for b, c in V.BUCKET_CAPS.items())} END) AS INTEGER) AS score FROM rk GROUP BY scan_id, bucket)"""
+_LEVEL = "CASE " + " ".join(f"WHEN score >= {n} THEN '{name}'" for n, name in reversed(V.RISK_BANDS)) + " END"
+_TOTAL = f"tot AS (SELECT cap.scan_id, CAST(least(100, coalesce(sum(score), 0)) AS INTEGER) AS score FROM cap LEFT JOIN sc ON sc.scan_id = cap.scan_id GROUP BY cap.scan_id)"
+#: With what landed.
+_AGE_PTS = "CASE " + " ".join(f"WHEN age <= {n} THEN {p}" for n, p in V.DOMAIN_AGE_POINTS) + " END"
+_VISUAL = lambda cte: f"SELECT a.id, 'brand' || b.id AS brand, CAST(hamming(a.bits, b.bits) AS INTEGER) AS distance FROM {cte} a JOIN {cte} b ON b.id % 100 = 0 AND hamming(a.bits, b.bits) <= 12"
+_ALL_WEIGHTS = f"""{_PAGE_WEIGHTS}, {_NVD}, {_RDAP}, {_HAUS}, {_SB}, {_SHOT_CTES},
+allcves AS (SELECT scan_id, cve_id, kind, severity FROM (SELECT scan_id, cve_id, kind, severity, -1 AS o, -1 AS ord FROM cves UNION ALL SELECT scan_id, cve_id, 'cve', severity, o, ord FROM prints JOIN records ON lower(prints.product || ' ' || prints.version) = records.product) QUALIFY row_number() OVER (PARTITION BY scan_id, cve_id ORDER BY o, ord) = 1),
+qr AS ({_QR_SQL}), paths AS (SELECT * FROM ({_MISCONFIG}) WHERE exposed), looks AS ({_VISUAL('h')}),
+ages AS (SELECT scan_id, {_AGE} AS age FROM cap JOIN rd ON rd.domain = {_REG} WHERE created IS NOT NULL AND host <> ''),
+fed AS (SELECT scan_id FROM cap JOIN haus ON haus.host = cap.host UNION ALL SELECT scan_id FROM cap JOIN sb ON sb.host = cap.host),
+pg AS (SELECT scan_id FROM cap)"""
+_OF_ALL = f"""SELECT scan_id, 'scam' AS bucket, weight AS w FROM hits UNION ALL SELECT scan_id, 'scam', weight FROM qr UNION ALL SELECT scan_id, 'cve', {_PTS} FROM allcves UNION ALL SELECT scan_id, 'posture', {_PTS} FROM weak UNION ALL SELECT scan_id, 'exposure', {_PTS} FROM leaks
+UNION ALL SELECT scan_id, 'misconfig', {_PTS} FROM paths UNION ALL SELECT scan_id, 'intel', {_AGE_PTS} FROM ages WHERE age <= {V.DOMAIN_AGE_POINTS[-1][0]} UNION ALL SELECT scan_id, 'intel', {V.FEED_POINTS} FROM fed UNION ALL SELECT id, 'intel', {V.VISUAL_POINTS} FROM looks WHERE id IN (SELECT scan_id FROM pg)"""
+
+
+def _bucket_rows(df: DataFrame) -> DataFrame:
+    return df.select("scan_id", F.explode_outer("buckets").alias("b")).select("scan_id", "b.bucket", "b.findings", "b.score").where("findings > 0")
+
+
+@on_captures(f"{_PAGE_WEIGHTS}, {_SCORES(_OF_PAGES)} SELECT * FROM sc")
 def risk_buckets(caps):
-    return R.bucket_scores(weights_of(caps).where("bucket != 'cve'"))
+    return _bucket_rows(R.with_buckets(S.with_landed(S.analysed(caps))))
 
 
-@on_captures(f"{_WEIGHTS}, tot AS (SELECT cap.scan_id, CAST(least(100, coalesce(sum(score), 0)) AS INTEGER) AS score FROM cap LEFT JOIN sc ON sc.scan_id = cap.scan_id GROUP BY cap.scan_id) SELECT scan_id, score, CASE WHEN score >= 80 THEN 'Critical' WHEN score >= 55 THEN 'High' WHEN score >= 30 THEN 'Medium' WHEN score >= 10 THEN 'Low' ELSE 'Clean' END AS level FROM tot")
+@on_captures(f"{_PAGE_WEIGHTS}, {_SCORES(_OF_PAGES)}, {_TOTAL} SELECT scan_id, score, {_LEVEL} AS level FROM tot")
 def risk_verdict_pages(caps):
-    return R.verdicts(caps, R.bucket_scores(weights_of(caps).where("bucket != 'cve'"))).select("scan_id", "score", "level")
-
-
-@query()
-def risk_verdict(spark, sf_dir):
-    return verdicts_of(captures(spark, sf_dir), landed_of(spark, sf_dir))
+    return S.verdicts_of(caps).select("scan_id", "score", "level")
 
 
-@query()
+@query(f"{_CAP}{_ALL_WEIGHTS}, {_SCORES(_OF_ALL)} SELECT * FROM sc")
 def risk_buckets_all(spark, sf_dir):
-    """risk_buckets over all six buckets: with vulnerabilities and what landed."""
-    return R.bucket_scores(weights_of(captures(spark, sf_dir), landed_of(spark, sf_dir)))
+    """risk_buckets over all six buckets: with what landed."""
+    return _bucket_rows(R.with_buckets(S.with_landed(S.analysed(captures(spark, sf_dir)), landed_of(spark, sf_dir))))
+
+
+_LINES = f"""li AS (SELECT tot.scan_id, coalesce(string_agg(CASE bucket WHEN 'scam' THEN 'Scam heuristics: ' || findings || ' signal(s)' WHEN 'cve' THEN 'Known vulns: ' || findings WHEN 'misconfig' THEN 'Exposed sensitive paths: ' || findings
+  WHEN 'posture' THEN 'Security posture: ' || findings || ' weakness(es)' WHEN 'exposure' THEN 'Leaked secrets/data: ' || findings
+  ELSE 'Intelligence (' || concat_ws(', ', CASE WHEN ages.age IS NOT NULL THEN 'age ' || ages.age || 'd' END, CASE WHEN tot.scan_id IN (SELECT scan_id FROM fed) THEN 'feed-listed' END, CASE WHEN tot.scan_id IN (SELECT id FROM looks) THEN 'visual match' END) || '):' END || ' (+' || sc.score || ')', '; '
+  ORDER BY CASE bucket {" ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(V.BUCKET_CAPS))} END), '') AS contributions FROM tot LEFT JOIN sc ON sc.scan_id = tot.scan_id AND sc.score > 0 LEFT JOIN ages ON ages.scan_id = tot.scan_id GROUP BY tot.scan_id)"""
+_CATS = f"""cats AS (SELECT scan_id, category FROM ({_LEX_SQL}) UNION ALL SELECT scan_id, 'ph_currency' FROM cap WHERE {_CUR} UNION ALL SELECT scan_id, category FROM ({_RX}) UNION ALL SELECT scan_id, 'obfuscation' FROM ({_OBF}) UNION ALL SELECT scan_id, 'credential_harvest' FROM cred
+  UNION ALL SELECT scan_id, 'brand_impersonation' FROM brand UNION ALL SELECT scan_id, 'domain_reputation' FROM ({_DOM}) UNION ALL SELECT scan_id, 'url_anomaly' FROM ({_ANOM}))"""
+_IN = lambda names: "(" + ", ".join(map(quoted, names)) + ")"
+_N = lambda table, alias, key="scan_id", test="true": f"(SELECT count(*) FROM {table} x WHERE x.{key} = tot.scan_id AND {test}) AS {alias}"
+_SUMMARY = f"""dr AS (SELECT tot.scan_id, tot.score, {_N('cats2', 'phishing', test='category IN ' + _IN(V.PHISHING_CATEGORIES))}, {_N('cats2', 'scam', test="(starts_with(category, 'scam_') OR category IN " + _IN(V.SCAM_CATEGORIES) + ')')},
+  {_N('allcves', 'vulns')}, {_N('allcves', 'real', test="kind = 'cve'")}, {_N('paths', 'exposed')}, {_N('leaks', 'secrets')}, {_N('fed', 'feeds')}, {_N('looks', 'visual', 'id')}, {_N('weak', 'posture')}, (SELECT max(age) FROM ages a WHERE a.scan_id = tot.scan_id) AS age FROM tot),
+su AS (SELECT *, concat_ws('; ', CASE WHEN phishing > 0 THEN 'active phishing / credential harvesting' END, CASE WHEN scam > 0 THEN scam || ' scam signal(s)' END, CASE WHEN vulns > 0 THEN CASE WHEN real > 0 THEN real ELSE vulns END || ' known vuln(s)' END,
+  CASE WHEN exposed > 0 THEN exposed || ' exposed sensitive path(s)' END, CASE WHEN secrets > 0 THEN secrets || ' leaked secret(s)' END, CASE WHEN feeds > 0 THEN 'listed on an external threat feed' END, CASE WHEN visual > 0 THEN 'visual brand impersonation' END,
+  CASE WHEN age <= {V.YOUNG_DOMAIN_DAYS} THEN 'domain only ' || age || ' day(s) old' END) AS d FROM dr)"""
+
+
+@query(f"{_CAP}{_ALL_WEIGHTS}, {_SCORES(_OF_ALL)}, {_TOTAL}, {_LINES}, {_CATS}, cats2 AS (SELECT * FROM cats UNION ALL SELECT scan_id, 'payment_qr' FROM qr), {_SUMMARY} SELECT su.scan_id, score, {_LEVEL} AS level, contributions, {_LEVEL} || ' risk - driven by ' || CASE WHEN d <> '' THEN d WHEN posture > 0 THEN 'weak security posture' ELSE 'no notable findings' END || '.' AS summary FROM su JOIN li ON li.scan_id = su.scan_id")
+def risk_verdict(spark, sf_dir):
+    return S.verdicts_of(captures(spark, sf_dir), landed_of(spark, sf_dir))
 
 
 # ---- history and reports
 
 
-def scans_of(caps: DataFrame) -> DataFrame:
+def scans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row of the case store for each capture; four ids in turn count as scans of one target."""
-    hits = H.lexicon(caps).unionByName(H.regex_tokens(caps)).unionByName(H.obfuscation(caps))
-    cats = hits.groupBy("scan_id").agg(F.array_sort(F.collect_set("category")).alias("cats"), F.sum("weight").cast("int").alias("points"))
-    leaks = P.secrets(caps).groupBy("scan_id").agg(F.array_sort(F.collect_set("label")).alias("leaks"))
-    none = F.array().cast("array<string>")
-    out = caps.select("scan_id", F.sha2("html", 256).alias("dom_sha256")).join(cats, "scan_id", "left").join(leaks, "scan_id", "left")
-    score = F.least(F.lit(100), F.coalesce("points", F.lit(0)))
-    return out.select(F.col("scan_id").alias("id"), F.concat(F.lit("target "), F.floor(F.col("scan_id") / 4)).alias("target_url"), R.band(score).alias("risk_level"), score.alias("risk_score"), none.alias("exposed"), none.alias("cves"), F.coalesce("cats", none).alias("scam_categories"), F.coalesce("leaks", none).alias("secrets"), "dom_sha256")
+    scans = S.fingerprints_of(S.scanned(captures(spark, sf_dir), landed_of(spark, sf_dir)))
+    return scans.select(F.col("scan_id").alias("id"), F.concat(F.lit("target "), F.floor(F.col("scan_id") / 4)).alias("target_url"), F.lit("2026-06-26T00:00:00Z").alias("timestamp"), "fingerprint")
 
 
-_SCANS = f"""hh AS (SELECT scan_id, category, weight FROM ({_LEX_SQL}) UNION ALL SELECT scan_id, category, weight FROM ({_RX}) UNION ALL SELECT scan_id, 'obfuscation', 7 FROM ({_OBF})),
-ca AS (SELECT scan_id, list_sort(list_distinct(list(category))) AS cats, sum(weight) AS points FROM hh GROUP BY scan_id), le AS (SELECT scan_id, list_sort(list_distinct(list(label))) AS leaks FROM ({_SECRET}) GROUP BY scan_id),
-sn AS (SELECT cap.scan_id AS id, 'target ' || (cap.scan_id // 4) AS target_url, CAST(least(100, coalesce(points, 0)) AS INTEGER) AS score, coalesce(cats, CAST([] AS VARCHAR[])) AS cats, coalesce(leaks, CAST([] AS VARCHAR[])) AS leaks, sha256(html) AS dom FROM cap LEFT JOIN ca ON ca.scan_id = cap.scan_id LEFT JOIN le ON le.scan_id = cap.scan_id),
-sl AS (SELECT *, CASE WHEN score >= 80 THEN 'Critical' WHEN score >= 55 THEN 'High' WHEN score >= 30 THEN 'Medium' WHEN score >= 10 THEN 'Low' ELSE 'Clean' END AS level FROM sn)"""
+_SET = lambda table, column, key="scan_id", distinct=True: f"coalesce((SELECT list_sort({'list_distinct(list(' + column + '))' if distinct else 'list(' + column + ')'}) FROM {table} x WHERE x.{key} = tot.scan_id), CAST([] AS VARCHAR[]))"
+_SCANS = f"""{_ALL_WEIGHTS}, {_SCORES(_OF_ALL)}, {_TOTAL}, {_CATS}, cats2 AS (SELECT * FROM cats UNION ALL SELECT scan_id, 'payment_qr' FROM qr),
+sl AS (SELECT tot.scan_id AS id, 'target ' || (tot.scan_id // 4) AS target_url, score, {_LEVEL} AS level, {_SET('paths', 'path', distinct=False)} AS paths, {_SET('allcves', 'cve_id', distinct=False)} AS vulns, {_SET('cats2', 'category')} AS cats, {_SET('leaks', 'evidence')} AS leaks, sha256(html) AS dom FROM tot JOIN cap ON cap.scan_id = tot.scan_id)"""
 
 
-@on_captures(f", {_SCANS} SELECT id, target_url, level AS risk_level, score AS risk_score, array_to_string(cats, ',') AS scam_categories, array_to_string(leaks, ',') AS secrets, dom AS dom_sha256 FROM sl")
-def scan_fingerprint(caps):
-    return scans_of(caps).select("id", "target_url", "risk_level", "risk_score", F.concat_ws(",", "scam_categories").alias("scam_categories"), F.concat_ws(",", "secrets").alias("secrets"), "dom_sha256")
+@query(f"{_CAP}{_SCANS} SELECT id, target_url, level AS risk_level, score AS risk_score, array_to_string(paths, ',') AS exposed, array_to_string(vulns, ',') AS cves, array_to_string(cats, ',') AS scam_categories, array_to_string(leaks, ',') AS secrets, dom AS dom_sha256 FROM sl")
+def scan_fingerprint(spark, sf_dir):
+    joined = (F.concat_ws(",", f"fingerprint.{c}").alias(c) for c in ("exposed", "cves", "scam_categories", "secrets"))
+    return scans_of(spark, sf_dir).select("id", "target_url", "fingerprint.risk_level", "fingerprint.risk_score", *joined, "fingerprint.dom_sha256")
 
 
-_LINE = lambda verb, label, a, b: f"CASE WHEN len([x for x in {a} if NOT list_contains({b}, x)]) > 0 THEN '{verb} {label}(s): ' || left(array_to_string([x for x in {a} if NOT list_contains({b}, x)], ', '), 200) || '.' END"
+_LINE = lambda verb, label, a, b: f"CASE WHEN len([x for x in {a} if NOT list_contains({b}, x)]) > 0 THEN '{verb} {label}(s): ' || left(array_to_string(list_distinct_sorted([x for x in {a} if NOT list_contains({b}, x)]), ', '), 200) || '.' END".replace("list_distinct_sorted(", "list_sort(list_distinct(").replace("x)]), ', ')", "x)])), ', ')")
 
 
-@on_captures(
-    f""", {_SCANS}, lg AS (SELECT *, lag(level) OVER o AS l0, lag(score) OVER o AS s0, lag(cats) OVER o AS c0, lag(leaks) OVER o AS k0, lag(dom) OVER o AS d0 FROM sl WINDOW o AS (PARTITION BY target_url ORDER BY id)),
-ln AS (SELECT id, target_url, l0, concat_ws(chr(10), CASE WHEN l0 <> level THEN 'Risk changed: ' || l0 || ' -> ' || level || ' (score ' || s0 || ' -> ' || score || ').' END, {_LINE("New", "scam signal", "cats", "c0")}, {_LINE("Resolved", "scam signal", "c0", "cats")}, {_LINE("New", "leaked secret", "leaks", "k0")}, {_LINE("Resolved", "leaked secret", "k0", "leaks")}, CASE WHEN d0 <> dom THEN 'Page content changed since the previous scan.' END) AS c FROM lg)
+@query(
+    f"""{_CAP}{_SCANS}, lg AS (SELECT *, lag(level) OVER o AS l0, lag(score) OVER o AS s0, lag(paths) OVER o AS p0, lag(vulns) OVER o AS v0, lag(cats) OVER o AS c0, lag(leaks) OVER o AS k0, lag(dom) OVER o AS d0 FROM sl WINDOW o AS (PARTITION BY target_url ORDER BY id)),
+ln AS (SELECT id, target_url, l0, concat_ws(chr(10), CASE WHEN l0 <> level THEN 'Risk changed: ' || l0 || ' -> ' || level || ' (score ' || s0 || ' -> ' || score || ').' END, {", ".join(_LINE(verb, label, *pair) for label, now, old in (("exposed path", "paths", "p0"), ("known vuln", "vulns", "v0"), ("scam signal", "cats", "c0"), ("leaked secret", "leaks", "k0")) for verb, pair in (("New", (now, old)), ("Resolved", (old, now))))}, CASE WHEN d0 <> dom THEN 'Page content changed since the previous scan.' END) AS c FROM lg)
 SELECT id, target_url, CASE WHEN l0 IS NULL THEN 'First recorded scan of this target — no baseline to compare.' WHEN c = '' THEN 'No material change since the previous scan.' ELSE c END AS changes FROM ln"""
 )
-def scan_diff(caps):
-    return D.diffs(scans_of(caps))
+def scan_diff(spark, sf_dir):
+    return D.diffs(scans_of(spark, sf_dir))
 
 
-@on_captures(f", {_SCANS} SELECT target_url, max(id) AS id, arg_max(level, id) AS risk_level FROM sl GROUP BY target_url")
-def latest_scan(caps):
-    return D.latest(scans_of(caps))
+@query(f"{_CAP}{_SCANS} SELECT target_url, max(id) AS id, arg_max(level, id) AS risk_level FROM sl GROUP BY target_url")
+def latest_scan(spark, sf_dir):
+    return D.latest(scans_of(spark, sf_dir))
 
 
-@on_captures(f", {_SCANS} SELECT id, level AS risk_level, score AS risk_score FROM sl WHERE target_url = 'target 3'")
-def scan_history(caps):
-    return D.history(scans_of(caps), "target 3")
+@query(f"{_CAP}{_SCANS} SELECT id, level AS risk_level, score AS risk_score FROM sl WHERE target_url = 'target 3'")
+def scan_history(spark, sf_dir):
+    return D.history(scans_of(spark, sf_dir), "target 3")
+
+
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.scanned(captures(spark, sf_dir), landed_of(spark, sf_dir)).withColumn("timestamp", F.lit("2026-06-26T00:00:00Z"))
 
 
 @query()
 def report_json(spark, sf_dir):
     """One JSON document for each scan."""
-    caps = captures(spark, sf_dir)
-    v = verdicts_of(caps, landed_of(spark, sf_dir))
-    hits = H.all_heuristics(caps).groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("rank"), "emit_ord", "rule_id", "category", "evidence", "severity", "weight"))).alias("h"))
-    df = caps.select("scan_id", "url").join(v, "scan_id").join(hits, "scan_id", "left")
-    said = F.transform("h", lambda x: x.dropFields("rank", "emit_ord"))
-    return df.select("scan_id", F.to_json(F.struct(F.col("url").alias("target_url"), F.lit(V.KNOWLEDGE_VERSION).alias("knowledge_version"), F.struct("score", "level", "contributions", "summary").alias("risk"), said.alias("heuristics"))).alias("report"))
+    return X.json_reports(_reported(spark, sf_dir)).select("scan_id", "name", "report")
 
 
-@on_captures("SELECT scan_id, 'Abuse report for ' || url || chr(10) || 'Host: ' || host AS abuse_text FROM cap")
-def abuse_text(caps):
-    return caps.select("scan_id", F.concat_ws("\n", F.concat(F.lit("Abuse report for "), "url"), F.concat(F.lit("Host: "), urls.host_of(F.col("url")))).alias("abuse_text"))
+@query()
+def abuse_text(spark, sf_dir):
+    return X.abuse_texts(_reported(spark, sf_dir)).select("scan_id", "name", "abuse_text")
 
 
 @query("SELECT page_id || '.html' AS name, sha256(html) AS sha256 FROM pages")
 def evidence_manifest(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat("page_id", F.lit(".html")).alias("name"), F.sha2("html", 256).alias("sha256")).orderBy("name")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat("page_id", F.lit(".html")).alias("name"), F.sha2("html", 256).alias("sha256"))

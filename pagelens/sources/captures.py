@@ -7,9 +7,11 @@ overlay is synthetic, and the same in Spark and in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.literals import sql_of
+
 BUCKETS = 24
 _KEY = "AKIA" + "ABCDEFGHIJKLMNOP"
 _LOGIN = '<form action="{}"><input type="password" name="pin"><input type="text" name="{}"></form>'
@@ -30,6 +32,9 @@ OVERLAY: dict[int, tuple[str | None, str]] = {
     12: (None, '<meta name="generator" content="WordPress 5.2"><script src="/wp-content/x/jquery-3.4.1.min.js"></script>'),
     13: (None, "".join(f'<img src="http://cdn{i}.test/a.png">' for i in range(7))),
     14: (None, "api_key: 'abcdefgh12345678' and 192.168.1.20 10.0.0.7"),
+    16: (None, "https://api.telegram.org/bot12:ab viber://chat?number=63917 m.me/agent.one gcash-login.xyz " + "T" + "9" * 33 + " GCASH-LOGIN.XYZ"),
+    17: (None, "<script>eval(unescape('%20'));String.fromCharCode(1, 2,3,4,5,6,7,8,9);eval(function(p,a,c,k,e,d){})</script>"),
+    18: (None, " ".join(("AI" + "za" + "x" * 35, "sk_" + "live_" + "1" * 16, "gh" + "p_" + "a" * 36, "xo" + "xb-" + "1" * 12, "-----BEGIN " + "PRIVATE KEY-----", "ey" + "J" + ".".join(("a" * 9,) * 3), "https://user:pass@x.test/"))),
     15: (None, '<meta name="generator" content="Joomla"><a href="/setup.exe">get</a> angular/1.8.2 react-16.2.0'),
 }
 #: bucket: {header: value}
@@ -39,20 +44,49 @@ HEADERS: dict[int, dict[str, str]] = {
     14: {"X-Powered-By": "Express; x", "Access-Control-Allow-Origin": "*", "Access-Control-Allow-Credentials": "TRUE", "Set-Cookie": "theme=dark; Secure; HttpOnly; SameSite=Lax"},
     15: {"Server": "cloudflare", "Access-Control-Allow-Origin": "*", "X-Frame-Options": "  ", "Set-Cookie": "laravel_session=1; Secure"},
 }
-_COLUMNS = "scan_id bigint, url string, html string, headers map<string,string>, requests array<string>"
+
+
+def lowered(headers: str) -> Column:
+    """A header map with lower-case names; of names that then agree the last counts."""
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = F.transform(F.array(entries), lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda x: x["key"] == e["key"])))[0]
+    return F.map_from_entries(last)
+
+
+def normalised(raw: DataFrame) -> DataFrame:
+    """Captures (scan_id, url, html, headers, requests) as detectors take them: header names in lower case, nothing null but
+    urls. Other columns stay."""
+    return raw.withColumns(
+        {
+            "html": F.coalesce("html", F.lit("")),
+            "headers": F.coalesce(lowered("headers"), F.create_map().cast("map<string,string>")),
+            "requests": F.coalesce("requests", F.array().cast("array<string>")),
+        }
+    )
+
+
+def landed_captures(pages: DataFrame) -> DataFrame:
+    """normalised captures of what a crawler landed: scan_id, target_url, final_url, http_status, response_headers, dom_html,
+    network_requests, screenshot_path, rendered, captured_at. A capture without a final url keeps its target's."""
+    names = {"dom_html": "html", "response_headers": "headers", "network_requests": "requests"}
+    url = F.coalesce(F.nullif(F.trim("final_url"), F.lit("")), "target_url")
+    raw = pages.withColumnsRenamed(names).withColumns({"url": url, "http_status": F.coalesce("http_status", F.lit(0)), "rendered": F.coalesce("rendered", F.lit(False))})
+    return normalised(raw.drop("final_url"))
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    over = spark.createDataFrame([(b, u, s, {k.lower(): v for k, v in HEADERS.get(b, {}).items()}) for b, (u, s) in OVERLAY.items()], "bucket int, over_url string, suffix string, headers map<string,string>")
-    out = pages.join(F.broadcast(over), F.pmod("page_id", F.lit(BUCKETS)) == over["bucket"], "left")  # a literal table of a few rows
-    return out.select(
-        F.col("page_id").alias("scan_id"),
-        F.coalesce("over_url", "url").alias("url"),
-        F.concat(F.coalesce("html", F.lit("")), F.coalesce("suffix", F.lit(""))).alias("html"),
-        F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"),
-        F.array().cast("array<string>").alias("requests"),
+    """The driver's pages with the overlay: literal tables of a few rows, looked up by bucket in the page's row."""
+    pick = lambda table: f"CASE pmod(page_id, {BUCKETS}) " + " ".join(f"WHEN {b} THEN {v}" for b, v in table.items()) + " END"
+    urls = {b: sql_of(u) for b, (u, _) in OVERLAY.items() if u is not None}
+    heads = {b: "map(" + ", ".join(sql_of(x) for kv in h.items() for x in kv) + ")" for b, h in HEADERS.items()}
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr(
+        "page_id AS scan_id",
+        f"coalesce({pick(urls)}, url) AS url",
+        f"concat(coalesce(html, ''), coalesce({pick({b: sql_of(s) for b, (_, s) in OVERLAY.items()})}, '')) AS html",
+        f"{pick(heads)} AS headers",
+        "CAST(array() AS array<string>) AS requests",
     )
+    return normalised(raw)
 
 
 def quoted(x) -> str:
