@@ -7,7 +7,8 @@ stops when that is less than the kth score. The shards' answers are merged by sc
 
 Defined cases: vectors that are null or empty, or hold null or non-finite components, take no part; vectors meet only
 vectors of their length; ties go to the smaller vec_id; a row that repeats is a candidate each time; of query rows that
-share a vec_id the least vector asks; a null vec_id neither asks nor is found; an empty table gives an empty result.
+share a vec_id the least vector asks; a null vec_id neither asks nor is found; scores are exact below 2**53, of components
+too large for that not; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 K = 10
 SHARD_ROWS = 1 << 14
-BLOCK_QUERIES = 1 << 11
+BLOCK_QUERIES = 1 << 13
 
 
 def quantised(rows: DataFrame, scale: float = 1024.0) -> DataFrame:

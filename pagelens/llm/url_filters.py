@@ -6,7 +6,8 @@ share of its pages that rules allow, or block. Scores are in units of a start, a
 reaches THRESHOLD and exceeds its trust.
 
 Defined cases: a null url, or one without ://, has empty host and path, matches no rule, and is allowed; null html has no
-links; links of a host to itself don't count; rows that repeat a page_id are judged each by its own url; empty in, empty out.
+links; links of a host to itself don't count; rows that repeat a page_id are judged each by its own url; of rules of one
+length that fit, the later one in the list wins; long html is searched whole; other columns are ignored; empty in, empty out.
 """
 
 from __future__ import annotations
