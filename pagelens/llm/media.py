@@ -6,21 +6,26 @@ start corrects the declared type; what validates further in is carved out as emb
 
 op9 stores each text as 8-bit mono PCM (WAV): a byte is a sample. Defined cases: null text is empty and stored as 64 zero
 bytes; null or empty bytes have no type, so the declared one is replaced by application/octet-stream; equal bytes give equal
-values; repeated rows stay repeated; other columns are ignored.
+values; repeated rows stay repeated; a very long text is stored as a whole, one at a time; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .words import as_bytes, row_slices
 
 UNKNOWN = "application/octet-stream"
@@ -102,16 +107,28 @@ def _bmp(b: memoryview, at: int) -> int | None:
 
 
 def _pdf(b: memoryview, at: int) -> int | None:
-    end = bytes(b[at:]).rfind(b"%%EOF")
-    return at + end + 5 if end > 0 and b"startxref" in bytes(b[at : at + end]) else None
+    """Up to the last end mark before another document begins."""
+    data = b.obj
+    stop = data.find(b"%PDF-", at + 5)
+    stop = len(data) if stop < 0 else stop
+    end = data.rfind(b"%%EOF", at, stop)
+    return end + 5 if end > 0 and data.find(b"startxref", at, end) >= 0 else None
+
+
+@lru_cache(maxsize=1)
+def _directories(data: bytes) -> list[int]:
+    """Where the end records of zip directories begin, found once for all the entries before them."""
+    return [m.start() for m in re.finditer(b"PK\x05\x06", data)]
 
 
 def _zip(b: memoryview, at: int) -> int | None:
-    tail = bytes(b[at:]).find(b"PK\x05\x06")
-    if tail < 0 or at + tail + 22 > len(b):
+    ends = _directories(b.obj)
+    i = bisect.bisect_left(ends, at)
+    if i == len(ends) or ends[i] + 22 > len(b):
         return None
-    size, start, note = struct.unpack_from("<IIH", b, at + tail + 12)
-    return at + tail + 22 + note if start + size == tail and at + tail + 22 + note <= len(b) else None
+    tail = ends[i]
+    size, start, note = struct.unpack_from("<IIH", b, tail + 12)
+    return tail + 22 + note if start + size == tail - at and tail + 22 + note <= len(b) else None
 
 
 #: (magic, type, validator: the end of what starts at an offset, or None)
@@ -204,5 +221,6 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op9_media_columns(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return docs.mapInArrow(_digests, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
