@@ -5,12 +5,15 @@ posterior(l) ~ text(l) * declared(l) * prior(l | host)
 text: hashed byte-trigram likelihood, trained on a sample of about SAMPLE_ROWS labelled rows in equal shares for each
 language, LEAST_ROWS of it or all it has at least, its weight limited to EVIDENCE trigrams, since neighbouring trigrams
 repeat each other. declared: the language that markup in the text
-declares, right with probability DECLARED_RIGHT. prior: shares of languages among a host's documents, smoothed towards
-those of its address suffix, and these towards all documents'; the counts are sums of posteriors without a prior over all
-documents, by grouped aggregation. documents have a source for a host; without a dot it has no suffix.
+declares, right with probability DECLARED_RIGHT. prior: shares of languages among a host's other documents, smoothed
+towards those of its address suffix, and these towards all documents'; the counts are sums of posteriors without a prior
+over all documents, by grouped aggregation, and a document's own is taken out of each level before it is judged, so that
+no evidence counts twice. documents have a source for a host, pages their url's host; without a dot it has no suffix.
 
 A document is rejected if it has no letters or its best posterior is under LEAST. Defined cases: null or empty text has
-language null and is rejected; null source has the prior of all documents; without any labelled row no language is known, and
+language null and is rejected; null source has the prior of all documents; a very long text is a piece of its own; of
+languages that tie the first by name is taken; other columns are kept, whatever their names, but for names that begin with
+_pl_; without any labelled row no language is known, and
 documents with letters are kept with language null; repeated rows are judged alike; an empty table gives an empty result.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, materialize, named, small_or_plain
+from .common import BROADCAST_ROWS, lean, materialize, named, small_batches, small_or_plain
 from .words import as_bytes, row_slices
 
 SAMPLE_ROWS = 20_000
@@ -83,9 +86,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield sent()
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b, "<i8") for b in table.column("cells").to_pylist())
-    return pa.table({"lang": table.column("lang")[:1], "cells": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: np.ndarray | int = 0
+    for batch in batches:
+        lang = batch.column(batch.schema.get_field_index("lang"))[:1]
+        for cells in batch.column(batch.schema.get_field_index("cells")):
+            total = total + np.frombuffer(cells.as_py(), "<i8")
+    yield pa.RecordBatch.from_arrays([lang, pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["lang", "cells"])
 
 
 def _quota(counts: list[int], rows: int) -> float:
@@ -112,7 +119,7 @@ def sampled(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood table) from a sample of about that many of labelled (doc_id, text, lang)."""
-    counted = sampled(labelled, rows).mapInArrow(_count, "lang string, cells binary").groupBy("lang").applyInArrow(_sum, "lang string, cells binary")
+    counted = sampled(labelled, rows).mapInArrow(lean(_count), "lang string, cells binary").groupBy("lang").applyInArrow(_sum, "lang string, cells binary")
     got = sorted(counted.collect(), key=lambda r: r["lang"])
     table = np.zeros((1 << _BITS, len(got)))
     for i, r in enumerate(got):
@@ -176,27 +183,33 @@ def _summed(df: DataFrame, by: str) -> DataFrame:
     return each.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("s")).select(by, F.col("s.s").alias("post"))
 
 
-def host_priors(docs: DataFrame, host: str, model: Broadcast) -> tuple[DataFrame, list[float]]:
-    """((host, prior) smoothed over the address suffix and all documents, the prior of all)."""
+def host_counts(docs: DataFrame, host: str, model: Broadcast) -> tuple[DataFrame, np.ndarray]:
+    """((host, of_host, of_suffix), counts of all): soft counts of languages among documents."""
     n = len(model.value[0])
-    soft = docs.where("text is not null").select(F.col(host).alias("host"), "text").mapInArrow(_soft_counts(model), "host string, post array<double>")
+    soft = docs.where("text is not null").select(F.col(host).alias("host"), "text").mapInArrow(lean(_soft_counts(model)), "host string, post array<double>")
     per = materialize(_summed(soft, "host"), "hosts")
     total = {r["pos"]: r["s"] for r in per.select(F.posexplode("post").alias("pos", "p")).groupBy("pos").agg(F.sum("p").alias("s")).collect()}
-    every = [total.get(i, 0.0) + 1.0 for i in range(n)]
-    every = [x / sum(every) for x in every]
-
-    def pulled(counts: str, towards) -> F.Column:
-        whole = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(counts, towards, lambda c, t: (c + PULL * t) / (whole + PULL))
-
     suffix = F.when(F.instr("host", ".") > 0, F.lower(F.element_at(F.split("host", r"\."), -1))).otherwise("")
-    per = per.where("host is not null").withColumn("suffix", suffix)
-    by = _summed(per, "suffix").withColumnRenamed("post", "of_suffix")
+    per = per.where("host is not null").select("host", F.col("post").alias("of_host"), suffix.alias("suffix"))
+    by = _summed(per.withColumnRenamed("of_host", "post"), "suffix").withColumnRenamed("post", "of_suffix")
     both = per.join(small_or_plain(materialize(by, "suffixes"), _few(n)), "suffix")
-    return materialize(both.select("host", pulled("post", pulled("of_suffix", F.split(F.lit(",".join(map(repr, every))), ",").cast("array<double>"))).alias("prior")), "priors"), every
+    return materialize(both.select("host", "of_host", "of_suffix"), "priors"), np.array([total.get(i, 0.0) for i in range(n)])
+
+
+def _priors(own: np.ndarray, of_host: list, of_suffix: list, of_all: np.ndarray) -> np.ndarray:
+    """Of each document, shares of languages among the others of its host, pulled towards its suffix and all."""
+    less = lambda counts: np.maximum(counts - own, 0.0)
+    shares = lambda counts, pull, towards: (counts + pull * towards) / (counts.sum(axis=1, keepdims=True) + pull)
+    n = own.shape[1]
+    out = shares(less(of_all), n, np.full(own.shape, 1 / n))
+    at = np.array([i for i, x in enumerate(of_host) if x is not None], np.int64)
+    if len(at):
+        for counts in (of_suffix, of_host):
+            out[at] = shares(np.maximum(np.array([counts[i] for i in at]) - own[at], 0.0), PULL, out[at])
+    return out
 
 
-def _decide(names: list[str], model: Broadcast, every: list[float], least: float):
+def _decide(names: list[str], model: Broadcast, of_all: np.ndarray, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = model.value
         for batch in batches:
@@ -206,8 +219,8 @@ def _decide(names: list[str], model: Broadcast, every: list[float], least: float
                 part = batch.slice(lo, hi - lo)
                 lang, sure, ok = [None] * (hi - lo), [0.0] * (hi - lo), letters > 0
                 if langs:
-                    priors = [p or every for p in part.column(batch.schema.get_field_index("_pl_prior")).to_pylist()]
-                    post = _shares(log + np.log(np.array(priors)))
+                    own = np.where(letters[:, None] > 0, _shares(log), 0.0)
+                    post = _shares(log + np.log(_priors(own, *(part.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_pl_host", "_pl_suffix")), of_all)))
                     best = post.argmax(axis=1)
                     top = post[np.arange(hi - lo), best]
                     lang = [langs[b] if k else None for b, k in zip(best, ok)]
@@ -222,16 +235,17 @@ def _decide(names: list[str], model: Broadcast, every: list[float], least: float
 
 def identified(docs: DataFrame, host: str = "source", least: float = LEAST, keep_text: bool = True) -> DataFrame:
     """docs with _pl_lang, _pl_sure (its posterior), _pl_said (declared in markup) and _pl_ok (accepted)."""
+    small_batches(docs.sparkSession)
     langs, table = train(docs.select("doc_id", "text", "lang"))
     model = docs.sparkSession.sparkContext.broadcast((langs, table))
     kept = docs.columns if keep_text else [c for c in docs.columns if c != "text"]
     schema = T.StructType([docs.schema[c] for c in kept]).add("_pl_lang", "string").add("_pl_sure", "double").add("_pl_said", "string").add("_pl_ok", "boolean")
-    every: list[float] = []
+    of_all = np.zeros(len(langs))
     if langs:
-        priors, every = host_priors(docs, host, model)
-        priors = small_or_plain(priors.select(F.col("host").alias("_pl_host"), F.col("prior").alias("_pl_prior")), _few(len(langs)))
-        docs = docs.join(priors, docs[host] == priors["_pl_host"], "left").drop("_pl_host")
-    return docs.mapInArrow(_decide(kept, model, every, least), schema)
+        counts, of_all = host_counts(docs, host, model)
+        counts = small_or_plain(counts.select(F.col("host").alias("_pl_key"), F.col("of_host").alias("_pl_host"), F.col("of_suffix").alias("_pl_suffix")), _few(2 * len(langs)))
+        docs = docs.join(counts, docs[host] == counts["_pl_key"], "left").drop("_pl_key")
+    return docs.mapInArrow(lean(_decide(kept, model, of_all, least)), schema)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
