@@ -5,12 +5,16 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side with at most this many (narrow) rows may be broadcast; beyond it a shuffled join is used.
 BROADCAST_ROWS = 20_000
+#: Rows with texts in an Arrow batch.
+TEXT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,27 +33,39 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/pagelens-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Lowers the session's rows in an Arrow batch, which with whole texts would take tens of MB a task in the JVM and again in
+    Python. It stays lower, since plans run later than they are made; no result depends on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
-    batch_rows: at most so many rows in an Arrow batch meanwhile, for rows that hold texts; other queries of the session that
-    start meanwhile get smaller batches as well, which changes no result."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    small_batches(spark)
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(key)
-    try:
-        if batch_rows:
-            spark.conf.set(key, str(batch_rows))
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pl_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def done_with(*made: DataFrame) -> None:
+    """Deletes what materialize has written for these; nothing that is still to be computed may read them."""
+    for df in made:
+        _delete(df.sparkSession, df._pl_path)
 
 
 def drop_intermediates(spark: SparkSession) -> None:
     """Deletes all that materialize has written for this application. For the end of a run: results must be written by then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_dir(spark))
 
 
 def named(columns: list[str]) -> list[Column]:
@@ -75,7 +91,29 @@ def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+_M_MMAP_THRESHOLD = -3
+_lean: list[bool] = []
+
+
 def give_back() -> None:
     """Returns this Python worker's freed memory to the system, since the worker waits for tasks of any stage. Needs glibc."""
+    pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, in a worker that maps arrays of some MB, so that they go when freed, and gives back the rest at
+    the end of a task: workers of several stages share an executor's memory."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        if not _lean:
+            _lean.append(True)
+            if tune := getattr(ctypes.CDLL(None), "mallopt", None):
+                tune(_M_MMAP_THRESHOLD, 4 << 20)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped

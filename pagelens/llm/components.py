@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import done_with, materialize
 
 
 _HELD = 1 << 21
@@ -53,7 +53,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x != y").distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.explode(F.array(F.struct("x", F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.x", "e.y").where("x != y").distinct()
-        edges = materialize(small, "edges")
+        used, edges = edges, materialize(small, "edges")
+        done_with(used)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("x").alias("node"), F.col("y").alias("component")).union(edges.select("y", "y").distinct())

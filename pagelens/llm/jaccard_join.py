@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, input_bytes, materialize, small_or_plain
+from .common import buckets_for, done_with, input_bytes, lean, materialize, small_batches, small_or_plain
 from .components import components, merged
 from .words import Words, as_bytes, combine, mix, row_slices
 
@@ -40,15 +40,13 @@ WORDS, PERCENT = 5, 80
 LONG_LIST = 16
 #: So many rows of two integers may be broadcast.
 NARROW_ROWS = 200_000
-_PIECE = 1_900_000
+_PIECE = 1_000_000
 _ROWS = np.dtype([("doc", "<i8"), ("n", "<u4"), ("whole", "<u8")])
 _POSTS = np.dtype([("token", "<u8"), ("row", "<u4"), ("at", "<u4")])
 #: Members of a list that one cell takes from each side.
 CELL = 1024
 #: Packed entries of a bucket that one task takes; a bucket with more is split by pieces of input.
 BUCKET_BYTES = 24 << 20
-#: Rows with texts in an Arrow batch.
-TEXT_ROWS = 1000
 _FOUND = "kind int, a bigint, b bigint, token bigint, n bigint, at bigint"
 
 
@@ -79,12 +77,15 @@ def _tally(k: int, bits: int):
     return run
 
 
-def _total(table: pa.Table) -> pa.Table:
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part of the table, the sums of what tasks counted, taken in one by one."""
     sums: np.ndarray | int = 0
-    for blob in table.column("cells").to_pylist():
-        sums = sums + np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32).astype(np.uint64)
+    for batch in batches:
+        part = batch.column(batch.schema.get_field_index("part"))[:1]
+        for blob in batch.column(batch.schema.get_field_index("cells")):
+            sums = sums + np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint32).astype(np.uint64)
     levels = np.ceil(np.log2(sums.astype(np.float64) + 1)).astype(np.uint8)
-    return pa.table({"part": table.column("part")[:1], "levels": pa.array([levels.tobytes()], pa.binary())})
+    yield pa.RecordBatch.from_arrays([part, pa.array([levels.tobytes()], pa.binary())], ["part", "levels"])
 
 
 def shingle_levels(docs: DataFrame, k: int) -> np.ndarray:
@@ -93,7 +94,7 @@ def shingle_levels(docs: DataFrame, k: int) -> np.ndarray:
     At most 2**24 cells of one byte, whatever the input: all that is sent to the driver and back to the executors."""
     bits = min(24, max(16, (input_bytes(docs) // 128).bit_length()))
     out = np.zeros(1 << bits, np.uint8)
-    tallied = docs.select("text").where("text is not null").mapInArrow(_tally(k, bits), "part int, cells binary")
+    tallied = docs.select("text").where("text is not null").mapInArrow(lean(_tally(k, bits)), "part int, cells binary")
     for part, levels in tallied.groupBy("part").applyInArrow(_total, "part int, levels binary").collect():
         out[part * (len(out) // 64) : (part + 1) * (len(out) // 64)] = np.frombuffer(levels, np.uint8)
     return out
@@ -310,7 +311,7 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) without those whose sketches (id, n, sketch) show that they can't link, so that few pairs need their texts."""
     one, two = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-    return materialize(both.mapInArrow(_near_sketches(percent), "a bigint, b bigint").distinct(), "possible", TEXT_ROWS)
+    return materialize(both.mapInArrow(lean(_near_sketches(percent)), "a bigint, b bigint").distinct(), "possible")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -321,7 +322,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         texts = texts.join(F.broadcast(used), texts["doc_id"] == used["used"], "left_semi")
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a bigint, b bigint")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(lean(_confirm(k, percent)), "a bigint, b bigint")
 
 
 def _open_pairs(doc: np.ndarray, group: np.ndarray, n: np.ndarray, at: np.ndarray, side: np.ndarray, sketch: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -396,18 +397,22 @@ def open_pairs(entries: DataFrame, groups: DataFrame, sketches: DataFrame, perce
     mixed = materialize(mixed, "mixed")
     rows = placed.join(small_or_plain(mixed, NARROW_ROWS), "token").withColumn("part", F.pmod(F.xxhash64("a"), "parts"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("a", "token", "n", "at", "c", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    rows = materialize(rows, "cells")
+    rows_kept = rows = materialize(rows, "cells")
     deals = max(1, rows.count() // (4 * cell))
     known = sketches.select(F.col("id").alias("a"), F.col("n").alias("own"), "sketch")
     rows = rows.join(known, "a").where("n = own").drop("own")  # of rows that share a doc_id, those the entry can be of
     dealt = rows.withColumn("deal", F.pmod(F.xxhash64("token", "lo", "hi"), F.lit(deals)))
-    return materialize(dealt.groupBy("deal").applyInArrow(_cells(percent, forest), "a bigint, b bigint").distinct(), "open")
+    out = materialize(dealt.groupBy("deal").applyInArrow(_cells(percent, forest), "a bigint, b bigint").distinct(), "open")
+    done_with(placed, mixed, rows_kept)
+    return out
 
 
 def _indexed(docs: DataFrame, k: int, percent: int, long_list: int | None, bucket_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows of _index, rows of _lists, sketches as (id, n, sketch))."""
+    small_batches(docs.sparkSession)
     levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, k))
-    index = materialize(docs.mapInArrow(_index(k, percent, buckets_for(docs), levels), "kind int, a bigint, n bigint, bucket int, entries binary"), "index", TEXT_ROWS)
+    index = materialize(docs.mapInArrow(lean(_index(k, percent, buckets_for(docs), levels)), "kind int, a bigint, n bigint, bucket int, entries binary"), "index")
+    levels.destroy()  # executors need not hold it any longer
     entries = index.where("kind = 2").select("bucket", "entries")
     parts = entries.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("entries")) / bucket_bytes).alias("parts")).where("parts > 1")
     parts = small_or_plain(materialize(parts, "parts"), NARROW_ROWS)
@@ -431,7 +436,7 @@ def linked_pairs(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bucket
     pairs = possible(found.where("kind = 3").select("a", "b").distinct(), sketches, percent)
     none = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
     pairs = pairs.union(open_pairs(found.where("kind = 4"), none, sketches, percent, False, cell)).distinct()
-    links = materialize(confirmed(pairs, docs, k, percent), "links", TEXT_ROWS)
+    links = materialize(confirmed(pairs, docs, k, percent), "links")
     equal = materialize(components(_equal(index, found)), "classes")
     known = index.where("kind = 0 and a is not null and n > 0").select(F.col("a").alias("doc_id")).distinct()
     classes = known.join(equal, known["doc_id"] == equal["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
@@ -445,19 +450,21 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, lon
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     index, found, sketches = _indexed(docs, k, percent, long_list, bucket_bytes)
     tried = possible(found.where("kind = 3").select("a", "b").distinct(), sketches, percent)
-    links = materialize(confirmed(tried, docs, k, percent).union(_equal(index, found)), "links", TEXT_ROWS)
+    links = materialize(confirmed(tried, docs, k, percent).union(_equal(index, found)), "links")
     groups = materialize(components(links), "groups")
+    done_with(links)
     entries = found.where("kind = 4").select("a", "token", "n", "at")
     if not entries.isEmpty():
         for forest in (True, False):
             asked = open_pairs(entries, groups, sketches, percent, forest, cell)
             new = materialize(asked.join(tried, ["a", "b"], "left_anti"), "asked")
-            more = materialize(confirmed(new, docs, k, percent), "more", TEXT_ROWS)
+            more = materialize(confirmed(new, docs, k, percent), "more")
             if n := more.count():
                 groups = materialize(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "groups")
             if n == asked.count():  # each answer was yes, so what the forest connects is one component
                 break
             tried = tried.union(new)
+    done_with(found)
     out = index.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
     return out.join(groups, out["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -470,3 +477,19 @@ def keep_one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct([array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)]) END AS items FROM d
+), e AS (
+  SELECT r, doc_id, len(items) AS n, unnest(items) AS item FROM s WHERE doc_id IS NOT NULL
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.item = b.item AND a.r <> b.r GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach(a, b) AS (
+  SELECT DISTINCT doc_id, doc_id FROM s WHERE doc_id IS NOT NULL UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(items) AS BIGINT) AS n_shingles, component_id FROM s LEFT JOIN least ON a = doc_id
+"""

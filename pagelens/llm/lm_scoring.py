@@ -31,7 +31,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialize
+from .common import buckets_for, lean, materialize, small_batches
 from .words import Words, as_bytes, mix, row_slices
 
 TOP = 24
@@ -320,7 +320,7 @@ def train(pieces: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     w, sq = Weights().flat, Weights().flat
     for turn in range(rounds):
         sent = pieces.sparkSession.sparkContext.broadcast((w, sq))
-        made = pieces.select("docs", "tokens").mapInArrow(_gradient_steps(sent, turn, rounds), _CHANGES)
+        made = pieces.select("docs", "tokens").mapInArrow(lean(_gradient_steps(sent, turn, rounds)), _CHANGES)
         made = made.groupBy("block", "lane").applyInArrow(_average, _CHANGES).groupBy("block").applyInArrow(_average, _CHANGES)
         parts = {r["block"]: np.frombuffer(zstandard.ZstdDecompressor().decompress(r["body"]), "<f2").astype(np.float32).reshape(2, -1) for r in made.collect()}
         if parts:
@@ -366,9 +366,10 @@ def _score(model: Broadcast):
 def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Scores of docs (doc_id, text, lang), by a model trained on those that aren't held out."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", "lang")
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     buckets = buckets_for(docs, 16 << 20, 32)
-    pieces = materialize(docs.mapInArrow(_encode(buckets), _PIECES), "pieces")
+    pieces = materialize(docs.mapInArrow(lean(_encode(buckets)), _PIECES), "pieces")
     totals = materialize(pieces.where("kind = 1").groupBy("bucket").applyInArrow(_totals, _PIECES), "totals")
     top = [(r["chunk"] & (1 << 64) - 1, r["bucket"], int.from_bytes(r["body"], "big")) for r in totals.where("kind = 3").orderBy(F.desc("body"), "chunk").limit(TOP + 1).collect()]
     by_class = totals.where("kind = 2").select("body").mapInArrow(_class_rows, "class int, tokens bigint, words bigint").groupBy("class").agg(F.sum("tokens"), F.sum("words")).collect()
@@ -380,7 +381,7 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     whole = pieces.union(replies).groupBy("chunk").applyInArrow(_assemble(sc.broadcast(vocabulary)), "chunk bigint, docs binary, tokens binary")
     whole = materialize(whole, "tokens")
     model = sc.broadcast((train(whole, rounds), vocabulary))
-    return whole.select("docs", "tokens").mapInArrow(_score(model), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return whole.select("docs", "tokens").mapInArrow(lean(_score(model)), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, small_batches
 from .words import Words, mix, row_slices
 
 CAPACITY = 4096
@@ -37,7 +37,7 @@ END_ID = 2
 GROUP_DOCS = 2048
 SEED = 17
 #: Ids and words that a worker keeps while it works, and of them from task to task.
-_KEPT_IDS, _HELD_WORDS = 2_000_000, 150_000
+_KEPT_IDS, _HELD_WORDS = 2_000_000, 60_000
 _PIECE = 1_900_000
 
 
@@ -158,8 +158,8 @@ def _pieces(path: str, capacity: int, groups: int, seed: int):
                 drawn = mix(mix(np.arange(row_id, row_id + hi - lo, dtype=np.uint64)) + np.uint64(seed)) % np.uint64(groups)
                 row_id += hi - lo
                 yield pa.RecordBatch.from_arrays([doc, *(pa.array(x, pa.int64()) for x in (start, length, crc, total[row])), pa.array(drawn[row].astype(np.int32))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_pl_group"])
-        if tokens.trim():
-            give_back()
+        tokens.trim()
+        give_back()
 
     return run
 
@@ -203,6 +203,7 @@ def _pack(capacity: int):
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = SEED) -> DataFrame:
     """Pieces of docs (doc_id, text) with the sequence and the offset each one is packed to."""
+    small_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
     dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path or vocabulary_path(), capacity, groups, seed), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, _pl_group int")
     return dealt.groupBy("_pl_group").applyInArrow(_pack(capacity), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

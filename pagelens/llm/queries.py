@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from .chat_format import op8_chat_format
-from .jaccard_join import op10_jaccard_join
+from .chat_format import OP8_SQL, op8_chat_format
+from .jaccard_join import OP10_SQL, op10_jaccard_join
 from .language_id import op3_language_id
 from .lm_scoring import op7_lm_scoring
 from .media import op9_media_columns
 from .mixing import op6_mixing
 from .packing import op2_packing
-from .substring_dedup import op1_substring_dedup
+from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .topk import OP5_SQL, op5_topk_search
 from .url_filters import op4_url_filters
 
@@ -29,4 +29,4 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {"op5_topk_search": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op5_topk_search": OP5_SQL, "op8_chat_format": OP8_SQL, "op10_jaccard_join": OP10_SQL}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, named
+from .common import buckets_for, give_back, lean, named, small_batches
 from .words import Words, as_bytes, combine, row_slices, sliding_min
 
 K = 13
@@ -221,14 +221,16 @@ def _count(k: int):
         off = pa.array(np.append(first, len(out)), pa.int32())
         lists = [pa.ListArray.from_arrays(off, pa.array(out[f].astype(np.int32))) for f in ("start", "end")]
         yield pa.RecordBatch.from_arrays([pa.array(out["doc"][first]), pa.array(out["tag"][first]), *lists], ["_pl_doc", "_pl_tag", "_pl_start", "_pl_end"])
+        give_back()
 
     return run
 
 
 def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """Word spans [_pl_start, _pl_end) of each text that windows also starting under a smaller doc_id cover."""
-    buckets = buckets_for(docs.select("doc_id", "text"), 3 << 20)
-    dealt = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_deal(k, buckets), "bucket int, slices binary")
+    small_batches(docs.sparkSession)
+    buckets = buckets_for(docs.select("doc_id", "text"), 2 << 20)
+    dealt = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(lean(_deal(k, buckets)), "bucket int, slices binary")
     return dealt.groupBy("bucket").applyInArrow(_count(k), "_pl_doc bigint, _pl_tag bigint, _pl_start array<int>, _pl_end array<int>")
 
 
@@ -261,7 +263,7 @@ def dedup(docs: DataFrame, k: int = K) -> DataFrame:
     tagged = docs.withColumn("_pl_key", F.xxhash64("text"))
     both = tagged.join(spans, (F.col("doc_id") == F.col("_pl_doc")) & (F.col("_pl_key") == F.col("_pl_tag")), "left").drop("_pl_doc", "_pl_tag", "_pl_key")
     schema = T.StructType([*docs.schema.fields]).add("_pl_kept", "string").add("_pl_words", "long").add("_pl_gone", "long")
-    return both.mapInArrow(_cut(docs.columns), schema)
+    return both.mapInArrow(lean(_cut(docs.columns)), schema)
 
 
 def strip_repeats(docs: DataFrame, k: int = K) -> DataFrame:
@@ -275,3 +277,13 @@ def strip_repeats(docs: DataFrame, k: int = K) -> DataFrame:
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup(docs).select("doc_id", F.col("_pl_words").alias("n_words"), F.col("_pl_gone").alias("n_removed"), F.sha2("_pl_kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+w AS (SELECT r, doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word, ws FROM d),
+win AS (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY array_to_string(ws[i:i + 12], ' ')) AS gone FROM w WHERE doc_id IS NOT NULL AND i + 12 <= len(ws)),
+cut AS (SELECT DISTINCT r, i + unnest(range(13)) AS i FROM win WHERE gone),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS said, count(*) AS n FROM w ANTI JOIN cut USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
