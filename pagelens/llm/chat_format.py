@@ -96,13 +96,13 @@ WITH c AS (
 ), t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c
 ), u AS (
-  SELECT *, row_number() OVER o AS at, count(*) OVER (PARTITION BY conv_id) AS n,
+  SELECT *, row_number() OVER o AS place, count(*) OVER (PARTITION BY conv_id) AS n,
     replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'), chr(10), '<' || chr(92) || ';') AS shown, replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|') AS body
   FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), p AS (
-  SELECT *, sum(length('<|im_start|>' || shown || chr(10) || body || '<|im_end|>' || chr(10))) OVER (PARTITION BY conv_id ORDER BY at) AS upto FROM u
+  SELECT *, sum(length('<|im_start|>' || shown || chr(10) || body || '<|im_end|>' || chr(10))) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM u
 )
-SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
-  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(upto) FILTER (role = 'assistant' OR at = n) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR place = n) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id
 """

@@ -117,3 +117,8 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
             give_back()
 
     return wrapped
+
+
+def safe_names(columns: list[str]) -> dict[str, str]:
+    """A plain name for each column: mapInArrow can't take names with dots."""
+    return {c: f"_pl_c{i}" for i, c in enumerate(columns)}

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, lean, materialize, named, small_batches, small_or_plain
+from .common import BROADCAST_ROWS, lean, materialize, named, safe_names, small_batches, small_or_plain
 from .words import as_bytes, row_slices
 
 SAMPLE_ROWS = 20_000
@@ -209,11 +209,11 @@ def _priors(own: np.ndarray, of_host: list, of_suffix: list, of_all: np.ndarray)
     return out
 
 
-def _decide(names: list[str], model: Broadcast, of_all: np.ndarray, least: float):
+def _decide(names: list[str], text_name: str, model: Broadcast, of_all: np.ndarray, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = model.value
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
+            text = batch.column(batch.schema.get_field_index(text_name))
             for lo, hi in _slices(text, len(langs)):
                 log, said, letters = _evidence(as_bytes(text.slice(lo, hi - lo)), langs, table)
                 part = batch.slice(lo, hi - lo)
@@ -239,13 +239,16 @@ def identified(docs: DataFrame, host: str = "source", least: float = LEAST, keep
     langs, table = train(docs.select("doc_id", "text", "lang"))
     model = docs.sparkSession.sparkContext.broadcast((langs, table))
     kept = docs.columns if keep_text else [c for c in docs.columns if c != "text"]
-    schema = T.StructType([docs.schema[c] for c in kept]).add("_pl_lang", "string").add("_pl_sure", "double").add("_pl_said", "string").add("_pl_ok", "boolean")
-    of_all = np.zeros(len(langs))
+    safe = safe_names(docs.columns)
+    schema = T.StructType([T.StructField(safe[c], docs.schema[c].dataType) for c in kept]).add("_pl_lang", "string").add("_pl_sure", "double").add("_pl_said", "string").add("_pl_ok", "boolean")
+    of_all, plain = np.zeros(len(langs)), [c.alias(n) for c, n in zip(named(docs.columns), safe.values())]
     if langs:
         counts, of_all = host_counts(docs, host, model)
         counts = small_or_plain(counts.select(F.col("host").alias("_pl_key"), F.col("of_host").alias("_pl_host"), F.col("of_suffix").alias("_pl_suffix")), _few(2 * len(langs)))
-        docs = docs.join(counts, docs[host] == counts["_pl_key"], "left").drop("_pl_key")
-    return docs.mapInArrow(lean(_decide(kept, model, of_all, least)), schema)
+        docs = docs.join(counts, docs[host] == counts["_pl_key"], "left")
+        plain += ["_pl_host", "_pl_suffix"]
+    out = docs.select(*plain).mapInArrow(lean(_decide([safe[c] for c in kept], safe["text"], model, of_all, least)), schema)
+    return out.select(*(F.col(safe[c]).alias(c) for c in kept), "_pl_lang", "_pl_sure", "_pl_said", "_pl_ok")
 
 
 def accepted(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, give_back, lean, named, small_batches
+from .common import buckets_for, give_back, lean, named, safe_names, small_batches
 from .words import Words, as_bytes, combine, row_slices, sliding_min
 
 K = 13
@@ -234,10 +234,10 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(_count(k), "_pl_doc bigint, _pl_tag bigint, _pl_start array<int>, _pl_end array<int>")
 
 
-def _cut(names: list[str]):
+def _cut(names: list[str], text_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, s, e = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "_pl_starts", "_pl_ends"))
+            text, s, e = (batch.column(batch.schema.get_field_index(c)) for c in (text_name, "_pl_starts", "_pl_ends"))
             kept, total, gone = [], [], []
             for t, first, last in zip(as_bytes(text), s.to_pylist(), e.to_pylist()):
                 words = t.split()
@@ -262,8 +262,11 @@ def dedup(docs: DataFrame, k: int = K) -> DataFrame:
     spans = repeated_spans(docs, k).groupBy("_pl_doc", "_pl_tag").agg(F.collect_list("_pl_start").alias("_pl_starts"), F.collect_list("_pl_end").alias("_pl_ends"))
     tagged = docs.withColumn("_pl_key", F.xxhash64("text"))
     both = tagged.join(spans, (F.col("doc_id") == F.col("_pl_doc")) & (F.col("_pl_key") == F.col("_pl_tag")), "left").drop("_pl_doc", "_pl_tag", "_pl_key")
-    schema = T.StructType([*docs.schema.fields]).add("_pl_kept", "string").add("_pl_words", "long").add("_pl_gone", "long")
-    return both.mapInArrow(lean(_cut(docs.columns)), schema)
+    safe = safe_names(docs.columns)
+    both = both.select(*(c.alias(n) for c, n in zip(named(docs.columns), safe.values())), "_pl_starts", "_pl_ends")
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(safe.values(), docs.schema.fields)]).add("_pl_kept", "string").add("_pl_words", "long").add("_pl_gone", "long")
+    out = both.mapInArrow(lean(_cut(list(safe.values()), safe["text"])), schema)
+    return out.select(*(F.col(n).alias(c) for c, n in safe.items()), "_pl_kept", "_pl_words", "_pl_gone")
 
 
 def strip_repeats(docs: DataFrame, k: int = K) -> DataFrame:

@@ -521,7 +521,8 @@ def test_pipeline_stages_by_brute_force(docs, empty):
     kept = run(3)
     before, after = collections.Counter(pairs(at)), collections.Counter(pairs(kept))
     assert kept.columns == names and set(after) <= set(before) and all(n <= 3 * before[x] for x, n in after.items())
-    words, target = collections.Counter(), {r.source: r.target for r in mixing.copies(at).collect()}
+    of = {r.doc_id: r.source for r in at.collect()}
+    words, target = collections.Counter(), {of[r.doc_id]: r.target for r in mixing.copies(at).collect()}
     for r in kept.collect():
         words[r.source] += len(split(r.text))
     longest = max(len(split(t)) for _, t in before)
