@@ -464,8 +464,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, lon
             if n == asked.count():  # each answer was yes, so what the forest connects is one component
                 break
             tried = tried.union(new)
-    done_with(found)
-    out = index.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
+    out = materialize(index.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles")), "sizes")
+    done_with(found, index)
     return out.join(groups, out["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
