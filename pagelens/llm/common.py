@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/pagelens-{spark.sparkContext.applicationId}"
 
 
@@ -45,7 +45,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pl_path = path
@@ -65,7 +65,7 @@ def done_with(*made: DataFrame) -> None:
 
 def drop_intermediates(spark: SparkSession) -> None:
     """Deletes all that materialize has written for this application. For the end of a run: results must be written by then."""
-    _delete(spark, _own_dir(spark))
+    _delete(spark, own_dir(spark))
 
 
 def named(columns: list[str]) -> list[Column]:

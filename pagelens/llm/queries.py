@@ -12,6 +12,7 @@ from .media import op9_media_columns
 from .mixing import op6_mixing
 from .packing import op2_packing
 from .substring_dedup import OP1_SQL, op1_substring_dedup
+from .token_alignment import op11_token_alignment
 from .topk import OP5_SQL, op5_topk_search
 from .url_filters import op4_url_filters
 
@@ -26,6 +27,7 @@ _ALL = (
     op8_chat_format,
     op9_media_columns,
     op10_jaccard_join,
+    op11_token_alignment,
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 
