@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .chat_format import OP8_SQL, op8_chat_format
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .jaccard_join import OP10_SQL, op10_jaccard_join
 from .language_id import op3_language_id
 from .lm_scoring import op7_lm_scoring
@@ -28,7 +29,8 @@ _ALL = (
     op9_media_columns,
     op10_jaccard_join,
     op11_token_alignment,
+    op12_hard_negatives,
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op5_topk_search": OP5_SQL, "op8_chat_format": OP8_SQL, "op10_jaccard_join": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op5_topk_search": OP5_SQL, "op8_chat_format": OP8_SQL, "op10_jaccard_join": OP10_SQL, "op12_hard_negatives": OP12_SQL}
