@@ -348,7 +348,7 @@ def _aligned(paths: tuple[str, str], counts: Counts, whole: bool):
                 cuts = _cuts(paths)
                 s = Slice(cuts, batch.column(1)[i:j])
                 known = np.concatenate([cuts.counts, np.full(len(cuts.keys) - len(cuts.counts), -1)])
-                keys = np.frombuffer(cuts.keys, np.int64) if len(cuts.keys) else np.empty(0, np.int64)
+                keys = np.array(cuts.keys, np.int64)
                 ask = np.unique(s.pair)
                 ask = ask[known[ask] < 0]
                 ask = ask[np.argsort(keys[ask])]

@@ -98,3 +98,10 @@ def test_worker_forgets(monkeypatch):
     cuts.forget()
     after = ta.Slice(cuts, pa.array(["the cat sat", "x  y", None]))
     assert said == after.groups() and [t.tolist() for t in before.totals] == [t.tolist() for t in after.totals]
+
+
+def test_many_batches(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join("".join(rnd.choices("etaoin", k=rnd.randint(1, 6))) for _ in range(3))) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert sorted(map(tuple, ta.aligned(docs, ta.pair_counts(docs)).collect())) == sorted(brute(rows))
