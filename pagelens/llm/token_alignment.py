@@ -341,8 +341,7 @@ def pair_counts(docs: DataFrame, paths: tuple[str, str] | None = None, shard_pai
 
 def _aligned(paths: tuple[str, str], counts: Counts, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _held:
-            held.counts = np.empty(0, np.int64)  # of another corpus
+        _cuts(paths).counts = np.empty(0, np.int64)  # those held are of another corpus
         for batch in batches:
             for i, j in row_slices(batch.column(1), _PIECE):
                 cuts = _cuts(paths)
