@@ -9,6 +9,7 @@ from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .jaccard_join import OP10_SQL, op10_jaccard_join
 from .language_id import op3_language_id
 from .lm_scoring import op7_lm_scoring
+from .main_text import op13_html_extraction
 from .media import op9_media_columns
 from .mixing import op6_mixing
 from .packing import op2_packing
@@ -30,6 +31,7 @@ _ALL = (
     op10_jaccard_join,
     op11_token_alignment,
     op12_hard_negatives,
+    op13_html_extraction,
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 
