@@ -1,11 +1,11 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes of a text, and how often they do.
 
 Both vocabularies cut a text into tokens; each token is a range of bytes. Tokens whose ranges overlap are linked. A link is
-packed into one int64, the first vocabulary's id in the high half. Each task counts, with np.unique, in how many of its
-documents each packed pair occurs; these partial counts are dealt by ranges of pairs, sorted, and runs of one pair are added
-up, which gives sorted shards of counts. Shards are files in the shared folder; the second pass over the texts maps them into
-memory and looks its pairs up by binary search. Pairs are at most the product of the vocabularies, and a shard holds about
-SHARD_PAIRS of them whatever the size of the corpus.
+packed into one int64, the first vocabulary's id in the high half. Texts are encoded once, and each document's distinct pairs
+are written. Each task counts, with np.unique, in how many of its documents each pair occurs; these partial counts are dealt
+by ranges of pairs, sorted, and runs of one pair are added up, which gives sorted shards of counts. Shards are files in the
+shared folder; a last pass maps them into memory and looks the documents' pairs up by binary search. Pairs are at most the
+product of the vocabularies, and a shard holds about SHARD_PAIRS of them whatever the size of the corpus.
 
 A text is cut at single spaces between printable Latin characters: neither vocabulary has a token that covers such a place
 from both sides, so that tokens, groups and links of a text are those of its cuts in turn, and each distinct cut is encoded
@@ -37,11 +37,15 @@ from .words import row_slices
 
 SHARD_PAIRS = 1 << 21
 #: Bytes of text in a slice; distinct cuts and characters that a worker keeps; pairs in a task's partial counts.
-_PIECE, _KEPT_CUTS, _KEPT_CHARS, _KEPT_PAIRS = 4 << 20, 250_000, 8 << 20, 1 << 22
+_PIECE, _KEPT_CUTS, _KEPT_CHARS, _KEPT_PAIRS = 4 << 20, 500_000, 16 << 20, 1 << 22
+_SHORT = 200
+#: Fixed value: how the first vocabulary cuts a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LATIN = "[!-~¡-ɏ]"
 _CUT = re.compile(f"(?<={_LATIN}) (?={_LATIN})")
-_PLAIN = re.compile(f"{_LATIN}+(?: {_LATIN}+)*")
-COLUMNS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
+_PLAIN = re.compile(f"{_LATIN}+(?: {_LATIN}+)*+")
+COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+_LINKED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs binary, times binary"
 
 
 def vocabulary_paths() -> tuple[str, str]:
@@ -55,6 +59,7 @@ class Vocabularies:
 
     def __init__(self, paths: tuple[str, str]):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
@@ -62,17 +67,27 @@ class Vocabularies:
         self.a.encode_special_tokens = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        spelled = {i: t for t, i in self.a.get_vocab().items()}
-        self.a_bytes = [bytes(letters[c] for c in spelled[i]) if i in spelled and all(c in letters for c in spelled[i]) else b"" for i in range(max(spelled) + 1)]
+        spelled = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.a_bytes = [bytes(letters[c] for c in spelled.get(i, "")) for i in range(max(spelled) + 1)]
+        self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.a_bytes)}, special_tokens={})  # ids are in order of merges
         self.b = sentencepiece.SentencePieceProcessor(model_file=paths[1])
         piece = self.b.id_to_piece
         self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes))
+        #: An id and what follows it: of the first vocabulary "," or, at the end of a group, "|"; of the second "," or ";", or nothing at the end of a cut.
+        self.said = [f"{i}{end}".encode() for i in range(len(self.a_bytes)) for end in ",|"] + [f"{i}{end}".encode() for i in range(len(self.b_bytes)) for end in (",", ";", "")]
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of a space and each text: of the second vocabulary, which puts the space itself, of the text."""
         return [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
 
+    def spells(self, a: list[int], b: list[int], raw: bytes) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+
+
+def _counts(of: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(of, minlength=n)
+
 
 class Cuts(dict):
     """Tokens, groups and links of distinct cuts. Keys: cuts; values: places in the arrays."""
@@ -89,49 +104,67 @@ class Cuts(dict):
         self.groups: list[bytes] = []
         self.pairs: dict[int, int] = {}
         self.keys = array("q")
-        self.counts = np.empty(0, np.int64)  # of pairs looked up, -1 for others
 
     def full(self) -> bool:
         return len(self) > _KEPT_CUTS or self.chars > _KEPT_CHARS or len(self.keys) > _KEPT_PAIRS
 
     def learn(self, texts: list[str]) -> None:
         v = self.vocabularies
-        for text, a, b in zip(texts, *v.encode(texts)):
-            raw = b" " + text.encode()
-            spelled = b"".join(map(v.a_bytes.__getitem__, a)) == raw == b"".join(map(v.b_bytes.__getitem__, b))
-            first = len(self.links)
-            said = self._align(a, b) if spelled else []
-            self[text] = len(self.groups)
-            self.groups.append(";".join(said).encode())
-            self.sizes.extend((len(a), len(b), len(said), len(self.links) - first, first, spelled))
-            self.chars += len(text)
-
-    def _align(self, a: list[int], b: list[int]) -> list[str]:
-        """The groups; appends the links."""
-        sizes_a, sizes_b = self.vocabularies.a_sizes, self.vocabularies.b_sizes
-        if len(a) == len(b) == 1:
-            self._link(a[0], b[0])
-            return [f"{a[0]}|{b[0]}"]
-        end_a, end_b = np.cumsum(sizes_a[a]).tolist(), np.cumsum(sizes_b[b]).tolist()
-        i = j = first_i = first_j = 0
-        out = []
-        while i < len(a):
-            self._link(a[i], b[j])
-            x, y = end_a[i], end_b[j]
-            i += x <= y
-            j += y <= x
-            if x == y:
-                out.append(",".join(map(str, a[first_i:i])) + "|" + ",".join(map(str, b[first_j:j])))
-                first_i, first_j = i, j
-        return out
-
-    def _link(self, a: int, b: int) -> None:
-        key = a << 32 | b
-        at = self.pairs.get(key)
-        if at is None:
-            self.pairs[key] = at = len(self.keys)
-            self.keys.append(key)
-        self.links.append(at)
+        plain = [t for t in texts if len(t) <= _SHORT and _PLAIN.fullmatch(t)]
+        if plain:
+            raw = (" " + " ".join(plain)).encode()
+            a, b = v.fast.encode_ordinary(raw.decode()), v.b.encode(plain, num_threads=1)
+            b = [x for ids in b for x in ids]
+            if v.spells(a, b, raw):
+                self._align(plain, np.array(a), np.array(b))
+            else:
+                plain = []
+        done = set(plain)
+        rest = [t for t in texts if t not in done]
+        good, all_a, all_b = [], [], []
+        for text, a, b in zip(rest, *v.encode(rest)) if rest else ():
+            if v.spells(a, b, b" " + text.encode()):
+                good.append(text)
+                all_a += a
+                all_b += b
+            else:
+                self._keep([text], np.array([[len(a), len(b), 0, 0, len(self.links), 0]]), [b""])
+        if good:
+            self._align(good, np.array(all_a), np.array(all_b))
+
+    def _keep(self, texts: list[str], sizes: np.ndarray, groups: list[bytes]) -> None:
+        self.update(zip(texts, range(len(self.groups), len(self.groups) + len(texts))))
+        self.groups += groups
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        self.chars += sum(map(len, texts))
+
+    def _align(self, texts: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        """Keeps cuts that their tokens a and b spell, laid end to end: between two ends of tokens lies one link."""
+        v, n = self.vocabularies, len(texts)
+        end_a, end_b = np.cumsum(v.a_sizes[a]), np.cumsum(v.b_sizes[b])
+        ends = np.cumsum([len(t.encode()) + 1 for t in texts])  # with the space before each
+        every = np.union1d(end_a, end_b)
+        keys, place = np.unique(a[np.searchsorted(end_a, every)] << 32 | b[np.searchsorted(end_b, every)], return_inverse=True)
+        for key in keys.tolist():
+            if key not in self.pairs:
+                self.pairs[key] = len(self.keys)
+                self.keys.append(key)
+        first = len(self.links)
+        self.links.frombytes(np.fromiter(map(self.pairs.__getitem__, keys.tolist()), np.int64, len(keys))[place].tobytes())
+        both = end_a[end_b[np.searchsorted(end_b, end_a)] == end_a]
+        of_a, of_b, cut = np.searchsorted(both, end_a), np.searchsorted(both, end_b), np.searchsorted(ends, both)
+        n_a, n_b = _counts(of_a, len(both)), _counts(of_b, len(both))
+        base = np.cumsum(n_a + n_b) - n_a - n_b
+        said = np.empty(len(a) + len(b), np.int64)
+        said[base[of_a] + np.arange(len(a)) - (np.cumsum(n_a) - n_a)[of_a]] = 2 * a + (both[of_a] == end_a)
+        last = np.where(both[of_b] != end_b, 0, np.where(ends[cut[of_b]] == end_b, 2, 1))
+        said[(base + n_a)[of_b] + np.arange(len(b)) - (np.cumsum(n_b) - n_b)[of_b]] = 2 * len(v.a_bytes) + 3 * b + last
+        parts = list(map(v.said.__getitem__, said.tolist()))
+        ids = [_counts(np.searchsorted(ends, e), n) for e in (end_a, end_b)]
+        links = _counts(np.searchsorted(ends, every), n)
+        stops = np.cumsum(ids[0] + ids[1]).tolist()
+        sizes = np.column_stack([*ids, _counts(cut, n), links, first + np.cumsum(links) - links, np.ones(n, np.int64)])
+        self._keep(texts, sizes, [b"".join(parts[i:j]) for i, j in zip([0, *stops], stops)])
 
     def places(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(places of the cuts of all docs, where each doc begins and the last ends)."""
@@ -155,34 +188,50 @@ def _cuts(paths: tuple[str, str]) -> Cuts:
     return _held[0]
 
 
-class Slice:
-    """Documents of a slice of texts: sizes of each, and their distinct pairs with how often each occurs."""
-
-    def __init__(self, cuts: Cuts, texts: pa.Array):
-        self.cuts = cuts
-        at, begins = cuts.places([t or "" for t in texts.to_pylist()])
-        of = np.frombuffer(cuts.sizes, np.int64).reshape(-1, 6)[at]
-        doc = np.repeat(np.arange(len(texts)), np.diff(begins))
-        bad = np.bincount(doc[of[:, 5] == 0], minlength=len(texts)) > 0
-        if bad.any():
-            kept = ~bad[doc]
-            at, of, doc = at[kept], of[kept], doc[kept]
-        self.at, self.n = at, len(texts)
-        self.begins = np.searchsorted(doc, np.arange(len(texts) + 1))
-        self.totals = [self._sums(doc, of[:, i]) for i in range(4)]
-        n = of[:, 3]
-        place = np.repeat(of[:, 4] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        both = np.repeat(doc, n) * np.int64(len(cuts.keys)) + np.frombuffer(cuts.links, np.int64)[place] if len(place) else place
-        both, self.times = np.unique(both, return_counts=True)
-        self.doc, self.pair = np.divmod(both, max(1, len(cuts.keys)))
-
-    def _sums(self, doc: np.ndarray, values: np.ndarray) -> np.ndarray:
-        out = np.concatenate([[0], np.cumsum(values)])
-        return np.diff(out[np.searchsorted(doc, np.arange(self.n + 1))])
-
-    def groups(self) -> list[bytes]:
-        get, at, b = self.cuts.groups.__getitem__, self.at.tolist(), self.begins.tolist()
-        return [b";".join(map(get, at[i:j])) for i, j in zip(b, b[1:])]
+def _read(paths: tuple[str, str], whole: bool):
+    """Of each document sizes, groups, and its distinct packed pairs in order with how often each occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in row_slices(batch.column(1), _PIECE):
+                yield _sliced(_cuts(paths), batch.slice(i, j - i), whole)
+
+    return lean(run)
+
+
+def _sliced(cuts: Cuts, rows: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
+    n = rows.num_rows
+    at, begins = cuts.places([t or "" for t in rows.column(1).to_pylist()])
+    of = np.frombuffer(cuts.sizes, np.int64).reshape(-1, 6)[at]
+    doc = np.repeat(np.arange(n), np.diff(begins))
+    bad = _counts(doc[of[:, 5] == 0], n) > 0
+    if bad.any():
+        kept = ~bad[doc]
+        at, of, doc = at[kept], of[kept], doc[kept]
+    begins = np.searchsorted(doc, np.arange(n + 1))
+    totals = [np.diff(np.concatenate([[0], np.cumsum(of[:, i])])[begins]) for i in range(4)]
+    links, keys = of[:, 3], np.array(cuts.keys, np.int64)
+    place = np.repeat(of[:, 4] - (np.cumsum(links) - links), links) + np.arange(links.sum())
+    rank = np.argsort(keys, kind="stable")  # so that pairs of a document come in order
+    order = np.empty(len(keys), np.int64)
+    order[rank] = np.arange(len(keys))
+    both = np.repeat(doc, links) * np.int64(len(keys)) + (order[np.frombuffer(cuts.links, np.int64)[place]] if len(place) else place)
+    both, times = np.unique(both, return_counts=True)
+    whose, pair = np.divmod(both, max(1, len(keys)))
+    ends = np.searchsorted(whose, np.arange(n + 1))
+    blobs = [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (keys[rank[pair]], times.astype(np.int32))]
+    get, b = cuts.groups.__getitem__, begins.tolist()
+    said = [b";".join(map(get, at[i:j].tolist())) for i, j in zip(b, b[1:])]
+    digests = pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in said], pa.string())
+    out = [rows.column(0), *(pa.array(t, pa.int64()) for t in totals), digests, *blobs] + [pa.array(said).cast(pa.string())] * whole
+    return pa.RecordBatch.from_arrays(out, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"] + ["groups"] * whole)
+
+
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values, where those of each row begin and the last end) of arrays in binary."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if column.buffers()[2] else np.empty(0, np.uint8)
+    return np.frombuffer(raw.tobytes(), kind), (ends - ends[0]) // np.dtype(kind).itemsize
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,19 +267,14 @@ class _Partial:
         self.__init__()
 
 
-def _counted(paths: tuple[str, str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partial = _Partial()
-        for batch in batches:
-            for i, j in row_slices(batch.column(0), _PIECE):
-                cuts = _cuts(paths)
-                pair, n = np.unique(Slice(cuts, batch.column(0)[i:j]).pair, return_counts=True)
-                partial.add(np.frombuffer(cuts.keys, np.int64)[pair] if len(pair) else pair, n.astype(np.int64))
-                if len(partial.keys) > _KEPT_PAIRS:
-                    yield from partial.batches()
-        yield from partial.batches()
-
-    return lean(run)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    partial = _Partial()
+    for batch in batches:
+        keys, n = np.unique(_flat(batch.column(0), np.int64)[0], return_counts=True)
+        partial.add(keys, n.astype(np.int64))
+        if len(partial.keys) > _KEPT_PAIRS:
+            yield from partial.batches()
+    yield from partial.batches()
 
 
 def _local(uri: str) -> str | None:
@@ -316,64 +360,58 @@ class Counts:
         return out
 
 
-def partial_counts(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """(key, n): packed pairs and in how many documents of a task each occurs."""
+def linked(docs: DataFrame, paths: tuple[str, str] | None = None, whole: bool = False) -> DataFrame:
+    """Documents (doc_id, text) read once: their sizes, groups and pairs, written to the shared folder; whole: groups as text."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("text").cast("string")).mapInArrow(_counted(paths or vocabulary_paths()), "key bigint, n bigint")
+    used = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return materialize(used.mapInArrow(_read(paths or vocabulary_paths(), whole), _LINKED + ", groups string" * whole), "linked")
 
 
-def pair_counts(docs: DataFrame, paths: tuple[str, str] | None = None, shard_pairs: int = SHARD_PAIRS) -> Counts:
-    """In how many documents each pair of ids is linked. What comes to the driver is a row for each first id of a shard: at
-    most the ids of the vocabulary and one more for each shard."""
-    spark = docs.sparkSession
-    partial = materialize(partial_counts(docs, paths), "pairs")
+def pair_counts(rows: DataFrame, shard_pairs: int = SHARD_PAIRS) -> Counts:
+    """In how many of linked's documents each pair of ids is linked. What comes to the driver is a row for each first id of a
+    shard: at most the ids of the vocabulary and one more for each shard."""
+    spark = rows.sparkSession
+    partial = materialize(rows.select("pairs").mapInArrow(lean(_counted), "key bigint, n bigint"), "pairs")
     shards = max(1, -(-partial.count() // shard_pairs))
     folder = f"{own_dir(spark)}/shards-{uuid.uuid4().hex}"
     ranged = partial.repartitionByRange(shards, "key").sortWithinPartitions("key")
-    rows = ranged.mapInArrow(_sharded(folder), "path string, first bigint, a bigint, best bigint").collect()
+    held = ranged.mapInArrow(_sharded(folder), "path string, first bigint, a bigint, best bigint").collect()
     done_with(partial)
-    found = sorted({(r.first, r.path) for r in rows})
-    best = np.zeros(1 + max((r.a for r in rows), default=0), np.int64)
-    for r in rows:
+    found = sorted({(r.first, r.path) for r in held})
+    best = np.zeros(1 + max((r.a for r in held), default=0), np.int64)
+    for r in held:
         best[r.a] = max(best[r.a], r.best)
     return Counts([p for _, p in found], np.array([f for f, _ in found], np.int64), best)
 
 
-def _aligned(paths: tuple[str, str], counts: Counts, whole: bool):
+def _looked_up(counts: Counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _cuts(paths).counts = np.empty(0, np.int64)  # those held are of another corpus
         for batch in batches:
-            for i, j in row_slices(batch.column(1), _PIECE):
-                cuts = _cuts(paths)
-                s = Slice(cuts, batch.column(1)[i:j])
-                known = np.concatenate([cuts.counts, np.full(len(cuts.keys) - len(cuts.counts), -1)])
-                keys = np.array(cuts.keys, np.int64)
-                ask = np.unique(s.pair)
-                ask = ask[known[ask] < 0]
-                ask = ask[np.argsort(keys[ask])]
-                known[ask] = counts.of(keys[ask])
-                cuts.counts = known
-                count = known[s.pair]
-                is_best = count == counts.best[keys[s.pair] >> 32]
-                said = s.groups()
-                columns = [batch.column(0)[i:j], *s.totals, s._sums(s.doc, s.times * is_best), s._sums(s.doc, s.times * count)]
-                digests = pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in said], pa.string())
-                names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-                out = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns] + [digests]
-                if whole:
-                    out, names = [*out, pa.array(said).cast(pa.string())], [*names, "groups"]
-                yield pa.RecordBatch.from_arrays(out, names)
+            keys, begins = _flat(batch.column("pairs"), np.int64)
+            times = _flat(batch.column("times"), np.int32)[0].astype(np.int64)
+            asked, place = np.unique(keys, return_inverse=True)
+            count = counts.of(asked)
+            is_best = (count == counts.best[asked >> 32]) if len(asked) else count
+            added = [np.diff(np.concatenate([[0], np.cumsum(times * x[place])])[begins]) for x in (is_best, count)]
+            columns = {n: batch.column(n) for n in batch.schema.names} | {"n_best": pa.array(added[0], pa.int64()), "count_sum": pa.array(added[1], pa.int64())}
+            names = [*COLUMNS, *(["groups"] if "groups" in columns else [])]
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
     return lean(run)
 
 
-def aligned(docs: DataFrame, counts: Counts, paths: tuple[str, str] | None = None, whole: bool = False) -> DataFrame:
-    """COLUMNS of docs (doc_id, text) by the counts of pairs in all documents; whole: also the groups as text."""
-    small_batches(docs.sparkSession)
-    used = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return used.mapInArrow(_aligned(paths or vocabulary_paths(), counts, whole), COLUMNS + ", groups string" * whole)
+def aligned(rows: DataFrame, counts: Counts) -> DataFrame:
+    """COLUMNS of linked's documents by the counts of pairs in all of them."""
+    small_batches(rows.sparkSession)
+    kind = ", ".join(f"{c} {'string' if 'sha' in c else 'bigint'}" for c in COLUMNS)
+    return rows.mapInArrow(_looked_up(counts), kind + ", groups string" * ("groups" in rows.columns))
+
+
+def alignments(docs: DataFrame, paths: tuple[str, str] | None = None, whole: bool = False, shard_pairs: int = SHARD_PAIRS) -> DataFrame:
+    """COLUMNS of docs (doc_id, text), and with whole the groups as text."""
+    rows = linked(docs, paths, whole)
+    return aligned(rows, pair_counts(rows, shard_pairs))
 
 
 def op11_token_alignment(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return aligned(docs, pair_counts(docs))
+    return alignments(spark.read.parquet(f"{sf_dir}/documents.parquet"))
