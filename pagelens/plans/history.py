@@ -15,7 +15,7 @@ PARTS = 64
 STORE = "id bigint, target_url string, timestamp string, risk_level string, risk_score int, fingerprint struct<risk_level:string,risk_score:int,exposed:array<string>,cves:array<string>,scam_categories:array<string>,secrets:array<string>,dom_sha256:string>, part int"
 
 
-def _changes(now: str, old: str) -> Column:
+def changes(now: str, old: str) -> Column:
     get = lambda side, name: F.col(f"{side}.{name}")
     lines = [F.when(get(old, "risk_level") != get(now, "risk_level"), filled(V.RISK_CHANGED, old=get(old, "risk_level"), new=get(now, "risk_level"), old_score=get(old, "risk_score"), new_score=get(now, "risk_score")))]
     for label, name in V.CHANGED_SETS:
@@ -30,7 +30,7 @@ def _changes(now: str, old: str) -> Column:
 def diffs(scans: DataFrame) -> DataFrame:
     """(id, target_url, changes) of scans (id, target_url, fingerprint), each against the one before it of its target."""
     df = scans.select("id", "target_url", F.col("fingerprint").alias("now")).withColumn("old", F.lag("now").over(Window.partitionBy("target_url").orderBy("id")))
-    return df.select("id", "target_url", _changes("now", "old").alias("changes"))
+    return df.select("id", "target_url", changes("now", "old").alias("changes"))
 
 
 def latest(scans: DataFrame) -> DataFrame:
@@ -39,11 +39,13 @@ def latest(scans: DataFrame) -> DataFrame:
 
 
 def history(scans: DataFrame, target_url: str) -> DataFrame:
-    """A target's scans, newest first."""
+    """A target's scans, newest first; of a store only the target's folder is read."""
+    if "part" in scans.columns:
+        scans = scans.where(F.col("part") == part_of(F.lit(target_url)))
     return scans.where(F.col("target_url") == target_url).select("id", "fingerprint.risk_level", "fingerprint.risk_score").orderBy(F.desc("id"))
 
 
-def _part(target: str) -> Column:
+def part_of(target: str | Column) -> Column:
     return F.pmod(F.xxhash64(target), F.lit(PARTS)).cast("int")
 
 
@@ -54,8 +56,8 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
 def against_store(scans: DataFrame, store: DataFrame) -> DataFrame:
     """(target_url, changes) of new scans (target_url, fingerprint) against the last stored one of each target."""
     last = store.groupBy("part", "target_url").agg(F.max_by("fingerprint", "id").alias("old"))
-    both = scans.select("target_url", F.col("fingerprint").alias("now")).withColumn("part", _part("target_url")).join(last, ["part", "target_url"], "left")
-    return both.select("target_url", _changes("now", "old").alias("changes"))
+    both = scans.select("target_url", F.col("fingerprint").alias("now")).withColumn("part", part_of("target_url")).join(last, ["part", "target_url"], "left")
+    return both.select("target_url", changes("now", "old").alias("changes"))
 
 
 def save(scans: DataFrame, path: str, first: int) -> None:
@@ -64,7 +66,7 @@ def save(scans: DataFrame, path: str, first: int) -> None:
     first: one more than the store's greatest id, which the caller reads once for the batch."""
     ranges = int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = scans.repartitionByRange(ranges, "timestamp", "target_url").sortWithinPartitions("timestamp", "target_url")
-    rows = ordered.select((F.lit(first) + F.monotonically_increasing_id()).alias("id"), "target_url", "timestamp", "fingerprint.risk_level", "fingerprint.risk_score", "fingerprint", _part("target_url").alias("part"))
+    rows = ordered.select((F.lit(first) + F.monotonically_increasing_id()).alias("id"), "target_url", "timestamp", "fingerprint.risk_level", "fingerprint.risk_score", "fingerprint", part_of("target_url").alias("part"))
     rows.write.mode("append").partitionBy("part").parquet(path)
 
 

@@ -40,11 +40,11 @@ class Landed:
     codes: DataFrame | None = None
 
 
-def analysed(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """(scan_id, url, host, domain, note, dom_sha256, hits, prints, cves, weak, leaks) of captures."""
+def analysed(caps: DataFrame, rules: Rules = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(scan_id, url, host, domain, note, dom_sha256, hits, prints, cves, weak, leaks) of captures, and their columns in keep."""
     df = T.with_vulnerabilities(T.with_prints(P.with_weaknesses(H.with_hits(H.prepared(caps), rules), rules), rules))
     blank = (F.col("host") == "") | is_ipv4(F.col("host"))
-    return df.select("scan_id", "url", "host", F.when(~blank, registrable(F.col("host"))).alias("domain"), F.when(blank, "Target is a raw IP or has no registrable domain.").alias("note"), F.sha2("html", 256).alias("dom_sha256"), "hits", "prints", "cves", "weak", "leaks")
+    return df.select("scan_id", "url", "host", F.when(~blank, registrable(F.col("host"))).alias("domain"), F.when(blank, "Target is a raw IP or has no registrable domain.").alias("note"), F.sha2("html", 256).alias("dom_sha256"), "hits", "prints", "cves", "weak", "leaks", *keep)
 
 
 def with_landed(df: DataFrame, landed: Landed = Landed()) -> DataFrame:
@@ -60,10 +60,9 @@ def with_landed(df: DataFrame, landed: Landed = Landed()) -> DataFrame:
         codes = H.qr_payloads(landed.codes).groupBy("scan_id").agg(F.collect_list(F.struct(*H.FIELDS)).alias("codes"))
         df = df.join(codes, "scan_id", "left").withColumn("hits", F.concat(F.coalesce("codes", F.slice("hits", 1, 0)), "hits")).drop("codes")
     registrations = landed.registrations if landed.registrations is not None else spark.createDataFrame([], _DOMAIN)
-    known = {"registrar", "abuse_email", "nameservers"} & set(registrations.columns)
-    first = registrations.groupBy("domain").agg(F.min("created").alias("created"), *(F.min(c).alias(c) for c in sorted(known)))
     names = ("created", "registrar", "abuse_email", "nameservers")
-    first = first.select("domain", F.struct(*(F.col(c) if c in first.columns else F.lit(None).cast("string").alias(c) for c in names)).alias("registration"))
+    said = F.struct(*(F.col(c) if c in registrations.columns else F.lit(None).cast("string").alias(c) for c in names))
+    first = registrations.select("domain", said.alias("r")).groupBy("domain").agg(F.min_by("r", F.struct(F.isnull("r.created"), "r")).alias("registration"))  # one response's, whole
     age = N.age_days("registration.created", landed.now) if landed.now is not None else F.lit(None).cast("int")
     df = df.join(first, "domain", "left").withColumn("age", age)
     kind = "struct<provider:string,abuse_email:string,asn:string>"
@@ -87,9 +86,9 @@ def with_landed(df: DataFrame, landed: Landed = Landed()) -> DataFrame:
     return df.withColumn("paths", F.coalesce("paths", F.array().cast(f"array<{path}>")))
 
 
-def scanned(caps: DataFrame, landed: Landed = Landed(), rules: Rules = RULES) -> DataFrame:
-    """All findings and the risk of each capture."""
-    return R.with_verdict(with_landed(analysed(caps, rules), landed))
+def scanned(caps: DataFrame, landed: Landed = Landed(), rules: Rules = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All findings and the risk of each capture, and the captures' columns in keep."""
+    return R.with_verdict(with_landed(analysed(caps, rules, keep), landed))
 
 
 def verdicts_of(caps: DataFrame, landed: Landed = Landed(), rules: Rules = RULES) -> DataFrame:

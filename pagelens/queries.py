@@ -18,7 +18,9 @@ from .plans import risk as R
 from .plans import scan as S
 from .sources import fixed_values as V
 from .sources import responses as L
-from .sources.captures import captures, captures_sql, quoted, values
+from .sources.captures import capture_stream, captures, captures_sql, quoted, values
+from .sources.shared import fresh_dir
+from .streaming.cases import store_scans, stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -578,8 +580,11 @@ def scans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SET = lambda table, column, key="scan_id", distinct=True: f"coalesce((SELECT list_sort({'list_distinct(list(' + column + '))' if distinct else 'list(' + column + ')'}) FROM {table} x WHERE x.{key} = tot.scan_id), CAST([] AS VARCHAR[]))"
+_ROWS = f"""sl AS (SELECT tot.scan_id AS id, 'target ' || (tot.scan_id // 4) AS target_url, score, {_LEVEL} AS level, {_SET('paths', 'path', distinct=False)} AS paths, {_SET('allcves', 'cve_id', distinct=False)} AS vulns, {_SET('cats2', 'category')} AS cats, {_SET('leaks', 'evidence')} AS leaks, sha256(html) AS dom FROM tot JOIN cap ON cap.scan_id = tot.scan_id)"""
 _SCANS = f"""{_ALL_WEIGHTS}, {_SCORES(_OF_ALL)}, {_TOTAL}, {_CATS}, cats2 AS (SELECT * FROM cats UNION ALL SELECT scan_id, 'payment_qr' FROM qr),
-sl AS (SELECT tot.scan_id AS id, 'target ' || (tot.scan_id // 4) AS target_url, score, {_LEVEL} AS level, {_SET('paths', 'path', distinct=False)} AS paths, {_SET('allcves', 'cve_id', distinct=False)} AS vulns, {_SET('cats2', 'category')} AS cats, {_SET('leaks', 'evidence')} AS leaks, sha256(html) AS dom FROM tot JOIN cap ON cap.scan_id = tot.scan_id)"""
+{_ROWS}"""
+#: The same of pages alone.
+_PAGE_SCANS = f"""{_PAGE_WEIGHTS}, {_SCORES(_OF_PAGES)}, {_TOTAL}, {_CATS}, cats2 AS (SELECT * FROM cats), paths AS (SELECT 0 AS scan_id, '' AS path WHERE false), allcves AS (SELECT * FROM cves), {_ROWS}"""
 
 
 @query(f"{_CAP}{_SCANS} SELECT id, target_url, level AS risk_level, score AS risk_score, array_to_string(paths, ',') AS exposed, array_to_string(vulns, ',') AS cves, array_to_string(cats, ',') AS scam_categories, array_to_string(leaks, ',') AS secrets, dom AS dom_sha256 FROM sl")
@@ -591,15 +596,26 @@ def scan_fingerprint(spark, sf_dir):
 _LINE = lambda verb, label, a, b: f"CASE WHEN len([x for x in {a} if NOT list_contains({b}, x)]) > 0 THEN '{verb} {label}(s): ' || left(array_to_string(list_distinct_sorted([x for x in {a} if NOT list_contains({b}, x)]), ', '), 200) || '.' END".replace("list_distinct_sorted(", "list_sort(list_distinct(").replace("x)]), ', ')", "x)])), ', ')")
 
 
-@query(
-    f"""{_CAP}{_SCANS}, lg AS (SELECT *, lag(level) OVER o AS l0, lag(score) OVER o AS s0, lag(paths) OVER o AS p0, lag(vulns) OVER o AS v0, lag(cats) OVER o AS c0, lag(leaks) OVER o AS k0, lag(dom) OVER o AS d0 FROM sl WINDOW o AS (PARTITION BY target_url ORDER BY id)),
+_DIFF = f"""lg AS (SELECT *, lag(level) OVER o AS l0, lag(score) OVER o AS s0, lag(paths) OVER o AS p0, lag(vulns) OVER o AS v0, lag(cats) OVER o AS c0, lag(leaks) OVER o AS k0, lag(dom) OVER o AS d0 FROM sl WINDOW o AS (PARTITION BY target_url ORDER BY id)),
 ln AS (SELECT id, target_url, l0, concat_ws(chr(10), CASE WHEN l0 <> level THEN 'Risk changed: ' || l0 || ' -> ' || level || ' (score ' || s0 || ' -> ' || score || ').' END, {", ".join(_LINE(verb, label, *pair) for label, now, old in (("exposed path", "paths", "p0"), ("known vuln", "vulns", "v0"), ("scam signal", "cats", "c0"), ("leaked secret", "leaks", "k0")) for verb, pair in (("New", (now, old)), ("Resolved", (old, now))))}, CASE WHEN d0 <> dom THEN 'Page content changed since the previous scan.' END) AS c FROM lg)
 SELECT id, target_url, CASE WHEN l0 IS NULL THEN 'First recorded scan of this target — no baseline to compare.' WHEN c = '' THEN 'No material change since the previous scan.' ELSE c END AS changes FROM ln"""
-)
+
+
+@query(f"{_CAP}{_SCANS}, {_DIFF}")
 def scan_diff(spark, sf_dir):
     return D.diffs(scans_of(spark, sf_dir))
 
 
+@query(f"{_CAP}, {_PAGE_SCANS.removeprefix(', ')}, {_DIFF}")
+def scan_store_stream(spark, sf_dir):
+    """What changed, of captures that land in a stream, each against the last one in its target's state."""
+    scans = S.fingerprints_of(S.scanned(capture_stream(spark, sf_dir)))
+    scans = scans.select("scan_id", F.concat(F.lit("target "), F.floor(F.col("scan_id") / 4)).alias("target_url"), F.lit("2026-06-26T00:00:00Z").alias("timestamp"), "fingerprint")
+    store = fresh_dir(spark, "store")
+    store_scans(scans, store, fresh_dir(spark, "state")).awaitTermination()
+    return stored(spark, store).select(F.col("scan_id").alias("id"), "target_url", "changes")
+
+
 @query(f"{_CAP}{_SCANS} SELECT target_url, max(id) AS id, arg_max(level, id) AS risk_level FROM sl GROUP BY target_url")
 def latest_scan(spark, sf_dir):
     return D.latest(scans_of(spark, sf_dir))

@@ -75,11 +75,22 @@ def landed_captures(pages: DataFrame) -> DataFrame:
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's pages with the overlay: literal tables of a few rows, looked up by bucket in the page's row."""
+    """The driver's pages with the overlay."""
+    return overlaid(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream, as files land."""
+    schema = spark.read.parquet(f"{sf_dir}/pages.parquet").schema
+    return overlaid(spark.readStream.schema(schema).parquet(f"{sf_dir}/pages.parque[t]"))  # a pattern, so that it may be one file
+
+
+def overlaid(pages: DataFrame) -> DataFrame:
+    """Pages with the overlay: literal tables of a few rows, looked up by bucket in the page's row."""
     pick = lambda table: f"CASE pmod(page_id, {BUCKETS}) " + " ".join(f"WHEN {b} THEN {v}" for b, v in table.items()) + " END"
     urls = {b: sql_of(u) for b, (u, _) in OVERLAY.items() if u is not None}
     heads = {b: "map(" + ", ".join(sql_of(x) for kv in h.items() for x in kv) + ")" for b, h in HEADERS.items()}
-    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr(
+    raw = pages.selectExpr(
         "page_id AS scan_id",
         f"coalesce({pick(urls)}, url) AS url",
         f"concat(coalesce(html, ''), coalesce({pick({b: sql_of(s) for b, (_, s) in OVERLAY.items()})}, '')) AS html",

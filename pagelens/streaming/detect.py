@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans import history as D
-from ..plans.scan import Landed, fingerprints_of, scanned, verdicts_of
+from ..plans.scan import Landed, verdicts_of
 from ..sources.captures import normalised
 
 
@@ -18,18 +16,3 @@ def score_stream(spark: SparkSession, captures: DataFrame, out_path: str, checkp
         verdicts_of(normalised(batch), landed).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return captures.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def store_stream(spark: SparkSession, captures: DataFrame, store: str, changes: str, checkpoint: str, landed: Landed = Landed()) -> StreamingQuery:
-    """Scans captures (with a timestamp), writes what changed against the case store, then appends to it."""
-
-    def one(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("timestamp", F.col("timestamp").cast("string"))
-        scans = fingerprints_of(scanned(normalised(rows), landed)).join(rows.select("scan_id", "timestamp"), "scan_id")
-        scans = scans.select(F.col("url").alias("target_url"), "timestamp", "fingerprint").persist()
-        known = D.stored(spark, store) if batch_id else spark.createDataFrame([], D.STORE)
-        D.against_store(scans, known).write.mode("overwrite").parquet(f"{changes}/batch={batch_id}")
-        D.save(scans, store, D.next_id(known))
-        scans.unpersist()
-
-    return captures.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
