@@ -46,10 +46,11 @@ def where_true(*tests: tuple[Column, Column]) -> Column:
 
 
 def first_of_each(found: str, key: Callable[[Column], Column]) -> Column:
-    """The elements of an array column that are the first with their key."""
-    keys = F.transform(found, key)
-    firsts = F.transform(F.array(keys), lambda k: F.filter(found, lambda x, i: F.array_position(k, key(x)) == i + 1))[0]
-    return F.when(F.size(F.array_distinct(keys)) == F.size(found), F.col(found)).otherwise(firsts)
+    """The elements of an array column that are the first with their key: sorted by key and place, heads kept, put back in order."""
+    placed = F.transform(found, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+    heads = F.transform(F.array(F.array_sort(placed)), lambda s: F.filter(s, lambda r, j: (j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(r["k"])))[0]
+    back = F.array_sort(F.transform(heads, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x"))))
+    return F.transform(back, lambda r: r["x"])
 
 
 def exploded(df: DataFrame, found: Column) -> DataFrame:

@@ -90,6 +90,43 @@ def with_advisories(df: DataFrame, records: DataFrame) -> DataFrame:
     return both.withColumn("cves", first_of_each("named", lambda x: x["cve_id"])).drop("named", "more")
 
 
+def vulnerability_rows(entries=KNOWN_VULNERABILITIES) -> str:
+    """SQL of a table of entries as vulnerabilities_by_table takes it."""
+    rows = ", ".join("(" + ", ".join((str(i), sql_of(p), sql_of(tuple(vs)), sql_of(c), sql_of(k), sql_of(s), f"CAST({x} AS DOUBLE)")) + ")" for i, (p, vs, c, k, s, x) in enumerate(entries))
+    return f"SELECT * FROM VALUES {rows} AS known(i, part, prefixes, cve_id, kind, severity, score)"
+
+
+def vulnerabilities_by_table(prints: DataFrame, known: DataFrame) -> DataFrame:
+    """(scan_id, cves) of prints (scan_id, emit_ord, product, version) by a table of any size: known (i, part, prefixes, cve_id,
+    kind, severity, score). The same as with_vulnerabilities gives, by equality instead of a test of each entry.
+
+    Of each distinct product and version all substrings as long as some part, and all beginnings of the version as long as
+    some prefix, are joined to the entries' own. What a product and version has is put together before it goes to the scans."""
+    sizes = known.select(F.length("part").alias("n"), F.explode("prefixes").alias("prefix")).agg(F.collect_set("n").alias("parts"), F.collect_set(F.length("prefix")).alias("prefixes")).first()  # as many as there are lengths
+    named = prints.where("coalesce(version, '') != ''").select("scan_id", "emit_ord", "product", "version", F.lower("product").alias("low"))
+    lengths = lambda of: F.expr(f"CAST({sql_of(tuple(sorted(of)))} AS array<int>)")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.substring(F.col("low"), i, n))
+    parts = F.flatten(F.transform(F.filter(lengths(sizes.parts), lambda n: n <= F.length("low")), cut))
+    begins = F.transform(F.filter(lengths(sizes.prefixes), lambda n: n <= F.length("version")), lambda n: F.substring(F.col("version"), F.lit(1), n))
+    asked = named.select("low", "version").distinct().select("low", "version", F.explode(F.array_distinct(parts)).alias("part"), F.array_distinct(begins).alias("begins"))
+    asked = asked.select("low", "version", "part", F.explode("begins").alias("prefix"))
+    entry = F.struct(*(F.col(c) for c in ("i", "cve_id", "kind", "severity", "score")))
+    fits = asked.join(known.select("part", F.explode(F.array_distinct("prefixes")).alias("prefix"), entry.alias("entry")), ["part", "prefix"])
+    fits = fits.groupBy("low", "version").agg(F.array_sort(F.collect_set("entry")).alias("entries"))  # what one version of one product has
+    one = lambda e: F.struct(F.struct(F.col("emit_ord").alias("p"), e["i"].cast("int").alias("i")).alias("at"), *(e[c].alias(c) for c in ("cve_id", "kind", "severity", "score")), F.concat_ws(" ", "product", "version").alias("matched_product"))
+    each = named.join(fits, ["low", "version"]).select("scan_id", F.transform("entries", one).alias("named"))
+    scans = each.groupBy("scan_id").agg(F.array_sort(F.flatten(F.collect_list("named"))).alias("named"))
+    return scans.select("scan_id", first_of_each("named", lambda x: x["cve_id"]).alias("cves"))
+
+
+def with_vulnerability_table(df: DataFrame, known: DataFrame) -> DataFrame:
+    """df (scan_id, prints) with cves by a table instead of the rules' own list."""
+    prints = df.select("scan_id", F.explode("prints").alias("p")).select("scan_id", "p.emit_ord", "p.product", "p.version")
+    found = vulnerabilities_by_table(prints, known)
+    none = F.array().cast(found.schema["cves"].dataType)
+    return df.drop("cves").join(found, "scan_id", "left").withColumn("cves", F.coalesce("cves", none))
+
+
 def fingerprints(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
     return exploded(with_prints(prepared(caps), rules), F.col("prints"))
 

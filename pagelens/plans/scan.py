@@ -27,7 +27,8 @@ class Landed:
 
     paths: misconfigurations; registrations: domain_registrations, with the time now for their age; hosting: (host, provider,
     abuse_email, asn); feeds: a table with host for each feed; looks: visual matches, (scan_id, brand); siblings:
-    certificate_siblings; records: advisories; codes: decoded (scan_id, code_type, payload)."""
+    certificate_siblings; records: advisories; codes: decoded (scan_id, code_type, payload); known: a table of known
+    vulnerabilities, in place of the short list."""
 
     paths: DataFrame | None = None
     registrations: DataFrame | None = None
@@ -38,6 +39,7 @@ class Landed:
     siblings: DataFrame | None = None
     records: DataFrame | None = None
     codes: DataFrame | None = None
+    known: DataFrame | None = None
 
 
 def analysed(caps: DataFrame, rules: Rules = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -81,6 +83,8 @@ def with_landed(df: DataFrame, landed: Landed = Landed()) -> DataFrame:
             continue
         order = F.struct("ord", column) if "ord" in table.columns else F.struct(column)
         df = df.join(table.groupBy(key).agg(F.array_sort(F.collect_list(order))[column].alias(name)), key, "left").withColumn(name, F.coalesce(name, none))
+    if landed.known is not None:
+        df = T.with_vulnerability_table(df, landed.known)
     if landed.records is not None:
         df = T.with_advisories(df, landed.records)
     return df.withColumn("paths", F.coalesce("paths", F.array().cast(f"array<{path}>")))

@@ -12,10 +12,12 @@ from .operators import heuristics as H
 from .operators import landed as N
 from .operators import posture as P
 from .operators import tech as T
+from .operators.arrays import exploded
 from .plans import history as D
 from .plans import reports as X
 from .plans import risk as R
 from .plans import scan as S
+from .plans.asof import as_of
 from .sources import fixed_values as V
 from .sources import responses as L
 from .sources.captures import capture_stream, captures, captures_sql, quoted, values
@@ -211,6 +213,19 @@ def rule_effectiveness(caps):
     return H.all_heuristics(caps).groupBy("rule_id").agg(F.count("*").alias("hits"), F.countDistinct("scan_id").alias("pages"))
 
 
+_DAY = "DATE '2026-06-20' + CAST(cap.scan_id % 7 AS INTEGER)"
+_SUFFIX = "CASE WHEN contains(host, '.') THEN '.' || string_split(host, '.')[-1] ELSE '' END"
+
+
+@on_captures(f"""{_BRAND}, {_ALL_HITS}, f AS (SELECT rule_id, {_SUFFIX} AS suffix, {_DAY} AS day FROM hits JOIN cap ON cap.scan_id = hits.scan_id)
+SELECT rule_id, suffix, day, CAST(grouping_id(rule_id, suffix, day) AS INTEGER) AS grouping, CAST(count(*) AS BIGINT) AS findings FROM f GROUP BY GROUPING SETS ((rule_id), (suffix), (day), (suffix, day), ())""")
+def findings_by_sets(caps):
+    """Findings by rule, by suffix of the host, by day, by both and altogether, in one aggregation; days are made up."""
+    found = H.with_hits(H.prepared(caps)).select(urls.tld(F.col("host")).alias("suffix"), F.expr("date_add(DATE '2026-06-20', CAST(scan_id % 7 AS INT))").alias("day"), F.explode_outer("hits.rule_id").alias("rule_id")).where("rule_id is not null")
+    sets = found.groupingSets([["rule_id"], ["suffix"], ["day"], ["suffix", "day"], []], "rule_id", "suffix", "day")
+    return sets.agg(F.grouping_id("rule_id", "suffix", "day").cast("int").alias("grouping"), F.count("*").alias("findings"))
+
+
 # ---- software
 
 _PAIR = "([A-Za-z][A-Za-z0-9_-]+)[/ ]v?([0-9]+(?:[.][0-9]+){0,3})"
@@ -267,6 +282,13 @@ def cve_offline(caps):
     return T.known_vulnerabilities(caps)
 
 
+@on_captures(f", {_PRINTS}, {_CVES} SELECT * FROM cves")
+def cve_table(caps):
+    """cve_offline by a table of entries, joined by equality."""
+    found = T.vulnerabilities_by_table(T.fingerprints(caps), caps.sparkSession.sql(T.vulnerability_rows()))
+    return exploded(found, F.col("cves")).select(*T._CVE)
+
+
 # ---- posture
 
 _POST = ("scan_id", "category", "evidence", "severity")
@@ -432,6 +454,21 @@ def domain_age(caps):
     return known.select("domain", N.age_days("created", F.lit(L.NOW).cast("timestamp")).alias("age_days"))
 
 
+_SEEN = "TIMESTAMP '2026-06-01 00:00:00' + INTERVAL 1 HOUR * CAST({} AS INTEGER)"
+
+
+@on_captures(f""", seen AS (SELECT {_REG} AS domain, {_SEEN.format("(scan_id * 13) % 101")} AS seen_at, max(scan_id) AS registration FROM cap WHERE host <> '' GROUP BY ALL),
+taken AS (SELECT scan_id, {_REG} AS domain, {_SEEN.format("scan_id % 97")} AS captured_at FROM cap)
+SELECT taken.scan_id, taken.domain, seen.registration FROM taken ASOF LEFT JOIN seen ON taken.domain = seen.domain AND taken.captured_at >= seen.seen_at""")
+def registration_as_of(caps):
+    """The last registration of a capture's domain that was seen by the time of the capture; times are made up."""
+    hour = lambda n: F.expr(f"TIMESTAMP '2026-06-01 00:00:00' + make_dt_interval(0, CAST({n} AS INT))")
+    rows = caps.select("scan_id", urls.registrable(urls.host_of(F.col("url"))).alias("domain"), urls.host_of(F.col("url")).alias("host"))
+    seen = rows.where("host != ''").groupBy("domain", hour("(scan_id * 13) % 101").alias("seen_at")).agg(F.max("scan_id").alias("registration"))
+    taken = rows.select("scan_id", "domain", hour("scan_id % 97").alias("captured_at"))
+    return as_of(taken, seen, "domain", "captured_at", "seen_at").select("scan_id", "domain", "state.registration")
+
+
 _SIBLINGS = f"""ct AS (SELECT key AS domain, generate_subscripts(l, 1) AS i, unnest(l) ->> '$.name_value' AS names FROM (SELECT key, CAST(j AS JSON[]) AS l FROM {_JSON(_DOMAINS, L.CERTIFICATES)})),
 cn AS (SELECT domain, i, generate_subscripts(string_split(names, chr(10)), 1) AS n, lower(ltrim(unnest(string_split(names, chr(10))), '*.')) AS name FROM ct),
 cs AS (SELECT domain, name, row_number() OVER (PARTITION BY domain ORDER BY i, n) AS r FROM (SELECT domain, name, min(i) AS i, min_by(n, i * 1000 + n) AS n FROM cn WHERE name <> '' AND NOT contains(name, domain) GROUP BY domain, name))"""
