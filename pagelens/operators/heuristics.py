@@ -18,6 +18,8 @@ from ..functions.urls import authority, host_of, is_ipv4, path_of, tld
 from ..sources.fixed_values import QR_CHAT_MARKS, QR_PAY_MARKS
 from ..sources.rules import RULES, Rules
 from .arrays import any_of, exploded, first_of_each, literal, literal_rows, matching, pattern, sql_of, where_true
+from .phrases import LITERAL_RULES
+from .phrases import found as phrases_found
 
 FIELDS = ("emit_ord", "rule_id", "category", "label", "evidence", "severity", "weight")
 _KINDS = ("bigint", "string", "string", "string", "string", "string", "int")
@@ -80,12 +82,23 @@ def prepared(caps: DataFrame) -> DataFrame:
     return caps.withColumn("html", F.coalesce("html", F.lit(""))).withColumns({"low": F.lower("html"), "host": host_of(F.col("url")), "authority": authority(F.col("url")), "tags": tags_of("html")})
 
 
-def lexicon_found(rules: Rules = RULES) -> Column:
+def _arrow_findings(rows) -> pa.Array:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    columns = list(zip(*rows)) or [()] * len(FIELDS)
+    return pa.StructArray.from_arrays([pa.array(list(c), kinds[k]) for c, k in zip(columns, _KINDS)], list(FIELDS))
+
+
+def lexicon_found(rules: Rules = RULES, literal_rules: int = LITERAL_RULES) -> Column:
+    if len(rules.lexicon) > literal_rules:
+        made = _arrow_findings((i, r, f"scam_{c}", p, p, s, w) for i, (r, c, p, s, w) in enumerate(rules.lexicon))
+        return phrases_found("low", [x[2] for x in rules.lexicon], made, FINDING)
     return F.filter(literal_rows(((i, r, f"scam_{c}", p, p, s, w) for i, (r, c, p, s, w) in enumerate(rules.lexicon)), _ROW), lambda r: F.contains(F.col("low"), r["evidence"]))
 
 
-def currency_found(rules: Rules = RULES) -> Column:
-    return where_true((any_of("low", rules.currency_markers), finding(900, "ref.ph-currency", "ph_currency", "currency context", "₱/PHP/GCash/Maya marker", "info", 2)))
+def currency_found(rules: Rules = RULES, literal_rules: int = LITERAL_RULES) -> Column:
+    marks = rules.currency_markers
+    some = any_of("low", marks) if len(marks) <= literal_rules else F.size(phrases_found("low", marks, pa.array(marks), "string")) > 0
+    return where_true((some, finding(900, "ref.ph-currency", "ph_currency", "currency context", "₱/PHP/GCash/Maya marker", "info", 2)))
 
 
 def regex_found(rules: Rules = RULES, text: str = "html") -> Column:
@@ -141,11 +154,18 @@ def _literal(text: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in text)
 
 
-def brand_found(rules: Rules = RULES) -> Column:
+def _brands_named(rules: Rules, literal_rules: int) -> Column:
+    brands = tuple(dict.fromkeys(rules.ph_brands))
+    if len(brands) > literal_rules:
+        return F.array_sort(phrases_found("low", brands, pa.array(brands), "string", whole_words=True))
+    return F.array_sort(matching(((f"rlike(low, {sql_of(r'(?U)' + chr(92) + 'b' + _literal(b) + chr(92) + 'b')})", sql_of(b)) for b in brands), "string"))
+
+
+def brand_found(rules: Rules = RULES, literal_rules: int = LITERAL_RULES) -> Column:
     """Brands named on hosts that aren't theirs; reads creds, since a page that asks for credentials weighs more."""
     host = F.col("host")
     official = F.expr(" OR ".join(f"host = {sql_of(d)} OR endswith(host, {sql_of('.' + d)})" for d in rules.brand_official_domains) or "FALSE")
-    named = F.array_sort(matching(((f"rlike(low, {sql_of(r'(?U)' + chr(92) + 'b' + _literal(b) + chr(92) + 'b')})", sql_of(b)) for b in dict.fromkeys(rules.ph_brands)), "string"))
+    named = _brands_named(rules, literal_rules)
     active = F.size("creds") > 0
     made = F.transform(F.filter(F.array(named), lambda n: F.size(n) > 0), lambda n: finding(400_000, "ref.brand-impersonation", "brand_impersonation", F.when(active, "with credential form").otherwise("named"), F.concat(F.array_join(n, ", "), F.lit(" @ "), host), F.when(active, "high").otherwise("medium"), F.when(active, 16).otherwise(9)))
     return F.filter(made, lambda _: (host != "") & ~official)
@@ -188,8 +208,8 @@ def qr_payloads(codes: DataFrame) -> DataFrame:
     return exploded(codes, F.array(finding(-1, "ref.payment-qr", "payment_qr", F.col("code_type"), F.substring("payload", 1, 300), F.when(chat | pay, "high").otherwise("medium"), F.when(chat, 14).when(pay, 12).otherwise(8))))
 
 
-def lexicon(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
-    return exploded(prepared(caps).select("scan_id", "low"), lexicon_found(rules))
+def lexicon(caps: DataFrame, rules: Rules = RULES, literal_rules: int = LITERAL_RULES) -> DataFrame:
+    return exploded(prepared(caps).select("scan_id", "low"), lexicon_found(rules, literal_rules))
 
 
 def currency(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
@@ -208,8 +228,8 @@ def credentials(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
     return exploded(with_credentials(prepared(caps).select("scan_id", "tags"), rules), F.col("creds"))
 
 
-def brand(caps: DataFrame, rules: Rules = RULES) -> DataFrame:
-    return exploded(with_credentials(prepared(caps), rules), brand_found(rules))
+def brand(caps: DataFrame, rules: Rules = RULES, literal_rules: int = LITERAL_RULES) -> DataFrame:
+    return exploded(with_credentials(prepared(caps), rules), brand_found(rules, literal_rules))
 
 
 def domain(caps: DataFrame, rules: Rules = RULES) -> DataFrame:

@@ -86,6 +86,12 @@ def lexicon_hits(caps):
     return H.lexicon(caps).select(*_SHOWN)
 
 
+@on_captures(_LEX_SQL)
+def lexicon_automaton(caps):
+    """lexicon_hits as rule sets of any size are matched."""
+    return H.lexicon(caps, literal_rules=0).select(*_SHOWN)
+
+
 @on_captures(f"SELECT category, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT scan_id) AS BIGINT) AS pages FROM ({_LEX_SQL}) GROUP BY category")
 def lexicon_category_counts(caps):
     return H.lexicon(caps).groupBy("category").agg(F.count("*").alias("hits"), F.countDistinct("scan_id").alias("pages"))
@@ -156,6 +162,12 @@ def brand_impersonation(caps):
     return H.brand(caps).select("scan_id", "evidence", "weight")
 
 
+@on_captures(f"{_BRAND} SELECT * FROM brand")
+def brand_automaton(caps):
+    """brand_impersonation as brand lists of any size are matched."""
+    return H.brand(caps, literal_rules=0).select("scan_id", "evidence", "weight")
+
+
 _TLDS = ", ".join(map(quoted, V.SUSPICIOUS_TLDS))
 _DOM = f"""SELECT scan_id, CASE WHEN regexp_matches(host, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$') THEN 'ref.raw-ip-host' ELSE 'ref.suspicious-tld' END AS rule_id, host AS evidence,
   CAST(CASE WHEN regexp_matches(host, '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$') THEN 4 ELSE 5 END AS INTEGER) AS weight FROM cap
