@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import urls
 from .operators import heuristics as H
+from .operators import images as I
 from .operators import landed as N
 from .operators import posture as P
 from .operators import tech as T
@@ -20,7 +21,7 @@ from .plans import scan as S
 from .plans.asof import as_of
 from .sources import fixed_values as V
 from .sources import responses as L
-from .sources.captures import capture_stream, captures, captures_sql, quoted, values
+from .sources.captures import capture_stream, captures, captures_sql, quoted, screenshots, values
 from .sources.shared import fresh_dir
 from .streaming.cases import store_scans, stored
 
@@ -208,6 +209,18 @@ def qr_payload_scoring(spark, sf_dir):
     return H.qr_payloads(codes(spark, sf_dir)).select("scan_id", "evidence", "weight")
 
 
+@query("SELECT page_id AS scan_id, 'QRCODE' AS code_type, url AS payload FROM pages WHERE length(url) > 0")
+def qr_decoded(spark, sf_dir):
+    """Codes read back from synthetic screenshots of all pages."""
+    return I.decoded(screenshots(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+@query(f"SELECT scan_id, left(payload, 300) AS evidence, CAST(CASE WHEN {_HAS(V.QR_CHAT_MARKS)} THEN 14 WHEN {_HAS(V.QR_PAY_MARKS)} THEN 12 ELSE 8 END AS INTEGER) AS weight FROM (SELECT page_id AS scan_id, url AS payload FROM pages WHERE length(url) > 0)")
+def qr_screens_scoring(spark, sf_dir):
+    """Findings of the codes in all screenshots."""
+    return H.qr_payloads(qr_decoded(spark, sf_dir)).select("scan_id", "evidence", "weight")
+
+
 _ALL_HITS = f"""hits AS (
   SELECT scan_id, rule_id, evidence, weight FROM ({_LEX_SQL}) UNION ALL SELECT scan_id, 'ref.ph-currency', '₱/PHP/GCash/Maya marker', 2 FROM cap WHERE {_CUR}
   UNION ALL SELECT scan_id, rule_id, evidence, weight FROM ({_RX}) UNION ALL SELECT scan_id, rule_id, evidence, 7 FROM ({_OBF})
@@ -523,6 +536,16 @@ _SHOT_CTES = f"""px AS (SELECT vec_id AS id, [floor(CAST(embedding[(i % 64) + 1]
 _SHOT_SQL = f"WITH {_SHOT_CTES}"
 
 
+@query()
+def screenshot_hash(spark, sf_dir):
+    """Hashes of synthetic colour screenshots of vectors: 40 by 30 pixels, shrunk to 9 by 8."""
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("size(embedding) > 0")
+    value = lambda i: F.pmod(F.floor(F.get(F.col("embedding"), (i * 7 + F.floor(i / 120)) % F.size("embedding")).cast("double") * 997), F.lit(256)).cast("int")
+    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40 * 30 * 3 - 1)), lambda i: F.lpad(F.hex(value(i)), 2, "0")), ""))
+    shots = emb.select(F.col("vec_id").alias("id"), F.lit(40).alias("width"), F.lit(30).alias("height"), F.lit(3).alias("channels"), pixels.alias("pixels"))
+    return I.hashed(shots).select("id", "hash")
+
+
 @query(f"{_SHOT_SQL} SELECT id, bits FROM h")
 def dhash_bits(spark, sf_dir):
     return _shots(spark, sf_dir).select("id", F.lpad(F.bin("hash"), 64, "0").alias("bits"))

@@ -7,10 +7,13 @@ overlay is synthetic, and the same in Spark and in SQL.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.literals import sql_of
+from . import symbols
 
 BUCKETS = 24
 _KEY = "AKIA" + "ABCDEFGHIJKLMNOP"
@@ -100,6 +103,24 @@ def overlaid(pages: DataFrame) -> DataFrame:
     return normalised(raw)
 
 
+def screenshots(pages: DataFrame) -> DataFrame:
+    """(scan_id, width, height, channels, pixels): for each page with a url a synthetic screenshot with a code of it, at a
+    scale and turn and with damage by its id, as much as the code's level allows for every third."""
+
+    def draw(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for i, text in zip(ids.to_pylist(), texts.to_pylist()):
+            level = "LMQH"[i % 4]
+            modules = symbols.code_of(text, level, i % 8)
+            most = symbols.CHECK_WORDS[level][(len(modules) - 17) // 4 - 1] // 2
+            grey = symbols.drawn(symbols.damaged(modules, most if i % 3 == 0 else 0, i), 2 + i % 3, turns=i // 4 % 4)
+            out.append({"width": grey.shape[1], "height": grey.shape[0], "channels": 1, "pixels": np.ascontiguousarray(grey).tobytes()})
+        return pa.array(out, pa.struct([("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("pixels", pa.binary())]))
+
+    shot = F.arrow_udf(draw, "struct<width:int,height:int,channels:int,pixels:binary>")("page_id", "url")
+    return pages.where("length(url) > 0").select(F.col("page_id").alias("scan_id"), shot.alias("s")).select("scan_id", "s.*")
+
+
 def quoted(x) -> str:
     return "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
 
