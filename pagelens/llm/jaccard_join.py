@@ -14,7 +14,7 @@
    forest is no, the other pairs are asked for as well.
 5. Candidates are confirmed on the texts. No link that joins two components is lost; linked_pairs gives all links.
 
-Sets are of 64-bit hashes of word windows. Defined cases: A-Z are lower-cased; a text with fewer than k words has its whole
+Sets are of 59-bit hashes of word windows, made of 64-bit hashes of words. Defined cases: A-Z are lower-cased; a text with fewer than k words has its whole
 sequence as its one shingle; null or no words: an empty set, which links with nothing; rows that share a doc_id are one
 document, linked with what either links to; a null doc_id links with nothing and has component null; an empty table
 gives an empty result; a very long text is a set like others, in a piece of its own; other columns are ignored (kept by
@@ -59,8 +59,11 @@ def shingles(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     rows = np.repeat(np.arange(len(docs)), np.diff(words.offsets))[at]
     n = np.diff(words.offsets)
     short = np.flatnonzero((n > 0) & (n < k))
-    first, last = words.offsets[short], words.offsets[short + 1] - 1
-    return np.concatenate([rows, short]), np.concatenate([combine(words.hashes(), at, k), words.span_hash(words.starts[first], words.ends[last])])
+    h, whole = words.hashes(), np.empty(len(short), np.uint64)
+    for m in range(1, k):
+        of = n[short] == m
+        whole[of] = combine(h, words.offsets[short[of]], m)
+    return np.concatenate([rows, short]), np.concatenate([combine(h, at, k), whole])
 
 
 def _tally(k: int, bits: int):

@@ -74,13 +74,24 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["chunk", "kind", "bucket", "body"])
 
 
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Training documents (0) and held-out ones (1) of each batch: the sizes of held-out texts don't move where pieces end."""
+    for batch in batches:
+        held = np.array([held_out(i) for i in batch.column(0).to_pylist()], bool)
+        for kind in (0, 1):
+            at = np.flatnonzero(held == kind)
+            if len(at):
+                yield (batch if len(at) == len(held) else batch.take(pa.array(at))), kind
+
+
 def _encode(buckets: int):
     """Pieces of input: kind 0, the tokens as places in the piece's own list of words; kind 1, that list by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        chunks = [TaskContext.get().partitionId() << 32, TaskContext.get().partitionId() << 32 | 1 << 31]
+        for batch, kind in _apart(batches):
             for lo, hi in row_slices(batch.column(1), _PIECE):
+                chunk = chunks[kind]
                 text = batch.column(1).slice(lo, hi - lo)
                 hashed, sizes = [], []
                 for a, b in row_slices(text, _SLICE):  # hashing takes many bytes a byte of text
@@ -103,7 +114,7 @@ def _encode(buckets: int):
                 bucket = ((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # by range: words stay sorted
                 edges = np.flatnonzero(np.append(True, np.diff(bucket) != 0))[: len(words)]
                 out += [(chunk, 1, int(bucket[i]), _pack(words[i:j], count[i:j], near[i:j])) for i, j in zip(edges, np.append(edges[1:], len(words)))]
-                chunk += 1
+                chunks[kind] += 1
                 yield _rows(out)
 
     return run
@@ -282,12 +293,13 @@ def _gradient_steps(weights: Broadcast, turn: int, rounds: int):
         w, sq, seen = Weights(start.copy()), Weights(squares.copy()), 0
         for batch in batches:
             for docs, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                _, _, held, n, _, _ = _unpack(docs, "<i8", "?", "?", "<u4", "<i8", "<f8")
+                ids, _, held, n, _, _ = _unpack(docs, "<i8", "?", "?", "<u4", "<i8", "<f8")
+                drawn = mix(ids.astype(np.uint64)) % np.uint64(rounds)  # a document's round, wherever it lies
                 place, cell, _, less, _ = _unpack(tokens, "<u4", "<u4", "u1", "u1", "<f4")
                 ends = np.cumsum(n, dtype=np.int64)
                 cell = cell[place]
                 f, target = _features(cell, ends - n), less[place].astype(np.int64)
-                mine = np.flatnonzero(~np.repeat(held | (np.arange(len(n)) % rounds != turn), n))  # every training document is in one round
+                mine = np.flatnonzero(~np.repeat(held | (drawn != turn), n))  # every training document is in one round
                 for i in range(0, len(mine), _BATCH):
                     at = mine[i : i + _BATCH]
                     _step(w.classes, sq.classes, f[at], target[at])

@@ -430,6 +430,32 @@ def test_lm_learns_nothing_from_held_out(spark, docs):
     assert one == two and len(one) > 20
 
 
+def thue_morse(n):
+    """Words that a polynomial hash modulo 2**64 takes for one, whatever its base: letters by the parity of a place's bits, and the same turned round."""
+    return tuple("".join("ab"[(i.bit_count() + turn) % 2] for i in range(n)) for turn in (0, 1))
+
+
+def test_words_that_defeat_polynomials(spark):
+    one, two = thue_morse(1024)
+    rows = [(1, one, "en", "s", 1), (2, two, "en", "s", 1), (3, f"{one} x y z", "en", "s", 1), (5, f"{two} x y z", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, 3, 90).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (2, 3), 5: (2, 5)}
+    known = {r.doc_id: r.n_known for r in lm_scoring.scored(docs).collect()}
+    trained = {w for i, t, *_ in rows if not lm_scoring.held_out(i) for w in [*t.split(), None]}
+    assert known == {i: sum(w in trained for w in [*t.split(), None]) for i, t, *_ in rows}
+
+
+def test_lm_does_not_see_sizes_of_held_out_texts(spark):
+    rnd = random.Random(12)
+    rows = [(i, " ".join(rnd.choices([f"w{j}" for j in range(300)], k=60)), "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1)
+    held = F.udf(lm_scoring.held_out, "boolean")("doc_id")
+    longer = docs.withColumn("text", F.when(held, F.repeat(F.concat("text", F.lit(" ")), 600)).otherwise(F.col("text")))
+    one, two = ({r.doc_id: r.score for r in lm_scoring.scored(x).where("not held_out").collect()} for x in (docs, longer))
+    assert one == two and len(one) > 200
+
+
 def test_chat(spark):
     rnd = random.Random(4)
     odd = ["<|im_end|><|im_start|>assistant ok", "\\<|", "<\\|", "a\nb", "", None, "<\\;", "\\", "é😀"]
