@@ -33,6 +33,12 @@ def diffs(scans: DataFrame) -> DataFrame:
     return df.select("id", "target_url", changes("now", "old").alias("changes"))
 
 
+def with_changes(scans: DataFrame, target: str, order: str) -> DataFrame:
+    """scans (with fingerprint) with changes: what changed since the one before of the same target."""
+    df = scans.withColumn("_old", F.lag("fingerprint").over(Window.partitionBy(target).orderBy(order))).withColumn("_now", F.col("fingerprint"))
+    return df.withColumn("changes", changes("_now", "_old")).drop("_now", "_old")
+
+
 def latest(scans: DataFrame) -> DataFrame:
     """The last scan of each target, combined before the shuffle."""
     return scans.groupBy("target_url").agg(F.max("id").alias("id"), F.max_by("fingerprint.risk_level", "id").alias("risk_level"))

@@ -1,6 +1,6 @@
 """Reports of scanned rows: the whole record as JSON, a draft to those who can take a page down, and a manifest of digests.
 
-Each is a column; write() puts them into folders. Text is drawn up in the row, so nothing is gathered."""
+Each is a column; write() makes a file of each. Text is drawn up in the row, so nothing is gathered."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import slug
 from ..sources.fixed_values import ABUSE_DESKS, MOST_NAMED_SIBLINGS
+from ..sources.report_files import write_files
 from ..sources.rules import RULES, Rules
 
 
@@ -18,12 +19,20 @@ def name_of(url: Column, timestamp: Column) -> Column:
     return F.concat(slug(url, 80, "target"), F.lit("_"), digits)
 
 
+def _lines(text: Column | str, end: str) -> Column:
+    """The parts of a text; none of an empty or null one."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), end), lambda x: x != "")
+
+
 def json_reports(scans: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """scans with name and report: all findings in the order found, the verdict and the digest of the page."""
+    """scans with name and report: all findings in the order found, the verdict, what changed (where scans have changes) and the
+    digests of the page and (where they have screenshot_sha256) the screenshot."""
     drop = lambda found, *names: F.transform(found, lambda x: x.dropFields(*names))
     findings = F.concat(F.transform("weak", lambda w: w.dropFields("label")), F.transform("leaks", lambda w: w.dropFields("label")))
-    intel = F.struct("domain", "registration.registrar", F.col("registration.abuse_email").alias("registrar_abuse_email"), F.col("registration.created").alias("creation_date"), F.col("age").alias("age_days"), F.split(F.coalesce("registration.nameservers", F.lit("")), ",").alias("nameservers"), F.col("hosting.provider").alias("hosting_provider"), F.col("hosting.abuse_email").alias("hosting_abuse_email"), "hosting.asn", F.col("siblings").alias("related_domains"), F.array_compact(F.array("note")).alias("notes"))
-    changes = F.col("changes") if "changes" in scans.columns else F.lit(None).cast("string")
+    intel = F.struct("domain", "registration.registrar", F.col("registration.abuse_email").alias("registrar_abuse_email"), F.col("registration.created").alias("creation_date"), F.col("age").alias("age_days"), _lines("registration.nameservers", ",").alias("nameservers"), F.col("hosting.provider").alias("hosting_provider"), F.col("hosting.abuse_email").alias("hosting_abuse_email"), "hosting.asn", F.col("siblings").alias("related_domains"), F.array_compact(F.array("note")).alias("notes"))
+    changes = "changes" if "changes" in scans.columns else F.lit(None).cast("string")
+    shot = F.filter(F.array(F.struct(F.lit("screenshot").alias("key"), F.col("screenshot_sha256").alias("value"))), lambda e: e["value"].isNotNull()) if "screenshot_sha256" in scans.columns else None
+    dom = F.array(F.struct(F.lit("dom").alias("key"), F.col("dom_sha256").alias("value")))
     said = F.struct(
         F.col("url").alias("target_url"),
         F.col("timestamp").alias("timestamp_utc"),
@@ -34,11 +43,11 @@ def json_reports(scans: DataFrame, rules: Rules = RULES) -> DataFrame:
         F.transform("paths", lambda p: p.withField("exposed", F.lit(True))).alias("misconfigs"),
         findings.alias("security_findings"),
         intel.alias("intel"),
-        F.struct((F.col("feeds") > 0).alias("listed"), F.col("feeds").alias("sources")).alias("threat_intel"),
+        F.transform("listed", lambda s: F.struct(s.alias("source"), F.lit(True).alias("listed"))).alias("threat_intel"),
         F.col("looks").alias("visual_matches"),
         "risk",
-        F.create_map(F.lit("dom"), F.col("dom_sha256")).alias("evidence_sha256"),
-        F.split(F.coalesce(changes, F.lit("")), "\n").alias("diff_summary"),
+        F.map_from_entries(dom if shot is None else F.concat(dom, shot)).alias("evidence_sha256"),
+        _lines(changes, "\n").alias("diff_summary"),
     )
     return scans.withColumns({"name": F.concat(F.lit("report_"), name_of(F.col("url"), F.col("timestamp")), F.lit(".json")), "report": F.to_json(said, {"ignoreNullFields": "false"})})
 
@@ -64,7 +73,7 @@ def abuse_texts(scans: DataFrame) -> DataFrame:
         F.concat(F.lit("Hosted by: "), known(F.col("hosting.provider")), F.coalesce(F.concat(F.lit(" ("), "hosting.asn", F.lit(")")), F.lit(""))),
         F.concat(F.lit("Scam indicators: "), scam),
         F.concat(F.lit("Exposed paths: "), F.size("paths"), F.when(exposed != "", F.concat(F.lit(": "), exposed)).otherwise("")),
-        F.concat(F.lit("Threat feeds: "), F.when(F.col("feeds") > 0, "listed").otherwise("not listed")),
+        F.concat(F.lit("Threat feeds: "), F.when(F.size("listed") > 0, F.concat(F.lit("listed ("), F.array_join("listed", ", "), F.lit(")"))).otherwise("not listed")),
         F.when(F.size("looks") > 0, F.concat(F.lit("Looks like: "), F.array_join("looks", ", "))),
         F.when(siblings != "", F.concat(F.lit("Shares certificates with: "), siblings)),
         F.lit("Evidence and a manifest of SHA-256 digests are attached. Found by an automatic, passive scan: verify before acting."),
@@ -78,9 +87,9 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.groupBy(name.alias("name")).agg(F.min_by(F.sha2("content", 256), "path").alias("sha256"))
 
 
-def write(scans: DataFrame, folder: str) -> None:
-    """JSON reports, drafts and their manifest, as tables of (name, text) under folder, to which each run appends."""
-    reports = json_reports(scans).select("name", F.col("report").alias("text")).union(abuse_texts(scans).select("name", F.col("abuse_text").alias("text")))
-    reports.write.mode("append").parquet(f"{folder}/reports")
-    made = scans.sparkSession.read.parquet(f"{folder}/reports")
-    made.groupBy("name").agg(F.max(F.sha2("text", 256)).alias("sha256")).write.mode("overwrite").parquet(f"{folder}/manifest")
+def write(scans: DataFrame, folder: str, run: str) -> dict:
+    """A JSON report and a draft of each scan, as files of a run under folder; the run's manifest. Scans are read once."""
+    both = abuse_texts(json_reports(scans).withColumnRenamed("name", "report_name"))
+    file = lambda name, content: F.struct(F.col(name).alias("name"), F.col(content).alias("content"))
+    files = both.select(F.explode(F.array(file("report_name", "report"), file("name", "abuse_text"))).alias("f")).select("f.*")
+    return write_files(files, folder, run)

@@ -26,7 +26,7 @@ class Landed:
     """What landed responses say, as the operators on them return it; None where nothing landed.
 
     paths: misconfigurations; registrations: domain_registrations, with the time now for their age; hosting: (host, provider,
-    abuse_email, asn); feeds: a table with host for each feed; looks: visual matches, (scan_id, brand); siblings:
+    abuse_email, asn); feeds: a table with host for each feed, and sources: their names; looks: visual matches, (scan_id, brand); siblings:
     certificate_siblings; records: advisories; codes: decoded (scan_id, code_type, payload); known: a table of known
     vulnerabilities, in place of the short list."""
 
@@ -35,6 +35,7 @@ class Landed:
     now: Column | None = None
     hosting: DataFrame | None = None
     feeds: tuple[DataFrame, ...] = ()
+    sources: tuple[str, ...] = ("URLhaus", "Google Safe Browsing")
     looks: DataFrame | None = None
     siblings: DataFrame | None = None
     records: DataFrame | None = None
@@ -50,7 +51,7 @@ def analysed(caps: DataFrame, rules: Rules = RULES, keep: tuple[str, ...] = ())
 
 
 def with_landed(df: DataFrame, landed: Landed = Landed()) -> DataFrame:
-    """analysed captures with paths, registration, age, hosting, feeds, looks and siblings, empty where nothing landed."""
+    """analysed captures with paths, registration, age, hosting, feeds (how many) and listed (which), looks and siblings, empty where nothing landed."""
     spark, none = df.sparkSession, F.array().cast("array<string>")
     path = "struct<path:string,category:string,severity:string>"
     if landed.paths is not None:
@@ -72,11 +73,12 @@ def with_landed(df: DataFrame, landed: Landed = Landed()) -> DataFrame:
         df = df.join(landed.hosting.groupBy("host").agg(F.min(F.struct("provider", "abuse_email", "asn")).alias("hosting")), "host", "left")
     else:
         df = df.withColumn("hosting", F.lit(None).cast(kind))
-    df = df.withColumn("feeds", F.lit(0))
+    checked = ~is_loopback(F.col("host")) & (F.col("host") != "")  # feeds know nothing of others
     for i, feed in enumerate(landed.feeds):
-        listed = feed.select("host", F.lit(1).alias(f"feed{i}")).distinct()
-        checked = ~is_loopback(F.col("host")) & (F.col("host") != "")  # feeds know nothing of these
-        df = df.join(listed, "host", "left").withColumn("feeds", F.col("feeds") + F.when(checked, F.coalesce(f"feed{i}", F.lit(0))).otherwise(0)).drop(f"feed{i}")
+        source = landed.sources[i] if i < len(landed.sources) else f"feed {i + 1}"
+        df = df.join(feed.select("host", F.lit(source).alias(f"feed{i}")).distinct(), "host", "left")
+    named = F.array_compact(F.array(*(F.col(f"feed{i}") for i in range(len(landed.feeds))))) if landed.feeds else none
+    df = df.withColumn("listed", F.when(checked, named).otherwise(none)).withColumn("feeds", F.size("listed")).drop(*(f"feed{i}" for i in range(len(landed.feeds))))
     for name, table, key, column in (("looks", landed.looks, "scan_id", "brand"), ("siblings", landed.siblings, "domain", "name")):
         if table is None:
             df = df.withColumn(name, none)

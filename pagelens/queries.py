@@ -668,9 +668,10 @@ def scan_fingerprint(spark, sf_dir):
 _LINE = lambda verb, label, a, b: f"CASE WHEN len([x for x in {a} if NOT list_contains({b}, x)]) > 0 THEN '{verb} {label}(s): ' || left(array_to_string(list_distinct_sorted([x for x in {a} if NOT list_contains({b}, x)]), ', '), 200) || '.' END".replace("list_distinct_sorted(", "list_sort(list_distinct(").replace("x)]), ', ')", "x)])), ', ')")
 
 
-_DIFF = f"""lg AS (SELECT *, lag(level) OVER o AS l0, lag(score) OVER o AS s0, lag(paths) OVER o AS p0, lag(vulns) OVER o AS v0, lag(cats) OVER o AS c0, lag(leaks) OVER o AS k0, lag(dom) OVER o AS d0 FROM sl WINDOW o AS (PARTITION BY target_url ORDER BY id)),
-ln AS (SELECT id, target_url, l0, concat_ws(chr(10), CASE WHEN l0 <> level THEN 'Risk changed: ' || l0 || ' -> ' || level || ' (score ' || s0 || ' -> ' || score || ').' END, {", ".join(_LINE(verb, label, *pair) for label, now, old in (("exposed path", "paths", "p0"), ("known vuln", "vulns", "v0"), ("scam signal", "cats", "c0"), ("leaked secret", "leaks", "k0")) for verb, pair in (("New", (now, old)), ("Resolved", (old, now))))}, CASE WHEN d0 <> dom THEN 'Page content changed since the previous scan.' END) AS c FROM lg)
-SELECT id, target_url, CASE WHEN l0 IS NULL THEN 'First recorded scan of this target — no baseline to compare.' WHEN c = '' THEN 'No material change since the previous scan.' ELSE c END AS changes FROM ln"""
+_DIFF_ROWS = f"""lg AS (SELECT *, lag(level) OVER o AS l0, lag(score) OVER o AS s0, lag(paths) OVER o AS p0, lag(vulns) OVER o AS v0, lag(cats) OVER o AS c0, lag(leaks) OVER o AS k0, lag(dom) OVER o AS d0 FROM sl WINDOW o AS (PARTITION BY target_url ORDER BY id)),
+ln AS (SELECT id, target_url, l0, concat_ws(chr(10), CASE WHEN l0 <> level THEN 'Risk changed: ' || l0 || ' -> ' || level || ' (score ' || s0 || ' -> ' || score || ').' END, {", ".join(_LINE(verb, label, *pair) for label, now, old in (("exposed path", "paths", "p0"), ("known vuln", "vulns", "v0"), ("scam signal", "cats", "c0"), ("leaked secret", "leaks", "k0")) for verb, pair in (("New", (now, old)), ("Resolved", (old, now))))}, CASE WHEN d0 <> dom THEN 'Page content changed since the previous scan.' END) AS c FROM lg),
+df AS (SELECT id, target_url, CASE WHEN l0 IS NULL THEN 'First recorded scan of this target — no baseline to compare.' WHEN c = '' THEN 'No material change since the previous scan.' ELSE c END AS changes FROM ln)"""
+_DIFF = f"{_DIFF_ROWS} SELECT * FROM df"
 
 
 @query(f"{_CAP}{_SCANS}, {_DIFF}")
@@ -699,7 +700,9 @@ def scan_history(spark, sf_dir):
 
 
 def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.scanned(captures(spark, sf_dir), landed_of(spark, sf_dir)).withColumn("timestamp", F.lit("2026-06-26T00:00:00Z"))
+    """Scans with the time, and what changed; four ids in turn count as scans of one target."""
+    scans = S.fingerprints_of(S.scanned(captures(spark, sf_dir), landed_of(spark, sf_dir))).withColumn("timestamp", F.lit("2026-06-26T00:00:00Z"))
+    return D.with_changes(scans.withColumn("target", F.floor(F.col("scan_id") / 4)), "target", "scan_id")
 
 
 @query()
@@ -708,11 +711,56 @@ def report_json(spark, sf_dir):
     return X.json_reports(_reported(spark, sf_dir)).select("scan_id", "name", "report")
 
 
-@query()
+_OR_UNKNOWN = lambda c: f"coalesce(CAST({c} AS VARCHAR), 'unknown')"
+_REPORTED = f"""{_CAP}{_ALL_WEIGHTS}, {_SCORES(_OF_ALL)}, {_TOTAL}, {_CATS}, cats2 AS (SELECT * FROM cats UNION ALL SELECT scan_id, 'payment_qr' FROM qr), {_SIBLINGS}, {_IP_RDAP}, {_ROWS}, {_DIFF_ROWS},
+st AS (SELECT cap.scan_id, url, host, {_REG} AS domain, score, {_LEVEL} AS level, left(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'), 80) || '_20260626000000' AS stem,
+  concat_ws(', ', CASE WHEN host IN (SELECT host FROM haus) THEN 'URLhaus' END, CASE WHEN host IN (SELECT host FROM sb) THEN 'Google Safe Browsing' END) AS sources,
+  coalesce((SELECT string_agg(path, ', ' ORDER BY path) FROM paths x WHERE x.scan_id = cap.scan_id), '') AS exposed, (SELECT count(*) FROM paths x WHERE x.scan_id = cap.scan_id) AS n_exposed,
+  (SELECT string_agg(brand, ', ' ORDER BY brand) FROM looks x WHERE x.id = cap.scan_id) AS alike, (SELECT string_agg(name, ', ' ORDER BY r) FROM cs WHERE cs.domain = {_REG} AND r <= {V.MOST_NAMED_SIBLINGS}) AS shares,
+  (SELECT count(*) FROM cats2 x WHERE x.scan_id = cap.scan_id AND (starts_with(category, 'scam_') OR category IN ('brand_impersonation', 'fake_gateway', 'payment_qr'))) AS scam
+  FROM cap JOIN tot ON tot.scan_id = cap.scan_id)"""
+_DRAFT = ", ".join(
+    (
+        "'Request to take down a page (draft: check before sending)'",
+        "'Page: ' || url",
+        "'Captured at: 2026-06-26T00:00:00Z'",
+        "'Verdict: ' || level || ' (' || score || ' of 100)'",
+        "'To:'",
+        f"'  * registrar (' || {_OR_UNKNOWN('rd.registrar')} || '): ' || rd.abuse_email",
+        f"'  * host (' || {_OR_UNKNOWN('provider')} || '): ' || ad.abuse_email",
+        *(quoted(f"  * {d}") for d in V.ABUSE_DESKS),
+        f"'Registrar: ' || {_OR_UNKNOWN('rd.registrar')}",
+        f"'Domain age: ' || {_OR_UNKNOWN('age')} || ' days (created ' || {_OR_UNKNOWN('created')} || ')'",
+        f"'Hosted by: ' || {_OR_UNKNOWN('provider')} || coalesce(' (' || asn || ')', '')",
+        "'Scam indicators: ' || scam",
+        "'Exposed paths: ' || n_exposed || CASE WHEN exposed <> '' THEN ': ' || exposed ELSE '' END",
+        "'Threat feeds: ' || CASE WHEN sources <> '' THEN 'listed (' || sources || ')' ELSE 'not listed' END",
+        "'Looks like: ' || alike",
+        "'Shares certificates with: ' || shares",
+        "'Evidence and a manifest of SHA-256 digests are attached. Found by an automatic, passive scan: verify before acting.'",
+    )
+)
+
+
+@query(f"{_REPORTED} SELECT st.scan_id, 'abuse_' || stem || '.txt' AS name, concat_ws(chr(10), {_DRAFT}) AS abuse_text FROM st LEFT JOIN rd ON rd.domain = st.domain LEFT JOIN ad ON ad.address = st.host LEFT JOIN ages ON ages.scan_id = st.scan_id")
 def abuse_text(spark, sf_dir):
     return X.abuse_texts(_reported(spark, sf_dir)).select("scan_id", "name", "abuse_text")
 
 
+@query(
+    f"""{_REPORTED} SELECT st.scan_id, 'report_' || stem || '.json' AS name, url AS target_url, CAST(score AS BIGINT) AS score, level, CAST({_N("cats2", "n_hits").replace("tot.", "st.").removesuffix(" AS n_hits")} AS BIGINT) AS n_hits,
+CAST((SELECT count(*) FROM allcves x WHERE x.scan_id = st.scan_id) AS BIGINT) AS n_cves, CAST(n_exposed AS BIGINT) AS n_paths,
+CAST((SELECT count(*) FROM weak x WHERE x.scan_id = st.scan_id) + (SELECT count(*) FROM leaks x WHERE x.scan_id = st.scan_id) AS BIGINT) AS n_findings, sources, coalesce(nameservers, '') AS nameservers, changes
+FROM st LEFT JOIN rd ON rd.domain = st.domain JOIN df ON df.id = st.scan_id"""
+)
+def report_fields(spark, sf_dir):
+    """What the JSON reports say, read back."""
+    kind = "target_url string, heuristics array<struct<rule_id:string>>, cves array<struct<cve_id:string>>, misconfigs array<struct<path:string>>, security_findings array<struct<category:string>>, intel struct<nameservers:array<string>>, threat_intel array<struct<source:string>>, risk struct<score:bigint,level:string>, diff_summary array<string>"
+    said = report_json(spark, sf_dir).select("scan_id", "name", F.from_json("report", kind).alias("r"))
+    counts = (F.size(f"r.{f}").cast("bigint").alias(n) for f, n in (("heuristics", "n_hits"), ("cves", "n_cves"), ("misconfigs", "n_paths"), ("security_findings", "n_findings")))
+    return said.select("scan_id", "name", "r.target_url", "r.risk.score", "r.risk.level", *counts, F.array_join("r.threat_intel.source", ", ").alias("sources"), F.array_join("r.intel.nameservers", ",").alias("nameservers"), F.array_join("r.diff_summary", "\n").alias("changes"))
+
+
 @query("SELECT page_id || '.html' AS name, sha256(html) AS sha256 FROM pages")
 def evidence_manifest(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat("page_id", F.lit(".html")).alias("name"), F.sha2("html", 256).alias("sha256"))

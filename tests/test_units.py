@@ -159,7 +159,7 @@ def test_reports(spark):
     row = reports.abuse_texts(reports.json_reports(scans).withColumnRenamed("name", "json_name")).first()
     said = json.loads(row.report)
     assert {t["product"] for t in said["tech_stack"]} == {"nginx"} and said["cves"][0]["cve_id"] == "CVE-2021-23017" and said["misconfigs"][0]["path"] == "/.env"
-    assert said["intel"]["age_days"] == 6 and said["threat_intel"] == {"listed": True, "sources": 1} and said["risk"]["level"] == "Critical" and said["visual_matches"] == ["gcash"]
+    assert said["intel"]["age_days"] == 6 and said["threat_intel"] == [{"source": "URLhaus", "listed": True}] and said["risk"]["level"] == "Critical" and said["visual_matches"] == ["gcash"]
     assert row.json_name == "report_https___pay.gcash-help.xyz_login_20260626010203.json"
     for part in ("abuse@reg.test", "abuse@host.test", "6 days", "AS1", "Exposed paths: 1: /.env", "Threat feeds: listed", "Looks like: gcash", "other.test", "Critical"):
         assert part in row.abuse_text
