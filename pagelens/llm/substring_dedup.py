@@ -29,7 +29,7 @@ from .common import buckets_for, give_back, lean, named, safe_names, small_batch
 from .words import Words, as_bytes, combine, row_slices, sliding_min
 
 K = 13
-_PIECE = 1_900_000
+_PIECE = 1_200_000
 _HEAD = np.dtype([("row", "<u4"), ("word", "<u4"), ("count", "<u4")])
 _ROW = np.dtype([("doc", "<i8"), ("tag", "<i8")])
 _SPAN = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("end", "<u4")])
@@ -89,7 +89,7 @@ def _slices(doc: np.ndarray, tag: np.ndarray, words: Words, k: int, buckets: int
     """(bucket, packed slices) of a piece of input."""
     if len(words) < k:
         return
-    h = words.hashes()
+    h = words.span_hash(words.starts, words.ends)  # only deals windows to buckets: what meets there is compared
     short = words.ends - words.starts <= 4
     key = (combine(h, np.arange(len(h) - 1), 2) >> np.uint64(1)) | ((short[1:] & short[:-1]).astype(np.uint64) << np.uint64(63))
     at = words.window_starts(k)
