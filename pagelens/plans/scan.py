@@ -99,7 +99,12 @@ def scanned(caps: DataFrame, landed: Landed = Landed(), rules: Rules = RULES, ke
 
 def verdicts_of(caps: DataFrame, landed: Landed = Landed(), rules: Rules = RULES) -> DataFrame:
     """(scan_id, score, level, contributions, summary)."""
-    return scanned(caps, landed, rules).select("scan_id", "risk.score", "risk.level", F.array_join("risk.contributions", "; ").alias("contributions"), "risk.summary")
+    return shown(scanned(caps, landed, rules))
+
+
+def shown(scans: DataFrame) -> DataFrame:
+    """The same of scanned rows."""
+    return scans.select("scan_id", "risk.score", "risk.level", F.array_join("risk.contributions", "; ").alias("contributions"), "risk.summary")
 
 
 def fingerprints_of(scans: DataFrame) -> DataFrame:

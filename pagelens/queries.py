@@ -22,7 +22,7 @@ from .plans.asof import as_of
 from .sources import fixed_values as V
 from .sources import responses as L
 from .sources.captures import capture_stream, captures, captures_sql, quoted, screenshots, values
-from .sources.shared import fresh_dir
+from .sources.shared import fresh_dir, written
 from .streaming.cases import store_scans, stored
 
 QUERIES: dict = {}
@@ -445,7 +445,11 @@ records AS (SELECT key AS product, CAST(ord AS INTEGER) AS ord, v ->> '$.cve.id'
 
 @on_captures(f", {_PRINTS}, {_NVD} SELECT * FROM records")
 def cve_nvd_parse(caps):
-    prints = T.fingerprints(caps).where("coalesce(version, '') != ''")
+    return _advisories_of(T.fingerprints(caps))
+
+
+def _advisories_of(prints: DataFrame) -> DataFrame:
+    prints = prints.where("coalesce(version, '') != ''")
     raw = L.responses(prints.select("scan_id", F.lower(F.concat_ws(" ", "product", "version")).alias("term")), "term", L.ADVISORIES)
     return N.advisories(raw.withColumnRenamed("key", "product"))
 
@@ -563,22 +567,29 @@ def visual_matches(spark, sf_dir):
 _PTS = "CASE lower(severity) " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in V.SEVERITY_POINTS.items()) + " ELSE 1 END"
 
 
-def landed_of(spark: SparkSession, sf_dir: str) -> S.Landed:
-    """The synthetic responses that the queries above take; the screenshot with a page's id is the page's."""
-    get = lambda name: QUERIES[name](spark, sf_dir)
+def landed_of(spark: SparkSession, sf_dir: str, found: DataFrame) -> S.Landed:
+    """The synthetic responses that the queries above take, for analysed captures; the screenshot with a page's id is the page's."""
+    of = lambda name: QUERIES[name].of(found)
     return S.Landed(
-        paths=get("misconfig_exposed"),
-        registrations=get("rdap_domain"),
+        paths=misconfig_exposed(spark, sf_dir),
+        registrations=of("rdap_domain"),
         now=F.lit(L.NOW).cast("timestamp"),
-        hosting=get("rdap_ip").withColumnRenamed("address", "host"),
-        feeds=(get("feed_hits"), get("safe_browsing_summary")),
-        looks=get("visual_matches").withColumnRenamed("id", "scan_id"),
-        siblings=get("ct_siblings"),
-        records=get("cve_nvd_parse"),
+        hosting=of("rdap_ip").withColumnRenamed("address", "host"),
+        feeds=(of("feed_hits"), of("safe_browsing_summary")),
+        looks=visual_matches(spark, sf_dir).withColumnRenamed("id", "scan_id"),
+        siblings=of("ct_siblings"),
+        records=_advisories_of(exploded(found, F.col("prints"))),
         codes=codes(spark, sf_dir),
     )
 
 
+def with_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures with all findings and what landed. Pages are read and parsed once: findings are written, and what is looked up
+    and joined starts from them."""
+    found = written(S.analysed(captures(spark, sf_dir)), "analysed")
+    return S.with_landed(found, landed_of(spark, sf_dir, found))
+
+
 _WEAK = f"""weak AS (SELECT scan_id, 'medium' AS severity FROM cap WHERE starts_with(lower(url), 'http://') UNION ALL SELECT scan_id, severity FROM ({_MISSING}) UNION ALL SELECT scan_id, severity FROM ({_CSP})
   UNION ALL SELECT scan_id, severity FROM ({_CORS}) UNION ALL SELECT scan_id, 'low' FROM ({_VERS}) UNION ALL SELECT scan_id, severity FROM ({_COOKIES}) UNION ALL SELECT scan_id, 'low' FROM ({_MIXED}) UNION ALL SELECT scan_id, severity FROM ({_FORMS})),
 leaks AS ({_SECRET})"""
@@ -619,7 +630,7 @@ def risk_verdict_pages(caps):
 @query(f"{_CAP}{_ALL_WEIGHTS}, {_SCORES(_OF_ALL)} SELECT * FROM sc")
 def risk_buckets_all(spark, sf_dir):
     """risk_buckets over all six buckets: with what landed."""
-    return _bucket_rows(R.with_buckets(S.with_landed(S.analysed(captures(spark, sf_dir)), landed_of(spark, sf_dir))))
+    return _bucket_rows(R.with_buckets(with_landed(spark, sf_dir)))
 
 
 _LINES = f"""li AS (SELECT tot.scan_id, coalesce(string_agg(CASE bucket WHEN 'scam' THEN 'Scam heuristics: ' || findings || ' signal(s)' WHEN 'cve' THEN 'Known vulns: ' || findings WHEN 'misconfig' THEN 'Exposed sensitive paths: ' || findings
@@ -639,7 +650,7 @@ su AS (SELECT *, concat_ws('; ', CASE WHEN phishing > 0 THEN 'active phishing /
 
 @query(f"{_CAP}{_ALL_WEIGHTS}, {_SCORES(_OF_ALL)}, {_TOTAL}, {_LINES}, {_CATS}, cats2 AS (SELECT * FROM cats UNION ALL SELECT scan_id, 'payment_qr' FROM qr), {_SUMMARY} SELECT su.scan_id, score, {_LEVEL} AS level, contributions, {_LEVEL} || ' risk - driven by ' || CASE WHEN d <> '' THEN d WHEN posture > 0 THEN 'weak security posture' ELSE 'no notable findings' END || '.' AS summary FROM su JOIN li ON li.scan_id = su.scan_id")
 def risk_verdict(spark, sf_dir):
-    return S.verdicts_of(captures(spark, sf_dir), landed_of(spark, sf_dir))
+    return S.shown(R.with_verdict(with_landed(spark, sf_dir)))
 
 
 # ---- history and reports
@@ -647,7 +658,7 @@ def risk_verdict(spark, sf_dir):
 
 def scans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row of the case store for each capture; four ids in turn count as scans of one target."""
-    scans = S.fingerprints_of(S.scanned(captures(spark, sf_dir), landed_of(spark, sf_dir)))
+    scans = S.fingerprints_of(R.with_verdict(with_landed(spark, sf_dir)))
     return scans.select(F.col("scan_id").alias("id"), F.concat(F.lit("target "), F.floor(F.col("scan_id") / 4)).alias("target_url"), F.lit("2026-06-26T00:00:00Z").alias("timestamp"), "fingerprint")
 
 
@@ -701,7 +712,7 @@ def scan_history(spark, sf_dir):
 
 def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans with the time, and what changed; four ids in turn count as scans of one target."""
-    scans = S.fingerprints_of(S.scanned(captures(spark, sf_dir), landed_of(spark, sf_dir))).withColumn("timestamp", F.lit("2026-06-26T00:00:00Z"))
+    scans = S.fingerprints_of(R.with_verdict(with_landed(spark, sf_dir))).withColumn("timestamp", F.lit("2026-06-26T00:00:00Z"))
     return D.with_changes(scans.withColumn("target", F.floor(F.col("scan_id") / 4)), "target", "scan_id")
 
 
