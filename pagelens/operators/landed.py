@@ -147,11 +147,8 @@ def safe_browsing(raw: DataFrame) -> DataFrame:
 
 def difference_hash(pixels: str) -> Column:
     """64 bits of 8 rows of 9 grey values: a bit is whether a value exceeds the one to its right, first bit highest."""
-    bit = lambda i: F.when(F.col(pixels)[i // 8 * 9 + i % 8] > F.col(pixels)[i // 8 * 9 + i % 8 + 1], F.lit((1 << (63 - i)) - ((1 << 64) if i == 0 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    out = bit(0)
-    for i in range(1, 64):
-        out = out.bitwiseOR(bit(i))
-    return out
+    at = "CAST(i DIV 8 * 9 + i % 8 AS INT)"
+    return F.expr(f"CASE WHEN {pixels} IS NOT NULL THEN aggregate(sequence(0, 63), 0L, (h, i) -> shiftleft(h, 1) | CASE WHEN get({pixels}, {at}) > get({pixels}, {at} + 1) THEN 1L ELSE 0L END) END")
 
 
 #: So many reference hashes may be broadcast and compared with each screenshot in its row.

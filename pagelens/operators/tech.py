@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.fixed_values import KNOWN_VULNERABILITIES
 from ..sources.rules import RULES, Rules
-from .arrays import exploded, first_of_each, listed, literal, literal_rows, matching, of, pattern, sql_of
+from .arrays import exploded, first_of_each, listed, literal, literal_rows, matching, pattern, sql_of
 from .heuristics import prepared
 
 #: A product with a version; a product alone.
@@ -20,50 +18,47 @@ _ROW = "emit_ord bigint, product string, version string, source string, rule_id
 _CVE = ("scan_id", "cve_id", "kind", "severity", "score", "matched_product")
 
 
-def _print(order, product, version, source, rule) -> Column:
-    return F.struct(of(order).cast("bigint").alias("emit_ord"), of(product).cast("string").alias("product"), of(version).cast("string").alias("version"), of(source).cast("string").alias("source"), of(rule).cast("string").alias("rule_id"))
+def _print(order: str, product: str, version: str, source: str, rule: str) -> str:
+    """SQL of a fingerprint; order, product and version are SQL."""
+    return f"named_struct('emit_ord', CAST({order} AS BIGINT), 'product', CAST({product} AS STRING), 'version', CAST({version} AS STRING), 'source', {sql_of(source)}, 'rule_id', {sql_of(rule)})"
+
 
+def _tokens(value: str, order: str, source: str, rule: str) -> tuple[str, str]:
+    """SQL of (products with versions in a value, its first token as an array if that looks like a product)."""
+    part = lambda g: f"regexp_extract_all({value}, {sql_of(VERSIONED)}, {g})"
+    found = f"transform(arrays_zip({part(1)}, {part(2)}), (x, i) -> {_print(f'{order} + i', 'x.`0`', 'x.`1`', source, rule)})"
+    alone = f"trim(substring_index(substring_index({value}, ';', 1), ',', 1))"
+    return found, f"filter(array({_print(order, alone, 'NULL', source, rule)}), x -> rlike(x.product, {sql_of(_ALONE)}))"
 
-def _tokens(value: Column, order, source: str, rule: str) -> Column:
-    """Products with versions in a value; without any, its first token if that looks like a product."""
-    pairs = F.arrays_zip(F.regexp_extract_all(value, F.lit(VERSIONED), 1).alias("p"), F.regexp_extract_all(value, F.lit(VERSIONED), 2).alias("v"))
-    alone = F.trim(F.substring_index(F.substring_index(value, ";", 1), ",", 1))
-    found = F.transform(pairs, lambda x, i: _print(order + i, x["p"], x["v"], source, rule))
-    single = F.filter(F.array(_print(order, alone, None, source, rule)), lambda x: x["product"].rlike(_ALONE))
-    return F.when(F.size(pairs) > 0, found).otherwise(single)
 
+def _header(i: int, header: str, rule: str) -> Column:
+    found, single = _tokens(f"coalesce(headers[{sql_of(header)}], '')", str(1000 * i), f"header:{header}", rule)
+    return F.expr(f"CASE WHEN size({found}) > 0 THEN {found} ELSE {single} END")
 
-def _meta(t: Column, n: Column) -> Column:
-    """Of a generator or application name: products with versions, else one token, else its first 60 characters."""
-    said = F.trim(F.coalesce(t["attrs"]["content"], F.lit("")))
-    found = _tokens(said, 200_000 + n * 100, "meta:generator", "tech.meta-generator")
-    whole = F.array(_print(200_000 + n * 100, F.substring(said, 1, 60), None, "meta:generator", "tech.meta-generator"))
-    return F.when(said == "", F.slice(whole, 1, 0)).when(F.size(found) > 0, found).otherwise(whole)
+
+def _metas() -> Column:
+    """Of generators and application names: products with versions, else one token, else the first 60 characters."""
+    said, rule = "trim(coalesce(t.attrs['content'], ''))", ("meta:generator", "tech.meta-generator")
+    found, single = _tokens(said, "200000 + n * 100", *rule)
+    whole = f"array({_print('200000 + n * 100', f'substring({said}, 1, 60)', 'NULL', *rule)})"
+    one = f"CASE WHEN {said} = '' THEN slice({whole}, 1, 0) WHEN size({found}) > 0 THEN {found} WHEN size({single}) > 0 THEN {single} ELSE {whole} END"
+    return F.expr(f"flatten(transform(filter(tags, t -> t.tag = 'meta' AND lower(coalesce(t.attrs['name'], t.attrs['property'], '')) IN ('generator', 'application-name')), (t, n) -> {one}))")
 
 
 def with_prints(df: DataFrame, rules: Rules = RULES) -> DataFrame:
     """prepared captures with prints: (emit_ord, product, version, source, rule_id), the first of each product and version."""
-    parts = [_tokens(F.coalesce(F.col("headers")[header], F.lit("")), 1000 * i, f"header:{header}", rule) for i, (rule, header) in enumerate(rules.revealing_headers)]
+    parts = [_header(i, header, rule) for i, (rule, header) in enumerate(rules.revealing_headers)]
     parts.append(matching(((f"contains(lower(coalesce(headers['set-cookie'], '')), {sql_of(part.lower())})", literal(_ROW, (100_000 + i, product, None, f"cookie:{part}", rule))) for i, (rule, part, product) in enumerate(rules.cookies)), PRINT))
-    named = lambda t: F.lower(F.coalesce(t["attrs"]["name"], t["attrs"]["property"], F.lit("")))
-    metas = F.filter("tags", lambda t: (t["tag"] == "meta") & named(t).isin("generator", "application-name"))
-    parts.append(F.flatten(F.transform(metas, _meta)))
+    parts.append(_metas())
     parts.append(matching(((f"rlike(html, {sql_of(pattern(says, fold))})", literal(_ROW, (300_000 + i, product, None, "dom:path", rule))) for i, (rule, product, says, fold) in enumerate(rules.dom)), PRINT))
     for k, (rule, names, says, fold) in enumerate(rules.js_libraries):
-        pairs = F.arrays_zip(*(F.regexp_extract_all("html", F.lit(pattern(says, fold)), g).alias(a) for g, a in ((1, "p"), (2, "v"))))
-        parts.append(F.transform(pairs, _asset(k, rule, names)))
+        part = lambda g: f"regexp_extract_all(html, {sql_of(pattern(says, fold))}, {g})"  # noqa: E731, B023
+        known = f"coalesce(get(filter(CAST({sql_of(tuple(names))} AS array<string>), n -> startswith(n, lower(x.`0`))), 0), lower(x.`0`))"
+        parts.append(F.expr(f"transform(arrays_zip({part(1)}, {part(2)}), (x, i) -> {_print(f'{400_000 + k * 10_000} + i', known, 'x.`1`', 'dom:asset', rule)})"))
     df = df.withColumn("found", F.flatten(listed(parts, f"array<{PRINT}>")))
     return df.withColumn("prints", first_of_each("found", lambda x: F.struct(F.lower(x["product"]).alias("p"), F.coalesce(x["version"], F.lit("")).alias("v")))).drop("found")
 
 
-def _asset(k: int, rule: str, names: tuple[str, ...]) -> Callable[[Column, Column], Column]:
-    return lambda x, i: _print(400_000 + k * 10_000 + i, _known_name(x["p"], names), x["v"], "dom:asset", rule)
-
-
-def _known_name(said: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.startswith(n, F.lower(said))), F.lit(0)), F.lower(said))
-
-
 def with_vulnerabilities(df: DataFrame) -> DataFrame:
     """df with cves: (at, cve_id, kind, severity, score, matched_product) of prints with versions, by part of the product's name
     and prefix of the version's text; the first of each cve_id. at: (place of the print, place of the entry)."""
