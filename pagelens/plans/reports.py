@@ -26,10 +26,11 @@ def _lines(text: Column | str, end: str) -> Column:
 
 def json_reports(scans: DataFrame, rules: Rules = RULES) -> DataFrame:
     """scans with name and report: all findings in the order found, the verdict, what changed (where scans have changes) and the
-    digests of the page and (where they have screenshot_sha256) the screenshot."""
+    digests of the page and (where they have screenshot_sha256) the screenshot; with favicon_hash, where they have it."""
     drop = lambda found, *names: F.transform(found, lambda x: x.dropFields(*names))
     findings = F.concat(F.transform("weak", lambda w: w.dropFields("label")), F.transform("leaks", lambda w: w.dropFields("label")))
-    intel = F.struct("domain", "registration.registrar", F.col("registration.abuse_email").alias("registrar_abuse_email"), F.col("registration.created").alias("creation_date"), F.col("age").alias("age_days"), _lines("registration.nameservers", ",").alias("nameservers"), F.col("hosting.provider").alias("hosting_provider"), F.col("hosting.abuse_email").alias("hosting_abuse_email"), "hosting.asn", F.col("siblings").alias("related_domains"), F.array_compact(F.array("note")).alias("notes"))
+    icon = F.col("favicon_hash") if "favicon_hash" in scans.columns else F.lit(None).cast("string")
+    intel = F.struct("domain", "registration.registrar", F.col("registration.abuse_email").alias("registrar_abuse_email"), F.col("registration.created").alias("creation_date"), F.col("age").alias("age_days"), _lines("registration.nameservers", ",").alias("nameservers"), F.col("hosting.provider").alias("hosting_provider"), F.col("hosting.abuse_email").alias("hosting_abuse_email"), "hosting.asn", icon.alias("favicon_hash"), F.col("siblings").alias("related_domains"), F.array_compact(F.array("note")).alias("notes"))
     changes = "changes" if "changes" in scans.columns else F.lit(None).cast("string")
     shot = F.filter(F.array(F.struct(F.lit("screenshot").alias("key"), F.col("screenshot_sha256").alias("value"))), lambda e: e["value"].isNotNull()) if "screenshot_sha256" in scans.columns else None
     dom = F.array(F.struct(F.lit("dom").alias("key"), F.col("dom_sha256").alias("value")))

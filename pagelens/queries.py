@@ -14,6 +14,7 @@ from .operators import landed as N
 from .operators import posture as P
 from .operators import tech as T
 from .operators.arrays import exploded
+from .operators.entities import abuse_contacts
 from .plans import history as D
 from .plans import reports as X
 from .plans import risk as R
@@ -466,6 +467,13 @@ def rdap_domain(caps):
     return N.domain_registrations(L.responses(caps.select("scan_id", urls.host_of(F.col("url")).alias("h")).select("scan_id", F.when(~urls.is_ipv4(F.col("h")), urls.registrable(F.col("h"))).alias("domain")), "domain", L.RDAP))
 
 
+@on_captures(f", {_RDAP} SELECT domain AS key, abuse_email FROM rd")
+def rdap_contacts(caps):
+    """Abuse contacts of domains by a recursive query over nested entities."""
+    keys = caps.select("scan_id", urls.host_of(F.col("url")).alias("h")).select("scan_id", F.when(~urls.is_ipv4(F.col("h")), urls.registrable(F.col("h"))).alias("domain"))
+    return abuse_contacts(L.responses(keys, "domain", L.RDAP))
+
+
 _IP_RDAP = f"""ad AS (SELECT key AS address, j ->> '$.name' AS provider, {_WITHIN(0)} AS abuse_email, 'AS' || coalesce(j ->> '$.arin_originas0_originautnumbers[0]', j ->> '$.originAutnums[0]') AS asn FROM {_JSON(_HOSTS, L.ADDRESS)})"""
 
 

@@ -74,8 +74,9 @@ def test_reports_of_scans(spark, tmp_path):
     one = json.loads(got["report_http___a3.org__20260626010203.json"])
     assert one["target_url"] == "http://a3.org/" and one["intel"]["nameservers"] == [] and one["diff_summary"] == [] and one["threat_intel"] == []
     assert list(one["evidence_sha256"]) == ["dom"] and got["abuse_http___a3.org__20260626010203.txt"].startswith("Request")
-    more = scans.withColumns({"changes": F.lit("a\nb"), "screenshot_sha256": F.lit("ff")})
+    more = scans.withColumns({"changes": F.lit("a\nb"), "screenshot_sha256": F.lit("ff"), "favicon_hash": F.lit("0a")})
     said = json.loads(reports.json_reports(more).first().report)
+    assert said["intel"]["favicon_hash"] == "0a" and one["intel"]["favicon_hash"] is None
     assert said["diff_summary"] == ["a", "b"] and said["evidence_sha256"]["screenshot"] == "ff"
 
 
