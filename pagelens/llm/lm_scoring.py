@@ -75,13 +75,23 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
-    """Training documents (0) and held-out ones (1) of each batch: the sizes of held-out texts don't move where pieces end."""
+    """Training documents (0) and held-out ones (1) apart, put together to _PIECE bytes of text or more: held-out texts don't
+    move where pieces of training documents end, and large pieces share their words' lists."""
+    waiting, sizes = ([], []), [0, 0]
     for batch in batches:
         held = np.array([held_out(i) for i in batch.column(0).to_pylist()], bool)
         for kind in (0, 1):
             at = np.flatnonzero(held == kind)
             if len(at):
-                yield (batch if len(at) == len(held) else batch.take(pa.array(at))), kind
+                waiting[kind].append(batch.take(pa.array(at)))
+                sizes[kind] += waiting[kind][-1].column(1).nbytes
+            if sizes[kind] >= _PIECE:
+                yield pa.Table.from_batches(waiting[kind]).combine_chunks().to_batches()[0], kind
+                waiting[kind].clear()
+                sizes[kind] = 0
+    for kind in (0, 1):
+        if waiting[kind]:
+            yield pa.Table.from_batches(waiting[kind]).combine_chunks().to_batches()[0], kind
 
 
 def _encode(buckets: int):
@@ -90,7 +100,7 @@ def _encode(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = [TaskContext.get().partitionId() << 32, TaskContext.get().partitionId() << 32 | 1 << 31]
         for batch, kind in _apart(batches):
-            for lo, hi in row_slices(batch.column(1), _PIECE):
+            for lo, hi in row_slices(batch.column(1), 2 * _PIECE):
                 chunk = chunks[kind]
                 text = batch.column(1).slice(lo, hi - lo)
                 hashed, sizes = [], []
