@@ -196,12 +196,12 @@ def url_anomalies(caps):
 
 _QR = "CASE CAST(page_id % 6 AS INT) WHEN 0 THEN 'https://T.me/pay' WHEN 1 THEN 'gcash:0917?amount=' || CAST(page_id AS STRING) WHEN 2 THEN '4006381333931' WHEN 3 THEN 'bc1qxyz' WHEN 4 THEN 'whatsapp gcash' ELSE url END"
 _HAS = lambda marks: "(" + " OR ".join(f"contains(lower(payload), {quoted(m)})" for m in marks) + ")"
-_QR_SQL = f"SELECT page_id AS scan_id, left(payload, 300) AS evidence, CAST(CASE WHEN {_HAS(V.QR_CHAT_MARKS)} THEN 14 WHEN {_HAS(V.QR_PAY_MARKS)} THEN 12 ELSE 8 END AS INTEGER) AS weight FROM (SELECT page_id, {_QR} AS payload FROM pages WHERE page_id % 10 < 3)"
+_QR_SQL = f"SELECT page_id AS scan_id, left(payload, 300) AS evidence, CAST(CASE WHEN {_HAS(V.QR_CHAT_MARKS)} THEN 14 WHEN {_HAS(V.QR_PAY_MARKS)} THEN 12 ELSE 8 END AS INTEGER) AS weight FROM (SELECT page_id, {_QR} AS payload FROM pages)"
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic decoded codes of some pages."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 10 < 3")
+    """Synthetic decoded codes of pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select(F.col("page_id").alias("scan_id"), F.lit("QRCODE").alias("code_type"), F.expr(_QR).alias("payload"))
 
 
