@@ -7,6 +7,8 @@ overlay is synthetic, and the same in Spark and in SQL.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,8 @@ from ..functions.literals import sql_of
 from . import symbols
 
 BUCKETS = 24
+#: Pictures in an Arrow batch: some MB; pages that a task draws.
+_PICTURES, _PAGES = 256, 2000
 _KEY = "AKIA" + "ABCDEFGHIJKLMNOP"
 _LOGIN = '<form action="{}"><input type="password" name="pin"><input type="text" name="{}"></form>'
 
@@ -105,20 +109,28 @@ def overlaid(pages: DataFrame) -> DataFrame:
 
 def screenshots(pages: DataFrame) -> DataFrame:
     """(scan_id, width, height, channels, pixels): for each page with a url a synthetic screenshot with a code of it, at a
-    scale and turn and with damage by its id, as much as the code's level allows for every third."""
-
-    def draw(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        out = []
-        for i, text in zip(ids.to_pylist(), texts.to_pylist()):
-            level = "LMQH"[i % 4]
-            modules = symbols.code_of(text, level, i % 8)
-            most = symbols.CHECK_WORDS[level][(len(modules) - 17) // 4 - 1] // 2
-            grey = symbols.drawn(symbols.damaged(modules, most if i % 3 == 0 else 0, i), 2 + i % 3, turns=i // 4 % 4)
-            out.append({"width": grey.shape[1], "height": grey.shape[0], "channels": 1, "pixels": np.ascontiguousarray(grey).tobytes()})
-        return pa.array(out, pa.struct([("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("pixels", pa.binary())]))
-
-    shot = F.arrow_udf(draw, "struct<width:int,height:int,channels:int,pixels:binary>")("page_id", "url")
-    return pages.where("length(url) > 0").select(F.col("page_id").alias("scan_id"), shot.alias("s")).select("scan_id", "s.*")
+    scale and turn and with damage by its id, as much as the code's level allows for every third. Ids and urls are dealt out
+    first, since drawing takes a thousand times as long as reading them, and one file may hold all pages."""
+
+    def picture(i: int, text: str) -> dict:
+        level = "LMQH"[i % 4]
+        modules = symbols.code_of(text, level, i % 8)
+        most = symbols.CHECK_WORDS[level][(len(modules) - 17) // 4 - 1] // 2
+        grey = symbols.drawn(symbols.damaged(modules, most if i % 3 == 0 else 0, i), 2 + i % 3, turns=i // 4 % 4)
+        return {"width": grey.shape[1], "height": grey.shape[0], "channels": 1, "pixels": np.ascontiguousarray(grey).tobytes()}
+
+    kind = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("pixels", pa.binary())])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), _PICTURES):
+                part = batch.slice(at, _PICTURES)
+                shots = pa.array([picture(*x) for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist())], kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), *shots.flatten()], ["scan_id", *(f.name for f in kind)])
+
+    tasks = max(pages.count() // _PAGES, pages.sparkSession.sparkContext.defaultParallelism)
+    used = pages.where("length(url) > 0").select(F.col("page_id").alias("scan_id"), "url").repartition(tasks)
+    return used.mapInArrow(draw, f"scan_id {used.schema['scan_id'].dataType.simpleString()}, width int, height int, channels int, pixels binary")
 
 
 def quoted(x) -> str:

@@ -13,6 +13,7 @@ from pagelens.operators import images as I
 from pagelens.operators import landed as N
 from pagelens.operators import symbols as S
 from pagelens.sources import symbols as R
+from pagelens.sources.captures import screenshots
 
 
 def kernel(x):
@@ -166,3 +167,32 @@ def test_codes_of_screenshots(spark):
     shots = [(1, g.shape[1], g.shape[0], 1, g.tobytes()), (2, 4, 4, 1, b"x" * 16), (3, None, 1, 1, b"x"), (4, g.shape[1], g.shape[0], 3, np.repeat(g[:, :, None], 3, 2).tobytes())]
     got = I.decoded(spark.createDataFrame(shots, "scan_id int, width int, height int, channels int, pixels binary")).orderBy("scan_id").collect()
     assert [tuple(r) for r in got] == [(1, "QRCODE", "gcash pay"), (4, "QRCODE", "gcash pay")]
+
+
+def test_corner_runs_of_all_lines_at_once(monkeypatch):
+    rnd = np.random.default_rng(5)
+    for width in (1, 4, 40):
+        lines = np.repeat(rnd.integers(0, 2, (30, width)), 2, 1).astype(bool)
+        lines[:10, : 2 * (width // 9) * 9] = np.tile(np.array([0, 1, 0, 1, 1, 1, 0, 1, 0], bool).repeat(2), width // 9)
+        starts, sums, first = S._runs(lines)
+        for y, line in enumerate(lines):
+            want, edges = [], [i for i in range(len(line)) if i == 0 or line[i] != line[i - 1]] + [len(line)]
+            for at in range(len(edges) - 5):
+                sizes = np.diff(edges[at : at + 6])
+                unit = sizes.sum() / 7
+                if line[edges[at]] and unit >= 1 and all(abs(n - unit * k) <= unit * (1.1 if k == 3 else 0.6) for n, k in zip(sizes, (1, 1, 3, 1, 1))):
+                    want.append((edges[at : at + 5], sizes.sum()))
+            assert list(zip(starts, sums))[first[y] : first[y + 1]] == want
+    runs, calls = S._runs, []
+    monkeypatch.setattr(S, "_runs", lambda lines: calls.append(1) or runs(lines))
+    assert S.read_codes(R.drawn(R.code_of("x" * 200), 4)) == ["x" * 200]
+    assert len(calls) == 2  # all rows at once, all columns at once
+
+
+def test_screenshots_of_one_file_are_drawn_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"https://x.example/{i}") for i in range(600)] + [(600, ""), (601, None)]
+    spark.createDataFrame(rows, "page_id bigint, url string").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    shots = screenshots(spark.read.parquet(str(tmp_path / "pages")))
+    assert shots.rdd.getNumPartitions() >= 4
+    assert shots.columns == ["scan_id", "width", "height", "channels", "pixels"]
+    assert sorted((r.scan_id, r.payload) for r in I.decoded(shots).collect()) == rows[:600]
