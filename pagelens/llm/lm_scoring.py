@@ -45,6 +45,8 @@ ROUNDS = 2
 RATE = 0.3
 _BATCH = 8192
 _PIECE, _SLICE = 6 << 20, 1_900_000
+#: Groups of tokens that are added up one by one; logits so far below the greatest that single precision may lose them.
+_FEW, _LEAST = 16, -60.0
 _BLOCKS = 16
 #: Tasks' changes are averaged in so many groups first.
 _LANES = 64
@@ -221,11 +223,10 @@ def _assemble(vocabulary: Broadcast):
 def _features(cell: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Rows of the weights that each token uses: last word, the one before, both. begin: places where documents begin."""
     back = [np.concatenate([np.zeros(d, np.uint32), cell[:-d]]) if len(cell) > d else np.zeros(len(cell), np.uint32) for d in (1, 2)]
+    end = np.append(begin[1:], len(cell))
     for d, b in zip((1, 2), back):
-        for i in range(d):
-            at = begin + i
-            b[at[at < len(b)]] = 0x9E37 + i
-        del d
+        for i in range(d):  # the second place only where a document has one
+            b[begin[begin + i < end] + i] = 0x9E37 + i
     both = (back[0] * np.uint32(0x85EBCA6B)) ^ (back[1] * np.uint32(0xC2B2AE35))
     both ^= both >> np.uint32(15)
     return np.stack([back[0] % CELLS, CELLS + back[1] % CELLS, 2 * CELLS + both % CELLS], 1).astype(np.int32)
@@ -248,19 +249,31 @@ def _is_inner(cls: np.ndarray) -> np.ndarray:
 
 def _logits(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
     """The last row counts for all where f has no column for it."""
-    out = weights[f[:, 0]]
-    for i in range(1, f.shape[1]):
-        out += weights[f[:, i]]
+    columns = np.ascontiguousarray(f.T)
+    out, more = np.take(weights, columns[0], axis=0, mode="clip"), np.empty((len(f), weights.shape[1]), weights.dtype)
+    for c in columns[1:]:
+        out += np.take(weights, c, axis=0, out=more, mode="clip")
     if f.shape[1] == 3:
         out += weights[-1]
     return out
 
 
+def _exponentials(z: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(column right of each row of z, the rows' sums of exponentials), both less one constant. z becomes the exponentials."""
+    rows = np.arange(len(z))
+    z -= z.max()
+    own = z[rows, right]
+    if own.min() < _LEAST:  # far below other rows: a constant for each row
+        z -= z.max(axis=1, keepdims=True)
+        own = z[rows, right]
+    np.exp(z, out=z)
+    return own, z @ np.ones(z.shape[1], z.dtype)
+
+
 def _log_softmax(z: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Natural logarithm of the share of column right of each row. Changes z."""
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(z)), right]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    own, sums = _exponentials(z, right)
+    return own - np.log(sums)
 
 
 class Weights:
@@ -274,24 +287,50 @@ class Weights:
         self.classes, self.bins = (x.reshape(s) for x, s in zip(np.split(self.flat, [n[0]]), self.SHAPES))
 
 
+def _sums(p: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the weights that f names, the sum of p over the tokens that name each). Columns of f name different rows.
+
+    The first tokens of all groups are taken at once, then the second ones of those that have two, and so on; the few
+    groups that have many more are added up each."""
+    said = f.T.astype(np.int16).ravel()
+    order = np.argsort(said, kind="stable")
+    said = said[order]
+    head = np.flatnonzero(np.append(True, said[1:] != said[:-1]))
+    size = np.diff(head, append=len(order))
+    largest = np.argsort(-size, kind="stable")
+    head, size = head[largest], size[largest]
+    token = order % len(f)
+    more = np.searchsorted(-size, -np.arange(1, size[0] + 1))  # how many groups have more than so many tokens
+    out = np.take(p, token[head], axis=0, mode="clip")
+    turn = 1
+    while turn < size[0] and (n := more[turn - 1]) > _FEW:
+        out[:n] += np.take(p, token[head[:n] + turn], axis=0, mode="clip")
+        turn += 1
+    for i in range(more[turn - 1]):
+        out[i] += np.take(p, token[head[i] + turn : head[i] + size[i]], axis=0, mode="clip").sum(axis=0)
+    return said[head], out
+
+
+def _adagrad(w: np.ndarray, sq: np.ndarray, used: np.ndarray, g: np.ndarray) -> None:
+    """A step on the rows used, each named once, by the gradient g. Changes g."""
+    root = sq[used]
+    root += g * g
+    sq[used] = root
+    root += 1
+    np.sqrt(root, out=root)
+    g *= RATE
+    g /= root
+    w[used] -= g
+
+
 def _step(w: np.ndarray, sq: np.ndarray, f: np.ndarray, target: np.ndarray) -> None:
     """One AdaGrad step on a batch."""
     p = _logits(w, f)
-    p -= p.max(axis=1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
+    p /= _exponentials(p, target)[1][:, None]
     p[np.arange(len(p)), target] -= 1
-    for i in range(f.shape[1]):
-        order = np.argsort(f[:, i].astype(np.int16), kind="stable")
-        used = f[order, i]
-        head = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
-        g, used = np.add.reduceat(p[order], head, axis=0), used[head]
-        sq[used] += g * g
-        w[used] -= RATE * g / np.sqrt(sq[used] + 1.0)
+    _adagrad(w, sq, *_sums(p, f))
     if f.shape[1] == 3:
-        g = p.sum(axis=0)
-        sq[-1] += g * g
-        w[-1] -= RATE * g / np.sqrt(sq[-1] + 1.0)
+        _adagrad(w, sq, np.array([len(w) - 1]), p.sum(axis=0, keepdims=True))
 
 
 _CHANGES = "block int, lane int, seen double, body binary"
@@ -305,17 +344,19 @@ def _gradient_steps(weights: Broadcast, turn: int, rounds: int):
             for docs, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids, _, held, n, _, _ = _unpack(docs, "<i8", "?", "?", "<u4", "<i8", "<f8")
                 drawn = mix(ids.astype(np.uint64)) % np.uint64(rounds)  # a document's round, wherever it lies
+                mine = ~held & (drawn == turn)  # every training document is in one round
+                if not mine.any():
+                    continue
                 place, cell, _, less, _ = _unpack(tokens, "<u4", "<u4", "u1", "u1", "<f4")
-                ends = np.cumsum(n, dtype=np.int64)
+                place, n = place[np.repeat(mine, n)], n[mine]
                 cell = cell[place]
-                f, target = _features(cell, ends - n), less[place].astype(np.int64)
-                mine = np.flatnonzero(~np.repeat(held | (drawn != turn), n))  # every training document is in one round
-                for i in range(0, len(mine), _BATCH):
-                    at = mine[i : i + _BATCH]
+                f, target = _features(cell, np.cumsum(n, dtype=np.int64) - n), less[place].astype(np.int64)
+                for i in range(0, len(cell), _BATCH):
+                    at = slice(i, i + _BATCH)
                     _step(w.classes, sq.classes, f[at], target[at])
-                    if len(at := at[_is_inner(target[at])]):
-                        _step(w.bins, sq.bins, _with_class(f[at], target[at]), _bin(cell[at]))
-                seen += len(mine)
+                    if len(inner := i + np.flatnonzero(_is_inner(target[at]))):
+                        _step(w.bins, sq.bins, _with_class(f[inner], target[inner]), _bin(cell[inner]))
+                seen += len(cell)
         if seen:
             parts = [_body(a, b) for a, b in zip(np.array_split(w.flat - start, _BLOCKS), np.array_split(np.sqrt(sq.flat), _BLOCKS))]
             lane = TaskContext.get().partitionId() % _LANES
@@ -354,11 +395,11 @@ def train(pieces: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
 def log_probability(weights: Weights, v: Vocabulary, f: np.ndarray, cls: np.ndarray, place: np.ndarray) -> np.ndarray:
     """log10 of P(class | history) * P(bin | class, history); place: the words' bins. Classes and bins without words are out."""
     z = _logits(weights.classes, f)
-    z[:, ~v.open] = -np.inf
+    z += np.where(v.open, 0, -np.inf).astype(z.dtype)
     log = _log_softmax(z, cls).astype(np.float64)
     if len(inner := np.flatnonzero(_is_inner(cls))):
         z = _logits(weights.bins, _with_class(f[inner], cls[inner]))
-        z[~v.bins[cls[inner]]] = -np.inf
+        z += np.take(np.where(v.bins, 0, -np.inf).astype(z.dtype), cls[inner], axis=0)
         log[inner] += _log_softmax(z, place[inner])
     return log / np.log(10)
 

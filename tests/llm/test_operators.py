@@ -608,3 +608,38 @@ def test_sketches_keep_links():
         likely = {(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
         assert likely <= kept and (3, 0) in likely
         assert size < 10 or (2, 0) not in kept
+
+
+def test_lm_step_by_brute_force():
+    rnd = np.random.default_rng(11)
+    for columns, width, n in ((3, 50, 700), (4, 32, 300), (3, 50, 1)):
+        w = rnd.normal(size=(3 * lm_scoring.CELLS + 60, width)).astype(np.float32)
+        sq = rnd.random(w.shape).astype(np.float32)
+        f = np.minimum(rnd.zipf(1.3, (n, columns)), lm_scoring.CELLS) - 1 + np.arange(columns) * lm_scoring.CELLS
+        f[:, columns - 1] = np.minimum(f[:, columns - 1], len(w) - 2)
+        f, target = f.astype(np.int32), rnd.integers(0, width, n)
+        want, squares, g = w.astype(float), sq.astype(float), collections.defaultdict(float)
+        for x, t in zip(f, target):
+            z = want[x].sum(axis=0) + (want[-1] if columns == 3 else 0)
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            p[t] -= 1
+            for row in (*x.tolist(), *([len(w) - 1] if columns == 3 else [])):
+                g[row] = g[row] + p
+        for row, x in g.items():
+            squares[row] += x * x
+            want[row] -= lm_scoring.RATE * x / np.sqrt(squares[row] + 1)
+        lm_scoring._step(w, sq, f, target)
+        assert np.allclose(w, want, atol=1e-4) and np.allclose(sq, squares, rtol=1e-3, atol=1e-3)
+    far = np.array([[0, -500, 90], [-300, -310, -305], [0, 0, 0]], np.float32)  # rows far apart in one batch
+    right = np.array([1, 2, 0])
+    exact = [float(far[i, r] - far[i].max() - np.log(np.exp((far[i] - far[i].max()).astype(float)).sum())) for i, r in enumerate(right)]
+    assert np.allclose(lm_scoring._log_softmax(far.copy(), right), exact, rtol=1e-5)
+
+
+def test_lm_features_stay_within_a_document():
+    cells = np.arange(100, 110, dtype=np.uint32)
+    sizes = [1, 1, 4, 1, 3]  # an empty text has its end token alone
+    begin = np.cumsum([0, *sizes[:-1]])
+    apart = [lm_scoring._features(cells[b : b + n], np.array([0])) for b, n in zip(begin, sizes)]
+    assert (lm_scoring._features(cells, begin) == np.concatenate(apart)).all()
