@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, give_back, lean, named, safe_names, small_batches
+from .common import buckets_for, give_back, lean, named, safe_names, small_batches, tune
 from .words import Words, as_bytes, combine, row_slices, sliding_min
 
 K = 13
@@ -137,10 +137,12 @@ def _deal(k: int, buckets: int):
 
 def _order_windows(ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows in an order that puts equal ones together, and where each group starts. Exact: ids are compared."""
-    key = combine(ids.astype(np.uint64), at, k)
-    order = np.argsort(key, kind="stable")
+    key = combine(ids, at, k)
+    order = np.argsort(key)
+    key = key[order]
     new = np.ones(len(order), bool)
-    new[1:] = key[order][1:] != key[order][:-1]
+    new[1:] = key[1:] != key[:-1]
+    del key
     twin = np.flatnonzero(~new)
     a, b = at[order[twin]], at[order[twin - 1]]
     if any((ids[a + j] != ids[b + j]).any() for j in range(k)):  # two windows with one hash: sort by the ids themselves
@@ -168,8 +170,11 @@ class _Bucket:
             self.settle()
 
     def whole(self) -> tuple[np.ndarray, np.ndarray, Words]:
-        owners, heads = np.concatenate(self.owners), np.concatenate(self.heads)
-        return owners, heads, Words.packed(b"".join(self.texts), heads["count"])
+        """All that it holds, which it gives away."""
+        owners, heads, text = np.concatenate(self.owners), np.concatenate(self.heads), b"".join(self.texts)
+        for held in (self.owners, self.heads, self.texts):
+            held.clear()
+        return owners, heads, Words.packed(text, heads["count"])
 
     def settle(self) -> None:
         owners, heads, words = self.whole()
@@ -187,6 +192,7 @@ class _Bucket:
 
 def _count(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tune()
         bucket = _Bucket()
         for batch in batches:
             for blob in batch.column(batch.schema.get_field_index("slices")).to_pylist():
@@ -195,19 +201,22 @@ def _count(k: int):
         found = bucket.found
         del bucket
         if len(heads):
-            ids, at = words.ids(), words.window_starts(k)
-            piece = np.repeat(np.arange(len(heads), dtype=np.int32), heads["count"])[at]
-            doc = owners["doc"][heads["row"][piece]]
-            inside = (at - words.offsets[piece]).astype(np.uint32)
+            ids, at, offsets = words.ids(), words.window_starts(k), words.offsets
+            if len(ids) < 1 << 31:
+                at = at.astype(np.int32)
             del words
+            give_back()
             order, new = _order_windows(ids, at, k)
+            del ids
             starts = np.flatnonzero(new)
-            least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(order))))
-            hit = np.zeros(len(order), bool)
-            hit[order] = doc[order] > least
-            hit = np.flatnonzero(hit)
+            piece = np.repeat(np.arange(len(heads), dtype=np.int32), heads["count"])[at]
+            doc = np.unique(owners["doc"], return_inverse=True)[1].astype(np.int32)[heads["row"]][piece][order]  # in the order of doc_ids
+            least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(order))))
+            hit = np.sort(order[doc > least])
+            del order, new, starts, doc, least
             if len(hit):
-                p, w = piece[hit], inside[hit]
+                p = piece[hit]
+                w = (at[hit] - offsets[p]).astype(np.uint32)
                 cut = np.append(True, (p[1:] != p[:-1]) | (w[1:] != w[:-1] + 1))
                 first = np.flatnonzero(cut)
                 last = np.append(first[1:], len(hit)) - 1

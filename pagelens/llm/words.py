@@ -21,12 +21,14 @@ _tables: list[np.ndarray] = []
 def _powers(n: int) -> list[np.ndarray]:
     global _tables
     if not _tables or len(_tables[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = ((n - 1 >> 17) + 1) << 17
         made = []
         for base in (_MULT, _INV):
-            out = np.ones(1, np.uint64)
-            while len(out) < size:
-                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+            out, done = np.ones(size, np.uint64), 1
+            while done < size:
+                more = min(done, size - done)
+                np.multiply(out[:more], np.uint64(pow(base, done, 1 << 64)), out=out[done : done + more])
+                done += more
             made.append(out)
         if size > 1 << 21:  # a very long text: not kept
             return made
@@ -36,10 +38,11 @@ def _powers(n: int) -> list[np.ndarray]:
 
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def row_slices(texts: pa.Array, target: int) -> Iterator[tuple[int, int]]:
@@ -69,21 +72,23 @@ class Words:
         self.offsets = np.zeros(len(docs) + 1, np.int64)
         np.cumsum([len(w) for w in split], out=self.offsets[1:])
         del split
-        self._lay(b" ".join(x for x in self.joined if x))
+        text = b" ".join(x for x in self.joined if x)
+        self._lay(text + b" " if text else b"")
 
     @classmethod
     def packed(cls, text: bytes, counts: np.ndarray) -> "Words":
-        """Of text that is already laid out, counts[d] words for each text."""
+        """Of text that is already laid out with a space after each word, counts[d] words for each text."""
         self = cls.__new__(cls)
         self.offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        self._lay(text.removesuffix(b" "))
+        self._lay(text)
         return self
 
-    def _lay(self, text: bytes) -> None:
-        self.raw = text + b" " if text else b""
+    def _lay(self, raw: bytes) -> None:
+        self.raw = raw
         self.buf = np.frombuffer(self.raw, np.uint8)
         self.ends = np.flatnonzero(self.buf == 32)
-        self.starts = np.concatenate([[0], self.ends[:-1] + 1]) if len(self.ends) else self.ends
+        self.starts = np.zeros(len(self.ends), np.int64)
+        np.add(self.ends[:-1], 1, out=self.starts[1:])
         self._sums = None
 
     def __len__(self) -> int:
@@ -94,7 +99,10 @@ class Words:
         up, down = _powers(len(self.buf) + 1)
         if self._sums is None:
             self._sums = np.zeros(len(self.buf) + 1, np.uint64)
-            np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)], out=self._sums[1:])
+            said = self._sums[1:]
+            np.add(self.buf, np.uint64(1), out=said)
+            said *= up[: len(self.buf)]
+            np.cumsum(said, out=said)
         return mix((self._sums[end] - self._sums[start]) * down[start])
 
     def hashes(self) -> np.ndarray:
@@ -106,7 +114,8 @@ class Words:
         """(distinct words, the place of each word among them). Exact: bytes are compared."""
         kept = self.buf[self.buf != 32]
         off = np.zeros(len(self) + 1, np.int64)
-        np.cumsum(self.ends - self.starts, out=off[1:])
+        np.subtract(self.ends, self.starts, out=off[1:])
+        np.cumsum(off, out=off)
         arr = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(off), pa.py_buffer(kept)]).dictionary_encode()
         return arr.dictionary, arr.indices.to_numpy(zero_copy_only=False)
 
@@ -129,7 +138,8 @@ def combine(ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k values of ids from each place of at on."""
     out = np.zeros(len(at), np.uint64)
     for j in range(k):
-        out = out * np.uint64(_MULT) + ids[at + j]
+        out *= np.uint64(_MULT)
+        out += ids[at + j].astype(np.uint64, copy=False)
     return mix(out)
 
 

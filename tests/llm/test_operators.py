@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import struct
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -643,3 +645,18 @@ def test_lm_features_stay_within_a_document():
     begin = np.cumsum([0, *sizes[:-1]])
     apart = [lm_scoring._features(cells[b : b + n], np.array([0])) for b, n in zip(begin, sizes)]
     assert (lm_scoring._features(cells, begin) == np.concatenate(apart)).all()
+
+
+def test_dedup_bucket_holds_few_bytes_a_word():
+    rnd, vocabulary = random.Random(1), [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rnd.choices(vocabulary, k=200)).encode() for _ in range(600)]
+    ids, blobs = np.arange(600), []
+    for i in range(0, 600, 100):
+        blobs += [x for _, x in substring_dedup._slices(ids[i : i + 100], ids[i : i + 100], substring_dedup.Words(texts[i : i + 100]), 13, 1)]
+    words = sum(int(substring_dedup._decode(x)[1]["count"].sum()) for x in blobs)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "slices"])
+    tracemalloc.start()
+    list(substring_dedup._count(13)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 42 * words
